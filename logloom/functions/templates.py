@@ -43,14 +43,11 @@ def features(text: str | None) -> dict | None:
     return {"template": shown, "regex_full": f"(?s)^{body}\\z", "regex_prefix": f"(?s)^{body}", "literal_length": sum(not c.isspace() for p in literals for c in p), "holes": sum(p is None for p in parts), "literals": "\n".join(literals)}
 
 
-_features = F.udf(features, SCHEMA, useArrow=False)
-
-
 def template_features(text: Column) -> Column:
     """For tables of statements, which are small; events never pass through it."""
-    return _features(text)
+    return F.udf(features, SCHEMA)(text)
 
 
 def arguments(message: Column, regex: Column, holes: Column) -> Column:
     """What the holes of a matching template hold; null (as in a shared CASE) where holes is 0."""
-    return F.when(holes > 0, F.transform(F.sequence(F.lit(1), holes), lambda i: F.regexp_extract(message, regex, i))).otherwise(F.array().cast("array<string>"))
+    return F.when(holes > 0, F.transform(F.sequence(F.lit(1), holes), lambda i: F.call_function("regexp_extract", message, regex, i))).otherwise(F.array().cast("array<string>"))
