@@ -76,17 +76,19 @@ def keys_of(events: DataFrame) -> DataFrame:
 
 def features(keys: DataFrame, catalog: DataFrame, modules: DataFrame, types: DataFrame, config: Config = Config(), mode: str = "both") -> DataFrame:
     """(key, statement_id, regex, length, dynamic, logger, level, throwable): what scoring needs of every candidate; mode is both, logger or tokens."""
-    ready = c.prepared(catalog)
-    usable = c.applicable(ready, modules)
-    names = c.logger_names(ready, types, modules)
+    # the catalog side is small and read by several joins: computed once
+    ready = c.prepared(catalog).cache()
+    usable = c.applicable(ready, modules).cache()
+    names = c.logger_names(ready, types, modules).cache()
     resolved = resolve_loggers(keys, names)
     named = keys.select("key", "service", "logger_raw").join(resolved, ["service", "logger_raw"], "left").select("key", "service", F.coalesce("kind", F.lit("UNKNOWN")).alias("kind"), F.coalesce("names", F.array().cast("array<string>")).alias("names"))
+    named = named.cache()
     each = named.select("key", "service", F.explode("names").alias("name"))
     mine = usable.join(ready, "statement_id").select(usable["service"].alias("service"), "statement_id", "class_fqn", "logger_name", "logger_name_kind")
     direct = each.join(mine.select("service", "statement_id", F.explode(F.array_distinct(F.array_compact(F.array("logger_name", "class_fqn")))).alias("name")), ["service", "name"]).select("key", "statement_id", F.lit(0).alias("reason"))
-    above = each.join(c.ancestors(types).select(F.col("class_fqn").alias("name"), "ancestor"), "name")
+    above = each.join(c.ancestors(types).select(F.col("class_fqn").alias("name"), "ancestor").cache(), "name")
     inherited = above.join(mine.where("logger_name_kind = 'get_class'").select("service", "statement_id", F.col("class_fqn").alias("ancestor")), ["service", "ancestor"]).select("key", "statement_id", F.lit(1).alias("reason"))
-    by_logger = direct.union(inherited).groupBy("key", "statement_id").agg(F.min("reason").alias("reason"))
+    by_logger = direct.union(inherited).groupBy("key", "statement_id").agg(F.min("reason").alias("reason")).cache()
     words = keys.select("key", "service", F.posexplode(tokens(F.col("message"))).alias("place", "token"))
     sums = words.join(c.postings(ready, usable), ["service", "token"]).groupBy("key", "statement_id").agg(F.round(F.sum("idf"), 9).alias("idf"))
     ranked = sums.withColumn("r", F.row_number().over(Window.partitionBy("key").orderBy(F.col("idf").desc(), "statement_id"))).where(F.col("r") <= config.top_k_tokens)
@@ -147,7 +149,7 @@ def decide(rows: DataFrame, by: list[str], config: dict[str, Column]) -> DataFra
 
 def match(events: DataFrame, catalog: DataFrame, modules: DataFrame, types: DataFrame, config: Config = Config(), mode: str = "both") -> DataFrame:
     """``events`` with match (a struct) and logger (where the observed one stands for a single name)."""
-    keys = keys_of(events)
+    keys = keys_of(events).cache()
     decided = decide(features(keys, catalog, modules, types, config, mode), ["key"], weights(config))
     shown = catalog.select(F.col("statement_id"), F.concat_ws(":", "code_unit.name", "code_unit.version").alias("code_unit"), "module", "class_fqn", "method_name", "file_path", "template_kind", "line", "template")
     full = decided.join(shown, "statement_id", "left")

@@ -190,7 +190,7 @@ def eval_error_kinds(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def ground_truth_places(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Line items as places in files of their suppliers, parts' sizes as ranges of lines."""
-    logs = _sql(spark, sf_dir, "SELECT concat(cast(l_orderkey AS string), '-', cast(l_linenumber AS string), '-', cast(l_partkey AS string)) AS log_id, cast(l_suppkey % 5 AS string) AS service, cast(l_partkey % 50 AS string) AS class, cast(l_quantity AS int) AS line FROM lineitem", "lineitem")
+    logs = _sql(spark, sf_dir, "SELECT concat(cast(l_orderkey AS string), '-', cast(l_linenumber AS string), '-', cast(l_partkey AS string), '-', cast(l_suppkey AS string), '-', cast(cast(l_quantity AS int) AS string)) AS log_id, cast(l_suppkey % 5 AS string) AS service, cast(l_partkey % 50 AS string) AS class, cast(l_quantity AS int) AS line FROM lineitem", "lineitem")
     logs = logs.select("log_id", "service", F.struct(F.lit(None).cast("string").alias("statement_id")).alias("match"), F.struct("class", "line", F.lit(True).alias("reliable")).alias("ground_truth")).distinct()
     said = _sql(spark, sf_dir, "SELECT cast(p_partkey % 5 AS string) AS service, cast(p_partkey % 50 AS string) AS class_fqn, cast(p_partkey AS string) AS statement_id, p_size AS line, p_size + 2 AS end_line FROM part WHERE p_partkey <= 300", "part")
     none = spark.createDataFrame([], "log_id string, verdict string, correct_statement_id string, predicted_statement_id string")
