@@ -70,7 +70,7 @@ def ascii_words(text: str | None) -> list[bytes]:
 class Memo(dict):
     """A bounded memo of two generations: when the young one is full it becomes the old one, from which entries in use are taken over."""
 
-    def __init__(self, compute, limit: int = 200_000):
+    def __init__(self, compute, limit: int = 120_000):
         super().__init__()
         self.compute, self.limit, self.old = compute, limit, {}
 

@@ -20,7 +20,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import Memo, slices
+from .common import Memo, materialise, slices
 
 BITS = 18
 _MARKS, _LETTERS = re.compile(r"[\W_]+"), re.compile(r"[^\W_]+")
@@ -108,29 +108,41 @@ def _platt(margin: np.ndarray, y: np.ndarray, rounds: int = 60) -> tuple[float,
     return float(max(b[0], 1e-3)), float(b[1])
 
 
-def fit(docs: DataFrame, labels: DataFrame, sample: int = 3000, smoothing: float = 1.0, cost: float = 1.0) -> Model:
+def fit(docs: DataFrame, labels: DataFrame, bound: int = 10000, sample: int = 3000, smoothing: float = 1.0, cost: float = 1.0) -> Model:
     """Learns from ``docs`` (doc_id, text) joined with ``labels`` (doc_id, quality 0 or 1); other labels, and null ids or labels, are left out.
 
-    Ratios are counted over all these rows. The hinge-loss model sees at most ``sample`` rows of each class,
-    those with the smallest hashes of doc_id: the bound keeps the driver's part below 2 * sample * the
-    n-grams of a text. A fifth of them is held back for the probabilities. Without rows of both classes every
-    score is the smoothed share of label 1. Rows of a doc_id with several labels count once for each.
+    The classifier sees at most ``bound`` ids of each class, those of the labelled documents with the smallest
+    hashes; their ids are sent to the scan, so no text is shuffled. Ratios are counted over all of these rows, the
+    hinge loss is fitted to those with the ``sample`` smallest hashes of each class, and a fifth of them is held
+    back for the probabilities. Without rows of both classes every score is the smoothed share of label 1. An id
+    with both labels counts for both, and so does each of several rows of an id.
     """
-    told = labels.where("doc_id is not null and quality in (0, 1)").select(F.col("doc_id").cast("long").alias("_d"), F.col("quality").cast("int").alias("y"))
-    rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text")).join(told, F.col("doc_id") == F.col("_d")).select("doc_id", "text", "y")
+    there = docs.select(F.col("doc_id").cast("long").alias("_d")).where("_d is not null").distinct()
+    told = labels.where("doc_id is not null and quality in (0, 1)").select(F.col("doc_id").cast("long").alias("_d"), F.col("quality").cast("int").alias("y")).distinct().join(there, "_d", "left_semi")
+    told = materialise(told.withColumn("h", F.xxhash64("_d", F.lit(4))), "labelled")
+    drawn = [told.where(F.col("y") == y).orderBy("h", "_d").limit(bound) for y in (0, 1)]
+    ids = drawn[0].union(drawn[1])  # 2 * bound rows at most
+    rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text")).join(F.broadcast(ids), F.col("doc_id") == F.col("_d")).select("h", "y", "text")
 
-    def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        features, total, n = Features(), np.zeros((2, 1 << BITS), np.int64), np.zeros(2, np.int64)
+    def extract(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        features = Features()
         for batch in slices(batches):
-            for text, y in zip(batch.column("text").to_pylist(), batch.column("y").to_pylist(), strict=True):
-                total[y, features(text)] += 1
+            found = [features(t).tobytes() for t in batch.column("text").to_pylist()]
+            yield pa.RecordBatch.from_arrays([batch.column("h"), batch.column("y"), pa.array(found, pa.binary())], ["h", "y", "x"])
+
+    def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        total, n = np.zeros((2, 1 << BITS), np.int64), np.zeros(2, np.int64)
+        for batch in batches:
+            for x, y in zip(batch.column("x").to_pylist(), batch.column("y").to_pylist(), strict=True):
+                total[y, np.frombuffer(x, np.int32)] += 1
                 n[y] += 1
         used = np.flatnonzero(total.any(axis=0))
         place, zero, one = np.r_[-1, used], np.r_[n[0], total[0, used]], np.r_[n[1], total[1, used]]
         yield pa.RecordBatch.from_arrays([pa.array(place.astype(np.int32)), pa.array(zero), pa.array(one)], ["place", "zero", "one"])
 
+    seen = materialise(rows.mapInArrow(extract, "h long, y int, x binary"), "features")
     # one row for each place, 2**BITS at most
-    counted = rows.select("text", "y").mapInArrow(count, "place int, zero long, one long").groupBy("place").agg(F.sum("zero").alias("zero"), F.sum("one").alias("one")).toArrow()
+    counted = seen.mapInArrow(count, "place int, zero long, one long").groupBy("place").agg(F.sum("zero").alias("zero"), F.sum("one").alias("one")).toArrow()
     place, zero, one = (counted.column(c).to_numpy() for c in ("place", "zero", "one"))
     n0, n1 = (int(x[place < 0].sum()) for x in (zero, one))
     prior = (n1 + 1) / (n0 + n1 + 2)
@@ -142,19 +154,12 @@ def fit(docs: DataFrame, labels: DataFrame, sample: int = 3000, smoothing: float
     scale = np.log((p / (n1 + 2 * smoothing)) / (q / (n0 + 2 * smoothing)))
     scale[(p == smoothing) & (q == smoothing)] = 0
 
-    def extract(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        features = Features()
-        for batch in slices(batches):
-            found = [features(t).tobytes() for t in batch.column("text").to_pylist()]
-            yield pa.RecordBatch.from_arrays([batch.column("y"), pa.array(found, pa.binary())], ["y", "x"])
-
-    h = F.xxhash64("doc_id", F.lit(4))
-    picked = [rows.where(F.col("y") == y).select("doc_id").orderBy(h, "doc_id").limit(sample).select(F.col("doc_id").alias("_p")).distinct() for y in (0, 1)]
-    drawn = rows.join(picked[0].union(picked[1]).distinct().hint("broadcast"), F.col("doc_id") == F.col("_p"), "left_semi")  # 2 * sample ids at most
-    drawn = sorted(((r.y, np.frombuffer(r.x, np.int32)) for r in drawn.select("text", "y").mapInArrow(extract, "y int, x binary").collect()), key=lambda r: (r[0], r[1].tobytes()))
-    order = np.random.default_rng(4).permutation(len(drawn))
-    y = np.array([2 * drawn[i][0] - 1 for i in order])
-    xs = [drawn[i][1] for i in order]
+    cuts = [told.where(F.col("y") == y).orderBy("h", "_d").limit(sample).agg(F.max("h").alias("h")).first().h for y in (0, 1)]
+    chosen = seen.where(" or ".join(f"(y = {y} and h <= {h})" for y, h in enumerate(cuts))).select("y", "x").collect()  # 2 * sample ids
+    drawn_ = sorted(((r.y, np.frombuffer(r.x, np.int32)) for r in chosen), key=lambda r: (r[0], r[1].tobytes()))
+    order = np.random.default_rng(4).permutation(len(drawn_))
+    y = np.array([2 * drawn_[i][0] - 1 for i in order])
+    xs = [drawn_[i][1] for i in order]
     held = np.arange(len(xs)) % 5 == 0
     if len(set(y[~held])) < 2 or len(set(y[held])) < 2:
         held[:] = False
