@@ -54,7 +54,7 @@ def suffix_array(codes: np.ndarray, depth: int) -> np.ndarray:
 class PieceCoder:
     """Encodes and decodes with the pieces of a SentencePiece BPE model, which must add a space in front and keep spaces as they are."""
 
-    def __init__(self, model: str, limit: int = 250_000):
+    def __init__(self, model: str, limit: int = 120_000):
         import sentencepiece
 
         sp = sentencepiece.SentencePieceProcessor(model_file=model)
@@ -105,7 +105,7 @@ class PieceCoder:
                 a, b = divmod(k, self.unknown + 1)
                 v = agree[k] = a == self.unknown or b == self.unknown or self.merged(self.text[a] + self.text[b]) == [self.text[a], self.text[b]]
             out[i] = v
-        if len(agree) > 2_000_000:
+        if len(agree) > 500_000:
             agree.clear()
         return out[where]
 
