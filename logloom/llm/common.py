@@ -117,3 +117,13 @@ class Forest:
                 return
             low, high, a, b = low[apart], high[apart], a[apart], b[apart]
             np.minimum.at(self.parent, high, low)
+
+
+_KEPT: dict = {}
+
+
+def per_worker(make, *key):
+    """``make(*key)``, made once in a Python worker and kept for its later tasks, with the memos that it has filled."""
+    if (make, key) not in _KEPT:
+        _KEPT[make, key] = make(*key)
+    return _KEPT[make, key]

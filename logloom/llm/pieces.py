@@ -20,7 +20,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import slices
+from .common import per_worker, slices
 
 SPACE = "▁"
 _GAP = 0x110000  # above all code points
@@ -228,7 +228,7 @@ def encode_pieces(docs: DataFrame, model: str) -> DataFrame:
     """
 
     def mapped(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        coder = PieceCoder(model)
+        coder = per_worker(PieceCoder, model)
         for batch in slices(batches, limit=4 << 20):
             ids = coder.encode([t or "" for t in batch.column("text").to_pylist()])
             yield pa.RecordBatch.from_arrays([batch.column("doc_id"), pa.array([x.tobytes() for x in ids], pa.binary())], ["doc_id", "ids"])
@@ -240,7 +240,7 @@ def round_trip(docs: DataFrame, model: str) -> DataFrame:
     """The rows of ``docs`` with n_pieces, ids_crc32, decoded_crc32, decoded_chars and same: whether decoding the ids gives the text (null counts as empty; a text that itself holds U+2581 gets a space there)."""
 
     def mapped(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        coder = PieceCoder(model)
+        coder = per_worker(PieceCoder, model)
         for batch in slices(batches, limit=4 << 20):
             texts = [t or "" for t in batch.column("text").to_pylist()]
             ids = coder.encode(texts)

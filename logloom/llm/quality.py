@@ -20,7 +20,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import Memo, materialise, slices
+from .common import Memo, materialise, per_worker, slices
 
 BITS = 18
 _MARKS, _LETTERS = re.compile(r"[\W_]+"), re.compile(r"[^\W_]+")
@@ -125,7 +125,7 @@ def fit(docs: DataFrame, labels: DataFrame, bound: int = 10000, sample: int = 30
     rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text")).join(F.broadcast(ids), F.col("doc_id") == F.col("_d")).select("h", "y", "text")
 
     def extract(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        features = Features()
+        features = per_worker(Features)
         for batch in slices(batches):
             found = [features(t).tobytes() for t in batch.column("text").to_pylist()]
             yield pa.RecordBatch.from_arrays([batch.column("h"), batch.column("y"), pa.array(found, pa.binary())], ["h", "y", "x"])
@@ -182,7 +182,7 @@ def score(docs: DataFrame, model: Model) -> DataFrame:
     shared = docs.sparkSession.sparkContext.broadcast(model)  # 2**BITS weights, whatever the input
 
     def mapped(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        features, m = Features(), shared.value
+        features, m = per_worker(Features), shared.value
         for batch in slices(batches):
             scores = [m.score(features(t)) for t in batch.column("text").to_pylist()]
             yield pa.RecordBatch.from_arrays([batch.column("doc_id"), pa.array(scores, pa.float64())], ["doc_id", "score"])
@@ -195,7 +195,7 @@ def keep_good(docs: DataFrame, model: Model, threshold: float = 0.3) -> DataFram
     shared = docs.sparkSession.sparkContext.broadcast(model)
 
     def mapped(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        features, m = Features(), shared.value
+        features, m = per_worker(Features), shared.value
         for batch in slices(batches):
             good = [m.score(features(t)) >= threshold for t in batch.column("text").to_pylist()]
             yield batch.filter(pa.array(good, pa.bool_()))

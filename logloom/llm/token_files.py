@@ -25,7 +25,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from .common import Memo, shared_folder, shuffle_partitions, slices
+from .common import per_worker, shared_folder, shuffle_partitions, slices
 
 _LENGTHS = (np.arange(256)[:, None] >> np.array([0, 2, 4, 6]) & 3) + 1  # by control byte: bytes of its four ids
 
@@ -63,29 +63,53 @@ class TextEncoder:
     these cuts are encoded once each. Any other text goes to the library whole.
     """
 
-    def __init__(self, path: str):
+    def __init__(self, path: str, limit: int = 250_000):
         import os
-        import re
 
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
         from tokenizers import Tokenizer
 
         self.tokenizer = Tokenizer.from_file(path)
         self.tokenizer.encode_special_tokens = True  # strings of special tokens in a text are ordinary text
-        self.odd = re.compile(r"\s\s|^\s|\s\Z|[^\S \n]|\0")
-        self.memo = Memo(self.whole)
-
-    def whole(self, text: str) -> bytes:
-        return np.array(self.tokenizer.encode(text, add_special_tokens=False).ids, np.uint32).tobytes()
-
-    def pieces(self, text: str) -> bytes:
-        if not text or self.odd.search(text):
-            return self.whole(text)
-        cut = text.replace(" ", "\0 ").replace("\n", "\0\n\0").split("\0")
-        return b"".join(map(self.memo.__getitem__, cut))
-
-    def __call__(self, text: str | None) -> np.ndarray:
-        return np.frombuffer(self.pieces(text or ""), np.uint32)
+        self.spaces = [c for c in map(chr, range(0x3001)) if c.isspace() and c not in " \n"]
+        self.known: dict[str, bytes] = {}
+        self.old: dict[str, bytes] = {}
+        self.limit = limit
+        self.break_id = self.tokenizer.encode("\n", add_special_tokens=False).ids
+
+    def whole(self, text: str) -> np.ndarray:
+        return np.array(self.tokenizer.encode(text, add_special_tokens=False).ids, np.uint32)
+
+    def odd(self, text: str) -> bool:
+        """True unless all white space is single spaces and line feeds between other characters (and for U+0000, the cuts' mark)."""
+        if not text or text[0] in " \n" or text[-1] in " \n" or any(x in text for x in ("  ", " \n", "\n ", "\n\n", "\0")):
+            return True
+        return any(c in text for c in self.spaces)
+
+    def learn(self, new: list[str]) -> None:
+        """New pieces, none of which holds a line feed, are encoded in one call as lines, and told apart by the line feeds' id."""
+        ids = self.whole("\n".join(new) + "\n")
+        ends = np.flatnonzero(ids == self.break_id[0])
+        if len(ends) != len(new):
+            raise RuntimeError("pieces and lines differ")
+        raw, starts = ids.tobytes(), np.r_[0, ends[:-1] + 1]
+        self.known.update((w, raw[4 * a : 4 * b]) for w, a, b in zip(new, starts.tolist(), ends.tolist(), strict=True))
+
+    def __call__(self, texts: list[str]) -> list[np.ndarray]:
+        cuts = [None if self.odd(t) else t.replace(" ", "\0 ").replace("\n", "\0\n\0").split("\0") for t in texts]
+        if len(self.known) > self.limit:  # two generations: what is still in use moves to the young one
+            self.old, self.known = self.known, {}
+        self.known["\n"] = np.array(self.break_id, np.uint32).tobytes()
+        new = []
+        for piece in set().union(*filter(None, cuts)).difference(self.known):
+            if (held := self.old.get(piece)) is not None:
+                self.known[piece] = held
+            else:
+                new.append(piece)
+        if new:
+            self.learn(new)
+        get = self.known.__getitem__
+        return [self.whole(t) if c is None else np.frombuffer(b"".join(map(get, c)), np.uint32) for t, c in zip(texts, cuts, strict=True)]
 
 
 def _scratch(docs: DataFrame, tokenizer: str, end_id: int, path: str) -> None:
@@ -95,10 +119,10 @@ def _scratch(docs: DataFrame, tokenizer: str, end_id: int, path: str) -> None:
     dealt = dealt.select("doc_id", "text", F.spark_partition_id().alias("part"))
 
     def encode(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        encoder, end = TextEncoder(tokenizer), np.array([end_id], np.uint32)
+        encoder, end = per_worker(TextEncoder, tokenizer), np.array([end_id], np.uint32)
         row = 0
         for batch in slices(batches):
-            ids = [np.concatenate([encoder(t), end]) for t in batch.column("text").to_pylist()]
+            ids = [np.concatenate([x, end]) for x in encoder(batch.column("text").to_pylist())]
             packed = [x.astype("<u2").tobytes() if len(x) and x.max() < 65536 else b"" for x in ids]
             wide = [b"" if p else x.astype("<u4").tobytes() for p, x in zip(packed, ids, strict=True)]
             at = pa.array(np.arange(row, row + len(ids)))
