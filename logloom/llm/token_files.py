@@ -16,8 +16,10 @@ beside ``ranks`` (rank int, id int), which has a row for each id in use, no more
 
 from __future__ import annotations
 
+import string
 import uuid
 import zlib
+from array import array
 from collections.abc import Iterator
 
 import numpy as np
@@ -25,7 +27,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from .common import per_worker, shared_folder, shuffle_partitions, slices
+from .common import Memo, per_worker, shared_folder, shuffle_partitions, slices
 
 _LENGTHS = (np.arange(256)[:, None] >> np.array([0, 2, 4, 6]) & 3) + 1  # by control byte: bytes of its four ids
 
@@ -37,7 +39,8 @@ def encode_ranks(values: np.ndarray) -> tuple[bytes, bytes]:
     codes = np.zeros(-(-len(v) // 4) * 4, np.uint8)
     codes[: len(v)] = size - 1
     control = (codes.reshape(-1, 4) << np.array([0, 2, 4, 6], np.uint8)).sum(axis=1, dtype=np.uint8)
-    data = v.view(np.uint8).reshape(-1, 4)[np.arange(4) < size[:, None]]
+    most = int(size.max(initial=1))
+    data = v.view(np.uint8).reshape(-1, 4)[:, :most][np.arange(most) < size[:, None]]
     return control.tobytes(), data.tobytes()
 
 
@@ -46,24 +49,35 @@ def decode_ranks(control: bytes, data: bytes, n: int) -> np.ndarray:
     size = _LENGTHS[np.frombuffer(control, np.uint8)].reshape(-1)[:n]
     at = np.cumsum(size) - size
     raw = np.frombuffer(data + b"\0\0\0", np.uint8)
-    out = np.zeros(n, np.uint32)
-    for k in range(4):
-        longer = size > k
-        if not longer.any():
+    out = raw[at].astype(np.uint32)
+    for k in range(1, 4):
+        longer = np.flatnonzero(size > k)
+        if not len(longer):
             break
         out[longer] |= raw[at[longer] + k].astype(np.uint32) << np.uint32(8 * k)
     return out
 
 
+#: What may follow a word as one pre-token: ASCII marks, but for the apostrophe, with which contractions start.
+_MARKS = string.punctuation.replace("'", "")
+
+
+def _byte_letters() -> dict[int, str]:
+    """The letters that stand for bytes in a byte-level vocabulary: printable ones for themselves, the others from U+0100 on."""
+    plain = [*range(33, 127), *range(161, 173), *range(174, 256)]
+    return {b: chr(b) for b in plain} | {b: chr(256 + i) for i, b in enumerate(sorted(set(range(256)) - set(plain)))}
+
+
 class TextEncoder:
     """Whole-text byte-level BPE ids by the tokenizers library, with a bounded memo of pieces between spaces.
 
     The pre-tokenizer always cuts between a non-space and a single space before a non-space, and around a
     single line feed between non-spaces; in a text where all white space is of that kind the pieces between
-    these cuts are encoded once each. Any other text goes to the library whole.
+    these cuts are encoded once each. Any other text goes to the library whole. A piece of Latin letters, or of
+    these and marks after them, has no further cuts but that one, so its parts go to the library's model.
     """
 
-    def __init__(self, path: str, limit: int = 250_000):
+    def __init__(self, path: str, limit: int = 900_000):
         import os
 
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
@@ -72,10 +86,8 @@ class TextEncoder:
         self.tokenizer = Tokenizer.from_file(path)
         self.tokenizer.encode_special_tokens = True  # strings of special tokens in a text are ordinary text
         self.spaces = [c for c in map(chr, range(0x3001)) if c.isspace() and c not in " \n"]
-        self.known: dict[str, bytes] = {}
-        self.old: dict[str, bytes] = {}
-        self.limit = limit
-        self.break_id = self.tokenizer.encode("\n", add_special_tokens=False).ids
+        self.tokenize, self.letters = self.tokenizer.model.tokenize, _byte_letters()
+        self.known, self.parts = Memo(self.piece, limit), Memo(self.part, limit // 4)
 
     def whole(self, text: str) -> np.ndarray:
         return np.array(self.tokenizer.encode(text, add_special_tokens=False).ids, np.uint32)
@@ -86,30 +98,24 @@ class TextEncoder:
             return True
         return any(c in text for c in self.spaces)
 
-    def learn(self, new: list[str]) -> None:
-        """New pieces, none of which holds a line feed, are encoded in one call as lines, and told apart by the line feeds' id."""
-        ids = self.whole("\n".join(new) + "\n")
-        ends = np.flatnonzero(ids == self.break_id[0])
-        if len(ends) != len(new):
-            raise RuntimeError("pieces and lines differ")
-        raw, starts = ids.tobytes(), np.r_[0, ends[:-1] + 1]
-        self.known.update((w, raw[4 * a : 4 * b]) for w, a, b in zip(new, starts.tolist(), ends.tolist(), strict=True))
+    def part(self, token: str) -> bytes:
+        """Ids of one pre-token."""
+        if token.isascii():
+            mapped = "\u0120" + token[1:] if token[0] == " " else token
+        else:
+            mapped = token.encode().decode("latin-1").translate(self.letters)
+        return array("I", [t.id for t in self.tokenize(mapped)]).tobytes()
+
+    def piece(self, text: str) -> bytes:
+        word = text.rstrip(_MARKS)
+        core = word[1:] if word[:1] == " " else word
+        if core.isalpha() and (core.isascii() or max(core) < "\u0250"):
+            return self.part(text) if len(word) == len(text) else self.parts[word] + self.parts[text[len(word) :]]
+        return self.whole(text).tobytes()
 
     def __call__(self, texts: list[str]) -> list[np.ndarray]:
-        cuts = [None if self.odd(t) else t.replace(" ", "\0 ").replace("\n", "\0\n\0").split("\0") for t in texts]
-        if len(self.known) > self.limit:  # two generations: what is still in use moves to the young one
-            self.old, self.known = self.known, {}
-        self.known["\n"] = np.array(self.break_id, np.uint32).tobytes()
-        new = []
-        for piece in set().union(*filter(None, cuts)).difference(self.known):
-            if (held := self.old.get(piece)) is not None:
-                self.known[piece] = held
-            else:
-                new.append(piece)
-        if new:
-            self.learn(new)
         get = self.known.__getitem__
-        return [self.whole(t) if c is None else np.frombuffer(b"".join(map(get, c)), np.uint32) for t, c in zip(texts, cuts, strict=True)]
+        return [self.whole(t) if self.odd(t) else np.frombuffer(b"".join(map(get, t.replace(" ", "\0 ").replace("\n", "\0\n\0").split("\0"))), np.uint32) for t in texts]
 
 
 def _scratch(docs: DataFrame, tokenizer: str, end_id: int, path: str) -> None:
@@ -121,15 +127,21 @@ def _scratch(docs: DataFrame, tokenizer: str, end_id: int, path: str) -> None:
     def encode(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         encoder, end = per_worker(TextEncoder, tokenizer), np.array([end_id], np.uint32)
         row = 0
-        for batch in slices(batches):
-            ids = [np.concatenate([x, end]) for x in encoder(batch.column("text").to_pylist())]
-            packed = [x.astype("<u2").tobytes() if len(x) and x.max() < 65536 else b"" for x in ids]
-            wide = [b"" if p else x.astype("<u4").tobytes() for p, x in zip(packed, ids, strict=True)]
-            at = pa.array(np.arange(row, row + len(ids)))
-            row += len(ids)
-            yield pa.RecordBatch.from_arrays([batch.column("part"), at, batch.column("doc_id"), pa.array(packed, pa.binary()), pa.array(wide, pa.binary())], ["part", "row", "doc_id", "narrow", "wide"])
-
-    dealt.mapInArrow(encode, "part int, row long, doc_id long, narrow binary, wide binary").write.option("compression", "zstd").parquet(path)
+        for batch in slices(batches, limit=2 << 20):
+            ids = encoder(batch.column("text").to_pylist())
+            n = len(ids)
+            if not n:
+                continue
+            flat = np.concatenate([y for x in ids for y in (x, end)])
+            ends = np.cumsum(np.fromiter(map(len, ids), np.int64, n) + 1)
+            kind = "<u2" if flat.max() < 65536 else "<u4"
+            offsets = (np.r_[0, ends] * np.dtype(kind).itemsize).astype(np.int32)  # a batch holds some MB of text
+            packed, none = pa.Array.from_buffers(pa.binary(), n, [None, pa.py_buffer(offsets), pa.py_buffer(flat.astype(kind))]), pa.array([b""] * n, pa.binary())
+            at = pa.array(np.arange(row, row + n))
+            row += n
+            yield pa.RecordBatch.from_arrays([batch.column("part"), at, batch.column("doc_id"), *((packed, none) if kind == "<u2" else (none, packed))], ["part", "row", "doc_id", "narrow", "wide"])
+
+    dealt.mapInArrow(encode, "part int, row long, doc_id long, narrow binary, wide binary").write.parquet(path)
 
 
 def _ids(narrow: bytes, wide: bytes) -> np.ndarray:
@@ -152,11 +164,10 @@ def write_token_files(docs: DataFrame, path: str, tokenizer: str, end_id: int =
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         total = np.zeros(0, np.int64)
         for batch in batches:
-            for n, w in zip(batch.column("narrow").to_pylist(), batch.column("wide").to_pylist(), strict=True):
-                c = np.bincount(_ids(n, w))
-                if len(c) > len(total):
-                    total = np.r_[total, np.zeros(len(c) - len(total), np.int64)]
-                total[: len(c)] += c
+            for column, kind in (("narrow", "<u2"), ("wide", "<u4")):
+                c = np.bincount(np.frombuffer(b"".join(batch.column(column).to_pylist()), kind))
+                size = max(len(c), len(total))
+                total = np.pad(total, (0, size - len(total))) + np.pad(c, (0, size - len(c)))
         used = np.flatnonzero(total)
         yield pa.RecordBatch.from_arrays([pa.array(used.astype(np.int32)), pa.array(total[used])], ["id", "n"])
 
