@@ -16,6 +16,10 @@ EQUAL = {"dataset": "dataset_id", "trace": "trace_id", "statement": "match.state
 ORDER = ("ts", "sequence", "log_id")
 
 
+def _starting(prefix: str):
+    return lambda t: t.startswith(prefix)
+
+
 def text_query(q: str, column: Column) -> Column:
     """Words (any of them), ``a | b``, ``+word``, ``-word``, ``"a phrase"`` and ``prefix*`` over the column's tokens."""
     have = F.transform(F.split(F.lower(column), r"[^\p{L}\p{N}]+"), lambda t: t)
@@ -28,7 +32,7 @@ def text_query(q: str, column: Column) -> Column:
             body = "".join(c for c in word.lower() if c.isalnum())
             if not body:
                 continue
-            hit = F.exists(have, lambda t, b=body: t.startswith(b)) if word.endswith("*") else F.array_contains(have, body)
+            hit = F.exists(have, _starting(body)) if word.endswith("*") else F.array_contains(have, body)
         (must if sign == "+" else no if sign == "-" else any_).append(hit)
     out = F.lit(True)
     for hit in must:
