@@ -20,7 +20,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import shuffle_partitions
+from .common import per_worker, shuffle_partitions, slices
 
 OPEN, SAYS, END = "[INST]", "[/INST]", "</s>"
 _ESCAPE = re.compile("|".join(rf"(?<=\{c[0]})(?=\\*{re.escape(c[1:])})" for c in (OPEN, SAYS, END)))
@@ -100,27 +100,29 @@ def format_chats(rows: DataFrame, tokenizer: str, learns: str = "assistant") ->
     """
 
     def mapped(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        t = chat_tokenizer(tokenizer)
+        t = per_worker(chat_tokenizer, tokenizer)
         done: list[dict] = []
+        size = 0
 
         def close(conv, turns) -> dict:
             formatted, spans = render(turns, learns)
             e = t.encode(formatted, add_special_tokens=False)
             at = np.array(e.offsets, np.int64).reshape(-1, 2)
-            return {"conv_id": conv, "formatted": formatted, "ids": e.ids, "starts": at[:, 0].astype(np.int32), "ends": at[:, 1].astype(np.int32), "loss": mask(spans, at[:, 0], at[:, 1]).tobytes()}
+            return {"conv_id": conv, "formatted": formatted, "ids": np.array(e.ids, np.int32), "starts": at[:, 0].astype(np.int32), "ends": at[:, 1].astype(np.int32), "loss": mask(spans, at[:, 0], at[:, 1]).tobytes()}
 
         def batch_of(found: list[dict]) -> pa.RecordBatch:
             return pa.RecordBatch.from_arrays([pa.array([r[k] for r in found], kind) for k, kind in _KINDS], [k for k, _ in _KINDS])
 
         held, turns, started = None, [], False
-        for batch in batches:
+        for batch in slices(batches, limit=2 << 20):
             for conv, role, text in zip(*(batch.column(c).to_pylist() for c in ("conv_id", "role", "text")), strict=True):
                 if started and conv != held:
                     done.append(close(held, turns))
                     turns = []
-                    if len(done) == 200:
+                    size += len(done[-1]["ids"])
+                    if size > 1 << 18:
                         yield batch_of(done)
-                        done = []
+                        done, size = [], 0
                 held, started = conv, True
                 turns.append((role or "", text or ""))
         if started:
@@ -141,14 +143,16 @@ def read_back(formatted: DataFrame) -> DataFrame:
     """(conv_id, n_turns, turns_sha256, loss_chars, loss_sha256, formatted_chars, n_ids, n_loss_ids), from what format_chats returned and nothing else."""
 
     def mapped(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
+        sha = lambda x: hashlib.sha256(x.encode("utf-8", "surrogatepass")).hexdigest()
+        for batch in slices(batches, "formatted", 2 << 20):
             out = []
-            for r in batch.to_pylist():
-                turns = parse(r["formatted"])
-                loss = np.frombuffer(r["loss"], np.uint8)
-                learnt = "".join(masked_text(r["formatted"], np.array(r["starts"], np.int64), np.array(r["ends"], np.int64), loss))
-                sha = lambda x: hashlib.sha256(x.encode("utf-8", "surrogatepass")).hexdigest()
-                out.append((r["conv_id"], len(turns), sha("".join(f"{a}\n{b}\n" for a, b in turns)), len(learnt), sha(learnt), len(r["formatted"]), len(r["ids"]), int(loss.sum())))
+            # the lists of ids and offsets stay Arrow's: a view for each row, no Python number for each id
+            cut = {c: (batch.column(c).offsets.to_numpy(), batch.column(c).values.to_numpy()) for c in ("ids", "starts", "ends")}
+            for i, (conv, formatted, marks) in enumerate(zip(*(batch.column(c).to_pylist() for c in ("conv_id", "formatted", "loss")), strict=True)):
+                ids, starts, ends = (values[at[i] : at[i + 1]] for at, values in cut.values())
+                turns, loss = parse(formatted), np.frombuffer(marks, np.uint8)
+                learnt = "".join(masked_text(formatted, starts, ends, loss))
+                out.append((conv, len(turns), sha("".join(f"{a}\n{b}\n" for a, b in turns)), len(learnt), sha(learnt), len(formatted), len(ids), int(loss.sum())))
             if out:
                 kinds = (pa.int64(), pa.int64(), pa.string(), pa.int64(), pa.string(), pa.int64(), pa.int64(), pa.int64())
                 yield pa.RecordBatch.from_arrays([pa.array(c, kind) for c, kind in zip(zip(*out, strict=True), kinds, strict=True)], ["conv_id", "n_turns", "turns_sha256", "loss_chars", "loss_sha256", "formatted_chars", "n_ids", "n_loss_ids"])
