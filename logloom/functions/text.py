@@ -80,3 +80,48 @@ def source_link(repo: Column, ref: Column, path: Column, version: Column, file_p
 
     anchor = F.when(line == end_line, F.concat(F.lit("L"), line.cast("string"))).otherwise(F.concat(F.lit("L"), line.cast("string"), F.lit("-L"), end_line.cast("string")))
     return F.concat(blank_to_null(repo), F.lit("/blob/"), filled(ref), F.lit("/"), filled(path), F.lit("#"), anchor)
+
+
+#: Fixed value: the note under a stack trace that was cut, around the number of lines left out.
+CUT = ("\n… (još ", " linija)")
+
+
+def text_lines(content: Column) -> Column:
+    """Lines by any line end; an end after the last line starts no further one."""
+    lines = F.split(content, r"\r\n|\r|\n", -1)
+    return F.when(F.element_at(lines, -1) == "", F.slice(lines, 1, F.size(lines) - 1)).otherwise(lines)
+
+
+def focus_window(content: Column, first: Column, last: Column, focus: Column, most: int, radius: int) -> Column:
+    """(first, text, cut_before, cut_after): lines first..last, or, of more than ``most``, those around ``focus``; null where the text has no such lines."""
+    lines = text_lines(content)
+    end = F.least(last, F.size(lines))
+    whole = end - first + 1 <= most
+    middle = F.greatest(first, F.least(end, focus))
+    low = F.when(whole, first).otherwise(F.greatest(first, middle - radius))
+    high = F.when(whole, end).otherwise(F.least(end, middle + radius))
+    inside = content.isNotNull() & (first >= 1) & (first <= end)
+    shown = F.array_join(F.slice(lines, F.greatest(low, F.lit(1)), F.greatest(high - low + 1, F.lit(0))), "\n")
+    return F.when(inside, F.struct(low.cast("int").alias("first"), shown.alias("text"), (low > first).alias("cut_before"), (high < end).alias("cut_after")))
+
+
+def stack_trace_text(raw: Column, class_name: Column, most: int = 60) -> Column:
+    """The exception's lines: from the first line after the first that starts with its class (else the second line), without blank ones at the end, ``most`` of them; null without any."""
+    lines = text_lines(raw)
+    first = F.coalesce(F.array_min(F.transform(lines, lambda x, i: F.when((i >= 1) & x.startswith(class_name), i + 1))), F.lit(2))
+    last = F.array_max(F.transform(lines, lambda x, i: F.when(x.rlike(r"\S"), i + 1)))
+    n = last - first + 1
+    shown = F.array_join(F.slice(lines, first, F.greatest(F.least(n, F.lit(most)), F.lit(0))), "\n")
+    return F.when(n > most, F.concat(shown, F.lit(CUT[0]), (n - most).cast("string"), F.lit(CUT[1]))).when(n > 0, shown)
+
+
+def clock_offset(raw: Column, instant: Column) -> Column:
+    """Seconds that the clock of a written time is ahead of UTC: its own offset, else its distance from ``instant`` if that is 18 hours at most and whole minutes, else 0."""
+    text = F.trim(raw)
+    day = r"^\d{4}-\d{2}-\d{2}T\d{2}:\d{2}(?::\d{2}(?:\.\d{1,9})?)?"
+    own = F.regexp_extract(text, day + r"(Z|[+-]\d{2}:\d{2})$", 1)
+    told = (F.substring(own, 2, 2).cast("int") * 3600 + F.substring(own, 5, 2).cast("int") * 60) * F.when(own.startswith("-"), -1).otherwise(1)
+    local = F.translate(text, " ,", "T.")
+    away = F.unix_seconds(F.when(local.rlike(day + "$"), F.try_to_timestamp(F.concat(local, F.lit("Z"))))) - F.unix_seconds(instant)
+    plausible = (F.abs(away) <= 18 * 3600) & (away % 60 == 0)
+    return F.when(own == "Z", F.lit(0)).when(own != "", told).when(plausible, away).otherwise(F.lit(0)).cast("int")

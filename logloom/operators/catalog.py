@@ -98,6 +98,14 @@ def unique_implementor_edges(edges: DataFrame, classes: DataFrame) -> DataFrame:
     return edges.select("caller_id", "target_class", "method", "line", F.lit(False).alias("via_interface")).union(more)
 
 
+def resolved_sites(sites: DataFrame, edges: DataFrame) -> DataFrame:
+    """``sites`` (method_id, line, text, target_method_id, resolved, ...) with target and resolution of the method's edge at the same line and text, the first by place."""
+    first = edges.groupBy("method_id", "line", "text").agg(F.min_by(F.struct("target_method_id", "resolved"), "place").alias("edge"))
+    found = F.col("edge").isNotNull()
+    keep = [F.when(found, F.col(f"edge.{c}")).otherwise(F.col(c)).alias(c) if c in ("target_method_id", "resolved") else F.col(c) for c in sites.columns]
+    return sites.join(first, ["method_id", "line", "text"], "left").select(*keep)
+
+
 def callers(edges: DataFrame, start: DataFrame, depth: int = 3, per_level: int = 5, most: int = 12) -> DataFrame:
     """(root, caller_id, level): callers of every method in ``start`` (root), nearest levels first, new ones only, at most ``per_level`` a level and ``most`` in all."""
     seen = start.select("root", F.col("root").alias("caller_id"), F.lit(0).alias("level"))

@@ -104,6 +104,55 @@ def error_sample(kinds: DataFrame, size: int, seed: int) -> DataFrame:
     return drawn.orderBy(F.col("n").desc(), "predicted", "truth_key")
 
 
+def score_counts(rows: DataFrame, top: int = 2) -> DataFrame:
+    """One row: what a configuration gets right and wrong, over what judged returns.
+
+    The control set leaves out the ``top`` most frequent true statements (ties to the smaller key), whose events
+    would outweigh all others. An error is tied if the true statement is a candidate with the first one's score.
+    Counters are summed by true statement before anything else, so a frequent statement is one row.
+    """
+    covered, wrong, amb = F.col("covered"), F.col("evaluable") & ~F.col("at1"), F.col("match.status") == "ambiguous"
+    own = F.try_element_at("match.candidates", F.greatest(F.col("rank"), F.lit(1)))["score"]
+    first = F.try_element_at("match.candidates", F.lit(1))["score"]
+    tied = wrong & covered & (F.col("rank") >= 1) & F.coalesce(F.abs(own - first) < 1e-12, F.lit(False))
+    seen = F.col("evaluable") & covered
+    at_level = lambda level: seen & F.coalesce(F.col("match.confidence_level") == level, F.lit(False))
+    counted = {"events": F.lit(True), "evaluable": F.col("evaluable"), "covered": covered, "at1": F.col("at1"), "at3": F.col("at3"), "ambiguous": amb}
+    for level in ("high", "medium", "low"):
+        counted |= {f"{level}_covered": at_level(level), f"{level}_at1": at_level(level) & F.col("at1")}
+    absent = F.col("state") == "not_in_catalog"
+    counted |= {"not_in_catalog": absent, "false_links": absent & covered, "tied_errors": tied, "unmatched_errors": wrong & ~covered}
+    each = rows.groupBy(F.when(F.col("evaluable"), F.col("truth_key")).alias("key")).agg(*[F.count_if(c).alias(k) for k, c in counted.items()])
+    best = each.where("evaluable > 0").orderBy(F.col("evaluable").desc(), "key").limit(top).select("key", F.lit(True).alias("frequent"))
+    each = each.join(best, "key", "left").withColumn("control", F.col("frequent").isNull() & (F.col("evaluable") > 0))
+    sums = [F.coalesce(F.sum(k), F.lit(0)).alias(k) for k in counted]
+    part = [F.coalesce(F.sum(F.when(F.col("control"), F.col(k))), F.lit(0)).alias(f"control_{k}") for k in ("evaluable", "at1", "tied_errors")]
+    true = F.col("evaluable") > 0
+    n = each.agg(*sums, F.count_if(true).alias("statements"), F.count_if(true & (F.col("at1") > 0)).alias("statements_hit"), F.coalesce(F.avg(F.when(true, F.col("at1") / F.col("evaluable"))), F.lit(0.0)).alias("macro_at1"), *part)
+    ratios = {"acc_at1": ("at1", "evaluable"), "acc_at3": ("at3", "evaluable"), "precision_high": ("high_at1", "high_covered"), "precision_medium": ("medium_at1", "medium_covered"), "precision_low": ("low_at1", "low_covered"), "control_acc_at1": ("control_at1", "control_evaluable"), "false_link_share": ("false_links", "not_in_catalog"), "statement_hit_rate": ("statements_hit", "statements")}
+    shares = [_ratio(F.col(k), F.col("events"), 0.0).alias(name) for name, k in (("coverage", "covered"), ("ambiguous_share", "ambiguous"))]
+    return n.select("*", *shares, *[_ratio(F.col(a), F.col(b)).alias(k) for k, (a, b) in ratios.items()], (F.col("evaluable") - F.col("at1")).alias("errors"), (F.col("control_evaluable") - F.col("control_at1")).alias("control_errors"))
+
+
+def logger_coverage(loggers: DataFrame) -> DataFrame:
+    """One row over (logger, state) of all modules, state mapped, unmapped or excluded: mapped in one module wins; 100 % where none is eligible."""
+    has = lambda s: F.bool_or(F.col("state") == s)
+    one = loggers.groupBy("logger").agg(has("mapped").alias("mapped"), (has("excluded") & ~has("mapped")).alias("excluded"), (has("unmapped") & ~has("mapped")).alias("unmapped"))
+    n = one.agg(F.count("*").alias("loggers"), *[F.count_if(k).alias(k) for k in ("excluded", "mapped", "unmapped")]).withColumn("eligible", F.col("loggers") - F.col("excluded"))
+    return n.withColumn("percent", _ratio(100 * F.col("mapped"), F.col("eligible"), 100.0))
+
+
+def csv_ready(rows: DataFrame) -> DataFrame:
+    """``rows`` as a report's cells: doubles with four decimals, all else as text, nulls empty."""
+    cell = lambda c, t: F.format_string("%.4f", F.col(c)) if t in ("double", "float") else F.col(c).cast("string")
+    return rows.select(*[F.coalesce(F.when(F.col(c).isNotNull(), cell(c, t)), F.lit("")).alias(c) for c, t in rows.dtypes])
+
+
+def write_report(rows: DataFrame, path: str) -> None:
+    """A report as CSV with a header; quotes stand only where a cell needs them."""
+    csv_ready(rows).write.csv(path, header=True, escape='"', emptyValue="")
+
+
 # ---- other weights over the same features
 
 RANGES = {"regex_full": (0.2, 0.7), "regex_prefix": (0.0, 0.5), "specificity_max": (0.0, 0.4), "specificity_k": (5.0, 40.0), "logger_exact": (0.0, 0.4), "logger_hierarchy": (0.0, 0.4), "logger_abbrev_multi": (0.0, 0.4), "logger_conflict": (-0.5, 0.0), "level_equal": (0.0, 0.3), "level_dynamic": (0.0, 0.3), "level_conflict": (-0.5, 0.0), "throwable_consistent": (0.0, 0.2), "throwable_inconsistent": (-0.3, 0.0), "min_score": (0.1, 0.6), "ambiguity_margin": (0.0, 0.2), "ambiguous_penalty": (0.3, 1.0), "high": (0.6, 0.95), "medium": (0.3, 0.8)}

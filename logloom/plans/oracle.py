@@ -16,6 +16,8 @@ _LEVEL = "CASE WHEN u IN ('TRACE','DEBUG','INFO','WARN','ERROR','FATAL') THEN u
 
 _TOKENS = "list_distinct(list_filter(regexp_split_to_array(lower(coalesce(text, '')), '[^\\p{L}\\p{N}]+'), lambda t: length(t) >= 2 AND NOT regexp_full_match(t, '\\p{Nd}+')))"
 
+_TEXT_LINES = "WITH r AS (SELECT doc_id, regexp_split_to_array(text, '\\r\\n|\\r|\\n') AS y FROM documents), t AS (SELECT doc_id, y, CASE WHEN y[-1] = '' THEN y[1:len(y) - 1] ELSE y END AS x FROM r)"
+
 
 def _orders(*, nulls: str = "") -> str:
     return f"ts{nulls}, sequence, log_id"
@@ -74,8 +76,8 @@ ORACLE_SQL = {
       SELECT truth_key, count(*) AS events, count(*) FILTER (at1) AS at1, count(*) FILTER (at3) AS at3, count(*) FILTER (covered) AS covered, any_value(most_predicted) AS most_predicted FROM j JOIN b USING (truth_key) WHERE evaluable GROUP BY 1""",
     "eval_unique_statements": f"{_J}, s AS (SELECT truth_key, count(*) AS e, count(*) FILTER (at1) AS a, count(*) FILTER (at3) AS b FROM j WHERE evaluable GROUP BY 1) SELECT count(*) AS statements, round(count(*) FILTER (a > 0) / count(*), 9) AS hit_rate, round(avg(a / e), 9) AS macro_at1, round(avg(b / e), 9) AS macro_at3, round(max(e) / sum(e), 9) AS top_share FROM s",
     "eval_error_kinds": f"{_J} SELECT shown AS predicted, truth_key, count(*) AS n, arg_min(log_id, {{'a': source_file, 'b': sequence}}) AS log_id FROM j WHERE evaluable AND NOT at1 GROUP BY 1, 2",
-    "ground_truth_places": """WITH l AS (SELECT DISTINCT concat(cast(l_orderkey AS varchar), '-', cast(l_linenumber AS varchar), '-', cast(l_partkey AS varchar), '-', cast(l_suppkey AS varchar), '-', cast(cast(floor(l_quantity) AS int) AS varchar)) AS log_id, l_suppkey % 5 AS s, l_partkey % 50 AS c, cast(floor(l_quantity) AS int) AS line FROM lineitem),
-      p AS (SELECT p_partkey % 5 AS s, p_partkey % 50 AS c, cast(p_partkey AS varchar) AS id, p_size AS a, p_size + 2 AS b FROM part WHERE p_partkey <= 300)
+    "ground_truth_places": """WITH l AS (SELECT DISTINCT concat(cast(l_orderkey AS varchar), '-', cast(l_linenumber AS varchar), '-', cast(l_partkey AS varchar), '-', cast(l_suppkey AS varchar), '-', cast(cast(floor(l_quantity) AS int) AS varchar)) AS log_id, l_suppkey % 5 AS s, l_partkey // 20 AS c, cast(floor(l_quantity) AS int) AS line FROM lineitem),
+      p AS (SELECT p_partkey % 5 AS s, p_partkey // 20 AS c, cast(p_partkey AS varchar) AS id, p_size AS a, p_size + 9 AS b FROM part)
       SELECT log_id, CASE WHEN count(id) = 0 THEN 'not_in_catalog' ELSE 'known' END AS state, coalesce(string_agg(DISTINCT id, '+' ORDER BY id), '') AS truth_key FROM l LEFT JOIN p ON l.s = p.s AND l.c = p.c AND line BETWEEN a AND b GROUP BY log_id""",
     "labels_latest": """WITH l AS (SELECT concat('d', cast(doc_id % 97 AS varchar)) AS log_id, 'ev' AS dataset_id, CASE WHEN doc_id % 10 = 9 THEN NULL WHEN toxic = 1 THEN 'not_in_catalog' WHEN quality = 1 THEN 'correct' ELSE 'incorrect' END AS verdict, doc_id AS labeled_at FROM labels)
       SELECT log_id, labeled_at, dataset_id, verdict FROM l QUALIFY row_number() OVER (PARTITION BY log_id ORDER BY labeled_at DESC) = 1 AND verdict IS NOT NULL""",
@@ -92,5 +94,29 @@ ORACLE_SQL = {
       SELECT root, c AS caller_id, level FROM u QUALIFY row_number() OVER (PARTITION BY root ORDER BY level, c) <= 12""",
     "interface_implementors": "WITH s AS (SELECT s_name, n_name, r_name FROM supplier JOIN nation ON s_nationkey = n_nationkey JOIN region ON n_regionkey = r_regionkey) SELECT n_name AS interface, s_name AS class_fqn FROM s UNION SELECT concat('R ', r_name), s_name FROM s",
     "dependency_rollup": "SELECT coalesce(p_brand, 'TOTAL') AS artifact, count(*) AS statements, count(*) FILTER (p_size > 25) AS supported, cast(grouping(p_brand) AS int) AS total FROM part GROUP BY ROLLUP (p_brand)",
+    "eval_score": f"""{_J}, d AS (SELECT truth_key FROM j WHERE evaluable GROUP BY 1 ORDER BY count(*) DESC, truth_key LIMIT 2),
+      k AS (SELECT *, evaluable AND truth_key NOT IN (SELECT truth_key FROM d) AS control, evaluable AND covered AND NOT at1 AND event_id % 4 = 0 AND truth = concat('s', cast((cast(substring(predicted, 2) AS bigint) + 1) % 7 AS varchar)) AS tied FROM j),
+      s AS (SELECT truth_key, count(*) AS e, count(*) FILTER (at1) AS a FROM j WHERE evaluable GROUP BY 1),
+      t AS (SELECT count(*) AS statements, count(*) FILTER (a > 0) AS statements_hit, round(coalesce(avg(a / e), 0), 9) AS macro_at1 FROM s),
+      m AS (SELECT count(*) AS events, count(*) FILTER (evaluable) AS evaluable, count(*) FILTER (covered) AS covered, count(*) FILTER (at1) AS at1, count(*) FILTER (at3) AS at3, count(*) FILTER (status = 'ambiguous') AS ambiguous,
+        {", ".join(f"count(*) FILTER (evaluable AND covered AND confidence = '{x}') AS {x}_covered, count(*) FILTER (at1 AND confidence = '{x}') AS {x}_at1" for x in ("high", "medium", "low"))},
+        count(*) FILTER (truth_state = 'not_in_catalog') AS not_in_catalog, count(*) FILTER (truth_state = 'not_in_catalog' AND covered) AS false_links, count(*) FILTER (tied) AS tied_errors, count(*) FILTER (evaluable AND NOT covered) AS unmatched_errors,
+        count(*) FILTER (control) AS control_evaluable, count(*) FILTER (control AND at1) AS control_at1, count(*) FILTER (control AND tied) AS control_tied_errors FROM k)
+      SELECT m.*, t.*, round(covered / events, 9) AS coverage, round(ambiguous / events, 9) AS ambiguous_share, round(at1 / nullif(evaluable, 0), 9) AS acc_at1, round(at3 / nullif(evaluable, 0), 9) AS acc_at3, round(high_at1 / nullif(high_covered, 0), 9) AS precision_high, round(medium_at1 / nullif(medium_covered, 0), 9) AS precision_medium,
+        round(low_at1 / nullif(low_covered, 0), 9) AS precision_low, round(control_at1 / nullif(control_evaluable, 0), 9) AS control_acc_at1, round(false_links / nullif(not_in_catalog, 0), 9) AS false_link_share, round(statements_hit / nullif(statements, 0), 9) AS statement_hit_rate, evaluable - at1 AS errors, control_evaluable - control_at1 AS control_errors FROM m, t""",
+    "eval_report_rows": f"{_J} SELECT v.c AS confidence_level, cast(count(j.event_id) AS varchar) AS events, cast(count(*) FILTER (evaluable) AS varchar) AS evaluable, cast(count(*) FILTER (at1) AS varchar) AS at1, coalesce(format('{{:.4f}}', count(*) FILTER (at1) / nullif(count(*) FILTER (evaluable), 0)), '') AS precision FROM (VALUES ('high'), ('medium'), ('low')) v(c) LEFT JOIN j ON j.confidence = v.c AND covered GROUP BY 1",
+    "logger_coverage": """WITH r AS (SELECT concat(c_mktsegment, cast(c_nationkey AS varchar)) AS logger, CASE WHEN c_custkey % 50 = 0 THEN 'mapped' WHEN c_nationkey % 4 = 0 THEN 'excluded' ELSE 'unmapped' END AS state FROM customer),
+      o AS (SELECT logger, bool_or(state = 'mapped') AS m, bool_or(state = 'excluded') AS e, bool_or(state = 'unmapped') AS u FROM r GROUP BY 1),
+      n AS (SELECT count(*) AS loggers, count(*) FILTER (e AND NOT m) AS excluded, count(*) FILTER (m) AS mapped, count(*) FILTER (u AND NOT m) AS unmapped FROM o)
+      SELECT *, loggers - excluded AS eligible, CASE WHEN loggers = excluded THEN 100.0::double ELSE round(100.0::double * mapped / (loggers - excluded), 9) END AS percent FROM n""",
+    "call_site_edges": """WITH e AS (SELECT o_custkey AS c, o_orderkey % 5 AS l, o_orderpriority AS p, min(o_orderkey) AS k FROM orders WHERE o_orderstatus = 'F' GROUP BY 1, 2, 3)
+      SELECT o_orderkey AS statement_id, o_custkey AS method_id, cast(o_orderkey % 5 AS int) AS line, o_orderpriority AS text, CASE WHEN k % 3 > 0 THEN concat('m', cast(k AS varchar)) END AS target_method_id, coalesce(k % 3 > 0, false) AS resolved
+      FROM orders LEFT JOIN e ON o_custkey = c AND o_orderkey % 5 = l AND o_orderpriority = p""",
+    "focus_windows": f"""{_TEXT_LINES}, w AS (SELECT doc_id, x, least(40, len(x)) AS e FROM t), v AS (SELECT *, CASE WHEN e - 1 <= 6 THEN e ELSE least(e, 5) END AS h FROM w)
+      SELECT doc_id, CASE WHEN e >= 2 THEN 2 END AS first, CASE WHEN e >= 2 THEN md5(array_to_string(x[2:h], chr(10))) END AS digest, CASE WHEN e >= 2 THEN false END AS cut_before, CASE WHEN e >= 2 THEN h < e END AS cut_after FROM v""",
+    "stack_trace_texts": f"""{_TEXT_LINES}, f AS (SELECT doc_id, x, list_max(list_transform(range(1, len(x) + 1), lambda i: CASE WHEN regexp_matches(x[i], '[^\\s\\x0B]') THEN i END)) AS last,
+        coalesce(list_min(list_transform(range(2, len(x) + 1), lambda i: CASE WHEN starts_with(x[i], substring(y[3], 1, 5)) THEN i END)), 2) AS first FROM t)
+      SELECT doc_id, CASE WHEN last - first + 1 > 4 THEN md5(concat(array_to_string(x[first:first + 3], chr(10)), chr(10), '… (još ', cast(last - first - 3 AS varchar), ' linija)')) WHEN last >= first THEN md5(array_to_string(x[first:last], chr(10))) END AS digest FROM f""",
+    "clock_offsets": f"{_L} SELECT event_id, cast(CASE event_id % 6 WHEN 1 THEN 7200 WHEN 2 THEN -12600 WHEN 3 THEN -12600 ELSE 0 END AS int) AS seconds FROM l",
     "datasets": f"{_L} SELECT dataset_id, service, count(*) AS logs, cast(min(ts) AS varchar) AS first, cast(max(sequence) + 1 AS int) AS lines FROM l GROUP BY 1, 2",
 }

@@ -190,9 +190,9 @@ def eval_error_kinds(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def ground_truth_places(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Line items as places in files of their suppliers, parts' sizes as ranges of lines."""
-    logs = _sql(spark, sf_dir, "SELECT concat(cast(l_orderkey AS string), '-', cast(l_linenumber AS string), '-', cast(l_partkey AS string), '-', cast(l_suppkey AS string), '-', cast(cast(l_quantity AS int) AS string)) AS log_id, cast(l_suppkey % 5 AS string) AS service, cast(l_partkey % 50 AS string) AS class, cast(l_quantity AS int) AS line FROM lineitem", "lineitem")
+    logs = _sql(spark, sf_dir, "SELECT concat(cast(l_orderkey AS string), '-', cast(l_linenumber AS string), '-', cast(l_partkey AS string), '-', cast(l_suppkey AS string), '-', cast(cast(l_quantity AS int) AS string)) AS log_id, cast(l_suppkey % 5 AS string) AS service, cast(floor(l_partkey / 20) AS string) AS class, cast(l_quantity AS int) AS line FROM lineitem", "lineitem")
     logs = logs.select("log_id", "service", F.struct(F.lit(None).cast("string").alias("statement_id")).alias("match"), F.struct("class", "line", F.lit(True).alias("reliable")).alias("ground_truth")).distinct()
-    said = _sql(spark, sf_dir, "SELECT cast(p_partkey % 5 AS string) AS service, cast(p_partkey % 50 AS string) AS class_fqn, cast(p_partkey AS string) AS statement_id, p_size AS line, p_size + 2 AS end_line FROM part WHERE p_partkey <= 300", "part")
+    said = _sql(spark, sf_dir, "SELECT cast(p_partkey % 5 AS string) AS service, cast(floor(p_partkey / 20) AS string) AS class_fqn, cast(p_partkey AS string) AS statement_id, p_size AS line, p_size + 9 AS end_line FROM part", "part")
     none = spark.createDataFrame([], "log_id string, verdict string, correct_statement_id string, predicted_statement_id string")
     t = evaluate.truths(logs, said, none)
     return t.select("log_id", "state", F.array_join("ids", "+").alias("truth_key"))
@@ -249,4 +249,52 @@ def datasets(spark: SparkSession, sf_dir: str) -> DataFrame:
     return logs.groupBy("dataset_id", "service").agg(F.count("*").alias("logs"), F.min("ts").cast("string").alias("first"), F.max("line_number").alias("lines"))
 
 
-QUERIES = {f.__name__: f for f in (event_assembly, logback_lines, json_log_lines, match_logs, log_statistics, ingest_report, log_page, log_adjacent, log_neighbours, log_trace_places, candidate_details, level_normalise, token_sets, token_idf, stable_ids, snippets, one_line_texts, source_links, logger_resolution, eval_metrics, eval_per_level, eval_breakdown, eval_top_threads, eval_statements, eval_unique_statements, eval_error_kinds, ground_truth_places, labels_latest, review_candidates, class_ancestors, method_reverse_edges, method_callers, interface_implementors, dependency_rollup, datasets)}
+def eval_score(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """With equal scores of both candidates in every fourth log."""
+    rows = _judged(spark, sf_dir)
+    even = F.transform("match.candidates", lambda c: c.withField("score", F.lit(0.9)))
+    rows = rows.withColumn("match", F.col("match").withField("candidates", F.when(F.col("event_id") % 4 == 0, even).otherwise(F.col("match.candidates"))))
+    n = evaluate.score_counts(rows)
+    return n.select(*[F.round(c, 9).alias(c) if t == "double" else F.col(c) for c, t in n.dtypes])
+
+
+def eval_report_rows(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return evaluate.csv_ready(evaluate.per_level(_judged(spark, sf_dir)))
+
+
+def logger_coverage(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Market segments of nations as loggers, customers as what modules say of them."""
+    rows = _sql(spark, sf_dir, "SELECT concat(c_mktsegment, cast(c_nationkey AS string)) AS logger, CASE WHEN c_custkey % 50 = 0 THEN 'mapped' WHEN c_nationkey % 4 = 0 THEN 'excluded' ELSE 'unmapped' END AS state FROM customer", "customer")
+    n = evaluate.logger_coverage(rows)
+    return n.withColumn("percent", F.round("percent", 9))
+
+
+def call_site_edges(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Orders as call sites of their customers, finished orders as the customers' edges."""
+    sites = _sql(spark, sf_dir, "SELECT o_orderkey AS statement_id, o_custkey AS method_id, cast(o_orderkey % 5 AS int) AS line, o_orderpriority AS text, cast(NULL AS string) AS target_method_id, false AS resolved FROM orders", "orders")
+    edges = _sql(spark, sf_dir, "SELECT o_custkey AS method_id, o_orderkey AS place, cast(o_orderkey % 5 AS int) AS line, o_orderpriority AS text, CASE WHEN o_orderkey % 3 > 0 THEN concat('m', cast(o_orderkey AS string)) END AS target_method_id, o_orderkey % 3 > 0 AS resolved FROM orders WHERE o_orderstatus = 'F'", "orders")
+    return catalog.resolved_sites(sites, edges)
+
+
+def focus_windows(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Lines 2 to 40 of every text, or five about the third."""
+    docs = spark.read.parquet(f"{sf_dir}/documents.parquet").withColumn("w", text.focus_window(F.col("text"), F.lit(2), F.lit(40), F.lit(3), 6, 2))
+    return docs.select("doc_id", "w.first", F.md5("w.text").alias("digest"), "w.cut_before", "w.cut_after")
+
+
+def stack_trace_texts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every text as a raw event whose exception's class is how its third line starts."""
+    docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
+    name = F.substring(F.get(F.split("text", r"\r\n|\r|\n", -1), F.lit(2)), 1, 5)
+    return docs.select("doc_id", F.md5(text.stack_trace_text(F.col("text"), name, 4)).alias("digest"))
+
+
+def clock_offsets(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rows = _sql(spark, sf_dir, LOGS, "events").select("event_id", "ts")
+    iso = F.date_format("ts", "yyyy-MM-dd'T'HH:mm:ss.SSS")
+    behind = F.date_format(F.col("ts") + F.expr("interval -210 minutes"), "yyyy-MM-dd HH:mm:ss,SSS")
+    raw = F.element_at(F.array(F.concat(iso, F.lit("Z")), F.concat(iso, F.lit("+02:00")), F.concat(iso, F.lit("-03:30")), behind, F.lit("noon"), F.lit("2001-01-01 00:00:00")), (F.col("event_id") % 6 + 1).cast("int"))
+    return rows.select("event_id", text.clock_offset(raw, F.col("ts")).alias("seconds"))
+
+
+QUERIES = {f.__name__: f for f in (event_assembly, logback_lines, json_log_lines, match_logs, log_statistics, ingest_report, log_page, log_adjacent, log_neighbours, log_trace_places, candidate_details, level_normalise, token_sets, token_idf, stable_ids, snippets, one_line_texts, source_links, logger_resolution, eval_metrics, eval_per_level, eval_breakdown, eval_top_threads, eval_statements, eval_unique_statements, eval_error_kinds, ground_truth_places, labels_latest, review_candidates, class_ancestors, method_reverse_edges, method_callers, interface_implementors, dependency_rollup, datasets, eval_score, eval_report_rows, logger_coverage, call_site_edges, focus_windows, stack_trace_texts, clock_offsets)}

@@ -35,6 +35,27 @@ def test_metrics(spark):
     assert {r.confidence_level: r.events for r in evaluate.per_level(rows).collect()} == {"high": 5, "medium": 2, "low": 3}
 
 
+def test_scores_leave_frequent_statements_out(spark, tmp_path):
+    spec = [("a", "matched", "high", [("a", 0.9)])] * 3 + [("b", "matched", "high", [("c", 0.8), ("b", 0.8)]), ("b", "unmatched", None, [("b", 0.1)]), ("c", "matched", "low", [("d", 0.7), ("c", 0.7)]), ("c", "ambiguous", "low", [("c", 0.5), ("d", 0.4)]), ("", "matched", "low", [("a", 0.5)]), (None, "matched", None, [])]
+    logs = spark.createDataFrame([(str(i), (s, c[0][0] if c and s != "unmatched" else None, lv, c)) for i, (_, s, lv, c) in enumerate(spec)], "log_id string, match struct<status:string,statement_id:string,confidence_level:string,candidates:array<struct<statement_id:string,score:double>>>")
+    truth = spark.createDataFrame([(str(i), "unknown" if t is None else "known" if t else "not_in_catalog", [t] if t else []) for i, (t, *_) in enumerate(spec)], "log_id string, state string, ids array<string>")
+    rows = evaluate.judged(logs, truth)
+    n = evaluate.score_counts(rows).first()
+    assert (n.events, n.evaluable, n.covered, n.at1, n.at3, n.high_covered, n.high_at1, n.low_covered, n.low_at1) == (9, 7, 8, 4, 7, 4, 3, 2, 1)
+    assert (n.false_links, n.tied_errors, n.unmatched_errors, n.statements, n.statements_hit, n.macro_at1) == (1, 2, 1, 3, 2, 0.5)
+    assert (n.control_evaluable, n.control_at1, n.control_tied_errors, n.control_acc_at1) == (2, 1, 1, 0.5)  # a and b are the most frequent, b before c
+    none = evaluate.score_counts(rows.limit(0)).first()
+    assert (none.events, none.coverage, none.acc_at1, none.macro_at1) == (0, 0.0, None, 0.0)
+    evaluate.write_report(evaluate.per_level(rows), f"file://{tmp_path}/r")
+    assert sorted(r.value for r in spark.read.text(f"file://{tmp_path}/r").distinct().collect()) == ["confidence_level,events,evaluable,at1,precision", "high,4,4,3,0.7500", "low,3,2,1,0.5000", "medium,0,0,0,"]
+
+
+def test_coverage_of_loggers(spark):
+    d = spark.createDataFrame([("a", "unmapped"), ("a", "mapped"), ("b", "excluded"), ("c", "unmapped"), ("d", "excluded"), ("d", "mapped")], "logger string, state string")
+    assert tuple(evaluate.logger_coverage(d).first()) == (4, 1, 2, 1, 3, 100 * 2 / 3)
+    assert evaluate.logger_coverage(d.limit(0)).first().percent == 100.0
+
+
 def test_labels(spark):
     d = spark.createDataFrame([("a", "correct", 1), ("a", "incorrect", 2), ("b", "correct", 1), ("b", None, 2)], "log_id string, verdict string, labeled_at int")
     assert [(r.log_id, r.verdict) for r in labels.latest(d).collect()] == [("a", "incorrect")]

@@ -26,3 +26,19 @@ def test_templates(spark):
     d = spark.createDataFrame(rows, "m string, r string")
     got = d.select(F.rlike("m", F.col("r")).alias("ok"), templates.arguments(F.col("m"), F.col("r"), F.lit(1)).alias("a")).collect()
     assert [r.ok for r in got] == [True, False, True, False] and got[2].a == ["42"]
+
+
+def test_parts_for_prompts(spark):
+    from pyspark.sql import functions as F
+
+    from logloom.functions import text
+
+    rows = [("a\nb\nc\nd\ne\n", "m\nX: boom\n\tat a\n\n"), ("a", "m\n  \n"), (None, None)]
+    d = spark.createDataFrame(rows, "content string, raw string")
+    w = [r.w for r in d.select(text.focus_window(F.col("content"), F.lit(1), F.lit(9), F.lit(4), 3, 1).alias("w")).collect()]
+    assert [tuple(x) if x else None for x in w] == [(3, "c\nd\ne", True, False), (1, "a", False, False), None]
+    s = [r.s for r in d.select(text.stack_trace_text(F.col("raw"), F.lit("X"), 1).alias("s")).collect()]
+    assert s == ["X: boom\n… (još 1 linija)", None, None]
+    c = spark.createDataFrame([("2024-01-01T02:00:00+02:00",), ("2024-01-01 02:00:00,000",), ("2024-01-01 02:00:07",), ("2024-01-05 00:00:00",), ("",), (None,)], "raw string")
+    got = c.select(text.clock_offset(F.col("raw"), F.to_timestamp(F.lit("2024-01-01T00:00:00Z"))).alias("o")).collect()
+    assert [r.o for r in got] == [7200, 7200, 0, 0, 0, 0]
