@@ -2,7 +2,8 @@
 
 Indicators of n-grams are scaled by the log-ratio of their frequencies in the two classes, counted over every
 labelled training row; a linear hinge-loss model is then fitted to a bounded sample of these rows by dual
-coordinate descent, and its margins are turned into probabilities on rows of the sample that were held back.
+coordinate descent, and its margins are turned into probabilities on rows of the sample that were held back,
+each class weighted by its share of all labelled rows.
 
 N-grams, hashed into 2**BITS places: words, pairs of words, the last three letters of words, the marks that
 words carry (what is neither letter nor digit), pairs of marks, and the first letters of lines' words.
@@ -22,7 +23,7 @@ from pyspark.sql import functions as F
 
 from .common import Memo, materialise, per_worker, slices
 
-BITS = 18
+BITS, BLOCKS = 18, 128
 _MARKS, _LETTERS = re.compile(r"[\W_]+"), re.compile(r"[^\W_]+")
 _MASK = np.uint64((1 << BITS) - 1)
 
@@ -93,69 +94,84 @@ def dual_descent(rows: list[np.ndarray], scale: np.ndarray, y: np.ndarray, cost:
     return w * scale, bias
 
 
-def _platt(margin: np.ndarray, y: np.ndarray, rounds: int = 60) -> tuple[float, float]:
-    """Newton steps for (slope, shift) of a logistic curve, towards smoothed targets."""
+def _platt(margin: np.ndarray, y: np.ndarray, weight: np.ndarray, rounds: int = 60) -> tuple[float, float]:
+    """Newton steps for (slope, shift) of a logistic curve over weighted rows, towards smoothed targets."""
     up, down = (y > 0).sum(), (y <= 0).sum()
     t = np.where(y > 0, (up + 1) / (up + 2), 1 / (down + 2))
     x, b = np.stack([margin, np.ones_like(margin)], 1), np.array([1.0, 0.0])
     for _ in range(rounds):
         p = 1 / (1 + np.exp(-np.clip(x @ b, -50, 50)))
-        h = (x * (p * (1 - p))[:, None]).T @ x + 1e-6 * np.eye(2)
-        step = np.linalg.solve(h, x.T @ (p - t))
+        h = (x * (weight * p * (1 - p))[:, None]).T @ x + 1e-6 * np.eye(2)
+        step = np.linalg.solve(h, x.T @ (weight * (p - t)))
         b = b - np.clip(step, -2, 2)
         if np.abs(step).max() < 1e-8:
             break
     return float(max(b[0], 1e-3)), float(b[1])
 
 
-def fit(docs: DataFrame, labels: DataFrame, bound: int = 10000, sample: int = 3000, smoothing: float = 1.0, cost: float = 1.0) -> Model:
+def fit(docs: DataFrame, labels: DataFrame, sample: int = 3000, smoothing: float = 1.0, cost: float = 1.0) -> Model:
     """Learns from ``docs`` (doc_id, text) joined with ``labels`` (doc_id, quality 0 or 1); other labels, and null ids or labels, are left out.
 
-    The classifier sees at most ``bound`` ids of each class, those of the labelled documents with the smallest
-    hashes; their ids are sent to the scan, so no text is shuffled. Ratios are counted over all of these rows, the
-    hinge loss is fitted to those with the ``sample`` smallest hashes of each class, and a fifth of them is held
-    back for the probabilities. Without rows of both classes every score is the smoothed share of label 1. An id
-    with both labels counts for both, and so does each of several rows of an id.
+    Ratios are counted over all labelled rows. The hinge loss is fitted to the ids with the ``sample`` smallest
+    hashes of each class, whose n-grams are what reaches the driver, and a fifth of them is held back for the
+    probabilities; there each class weighs as much as it has labelled rows, so ``sample`` does not move the scores'
+    level. Without rows of both classes every score is the smoothed share of label 1. An id with both labels counts
+    for both, and so does each of several rows of an id.
     """
     there = docs.select(F.col("doc_id").cast("long").alias("_d")).where("_d is not null").distinct()
     told = labels.where("doc_id is not null and quality in (0, 1)").select(F.col("doc_id").cast("long").alias("_d"), F.col("quality").cast("int").alias("y")).distinct().join(there, "_d", "left_semi")
     told = materialise(told.withColumn("h", F.xxhash64("_d", F.lit(4))), "labelled")
-    drawn = [told.where(F.col("y") == y).orderBy("h", "_d").limit(bound) for y in (0, 1)]
-    ids = drawn[0].union(drawn[1])  # 2 * bound rows at most
-    rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text")).join(F.broadcast(ids), F.col("doc_id") == F.col("_d")).select("h", "y", "text")
+    cuts = [told.where(F.col("y") == y).orderBy("h", "_d").limit(sample).agg(F.max("h").alias("h")).first().h for y in (0, 1)]
+    drawn = F.lit(False)
+    for y, h in enumerate(cuts):
+        if h is not None:
+            drawn = drawn | ((F.col("y") == y) & (F.col("h") <= h))
+    rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text")).join(told.hint("shuffle_hash"), F.col("doc_id") == F.col("_d")).select("y", drawn.alias("drawn"), "text")
 
     def extract(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        features = per_worker(Features)
+        """The n-grams of rows drawn (block -1), then counts of n-grams in BLOCKS blocks and of rows (block BLOCKS)."""
+        features, total, n = per_worker(Features), np.zeros((2, 1 << BITS), np.int32), np.zeros((2, 1), np.int32)
         for batch in slices(batches):
-            found = [features(t).tobytes() for t in batch.column("text").to_pylist()]
-            yield pa.RecordBatch.from_arrays([batch.column("h"), batch.column("y"), pa.array(found, pa.binary())], ["h", "y", "x"])
-
-    def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        total, n = np.zeros((2, 1 << BITS), np.int64), np.zeros(2, np.int64)
-        for batch in batches:
-            for x, y in zip(batch.column("x").to_pylist(), batch.column("y").to_pylist(), strict=True):
-                total[y, np.frombuffer(x, np.int32)] += 1
+            ys, xs = [], []
+            for y, chosen, text in zip(*(batch.column(c).to_pylist() for c in ("y", "drawn", "text")), strict=True):
+                x = features(text)
+                total[y, x] += 1
                 n[y] += 1
-        used = np.flatnonzero(total.any(axis=0))
-        place, zero, one = np.r_[-1, used], np.r_[n[0], total[0, used]], np.r_[n[1], total[1, used]]
-        yield pa.RecordBatch.from_arrays([pa.array(place.astype(np.int32)), pa.array(zero), pa.array(one)], ["place", "zero", "one"])
-
-    seen = materialise(rows.mapInArrow(extract, "h long, y int, x binary"), "features")
-    # one row for each place, 2**BITS at most
-    counted = seen.mapInArrow(count, "place int, zero long, one long").groupBy("place").agg(F.sum("zero").alias("zero"), F.sum("one").alias("one")).toArrow()
-    place, zero, one = (counted.column(c).to_numpy() for c in ("place", "zero", "one"))
-    n0, n1 = (int(x[place < 0].sum()) for x in (zero, one))
+                if chosen:
+                    ys.append(y)
+                    xs.append(x.tobytes())
+            if xs:
+                yield pa.RecordBatch.from_arrays([pa.array(np.full(len(xs), -1, np.int32)), pa.array(ys, pa.int32()), pa.array(xs, pa.binary())], ["block", "y", "x"])
+        for y in np.flatnonzero(n).tolist():
+            cut = [c.tobytes() for c in (*np.array_split(total[y], BLOCKS), n[y])]
+            yield pa.RecordBatch.from_arrays([pa.array(np.arange(BLOCKS + 1, dtype=np.int32)), pa.array(np.full(BLOCKS + 1, y, np.int32)), pa.array(cut, pa.binary())], ["block", "y", "x"])
+
+    def summed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        sums: dict[tuple[int, int], np.ndarray] = {}
+        for batch in batches:
+            for block, y, x in zip(*(batch.column(c).to_pylist() for c in ("block", "y", "x")), strict=True):
+                sums[block, y] = sums.get((block, y), 0) + np.frombuffer(x, np.int32).astype(np.int64)
+        for (block, y), x in sums.items():
+            yield pa.RecordBatch.from_arrays([pa.array([block], pa.int32()), pa.array([y], pa.int32()), pa.array([x.tobytes()], pa.binary())], ["block", "y", "x"])
+
+    seen = materialise(rows.mapInArrow(extract, "block int, y int, x binary"), "features")
+    counted = seen.where("block >= 0").repartition(BLOCKS, "block", "y").mapInArrow(summed, "block int, y int, x binary")
+    total, n = np.zeros((2, BLOCKS, (1 << BITS) // BLOCKS)), [0, 0]
+    for r in counted.collect():  # 2 * (BLOCKS + 1) rows, whatever the input
+        x = np.frombuffer(r.x, np.int64)
+        if r.block == BLOCKS:
+            n[r.y] = int(x[0])
+        else:
+            total[r.y, r.block] = x
+    (zero, one), (n0, n1) = total.reshape(2, -1), n
     prior = (n1 + 1) / (n0 + n1 + 2)
     if not n0 or not n1:
         return Model(np.zeros(1 << BITS, np.float32), 0.0, 1.0, float(np.log(prior / (1 - prior))))
-    p, q = np.full(1 << BITS, smoothing), np.full(1 << BITS, smoothing)
-    p[place[place >= 0]] += one[place >= 0]
-    q[place[place >= 0]] += zero[place >= 0]
+    p, q = one + smoothing, zero + smoothing
     scale = np.log((p / (n1 + 2 * smoothing)) / (q / (n0 + 2 * smoothing)))
     scale[(p == smoothing) & (q == smoothing)] = 0
 
-    cuts = [told.where(F.col("y") == y).orderBy("h", "_d").limit(sample).agg(F.max("h").alias("h")).first().h for y in (0, 1)]
-    chosen = seen.where(" or ".join(f"(y = {y} and h <= {h})" for y, h in enumerate(cuts))).select("y", "x").collect()  # 2 * sample ids
+    chosen = seen.where("block < 0").select("y", "x").collect()  # 2 * sample ids
     drawn_ = sorted(((r.y, np.frombuffer(r.x, np.int32)) for r in chosen), key=lambda r: (r[0], r[1].tobytes()))
     order = np.random.default_rng(4).permutation(len(drawn_))
     y = np.array([2 * drawn_[i][0] - 1 for i in order])
@@ -169,7 +185,8 @@ def fit(docs: DataFrame, labels: DataFrame, bound: int = 10000, sample: int = 30
     model = Model(w.astype(np.float32), bias, 1.0, 0.0)
     judged = np.flatnonzero(held) if held.any() else fitted
     margins = np.array([model.margin(xs[i]) for i in judged])
-    slope, shift = _platt(margins, y[judged])
+    weight = np.where(y[judged] > 0, n1 / max(1, (y[judged] > 0).sum()), n0 / max(1, (y[judged] <= 0).sum()))
+    slope, shift = _platt(margins, y[judged], weight / weight.mean())
     return Model(model.weights, model.bias, slope, shift)
 
 

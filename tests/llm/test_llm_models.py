@@ -58,6 +58,18 @@ def test_quality_of_odd_rows_and_labels(spark):
     assert quality.score(empty, quality.fit(empty, spark.createDataFrame([], schema))).count() == 0
 
 
+def test_scores_do_not_move_with_the_sample(spark):
+    rng = np.random.default_rng(3)
+    words = np.array([f"w{i}" for i in range(80)])
+    tilt = np.linspace(0.6, 1.4, 80)
+    rows = [(i, int(i % 7 > 0), " ".join(rng.choice(words, 30, p=(p := tilt if i % 7 else tilt[::-1]) / p.sum()))) for i in range(2800)]
+    docs, labels = spark.createDataFrame([(d, t) for d, _, t in rows], "doc_id long, text string"), spark.createDataFrame([(d, y) for d, y, _ in rows], "doc_id long, quality int")
+    whole, capped = (np.array([r.score for r in quality.score(docs, quality.fit(docs, labels, sample=n)).orderBy("doc_id").collect()]) for n in (3000, 400))
+    logit = [np.log(x / (1 - x)) for x in (whole, capped)]
+    assert abs(whole.mean() - 6 / 7) < 0.05 and abs(capped.mean() - 6 / 7) < 0.05
+    assert abs(logit[0].mean() - logit[1].mean()) < 0.6  # uncorrected shares of the sample: ln 6
+
+
 def test_features_are_distinct_and_whole():
     f = quality.Features()
     long = "some words here " * 100_000 + "ending"
