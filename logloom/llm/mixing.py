@@ -19,6 +19,7 @@ from pyspark.sql import functions as F
 from .common import WORD, materialise
 
 SHARD_BLOCKS = 16
+UNIT = 1 << 20
 
 
 def sainte_lague(table: DataFrame, group: str, key: str, weight: str, seats: str) -> DataFrame:
@@ -112,8 +113,23 @@ def mix(docs: DataFrame, weights: tuple[float, ...] = (5, 2, 1), share: float =
 
 
 def mixed(docs: DataFrame, **options) -> DataFrame:
-    """The rows of ``docs`` that the mix takes, each as often as its taken words fill its text, rounded half up: none, one or two copies with all columns."""
-    taken = mix(docs, **options).groupBy("doc_id", "print").agg((F.sum("taken") / F.greatest(F.lit(1), F.sum("size"))).alias("_f"))
-    taken = taken.withColumn("_copies", F.floor(F.col("_f") + 0.5).cast("int")).where("_copies > 0").select(F.col("doc_id").alias("_d"), F.col("print").alias("_p"), "_copies")
-    on = F.col("doc_id").cast("long").eqNullSafe(F.col("_d")) & (F.xxhash64(F.col("text").cast("string")) == F.col("_p"))
+    """The rows of ``docs`` that the mix takes, each as often as its taken words fill its text: none, one or two copies with all columns.
+
+    Fractions are rounded by systematic sampling: the documents of a source, in the order of their sizes, form a
+    stream of fractions, and a document gets the whole numbers that its part of the stream passes. A document gets
+    its fraction rounded down or up; the kept words of a source differ from its taken words by about one long
+    document. Fractions are whole numbers of 1 / UNIT, so reruns agree. Rows equal in source, doc_id and text get the same copies.
+    """
+    seed = options.get("seed", 9)
+    taken = mix(docs, **options).groupBy("skey", "doc_id", "print").agg(F.max("size").alias("size"), F.expr(f"sum(taken) * {UNIT} div greatest(1, sum(size))").alias("f"))
+    taken = materialise(taken.where("f > 0").withColumn("h", F.xxhash64(F.lit(seed + 3), F.coalesce("doc_id", F.lit(0)), "print")), "fractions")
+    parts = max(1, min(1 << 12, taken.count() >> 10))
+    taken = taken.withColumn("rank", F.floor(F.log2("size") * 8).cast("int")).withColumn("part", F.pmod(F.xxhash64(F.lit(seed + 4), "h"), F.lit(parts)))
+    sums = taken.groupBy("skey", "rank", "part").agg(F.sum("f").alias("n"))
+    start = F.pmod(F.xxhash64(F.lit(seed + 5), "skey"), F.lit(UNIT))
+    offsets = sums.select("skey", "rank", "part", (start + F.sum("n").over(Window.partitionBy("skey").orderBy("rank", "part")) - F.col("n")).alias("offset"))
+    inside = F.sum("f").over(Window.partitionBy("skey", "rank", "part").orderBy("size", "h", F.col("doc_id").asc_nulls_first(), "print").rowsBetween(Window.unboundedPreceding, 0))
+    taken = taken.withColumn("b", inside).join(offsets, ["skey", "rank", "part"]).withColumn("b", F.col("b") + F.col("offset"))
+    taken = taken.withColumn("_copies", F.expr(f"b div {UNIT} - (b - f) div {UNIT}").cast("int")).where("_copies > 0").select(F.col("skey").alias("_s"), F.col("doc_id").alias("_d"), F.col("print").alias("_p"), "_copies")
+    on = F.col("doc_id").cast("long").eqNullSafe(F.col("_d")) & (F.xxhash64(F.col("text").cast("string")) == F.col("_p")) & (_key(F.col("source")) == F.col("_s"))
     return docs.join(taken, on).select(*[docs[c] for c in docs.columns], F.explode(F.sequence(F.lit(1), F.col("_copies"))).alias("_copy")).drop("_copy")

@@ -92,6 +92,21 @@ def test_mixed_repeats_rows_with_all_columns(spark):
     assert out.exceptAll(docs.union(docs)).count() == 0
 
 
+def test_mixed_keeps_quotas_of_long_documents_beside_a_tiny_source(spark):
+    rng = random.Random(5)
+    rows = [(None, "one two three four five six", None), (1, "seven eight nine ten", None)]
+    rows += [(10 + i, " ".join(f"w{rng.randrange(99)}" for _ in range(rng.randrange(100, 900))), f"s{i % 5 if i < 240 else 2}") for i in range(300)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, source string")
+    size, key = F.size(F.split("text", " ")), F.coalesce("source", F.lit(""))
+    kept = {r.k: r.n for r in mixing.mixed(docs).groupBy(key.alias("k")).agg(F.sum(size).alias("n")).collect()}
+    told = {r.skey[1:]: (r.target, r.taken, r.most) for r in mixing.mix(docs).groupBy("skey").agg(F.max("target").alias("target"), F.sum("taken").alias("taken"), F.max("size").alias("most")).collect()}
+    assert 0.2 < told["s2"][0] / sum(len(t.split()) for _, t, s in rows if s == "s2") < 0.9
+    for k, (target, taken, most) in told.items():
+        assert abs(kept.get(k, 0) - taken) <= 1.5 * most and abs(kept.get(k, 0) - target) <= max(2 * most, 0.05 * target), k  # two short rows are taken in blocks of 8 words
+    again = mixing.mixed(docs.repartition(7))
+    assert again.exceptAll(mixing.mixed(docs)).count() == 0
+
+
 def test_mix_of_empty_tables(spark):
     assert mixing.mix(spark.createDataFrame([], "doc_id long, text string, source string")).count() == 0
     got = mixing.mix(spark.createDataFrame([(1, None, None), (2, " ", "a")], "doc_id long, text string, source string")).collect()
