@@ -33,6 +33,39 @@ NOTICES = {
     "CC-BY-NC": "Licensed under CC BY-NC",
     "CC-BY": "This work is licensed under a Creative Commons Attribution International License",
     "Unlicense": "This is free and unencumbered software released into the public domain",
+    "BSD-line": "Released under the BSD License",
+    "CC-BY-line": "Licensed under CC BY",
+    "CC-BY-SA": "Licensed under CC BY-SA",
+    "CC-BY-ND": "Licensed under CC BY-ND",
+    "CC-BY-NC-SA": "Licensed under CC BY-NC-SA",
+    "CC-BY-NC-ND": "Licensed under CC BY-NC-ND",
+    "MPL-line": "Licensed under the Mozilla Public License, Version",
+    "LGPL": "This work is licensed under the GNU Lesser General Public License, version",
+    "AGPL": "This work is licensed under the GNU Affero General Public License, version",
+    "EPL": "This program and the accompanying materials are made available under the terms of the Eclipse Public License",
+    "zlib": "This software is provided 'as-is', without any express or implied warranty. In no event will the authors be held liable for any damages arising from the use of this software. Permission is granted to anyone to use this software for any purpose, including commercial applications, and to alter it and redistribute it freely, subject to the following restrictions",
+}
+
+#: The words that tell a notice's license from others: a find must have them, one after the other. Notices without an entry name no license.
+NAMES = {
+    "Apache": "Apache License",
+    "Apache-header": "Apache License",
+    "MIT": "MIT License",
+    "GPL": "GNU General Public License",
+    "GPL-header": "GNU General Public License",
+    "MPL": "Mozilla Public License",
+    "CC-BY-NC": "CC BY-NC",
+    "CC-BY": "Creative Commons Attribution International",
+    "BSD-line": "BSD License",
+    "CC-BY-line": "CC BY",
+    "CC-BY-SA": "CC BY-SA",
+    "CC-BY-ND": "CC BY-ND",
+    "CC-BY-NC-SA": "CC BY-NC-SA",
+    "CC-BY-NC-ND": "CC BY-NC-ND",
+    "MPL-line": "Mozilla Public License",
+    "LGPL": "GNU Lesser General Public License",
+    "AGPL": "GNU Affero General Public License",
+    "EPL": "Eclipse Public License",
 }
 
 _WORD = re.compile(r"[^\W_]+")
@@ -90,6 +123,7 @@ class Scanner:
         self.least = least
         self.notices = {k: words_of(v) for k, v in notices.items() if words_of(v)}
         self.counts = {k: Counter(v) for k, v in self.notices.items()}
+        self.names = {k: words_of(NAMES[k]) for k in self.notices if k in NAMES and notices[k] == NOTICES.get(k)}
         self.known = set().union(*self.notices.values()) if self.notices else set()
 
     def __call__(self, text: str | None) -> list[dict]:
@@ -121,11 +155,21 @@ class Scanner:
             if i < at:
                 continue
             pairs = align(words[i : i + width], notice)
-            if len(pairs) >= need and pairs[0][0] == 0:
+            if len(pairs) >= need and pairs[0][0] == 0 and self.named(name, pairs):
                 first, last = i, i + pairs[-1][0]
                 at = last + 1
                 yield {"license": name, "coverage": len(pairs) / len(notice), "start": spans[first][0], "end": spans[last][1]}
 
+    def named(self, name: str, pairs: list[tuple[int, int]]) -> bool:
+        """Whether the license's name is aligned word by word, with nothing in between; a number may part "Attribution" from "International" in CC-BY."""
+        own, notice = self.names.get(name), self.notices[name]
+        if not own:
+            return True
+        place = {b: a for a, b in pairs}
+        starts = [i for i in range(len(notice) - len(own) + 1) if notice[i : i + len(own)] == own]
+        gap = 2 if name == "CC-BY" else 0
+        return any(all(i + j in place for j in range(len(own))) and place[i + len(own) - 1] - place[i] <= len(own) - 1 + gap for i in starts)
+
 
 FOUND = "array<struct<license:string,coverage:double,start:int,end:int>>"
 

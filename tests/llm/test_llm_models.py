@@ -167,6 +167,27 @@ def test_planted_notices_are_found(spark):
     assert [(f.license, f.end) for f in got[7]] == [("MIT-grant", len(rows[7][1]))]
 
 
+@pytest.mark.parametrize(
+    "text, names",
+    [
+        ("Released under the MIT License", ["MIT"]),
+        ("Released under the BSD License.", ["BSD-line"]),
+        ("Released under the Zope License", []),
+        ("Licensed under CC BY-NC 4.0", ["CC-BY-NC"]),
+        ("Licensed under CC BY 4.0", ["CC-BY-line"]),
+        ("Licensed under CC BY-NC-SA 4.0", ["CC-BY-NC-SA"]),
+        ("Licensed under the Apache License, Version 2.0", ["Apache"]),
+        ("Licensed under the Mozilla License, Version 2", []),
+        ("This work is licensed under the GNU General Public License, version 3", ["GPL"]),
+        ("This work is licensed under the GNU Lesser General Public License, version 3", ["LGPL"]),
+        ("This work is licensed under the GNU Affero General Public License, version 3", ["AGPL"]),
+        ("This work is licensed under a Creative Commons Attribution 4.0 International License", ["CC-BY"]),
+    ],
+)
+def test_short_notices_need_their_names(text, names):
+    assert [f["license"] for f in licenses.Scanner(licenses.NOTICES, 0.8)(f"before it {text} and after it")] == names
+
+
 def test_licenses_of_an_empty_table(spark):
     assert licenses.scan_licenses(spark.createDataFrame([], "doc_id long, text string")).count() == 0
     got = licenses.scan_licenses(spark.createDataFrame([(1, "x")], "doc_id long, text string"), notices={}).collect()
