@@ -108,18 +108,93 @@ def test_model_beats_the_base_on_held_out_texts(spark):
     assert r.s > r.b
 
 
-def test_probabilities_sum_to_one():
+def small_vocabulary(n=600, buckets=16):
     rng = np.random.default_rng(0)
-    tokens = [b"", *[f"w{i}".encode() for i in range(2000)]]
-    v = lm.Vocabulary(tokens, np.sort(rng.integers(1, 1000, len(tokens)))[::-1].copy(), 1_200_000, 5000)
-    net = lm.Net(v, rng.normal(0, 0.3, lm._SIZE).astype(np.float32))
-    context, total = np.array([3, 900], np.int32), 0.0
-    for code in range(v.modelled + 1):  # the last stands for all that is outside the classes
-        codes = np.r_[context, min(code, len(tokens))].astype(np.int32)
-        total += float(np.exp(net.log_probabilities(codes, net.contexts(codes, np.array([True, False, False]), len(tokens)))[-1]))
+    counts = np.r_[50, np.sort(rng.integers(1, 1000, n))[::-1]]
+    return lm.Vocabulary([b"", *[f"w{i}".encode() for i in range(n)]], counts, rng.random(buckets) * 20 + 0.5, 400_000, 9000)
+
+
+def test_probabilities_sum_to_one():
+    v = small_vocabulary()
+    net, leaves = lm.Net(v, np.random.default_rng(1).normal(0, 0.3, v.rows * lm.ARITY).astype(np.float32)), len(v.counts) + len(v.rest)
+    total = 0.0
+    for code in range(leaves):
+        codes = np.array([3, 90, code], np.int32)
+        total += float(np.exp(net.log_probabilities(codes, net.contexts(codes, np.array([True, False, False])))[-1]))
     assert total == pytest.approx(1.0, abs=1e-4)
 
 
+def test_no_hot_token_is_left_to_its_count():
+    """Every leaf's probability depends on the token before it."""
+    v = small_vocabulary()
+    net = lm.Net(v, np.random.default_rng(1).normal(0, 0.3, v.rows * lm.ARITY).astype(np.float32))
+    told = [net.log_probabilities(c, net.contexts(c, np.arange(len(c)) % 2 == 0))[1::2] for c in (np.stack([np.full(616, k), np.arange(616)], 1).ravel().astype(np.int32) for k in (5, 6))]
+    assert (np.abs(told[0] - told[1]) > 1e-6).all()
+
+
+def plain_model(texts, v, rounds, rate, smoothing):
+    """Scores (log10) of texts by plain loops: the ways through the tree, features, updates, and unigrams inside buckets."""
+    mask = (1 << 64) - 1
+    start, size = len(v.counts) + len(v.rest), v.rows * lm.ARITY
+    shift = 64 - (v.rows - 1).bit_length()
+
+    def features(codes, i):
+        p, q = codes[i - 1] if i else start, codes[i - 2] if i > 1 else start
+        x = [((k * m) & mask) for k, m in zip((p + 1, p * 1000003 + q + 7, q + (3 << 40)), (0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F, 0x165667B19E3779F9), strict=True)]
+        return [y ^ (y >> 29) for y in x]
+
+    def way(codes, i):
+        c = codes[i]
+        for k in range(v.tree.size[c]):
+            node = int(v.tree.node[k][c])
+            yield node, int(v.tree.slot[k][c]), [((((f + (node + 1) * 0x632BE59BD9B4E019) & mask) * 0xFF51AFD7ED558CCD) & mask) >> shift for f in features(codes, i)]
+
+    def shares(w, node, rows):
+        z = np.exp(sum(w[r * lm.ARITY : (r + 1) * lm.ARITY] for r in rows) + v.tree.offset[node])
+        return z / z.sum()
+
+    w = np.zeros(size)
+    train = [c for c, learn in texts if learn]
+    for _ in range(rounds):
+        seen, meant = np.zeros(size), np.zeros(size)
+        for codes in train:
+            for i in range(len(codes)):
+                for node, slot, rows in way(codes, i):
+                    p = shares(w, node, rows)
+                    for r in rows:
+                        seen[r * lm.ARITY + slot] += 1
+                        meant[r * lm.ARITY : (r + 1) * lm.ARITY] += p
+        w = w + rate * np.log((seen + smoothing) / (meant + smoothing))
+    return [sum(np.log10(shares(w, n, r)[s]) for i in range(len(c)) for n, s, r in way(c, i)) for c, _ in texts]
+
+
+@pytest.mark.parametrize("hot", [20, 1000])
+def test_scores_against_plain_loops(spark, hot):
+    rng = np.random.default_rng(2)
+    rows = [(d, " ".join(f"w{k}" for k in (rng.zipf(1.5, 12) % 40).tolist())) for d in range(60)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    got = {r.doc_id: r.score for r in lm.score_texts(docs, ~is_fold(F.col("doc_id"), 1), hot=hot, buckets=4).collect()}
+    counts = Counter(w for d, t in rows if fold(d) != 1 for w in [*t.encode().split(), b""])
+    kept = sorted((w for w in counts if w), key=lambda w: (-counts[w], w))
+    if hot < len(counts):  # the operator takes whole steps of equal counts; the same edge here
+        v_, least = lm.vocabulary(spark.createDataFrame([(bytearray(w), n) for w, n in counts.items()], "token binary, n long"), hot, 4)
+        kept = [w for w in kept if counts[w] >= least]
+        assert 0 < len(kept) < len(counts) - 1
+    tokens = [b"", *kept]
+    rest = np.full(4, 0.5)
+    for w, n in counts.items():
+        if w not in tokens:
+            rest[zlib.crc32(w) % 4] += n + 0.5
+    v = lm.Vocabulary(tokens, np.array([counts[w] for w in tokens]), rest, sum(counts.values()), len(counts))
+    place = {w: i for i, w in enumerate(tokens)}
+    words = [[*t.encode().split(), b""] for _, t in rows]
+    codes = [[place.get(w, len(tokens) + zlib.crc32(w) % 4) for w in t] for t in words]
+    inside = [sum(np.log10((counts[w] + 0.5) / rest[zlib.crc32(w) % 4]) for w in t if w not in place) for t in words]
+    want = plain_model([(c, fold(d) != 1) for c, (d, _) in zip(codes, rows, strict=True)], v, 2, 0.5, 20.0)
+    for (d, _), a, b in zip(rows, want, inside, strict=True):
+        assert got[d] == pytest.approx(a + b, rel=1e-4)
+
+
 def test_language_model_of_nothing(spark):
     empty = spark.createDataFrame([], "doc_id long, text string")
     assert lm.score_texts(empty, ~is_fold(F.col("doc_id"), 1)).count() == 0
