@@ -145,9 +145,9 @@ def plain_model(texts, v, rounds, rate, smoothing):
 
     def way(codes, i):
         c = codes[i]
-        for k in range(v.tree.size[c]):
-            node = int(v.tree.node[k][c])
-            yield node, int(v.tree.slot[k][c]), [((((f + (node + 1) * 0x632BE59BD9B4E019) & mask) * 0xFF51AFD7ED558CCD) & mask) >> shift for f in features(codes, i)]
+        for k in range(v.tree.start[c], v.tree.start[c] + v.tree.size[c]):
+            node = int(v.tree.node[k])
+            yield node, int(v.tree.slot[k]), [((((f + (node + 1) * 0x632BE59BD9B4E019) & mask) * 0xFF51AFD7ED558CCD) & mask) >> shift for f in features(codes, i)]
 
     def shares(w, node, rows):
         z = np.exp(sum(w[r * lm.ARITY : (r + 1) * lm.ARITY] for r in rows) + v.tree.offset[node])
