@@ -1,11 +1,17 @@
 """Approximate nearest neighbours by largest inner product: inverted lists with product-quantised residuals.
 
-Coarse centroids and the codebooks of the residuals are learnt on a bounded sample; every vector is then
-indexed: it goes to the list of its nearest centroid with one byte for each part of its residual. A query goes
-to the lists whose centroids promise most; there its table of inner products with the codebooks (asymmetric
-distances) ranks the codes, and the best ``rerank`` of a block are scored by their original vectors in double
-precision. A list is cut into blocks of ``block`` rows and the queries of a list likewise, so that a list with
-a third of all rows is work for many tasks; what a task returns is ``k`` rows for each query and block.
+Coarse centroids, about the square root of the rows in number, and the codebooks of the residuals are learnt on
+a bounded sample; every vector is then indexed: it goes to the list of its nearest centroid with one byte for
+each part of its residual. How many lists a query probes follows from the data: if residuals are normal with
+their list's spread, each list has an expected number of vectors above the query's k-th nearest, and lists are
+probed, the most promising first, until ``share`` of that number is covered and ``floor`` codes are met. There
+the query's table of inner products with the codebooks (asymmetric distances) ranks the codes. The best
+``rerank`` codes of a query over all its lists are joined with their original vectors and scored in double
+precision.
+
+Codes travel in blocks of whole lists (a list above the size of a block is cut into several), queries in blocks
+of neighbours; a block of queries goes to the blocks that hold a list it probes, and every such meeting is a
+row of its own, so a list with a third of all rows is work for many tasks.
 """
 
 from __future__ import annotations
@@ -19,17 +25,21 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from .common import materialise, shuffle_partitions
-from .vectors import matrix, rows_of, sample
+from .vectors import kind_of, matrix, rows_of, sample
+
+
+def _nearest(x: np.ndarray, centres: np.ndarray) -> np.ndarray:
+    half = (centres**2).sum(1) / 2
+    return np.concatenate([np.argmin(half - x[a : a + 2048] @ centres.T, axis=1) for a in range(0, max(1, len(x)), 2048)])
 
 
 def kmeans(x: np.ndarray, k: int, rounds: int = 12, seed: int = 8) -> np.ndarray:
     rng = np.random.default_rng(seed)
     centres = x[rng.permutation(len(x))[:k]].copy()
     for _ in range(rounds):
-        nearest = np.argmin((centres**2).sum(1) - 2 * x @ centres.T, axis=1)
+        nearest = _nearest(x, centres)
         n = np.bincount(nearest, minlength=len(centres))
-        sums = np.zeros_like(centres)
-        np.add.at(sums, nearest, x)
+        sums = np.stack([np.bincount(nearest, c, len(centres)) for c in x.T], axis=1)
         centres[n > 0] = sums[n > 0] / n[n > 0, None]
         if (n == 0).any():
             centres[n == 0] = x[rng.integers(0, len(x), (n == 0).sum())]
@@ -38,16 +48,17 @@ def kmeans(x: np.ndarray, k: int, rounds: int = 12, seed: int = 8) -> np.ndarray
 
 @dataclass(frozen=True)
 class Index:
-    """coarse: centroids; books[m]: codewords of part m of the residuals."""
+    """coarse: centroids; spread: of each list, the residuals' standard deviation in a direction; books[m]: codewords of part m of the residuals."""
 
     coarse: np.ndarray
+    spread: np.ndarray
     books: np.ndarray
 
     def lists(self, x: np.ndarray) -> np.ndarray:
-        return np.argmin((self.coarse**2).sum(1) - 2 * x @ self.coarse.T, axis=1)
+        return _nearest(x, self.coarse)
 
     def parts(self, x: np.ndarray) -> np.ndarray:
-        """Residual components, padded with zeros to equal parts: (part, row, component)."""
+        """Components, padded with zeros to equal parts: (part, row, component)."""
         m, _, width = self.books.shape
         padded = np.zeros((len(x), m * width))
         padded[:, : x.shape[1]] = x
@@ -55,23 +66,49 @@ class Index:
 
     def codes(self, x: np.ndarray, lists: np.ndarray) -> np.ndarray:
         r = self.parts(x - self.coarse[lists])
-        return np.stack([np.argmin((b**2).sum(1) - 2 * p @ b.T, axis=1) for p, b in zip(r, self.books, strict=True)], axis=1).astype(np.uint8)
+        return np.stack([_nearest(p, b) for p, b in zip(r, self.books, strict=True)], axis=1).astype(np.uint8)
 
     def tables(self, q: np.ndarray) -> np.ndarray:
         """Inner products of the queries' parts with the codewords: (query, part, codeword)."""
-        return np.einsum("mqw,mcw->qmc", self.parts(q), self.books)
+        return np.einsum("mqw,mcw->qmc", self.parts(q), self.books).astype(np.float32)
+
+    def probed(self, q: np.ndarray, sizes: np.ndarray, k: int, share: float, floor: int) -> np.ndarray:
+        """(query, list): the lists to probe, from the lists' ``sizes``."""
+        mean, deviation = q @ self.coarse.T, np.linalg.norm(q, axis=1)[:, None] * self.spread + 1e-12
+        low, high = (mean - 9 * deviation).min(axis=1), (mean + 9 * deviation).max(axis=1)
+
+        def above(t: np.ndarray) -> np.ndarray:
+            z = np.clip((t[:, None] - mean) / deviation, -9, 9)
+            return sizes / (1 + np.exp(1.5976 * z + 0.07056 * z**3))  # the normal tail
+
+        for _ in range(40):  # where k vectors are expected above
+            middle = (low + high) / 2
+            many = above(middle).sum(axis=1) > k
+            low, high = np.where(many, middle, low), np.where(many, high, middle)
+        expected = above(low)
+        order = np.argsort(-expected, axis=1, kind="stable")
+        ranked = np.take_along_axis(expected, order, 1)
+        met = np.cumsum(ranked, axis=1) - ranked
+        codes = np.cumsum(sizes[order], axis=1) - sizes[order]
+        out = np.zeros(expected.shape, bool)
+        np.put_along_axis(out, order, (met < share * expected.sum(axis=1, keepdims=True)) | (codes < floor), 1)
+        return out & (sizes > 0)
 
 
 def learn(x: np.ndarray, lists: int, parts: int) -> Index:
     d = x.shape[1]
     coarse = kmeans(x, min(lists, len(x)))
     width = -(-d // parts)
-    empty = Index(coarse, np.zeros((parts, 1, width)))
-    residual = empty.parts(x - coarse[empty.lists(x)])
-    return Index(coarse, np.stack([kmeans(p, min(256, len(p)), seed=9 + i) for i, p in enumerate(residual)]))
+    empty = Index(coarse, np.zeros(len(coarse)), np.zeros((parts, 1, width)))
+    at = empty.lists(x)
+    residual = x - coarse[at]
+    n, square = np.bincount(at, minlength=len(coarse)), np.bincount(at, (residual**2).sum(axis=1), len(coarse))
+    # a list of few sampled rows borrows from all: their own centroid fits them too well
+    spread = np.sqrt((square + 8 * square.sum() / len(x)) / (np.maximum(1, n - 1) + 8) / d)
+    return Index(coarse, spread, np.stack([kmeans(p, min(256, len(p)), seed=9 + i) for i, p in enumerate(empty.parts(residual))]))
 
 
-def search(table: DataFrame, k: int = 20, every: int = 20, lists: int = 64, probes: int = 50, parts: int = 32, rerank: int = 200, block: int = 512, bound: int = 8192) -> DataFrame:
+def search(table: DataFrame, k: int = 20, every: int = 20, share: float = 0.985, floor: int = 1024, parts: int = 32, rerank: int = 80, block: int | None = None, bound: int = 8192, lists: int | None = None) -> DataFrame:
     """(query_id, rank, vec_id, score) of the rows of ``table`` (vec_id, embedding) whose vec_id is divisible by ``every``.
 
     score is the inner product in double precision on the original vectors, rank counts from 1, the nearest first, ties to
@@ -79,63 +116,111 @@ def search(table: DataFrame, k: int = 20, every: int = 20, lists: int = 64, prob
     returned that the probed lists hold. Vectors that are null, empty, zero or hold null or non-finite
     components, those of another length than most of the sample, and rows without an id take no part.
     Rows that share a vec_id are searched each and the best of them is returned. An empty table gives no rows;
-    further columns are ignored.
+    further columns are ignored. There are ``lists`` lists (by default the square root of the rows, 1,024 at most),
+    learnt on ``bound`` rows; a block holds ``block`` codes (by default a sixteenth of the rows, 8,192 to 131,072).
     """
     rows = rows_of(table).where("v is not null and vec_id is not null")
-    x = sample(rows, bound)
-    d = x.shape[1]
-    index = learn(x, lists, min(parts, d)) if len(x) else None
-    small = index is None or len(x) < bound  # the sample is the table: then all lists are probed
-    probed = len(index.coarse) if index and small else probes
+    x, n = sample(rows, bound), rows.count()
+    d, kind = x.shape[1], kind_of(table)
+    index = learn(x, lists or min(1024, max(8, round(n**0.5))), min(parts, d)) if len(x) else Index(np.zeros((1, 1)), np.zeros(1), np.zeros((1, 1, 1)))
+    block = block or min(131072, max(8192, n // 16))
+    shared = table.sparkSession.sparkContext.broadcast(index)  # 1,024 centroids and 256 codewords for each part at most
 
     def assign(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        index = shared.value
         for batch in batches:
             v, ok = matrix(batch.column("v"), d)
             ids, v = batch.column("vec_id").filter(pa.array(ok)), v[ok]
-            if index is None or not len(v):
+            if not len(v):
                 continue
             at = index.lists(v)
-            code = index.codes(v, at)
-            yield pa.RecordBatch.from_arrays([ids, pa.array(at.astype(np.int32)), pa.array([c.tobytes() for c in code], pa.binary()), pa.array([r.tobytes() for r in v], pa.binary())], ["vec_id", "list", "code", "x"])
-
-    indexed = materialise(rows.mapInArrow(assign, "vec_id long, list int, code binary, x binary"), "ivf")
-    counted = {r.list: r.c for r in indexed.groupBy("list").agg(F.count("*").alias("c")).collect()}  # a row for each list
-    blocks = F.array(*[F.lit(max(1, -(-counted.get(i, 0) // block))) for i in range(max(1, len(index.coarse) if index else 1))])
-    packed = indexed.withColumn("b", F.pmod(F.xxhash64("vec_id"), blocks[F.col("list")]).cast("int")).groupBy("list", "b")
-    packed = packed.agg(F.array_sort(F.collect_list(F.struct("vec_id", "code", "x"))).alias("r")).select("list", "b", F.col("r.vec_id").alias("ids"), F.col("r.code").alias("codes"), F.col("r.x").alias("xs"))
-
-    def probe(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            yield pa.RecordBatch.from_arrays([ids, pa.array(at.astype(np.int32)), pa.array([c.tobytes() for c in index.codes(v, at)], pa.binary())], ["vec_id", "list", "code"])
+
+    indexed = materialise(rows.mapInArrow(assign, "vec_id long, list int, code binary"), "ivf")
+    sizes = np.zeros(len(index.coarse), np.int64)
+    for r in indexed.groupBy("list").agg(F.count("*").alias("c")).collect():  # a row for each list
+        sizes[r.list] = r.c
+    # lists in order fill blocks; a list above a block has blocks of its own
+    first, pieces, at, room = np.zeros(len(sizes), np.int64), np.maximum(1, -(-sizes // block)), -1, 0
+    for i, c in enumerate(sizes.tolist()):
+        if pieces[i] > 1 or c > room:
+            at, room = at + 1, block
+        first[i] = at
+        at, room = at + int(pieces[i]) - 1, room - c if pieces[i] == 1 else 0
+    lookup = lambda values: F.array(*map(F.lit, values.tolist()))[F.col("list")]
+    place = (lookup(first) + F.pmod(F.xxhash64("vec_id"), lookup(pieces))).cast("int")
+    codes = indexed.withColumn("block", place).groupBy("block").agg(F.array_sort(F.collect_list(F.struct("list", "vec_id", "code"))).alias("r"))
+    codes = codes.select("block", F.col("r.vec_id").alias("ids"), F.col("r.list").alias("lists"), F.col("r.code").alias("codes"))
+
+    # queries with neighbours beside them, in blocks
+    asked = rows.where(F.col("vec_id") % every == 0).mapInArrow(_packed(shared, d, kind), "query_id long, list int, q binary")
+    many = max(1, block // 32)
+    per = lookup(np.maximum(1, -(-np.add.reduceat(sizes, np.arange(0, len(sizes), 8)).repeat(8)[: len(sizes)] // (every * many))))
+    asked = asked.withColumn("part", F.pmod(F.xxhash64("query_id"), per)).groupBy(F.floor(F.col("list") / 8).alias("g"), "part").agg(F.array_sort(F.collect_list(F.struct("query_id", "q"))).alias("r"))
+
+    def meet(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        index = shared.value
         for batch in batches:
-            q = np.frombuffer(b"".join(batch.column("x").to_pylist()), np.float64).reshape(-1, d)
-            best = np.argsort(-(q @ index.coarse.T), axis=1, kind="stable")[:, :probed]
-            again = pa.array(np.repeat(np.arange(len(q)), best.shape[1]))
-            yield pa.RecordBatch.from_arrays([batch.column("vec_id").take(again), pa.array(best.ravel().astype(np.int32)), batch.column("x").take(again)], ["query_id", "list", "q"])
-
-    # queries in blocks too, as many as candidates' blocks of the table would be
-    asked = indexed.where(F.col("vec_id") % every == 0).select("vec_id", "x").mapInArrow(probe, "query_id long, list int, q binary")
-    per_list = sum(counted.values()) // every
-    asked = asked.withColumn("qb", F.pmod(F.xxhash64("query_id", F.lit(1)), F.lit(max(1, -(-per_list // 512)))).cast("int")).groupBy("list", "qb")
-    asked = asked.agg(F.array_sort(F.collect_list(F.struct("query_id", "q"))).alias("r")).select("list", "qb", F.col("r.query_id").alias("qids"), F.col("r.q").alias("qs"))
-    met = asked.join(packed, "list").repartition(shuffle_partitions(table.sparkSession), "list", "qb", "b")
+            for r in batch.column("r").to_pylist():
+                q = np.frombuffer(b"".join(x["q"] for x in r), kind).astype(np.float64).reshape(-1, d)
+                probed = index.probed(q, sizes, k, share, floor)
+                goes: dict[int, np.ndarray] = {}
+                for i in np.flatnonzero(probed.any(axis=0)):
+                    for b in range(first[i], first[i] + pieces[i]):
+                        goes[b] = goes.get(b, False) | probed[:, i]
+                for b, who in goes.items():
+                    chosen = np.flatnonzero(who)
+                    yield pa.RecordBatch.from_arrays([pa.array([b], pa.int32()), pa.array([[r[i]["query_id"] for i in chosen]], pa.list_(pa.int64())), pa.array([q[chosen].astype(kind).tobytes()], pa.binary()), pa.array([np.packbits(probed[chosen], axis=1).tobytes()], pa.binary())], ["block", "qids", "qs", "probed"])
+
+    met = asked.select("r").mapInArrow(meet, "block int, qids array<long>, qs binary, probed binary").join(codes, "block")
+    met = met.repartition(max(shuffle_partitions(table.sparkSession), 1), F.xxhash64("block", "qids"))
 
     def answer(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        index = shared.value
         for batch in batches:
             for i in range(batch.num_rows):
-                qids, ids = (np.asarray(batch.column(c)[i].values) for c in ("qids", "ids"))
-                q, x = (np.frombuffer(b"".join(batch.column(c)[i].as_py()), np.float64).reshape(-1, d) for c in ("qs", "xs"))
-                code = np.frombuffer(b"".join(batch.column("codes")[i].as_py()), np.uint8).reshape(len(ids), -1)
-                offset = q @ index.coarse[batch.column("list")[i].as_py()]
-                out = []
-                for j, (t, o) in enumerate(zip(index.tables(q), offset, strict=True)):
-                    promise = o + sum(t[m][code[:, m]] for m in range(code.shape[1]))
-                    near = np.argpartition(-promise, rerank)[: rerank + 1] if len(ids) > rerank + 1 else np.arange(len(ids))
-                    near = near[ids[near] != qids[j]]
-                    exact = (x[near] * q[j]).sum(axis=1)
-                    best = np.lexsort((ids[near], -exact))[:k]
-                    out.append((np.full(len(best), qids[j]), ids[near[best]], exact[best]))
-                a, b, c = (np.concatenate(z) for z in zip(*out, strict=True))
-                yield pa.RecordBatch.from_arrays([pa.array(a), pa.array(b), pa.array(c)], ["query_id", "vec_id", "score"])
-
-    found = met.mapInArrow(answer, "query_id long, vec_id long, score double").groupBy("query_id", "vec_id").agg(F.max("score").alias("score"))
-    ranked = found.withColumn("rank", F.row_number().over(Window.partitionBy("query_id").orderBy(F.col("score").desc(), "vec_id")))
+                qids, ids, lists_ = (np.asarray(batch.column(c)[i].values) for c in ("qids", "ids", "lists"))
+                q = np.frombuffer(batch.column("qs")[i].as_py(), kind).astype(np.float64).reshape(-1, d)
+                code = np.frombuffer(b"".join(batch.column("codes")[i].as_py()), np.uint8).reshape(len(ids), -1).T.astype(np.intp)
+                probed = np.unpackbits(np.frombuffer(batch.column("probed")[i].as_py(), np.uint8).reshape(len(q), -1), axis=1)[:, : len(index.coarse)].astype(bool)
+                offset, found = (q @ index.coarse.T).astype(np.float32), []
+                for j in range(len(q)):
+                    table_ = index.tables(q[j : j + 1])[0]
+                    mine = np.flatnonzero(probed[j][lists_])
+                    chosen = code[:, mine] if len(mine) < len(ids) else code
+                    promise = offset[j][lists_[mine]]
+                    for t, c in zip(table_, chosen, strict=True):
+                        promise += t[c]
+                    promise[ids[mine] == qids[j]] = -np.inf
+                    near = np.argpartition(-promise, rerank - 1)[:rerank] if len(mine) > rerank else np.arange(len(mine))
+                    near = near[promise[near] > -np.inf]
+                    found.append((np.full(len(near), qids[j]), ids[mine[near]], promise[near]))
+                a, b, c = (np.concatenate(z) for z in zip(*found, strict=True))
+                yield pa.RecordBatch.from_arrays([pa.array(a), pa.array(b), pa.array(c)], ["query_id", "vec_id", "promise"])
+
+    best = met.mapInArrow(answer, "query_id long, vec_id long, promise float")
+    best = best.withColumn("r", F.row_number().over(Window.partitionBy("query_id").orderBy(F.col("promise").desc(), "vec_id"))).where(F.col("r") <= rerank).select("query_id", "vec_id")
+    # originals of the survivors, then their queries
+    queries = rows.where(F.col("vec_id") % every == 0).select(F.col("vec_id").alias("query_id"), F.col("v").alias("q"))
+    pairs = best.distinct().join(rows, "vec_id").join(queries, "query_id")
+
+    def exact(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            (x, ok), (q, _) = matrix(batch.column("v"), d), matrix(batch.column("q"), d)
+            keep = pa.array(ok)
+            yield pa.RecordBatch.from_arrays([batch.column("query_id").filter(keep), batch.column("vec_id").filter(keep), pa.array((x[ok] * q[ok]).sum(axis=1))], ["query_id", "vec_id", "score"])
+
+    scored = pairs.mapInArrow(exact, "query_id long, vec_id long, score double").groupBy("query_id", "vec_id").agg(F.max("score").alias("score"))
+    ranked = scored.withColumn("rank", F.row_number().over(Window.partitionBy("query_id").orderBy(F.col("score").desc(), "vec_id")))
     return ranked.where(F.col("rank") <= k).select("query_id", F.col("rank").cast("int").alias("rank"), "vec_id", "score")
+
+
+def _packed(shared, d: int, kind: str):
+    def mapped(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            v, ok = matrix(batch.column("v"), d)
+            ids, v = batch.column("vec_id").filter(pa.array(ok)), v[ok]
+            if len(v):
+                yield pa.RecordBatch.from_arrays([ids, pa.array(shared.value.lists(v).astype(np.int32)), pa.array([x.tobytes() for x in v.astype(kind)], pa.binary())], ["query_id", "list", "q"])
+
+    return mapped

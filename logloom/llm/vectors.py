@@ -5,6 +5,7 @@ from __future__ import annotations
 import numpy as np
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.types import ArrayType, FloatType
 
 
 def usable(column: str = "embedding") -> Column:
@@ -13,15 +14,25 @@ def usable(column: str = "embedding") -> Column:
     return F.coalesce(F.col(column).isNotNull() & (F.size(column) > 0) & finite & F.exists(F.col(column), lambda x: x != 0), F.lit(False))
 
 
+def is_single(table: DataFrame) -> bool:
+    kind = table.schema["embedding"].dataType
+    return isinstance(kind, ArrayType) and isinstance(kind.elementType, FloatType)
+
+
+def kind_of(table: DataFrame) -> str:
+    """The numpy type in which components travel without loss: singles where the table holds singles, else doubles."""
+    return "<f4" if is_single(table) else "<f8"
+
+
 def rows_of(table: DataFrame) -> DataFrame:
-    """(vec_id, v): ids as long and vectors as arrays of double; unusable vectors are null."""
-    return table.select(F.col("vec_id").cast("long").alias("vec_id"), F.when(usable(), F.col("embedding").cast("array<double>")).alias("v"))
+    """(vec_id, v): ids as long and vectors as arrays of float or double; unusable vectors are null."""
+    return table.select(F.col("vec_id").cast("long").alias("vec_id"), F.when(usable(), F.col("embedding").cast("array<float>" if is_single(table) else "array<double>")).alias("v"))
 
 
 def sample(rows: DataFrame, bound: int) -> np.ndarray:
     """The usable vectors with the ``bound`` smallest hashes of their ids, as a matrix; of several lengths the most frequent is taken."""
     good = rows.where("v is not null")
-    found = [np.array(r.v) for r in good.orderBy(F.xxhash64("vec_id", F.lit(5)), "vec_id").limit(bound).collect()]
+    found = [np.array(r.v, np.float64) for r in good.orderBy(F.xxhash64("vec_id", F.lit(5)), "vec_id").limit(bound).collect()]
     if not found:
         return np.zeros((0, 0))
     lengths = [len(v) for v in found]

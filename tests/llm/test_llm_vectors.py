@@ -30,15 +30,44 @@ def pairs(x, cosine):
     return p, q
 
 
-def test_near_duplicates_against_all_pairs(spark):
+def test_no_links_where_there_are_none(spark):
+    """The nearest pair of the test tables is far below the threshold."""
     rows, ids, x = table(spark, "sf0.01")
-    got = {r.vec_id: r for r in embedding_dedup.near_duplicates(rows).collect()}
-    assert len(got) == rows.count()
-    p, q = pairs(x, 0.95)
-    true = np.bincount(p, minlength=len(x)) + np.bincount(q, minlength=len(x))
-    found = np.array([got[i].n_links for i in ids.tolist()])
-    assert (found <= true).all()  # none below the threshold
+    assert not len(pairs(x, 0.95)[0])
+    got = embedding_dedup.near_duplicates(rows).collect()
+    assert len(got) == rows.count() and all((r.n_links, r.component_id, r.kept) == (0, r.vec_id, True) for r in got)
+
+
+@pytest.mark.parametrize("offset", [0.0, 1.0, 2.0])
+def test_planted_pairs_are_found(spark, offset):
+    """Vectors of 64 components, centred and not, each with a partner at a cosine between 0.95 and 0.99, and copies of some."""
+    rng = np.random.default_rng(4)
+    n, d = 1500, 64
+    x = rng.standard_normal((n, d)) / 8
+    x[:, 0] += offset
+    u = x / np.linalg.norm(x, axis=1, keepdims=True)
+    r = rng.standard_normal((n, d))
+    r -= (r * u).sum(axis=1, keepdims=True) * u
+    r /= np.linalg.norm(r, axis=1, keepdims=True)
+    c = np.repeat([0.95 + 1e-6, 0.96, 0.97, 0.98, 0.99], n // 5)[:, None]
+    y = 3 * (c * u + np.sqrt(1 - c**2) * r)
+    every = np.concatenate([x, y, x[:40], x[:40] * 2])
+    p, q = pairs(every, 0.95)
+    true = np.bincount(p, minlength=len(every)) + np.bincount(q, minlength=len(every))
+    got = {r.vec_id: r for r in embedding_dedup.near_duplicates(frame(spark, list(enumerate(every)))).collect()}
+    found = np.array([got[i].n_links for i in range(len(every))])
+    assert true.sum() >= 2 * n and (found <= true).all()
     assert found.sum() >= 0.9 * true.sum()
+    assert found[: n // 5].sum() >= 0.85 * true[: n // 5].sum()  # those at the threshold itself
+    assert (found[2 * n : 2 * n + 40] >= 1).all() and all(got[2 * n + i].component_id == got[i].component_id for i in range(40))
+
+
+def test_codes_are_balanced_off_the_centre():
+    rng = np.random.default_rng(6)
+    x = rng.standard_normal((10_000, 64))
+    x[:, 0] += 16
+    bits = (embedding_dedup.codes(x, *embedding_dedup.learn_rotation(x))[:, None] >> np.arange(64, dtype=np.uint64)) & np.uint64(1)
+    assert np.abs(bits.mean(axis=0) - 0.5).max() < 0.05
 
 
 @pytest.mark.parametrize("tile", [16, 4096])
@@ -82,11 +111,11 @@ def best(ids, x, k, every):
     return out
 
 
-@pytest.mark.parametrize("bound", [8192, 1000])  # the smaller one leaves lists unprobed
-def test_search_against_all_rows(spark, bound):
+@pytest.mark.parametrize("options", [{}, {"floor": 0, "bound": 1000, "block": 128}])
+def test_search_against_all_rows(spark, options):
     rows, ids, x = table(spark, "sf0.1")
     got = defaultdict(list)
-    for r in ann.search(rows, bound=bound).orderBy("query_id", "rank").collect():
+    for r in ann.search(rows, **options).orderBy("query_id", "rank").collect():
         got[r.query_id].append((r.rank, r.vec_id, r.score))
     true = best(ids, x, 20, 20)
     assert set(got) == set(true)
@@ -102,6 +131,26 @@ def test_search_against_all_rows(spark, bound):
     assert hit >= 0.9 * sum(map(len, true.values()))
 
 
+def test_lists_stay_unprobed_and_recall_holds():
+    """50,000 vectors in clusters that overlap, as search probes, ranks and reranks them."""
+    rng = np.random.default_rng(3)
+    x = rng.standard_normal((300, 64))[rng.integers(0, 300, 50_000)] + rng.standard_normal((50_000, 64))
+    index = ann.learn(x[rng.permutation(len(x))[:8192]], 224, 32)
+    at = index.lists(x)
+    code, sizes = index.codes(x, at), np.bincount(at, minlength=224)
+    q = x[:100]
+    probed = index.probed(q, sizes, 20, 0.985, 1024)
+    assert (probed @ sizes).mean() < 0.6 * len(x)
+    hit, scores = 0, q @ x.T
+    for j, (t, o) in enumerate(zip(index.tables(q), q @ index.coarse.T, strict=True)):
+        mine = np.flatnonzero(probed[j][at])
+        promise = o[at[mine]] + sum(t[m][code[mine, m]] for m in range(32))
+        near = mine[np.argsort(-promise)[:80]]
+        near = near[np.argsort(-scores[j][near])[:20]]
+        hit += len(set(near) & set(np.argsort(-scores[j])[:20]))
+    assert hit >= 0.9 * 20 * 100
+
+
 @pytest.mark.parametrize("block", [8, 512])
 def test_search_of_a_small_table_is_whole(spark, block):
     x = clusters(1, 4, 15)
