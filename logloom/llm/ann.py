@@ -117,13 +117,13 @@ def search(table: DataFrame, k: int = 20, every: int = 20, share: float = 0.985,
     components, those of another length than most of the sample, and rows without an id take no part.
     Rows that share a vec_id are searched each and the best of them is returned. An empty table gives no rows;
     further columns are ignored. There are ``lists`` lists (by default the square root of the rows, 1,024 at most),
-    learnt on ``bound`` rows; a block holds ``block`` codes (by default a sixteenth of the rows, 8,192 to 131,072).
+    learnt on ``bound`` rows; a block holds ``block`` codes (by default an eighth of the rows, 131,072 at most).
     """
     rows = rows_of(table).where("v is not null and vec_id is not null")
     x, n = sample(rows, bound), rows.count()
     d, kind = x.shape[1], kind_of(table)
     index = learn(x, lists or min(1024, max(8, round(n**0.5))), min(parts, d)) if len(x) else Index(np.zeros((1, 1)), np.zeros(1), np.zeros((1, 1, 1)))
-    block = block or min(131072, max(8192, n // 16))
+    block = block or min(131072, max(1024, -(-n // 8)))
     shared = table.sparkSession.sparkContext.broadcast(index)  # 1,024 centroids and 256 codewords for each part at most
 
     def assign(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:

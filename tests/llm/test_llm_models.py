@@ -116,7 +116,7 @@ def small_vocabulary(n=600, buckets=16):
 
 def test_probabilities_sum_to_one():
     v = small_vocabulary()
-    net, leaves = lm.Net(v, np.random.default_rng(1).normal(0, 0.3, v.rows * lm.ARITY).astype(np.float32)), len(v.counts) + len(v.rest)
+    net, leaves = lm.Net(v, np.random.default_rng(1).normal(0, 0.3, (3, v.rows, lm.ARITY)).astype(np.float32)), len(v.counts) + len(v.rest)
     total = 0.0
     for code in range(leaves):
         codes = np.array([3, 90, code], np.int32)
@@ -127,15 +127,15 @@ def test_probabilities_sum_to_one():
 def test_no_hot_token_is_left_to_its_count():
     """Every leaf's probability depends on the token before it."""
     v = small_vocabulary()
-    net = lm.Net(v, np.random.default_rng(1).normal(0, 0.3, v.rows * lm.ARITY).astype(np.float32))
+    net = lm.Net(v, np.random.default_rng(1).normal(0, 0.3, (3, v.rows, lm.ARITY)).astype(np.float32))
     told = [net.log_probabilities(c, net.contexts(c, np.arange(len(c)) % 2 == 0))[1::2] for c in (np.stack([np.full(616, k), np.arange(616)], 1).ravel().astype(np.int32) for k in (5, 6))]
     assert (np.abs(told[0] - told[1]) > 1e-6).all()
 
 
-def plain_model(texts, v, rounds, rate, smoothing):
+def plain_model(texts, v, rounds, smoothing):
     """Scores (log10) of texts by plain loops: the ways through the tree, features, updates, and unigrams inside buckets."""
     mask = (1 << 64) - 1
-    start, size = len(v.counts) + len(v.rest), v.rows * lm.ARITY
+    start = len(v.counts) + len(v.rest)
     shift = 64 - (v.rows - 1).bit_length()
 
     def features(codes, i):
@@ -150,20 +150,20 @@ def plain_model(texts, v, rounds, rate, smoothing):
             yield node, int(v.tree.slot[k]), [((((f + (node + 1) * 0x632BE59BD9B4E019) & mask) * 0xFF51AFD7ED558CCD) & mask) >> shift for f in features(codes, i)]
 
     def shares(w, node, rows):
-        z = np.exp(sum(w[r * lm.ARITY : (r + 1) * lm.ARITY] for r in rows) + v.tree.offset[node])
+        z = np.exp(sum(w[k, r] for k, r in enumerate(rows)) + v.tree.offset[node])
         return z / z.sum()
 
-    w = np.zeros(size)
+    w = np.zeros((3, v.rows, lm.ARITY))
     train = [c for c, learn in texts if learn]
-    for _ in range(rounds):
-        seen, meant = np.zeros(size), np.zeros(size)
+    for kinds, rate in rounds:
+        seen, meant = np.zeros(w.shape), np.zeros(w.shape)
         for codes in train:
             for i in range(len(codes)):
                 for node, slot, rows in way(codes, i):
                     p = shares(w, node, rows)
-                    for r in rows:
-                        seen[r * lm.ARITY + slot] += 1
-                        meant[r * lm.ARITY : (r + 1) * lm.ARITY] += p
+                    for k in kinds:
+                        seen[k, rows[k], slot] += 1
+                        meant[k, rows[k]] += p
         w = w + rate * np.log((seen + smoothing) / (meant + smoothing))
     return [sum(np.log10(shares(w, n, r)[s]) for i in range(len(c)) for n, s, r in way(c, i)) for c, _ in texts]
 
@@ -190,11 +190,20 @@ def test_scores_against_plain_loops(spark, hot):
     words = [[*t.encode().split(), b""] for _, t in rows]
     codes = [[place.get(w, len(tokens) + zlib.crc32(w) % 4) for w in t] for t in words]
     inside = [sum(np.log10((counts[w] + 0.5) / rest[zlib.crc32(w) % 4]) for w in t if w not in place) for t in words]
-    want = plain_model([(c, fold(d) != 1) for c, (d, _) in zip(codes, rows, strict=True)], v, 2, 0.5, 20.0)
+    want = plain_model([(c, fold(d) != 1) for c, (d, _) in zip(codes, rows, strict=True)], v, lm.ROUNDS, 20.0)
     for (d, _), a, b in zip(rows, want, inside, strict=True):
         assert got[d] == pytest.approx(a + b, rel=1e-4)
 
 
+def test_words_are_cut_at_ascii_white_space_only():
+    from logloom.llm.common import ascii_words
+
+    texts = ["", " ", "a", "  A b\t\x0bc\x0c\r\n", "x\u00a0y \u2003z", "ÀÉ İ\x1cq\x85r", "word " * 3]
+    flat, size = lm.words_of(__import__("pyarrow").array(texts))
+    assert size.tolist() == [len(ascii_words(x)) for x in texts]
+    assert [w.encode() for w in flat.to_pylist()] == [w for x in texts for w in ascii_words(x)]
+
+
 def test_language_model_of_nothing(spark):
     empty = spark.createDataFrame([], "doc_id long, text string")
     assert lm.score_texts(empty, ~is_fold(F.col("doc_id"), 1)).count() == 0
