@@ -17,20 +17,42 @@ WORD = r"[^\x20\x09-\x0D]+"
 
 
 def shared_folder(spark: SparkSession) -> str:
-    """The folder that driver and executors share: ``spark.checkpoint.dir``; a local temporary one only where that is unset (tests)."""
+    """The folder that driver and executors share: ``spark.checkpoint.dir``. Where it is unset, a temporary one is made in local mode (one machine); on a cluster that is an error."""
     base = spark.sparkContext.getConf().get("spark.checkpoint.dir") or spark.conf.get("spark.checkpoint.dir", None)
     if not base:
+        if not spark.sparkContext.master.startswith("local"):
+            raise ValueError("spark.checkpoint.dir must name a folder that driver and executors share")
         base = f"file://{tempfile.mkdtemp(prefix='logloom-')}"
         spark.conf.set("spark.checkpoint.dir", base)
     return base.rstrip("/")
 
 
-def materialise(df: DataFrame, name: str = "stage") -> DataFrame:
-    """Writes ``df`` once as Parquet in the shared folder and reads it back: the lineage ends there, and a lost executor costs no recomputation."""
+def written(df: DataFrame, name: str = "stage") -> tuple[DataFrame, str]:
+    """Writes ``df`` once as Parquet in the shared folder: what was written, and where. The lineage ends there, and a lost executor costs no recomputation."""
     spark = df.sparkSession
     path = f"{shared_folder(spark)}/logloom-{name}-{uuid.uuid4().hex}"
     df.write.parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
+    return spark.read.schema(df.schema).parquet(path), path
+
+
+def materialise(df: DataFrame, name: str = "stage") -> DataFrame:
+    return written(df, name)[0]
+
+
+def removed(spark: SparkSession, path: str) -> None:
+    """Deletes a folder of the shared folder that nothing reads any more."""
+    where = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+    where.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(where, True)
+
+
+def fresh(df: DataFrame, *names: str) -> list[str]:
+    """The names, longer where ``df`` has a column of that name already."""
+    taken, out = {c.lower() for c in df.columns}, []
+    for n in names:
+        while n.lower() in taken:
+            n += "_"
+        out.append(n)
+    return out
 
 
 def shuffle_partitions(spark: SparkSession) -> int:

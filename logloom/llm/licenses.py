@@ -3,6 +3,10 @@
 A text is compared with the notice of every license as sequences of words. Words that occur once on both sides
 are anchors; their longest increasing subsequence is kept, and the gaps between neighbours are aligned again in
 the same way, in which further words are unique. Coverage is the share of the notice's words that are aligned.
+A find needs the wanted coverage, a notice of fewer than SHORT words all its words: there one word decides. It also
+needs the words that name the license, one after the other. Of finds that overlap, the one that covers more words of
+its notice stays, of equals the one that starts first, then the smaller name. Further templates, whole license
+texts among them, come as a parameter or from a folder (``read_templates``).
 """
 
 from __future__ import annotations
@@ -19,12 +23,18 @@ from pyspark.sql import functions as F
 
 from .common import slices
 
-#: The wording of common license notices, as their publishers ask authors to write it; without version numbers and names.
+SHORT = 10
+
+#: The wording of common license notices, and of short licenses as a whole, as their publishers ask authors to write it; without version numbers and names.
 NOTICES = {
     "Apache": "Licensed under the Apache License, Version",
     "Apache-header": "Licensed under the Apache License, Version 2.0 (the License); you may not use this file except in compliance with the License. You may obtain a copy of the License at http://www.apache.org/licenses/LICENSE-2.0. Unless required by applicable law or agreed to in writing, software distributed under the License is distributed on an AS IS BASIS, WITHOUT WARRANTIES OR CONDITIONS OF ANY KIND, either express or implied. See the License for the specific language governing permissions and limitations under the License.",
     "MIT": "Released under the MIT License",
     "MIT-grant": "Permission is hereby granted, free of charge, to any person obtaining a copy of this software and associated documentation files (the Software), to deal in the Software without restriction, including without limitation the rights to use, copy, modify, merge, publish, distribute, sublicense, and/or sell copies of the Software, and to permit persons to whom the Software is furnished to do so, subject to the following conditions",
+    "MIT-text": "Permission is hereby granted, free of charge, to any person obtaining a copy of this software and associated documentation files (the Software), to deal in the Software without restriction, including without limitation the rights to use, copy, modify, merge, publish, distribute, sublicense, and/or sell copies of the Software, and to permit persons to whom the Software is furnished to do so, subject to the following conditions: The above copyright notice and this permission notice shall be included in all copies or substantial portions of the Software. THE SOFTWARE IS PROVIDED AS IS, WITHOUT WARRANTY OF ANY KIND, EXPRESS OR IMPLIED, INCLUDING BUT NOT LIMITED TO THE WARRANTIES OF MERCHANTABILITY, FITNESS FOR A PARTICULAR PURPOSE AND NONINFRINGEMENT. IN NO EVENT SHALL THE AUTHORS OR COPYRIGHT HOLDERS BE LIABLE FOR ANY CLAIM, DAMAGES OR OTHER LIABILITY, WHETHER IN AN ACTION OF CONTRACT, TORT OR OTHERWISE, ARISING FROM, OUT OF OR IN CONNECTION WITH THE SOFTWARE OR THE USE OR OTHER DEALINGS IN THE SOFTWARE.",
+    "BSD-2-Clause-text": "Redistribution and use in source and binary forms, with or without modification, are permitted provided that the following conditions are met: 1. Redistributions of source code must retain the above copyright notice, this list of conditions and the following disclaimer. 2. Redistributions in binary form must reproduce the above copyright notice, this list of conditions and the following disclaimer in the documentation and/or other materials provided with the distribution. THIS SOFTWARE IS PROVIDED BY THE COPYRIGHT HOLDERS AND CONTRIBUTORS AS IS AND ANY EXPRESS OR IMPLIED WARRANTIES, INCLUDING, BUT NOT LIMITED TO, THE IMPLIED WARRANTIES OF MERCHANTABILITY AND FITNESS FOR A PARTICULAR PURPOSE ARE DISCLAIMED. IN NO EVENT SHALL THE COPYRIGHT HOLDER OR CONTRIBUTORS BE LIABLE FOR ANY DIRECT, INDIRECT, INCIDENTAL, SPECIAL, EXEMPLARY, OR CONSEQUENTIAL DAMAGES (INCLUDING, BUT NOT LIMITED TO, PROCUREMENT OF SUBSTITUTE GOODS OR SERVICES; LOSS OF USE, DATA, OR PROFITS; OR BUSINESS INTERRUPTION) HOWEVER CAUSED AND ON ANY THEORY OF LIABILITY, WHETHER IN CONTRACT, STRICT LIABILITY, OR TORT (INCLUDING NEGLIGENCE OR OTHERWISE) ARISING IN ANY WAY OUT OF THE USE OF THIS SOFTWARE, EVEN IF ADVISED OF THE POSSIBILITY OF SUCH DAMAGE.",
+    "BSD-3-Clause-text": "Redistribution and use in source and binary forms, with or without modification, are permitted provided that the following conditions are met: 1. Redistributions of source code must retain the above copyright notice, this list of conditions and the following disclaimer. 2. Redistributions in binary form must reproduce the above copyright notice, this list of conditions and the following disclaimer in the documentation and/or other materials provided with the distribution. 3. Neither the name of the copyright holder nor the names of its contributors may be used to endorse or promote products derived from this software without specific prior written permission. THIS SOFTWARE IS PROVIDED BY THE COPYRIGHT HOLDERS AND CONTRIBUTORS AS IS AND ANY EXPRESS OR IMPLIED WARRANTIES, INCLUDING, BUT NOT LIMITED TO, THE IMPLIED WARRANTIES OF MERCHANTABILITY AND FITNESS FOR A PARTICULAR PURPOSE ARE DISCLAIMED. IN NO EVENT SHALL THE COPYRIGHT HOLDER OR CONTRIBUTORS BE LIABLE FOR ANY DIRECT, INDIRECT, INCIDENTAL, SPECIAL, EXEMPLARY, OR CONSEQUENTIAL DAMAGES (INCLUDING, BUT NOT LIMITED TO, PROCUREMENT OF SUBSTITUTE GOODS OR SERVICES; LOSS OF USE, DATA, OR PROFITS; OR BUSINESS INTERRUPTION) HOWEVER CAUSED AND ON ANY THEORY OF LIABILITY, WHETHER IN CONTRACT, STRICT LIABILITY, OR TORT (INCLUDING NEGLIGENCE OR OTHERWISE) ARISING IN ANY WAY OUT OF THE USE OF THIS SOFTWARE, EVEN IF ADVISED OF THE POSSIBILITY OF SUCH DAMAGE.",
+    "ISC-text": "Permission to use, copy, modify, and/or distribute this software for any purpose with or without fee is hereby granted, provided that the above copyright notice and this permission notice appear in all copies. THE SOFTWARE IS PROVIDED AS IS AND THE AUTHOR DISCLAIMS ALL WARRANTIES WITH REGARD TO THIS SOFTWARE INCLUDING ALL IMPLIED WARRANTIES OF MERCHANTABILITY AND FITNESS. IN NO EVENT SHALL THE AUTHOR BE LIABLE FOR ANY SPECIAL, DIRECT, INDIRECT, OR CONSEQUENTIAL DAMAGES OR ANY DAMAGES WHATSOEVER RESULTING FROM LOSS OF USE, DATA OR PROFITS, WHETHER IN AN ACTION OF CONTRACT, NEGLIGENCE OR OTHER TORTIOUS ACTION, ARISING OUT OF OR IN CONNECTION WITH THE USE OR PERFORMANCE OF THIS SOFTWARE.",
     "BSD": "Redistribution and use in source and binary forms, with or without modification, are permitted provided that the following conditions are met",
     "GPL": "This work is licensed under the GNU General Public License, version",
     "GPL-header": "This program is free software: you can redistribute it and/or modify it under the terms of the GNU General Public License as published by the Free Software Foundation, either version 3 of the License, or (at your option) any later version.",
@@ -51,6 +61,7 @@ NAMES = {
     "Apache": "Apache License",
     "Apache-header": "Apache License",
     "MIT": "MIT License",
+    "BSD-3-Clause-text": "endorse or promote products",
     "GPL": "GNU General Public License",
     "GPL-header": "GNU General Public License",
     "MPL": "Mozilla Public License",
@@ -68,6 +79,12 @@ NAMES = {
     "EPL": "Eclipse Public License",
 }
 
+def read_templates(spark, folder: str) -> dict[str, str]:
+    """Whole license texts from the text files of a folder, named by the files; a few hundred files at most."""
+    rows = spark.read.text(folder, wholetext=True).select(F.regexp_extract(F.input_file_name(), r"([^/]*?)(\.txt)?$", 1).alias("name"), "value").limit(1000).collect()
+    return {r.name: r.value for r in rows}
+
+
 _WORD = re.compile(r"[^\W_]+")
 
 
@@ -124,6 +141,7 @@ class Scanner:
         self.notices = {k: words_of(v) for k, v in notices.items() if words_of(v)}
         self.counts = {k: Counter(v) for k, v in self.notices.items()}
         self.names = {k: words_of(NAMES[k]) for k in self.notices if k in NAMES and notices[k] == NOTICES.get(k)}
+        self.least_of = {k: 1.0 if len(v) < SHORT else least for k, v in self.notices.items()}
         self.known = set().union(*self.notices.values()) if self.notices else set()
 
     def __call__(self, text: str | None) -> list[dict]:
@@ -132,7 +150,7 @@ class Scanner:
         words = words_of(text)
         have = Counter(filter(self.known.__contains__, words))
         # a notice can be covered only if enough of its words, each as often as it has them, occur at all
-        possible = [k for k, c in self.counts.items() if sum(min(n, have[w]) for w, n in c.items()) >= self.least * len(self.notices[k])]
+        possible = [k for k, c in self.counts.items() if sum(min(n, have[w]) for w, n in c.items()) >= self.least_of[k] * len(self.notices[k])]
         if not possible:
             return []
         spans = [m.span() for m in _WORD.finditer(text)]
@@ -146,7 +164,7 @@ class Scanner:
 
     def finds(self, name: str, words: list[str], spans: list[tuple[int, int]]) -> Iterator[dict]:
         notice, own = self.notices[name], self.counts[name]
-        need, width = self.least * len(notice), 2 * len(notice)
+        need, width = self.least_of[name] * len(notice), 2 * len(notice)
         hit = np.fromiter((w in own for w in words), np.int64, len(words))
         total = np.r_[0, np.cumsum(hit)]
         ends = np.minimum(np.arange(len(words)) + width, len(words))

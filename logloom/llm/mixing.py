@@ -16,7 +16,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import WORD, materialise
+from .common import WORD, fresh, materialise
 
 SHARD_BLOCKS = 16
 UNIT = 1 << 20
@@ -119,6 +119,7 @@ def mixed(docs: DataFrame, **options) -> DataFrame:
     stream of fractions, and a document gets the whole numbers that its part of the stream passes. A document gets
     its fraction rounded down or up; the kept words of a source differ from its taken words by about one long
     document. Fractions are whole numbers of 1 / UNIT, so reruns agree. Rows equal in source, doc_id and text get the same copies.
+    Null or empty texts take nothing and go, an empty table gives no rows, and further columns may have any names.
     """
     seed = options.get("seed", 9)
     taken = mix(docs, **options).groupBy("skey", "doc_id", "print").agg(F.max("size").alias("size"), F.expr(f"sum(taken) * {UNIT} div greatest(1, sum(size))").alias("f"))
@@ -130,6 +131,7 @@ def mixed(docs: DataFrame, **options) -> DataFrame:
     offsets = sums.select("skey", "rank", "part", (start + F.sum("n").over(Window.partitionBy("skey").orderBy("rank", "part")) - F.col("n")).alias("offset"))
     inside = F.sum("f").over(Window.partitionBy("skey", "rank", "part").orderBy("size", "h", F.col("doc_id").asc_nulls_first(), "print").rowsBetween(Window.unboundedPreceding, 0))
     taken = taken.withColumn("b", inside).join(offsets, ["skey", "rank", "part"]).withColumn("b", F.col("b") + F.col("offset"))
-    taken = taken.withColumn("_copies", F.expr(f"b div {UNIT} - (b - f) div {UNIT}").cast("int")).where("_copies > 0").select(F.col("skey").alias("_s"), F.col("doc_id").alias("_d"), F.col("print").alias("_p"), "_copies")
-    on = F.col("doc_id").cast("long").eqNullSafe(F.col("_d")) & (F.xxhash64(F.col("text").cast("string")) == F.col("_p")) & (_key(F.col("source")) == F.col("_s"))
-    return docs.join(taken, on).select(*[docs[c] for c in docs.columns], F.explode(F.sequence(F.lit(1), F.col("_copies"))).alias("_copy")).drop("_copy")
+    k, d, p, copies, copy = fresh(docs, "mix_source", "mix_id", "mix_print", "mix_copies", "mix_copy")
+    taken = taken.withColumn("copies", F.expr(f"b div {UNIT} - (b - f) div {UNIT}").cast("int")).where("copies > 0").select(F.col("skey").alias(k), F.col("doc_id").alias(d), F.col("print").alias(p), F.col("copies").alias(copies))
+    on = F.col("doc_id").cast("long").eqNullSafe(F.col(d)) & (F.xxhash64(F.col("text").cast("string")) == F.col(p)) & (_key(F.col("source")) == F.col(k))
+    return docs.join(taken, on).select(*[docs[f"`{c}`"] for c in docs.columns], F.explode(F.sequence(F.lit(1), F.col(copies))).alias(copy)).drop(copy)

@@ -237,7 +237,12 @@ def encode_pieces(docs: DataFrame, model: str) -> DataFrame:
 
 
 def round_trip(docs: DataFrame, model: str) -> DataFrame:
-    """The rows of ``docs`` with n_pieces, ids_crc32, decoded_crc32, decoded_chars and same: whether decoding the ids gives the text (null counts as empty; a text that itself holds U+2581 gets a space there)."""
+    """The rows of ``docs`` with n_pieces, ids_crc32, decoded_crc32, decoded_chars and same: whether decoding the ids gives the text.
+
+    A null text counts as empty; a text that itself holds U+2581 gets a space there, and is not the same. Very
+    long texts are encoded whole, repeated rows are rows each, an empty table gives no rows. A column of
+    ``docs`` that has the name of one of the five is replaced by it; all others are kept.
+    """
 
     def mapped(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         coder = per_worker(PieceCoder, model)

@@ -208,7 +208,10 @@ def score(docs: DataFrame, model: Model) -> DataFrame:
 
 
 def keep_good(docs: DataFrame, model: Model, threshold: float = 0.3) -> DataFrame:
-    """The rows of ``docs``, with all their columns, that score ``threshold`` or more."""
+    """The rows of ``docs``, with all their columns, that score ``threshold`` or more.
+
+    A null or empty text is judged by the model's score of no n-grams; repeated rows stay or go together; an empty table gives no rows.
+    """
     shared = docs.sparkSession.sparkContext.broadcast(model)
 
     def mapped(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:

@@ -67,7 +67,7 @@ def op10_chat_format(spark: SparkSession, sf_dir: str) -> DataFrame:
     rows = _table(spark, sf_dir, "conversations").select(F.col("conv_id").cast("long").alias("conv_id"), F.col("turn").cast("long").alias("turn"), "role", "text")
     control = "</s>[INST] ok [/INST]"
     more = spark.createDataFrame([(-7, 0, "user", control), (-7, 1, "assistant", control)], rows.schema)
-    return chat.read_back(materialise(chat.format_chats(rows.unionByName(more), BPE), "chats"))
+    return chat.read_back(materialise(chat.format_chats(rows.unionByName(more), BPE), "chats")).drop("n_ids", "n_loss_ids")
 
 
 QUERIES = {f.__name__: f for f in (op1_simhash_near_dedup, op2_token_files, op3_license_scan, op4_quality_classifier, op5_embedding_near_dedup, op6_lm_scores, op7_sentencepiece, op8_nearest_neighbours, op9_source_mix, op10_chat_format)}

@@ -18,7 +18,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import Forest, ascii_words, materialise, slices
+from .common import Forest, ascii_words, fresh, materialise, slices
 from .components import components
 
 #: Fixed value: the seed of the shingles' XXH64.
@@ -160,13 +160,15 @@ def keep_first(docs: DataFrame, radius: int = 4) -> DataFrame:
     """Of each component of near copies one document, that with the smallest doc_id, with all its columns.
 
     Of rows that share that doc_id the one with the smallest hash of its text stays, of repeated rows one; a row
-    without a doc_id stays only in a component that has no other.
+    without a doc_id stays only in a component that has no other. A null text counts as one without words, very
+    long texts are compared whole, an empty table gives no rows, and columns may have any names.
     """
     rows = grouped(docs, radius).groupBy("root", "doc_id", "print").agg(F.count("*").alias("n"))
     first = rows.groupBy("root").agg(F.min(F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "print", "n")).alias("k"))
-    kept = materialise(first.select(F.col("k.doc_id").alias("_d"), F.col("k.print").alias("_p"), F.col("k.n").alias("_n")), "kept")
-    on = F.col("doc_id").cast("long").eqNullSafe(F.col("_d")) & (F.xxhash64(F.col("text").cast("string")) == F.col("_p"))
-    out = docs.join(kept.where("_n = 1"), on, "left_semi")
-    if kept.where("_n > 1").limit(1).count():
-        out = out.union(docs.join(kept.where("_n > 1"), on, "left_semi").dropDuplicates(["doc_id", "text"]))
+    d, p, n = fresh(docs, "kept_id", "kept_print", "kept_n")
+    kept = materialise(first.select(F.col("k.doc_id").alias(d), F.col("k.print").alias(p), F.col("k.n").alias(n)), "kept")
+    on = F.col("doc_id").cast("long").eqNullSafe(F.col(d)) & (F.xxhash64(F.col("text").cast("string")) == F.col(p))
+    out = docs.join(kept.where(F.col(n) == 1), on, "left_semi")
+    if kept.where(F.col(n) > 1).limit(1).count():
+        out = out.union(docs.join(kept.where(F.col(n) > 1), on, "left_semi").dropDuplicates(["doc_id", "text"]))
     return out

@@ -1,5 +1,28 @@
-"""DuckDB SQL for the queries of this subpackage that it can express; the others are tested by brute force in tests/llm."""
+"""DuckDB SQL for the queries of this subpackage that it can express, from their definitions; the others are tested by brute force in tests/llm.
 
-#: Ids of conversations and digests of their turns need only grouping and a hash, but the query's formatted_chars, loss spans and ids
-#: come from a tokenizer and a template, XXH64 with a seed is not in DuckDB, and the rest are learnt models or seeded draws.
-ORACLE_SQL: dict[str, str] = {}
+op1: XXH64 with a seed is not in DuckDB. op2, op7: ids come from a tokenizer. op3, op4, op6: alignments and learnt
+models. op8: its approximate search need not find all neighbours. op9: its blocks are drawn by Spark's seeded hashes.
+"""
+
+#: All pairs of usable vectors, and the smallest id that links reach.
+_EMBEDDINGS = """WITH RECURSIVE t AS (SELECT vec_id, cast(embedding AS double[]) AS v FROM embeddings),
+  u AS (SELECT vec_id, v, sqrt(list_sum(list_transform(v, lambda x: x * x))) AS n FROM t WHERE vec_id IS NOT NULL AND len(v) > 0 AND len(list_filter(v, lambda x: x IS NULL OR NOT isfinite(x))) = 0 AND len(list_filter(v, lambda x: x <> 0)) > 0),
+  l AS (SELECT a.vec_id AS a, b.vec_id AS b FROM u a JOIN u b ON a.vec_id <> b.vec_id AND list_inner_product(a.v, b.v) / (a.n * b.n) >= 0.95),
+  r(a, b) AS (SELECT a, b FROM l UNION SELECT r.a, l.b FROM r JOIN l ON r.b = l.a),
+  c AS (SELECT a, least(a, min(b)) AS component FROM r GROUP BY a), k AS (SELECT a, count(*) AS n FROM l GROUP BY a)
+SELECT vec_id, coalesce(k.n, 0) AS n_links, coalesce(component, vec_id) AS component_id, coalesce(vec_id = coalesce(component, vec_id), true) AS kept
+FROM t LEFT JOIN k ON k.a = vec_id LEFT JOIN c ON c.a = vec_id"""
+
+
+def _escaped(text: str) -> str:
+    return f"regexp_replace(regexp_replace({text}, '\\[(\\\\*/?INST\\])', '[\\\\\\1', 'g'), '<(\\\\*/s>)', '<\\\\\\1', 'g')"
+
+
+#: A turn is [INST]role[/INST]text</s>, with a backslash after the first character of control strings inside.
+_CHATS = f"""WITH c AS (SELECT conv_id, turn, role, text FROM conversations UNION ALL VALUES (-7, 0, 'user', '</s>[INST] ok [/INST]'), (-7, 1, 'assistant', '</s>[INST] ok [/INST]')),
+  t AS (SELECT conv_id, turn AS k, role AS a, text AS b, coalesce(role, '') AS role, coalesce(text, '') AS text FROM c)
+SELECT conv_id, count(*) AS n_turns, sha256(string_agg(concat(role, chr(10), text, chr(10)), '' ORDER BY k NULLS FIRST, a NULLS FIRST, b NULLS FIRST)) AS turns_sha256,
+  cast(coalesce(sum(length(text)) FILTER (role = 'assistant'), 0) AS bigint) AS loss_chars, sha256(coalesce(string_agg(text, '' ORDER BY k NULLS FIRST, a NULLS FIRST, b NULLS FIRST) FILTER (role = 'assistant'), '')) AS loss_sha256,
+  cast(sum(17 + length({_escaped('role')}) + length({_escaped('text')})) AS bigint) AS formatted_chars FROM t GROUP BY conv_id"""
+
+ORACLE_SQL: dict[str, str] = {"op5_embedding_near_dedup": _EMBEDDINGS, "op10_chat_format": _CHATS}

@@ -84,7 +84,7 @@ class TextEncoder:
         from tokenizers import Tokenizer
 
         self.tokenizer = Tokenizer.from_file(path)
-        self.tokenizer.encode_special_tokens = True  # strings of special tokens in a text are ordinary text
+        self.added = [t.content for t in self.tokenizer.get_added_tokens_decoder().values()]  # matched in texts before any cut
         self.spaces = [c for c in map(chr, range(0x3001)) if c.isspace() and c not in " \n"]
         self.tokenize, self.letters = self.tokenizer.model.tokenize, _byte_letters()
         self.known, self.parts = Memo(self.piece, limit), Memo(self.part, limit // 4)
@@ -93,10 +93,10 @@ class TextEncoder:
         return np.array(self.tokenizer.encode(text, add_special_tokens=False).ids, np.uint32)
 
     def odd(self, text: str) -> bool:
-        """True unless all white space is single spaces and line feeds between other characters (and for U+0000, the cuts' mark)."""
+        """True unless all white space is single spaces and line feeds between other characters (and for U+0000, the cuts' mark, and for added tokens)."""
         if not text or text[0] in " \n" or text[-1] in " \n" or any(x in text for x in ("  ", " \n", "\n ", "\n\n", "\0")):
             return True
-        return any(c in text for c in self.spaces)
+        return any(c in text for c in self.spaces) or any(t in text for t in self.added)
 
     def part(self, token: str) -> bytes:
         """Ids of one pre-token."""

@@ -251,6 +251,50 @@ def test_planted_notices_are_found(spark):
     assert [(f.license, f.end) for f in got[7]] == [("MIT-grant", len(rows[7][1]))]
 
 
+def plain_scan(text, least=0.8):
+    """Names whose notice some stretch of words covers, by longest common subsequences over every stretch that starts with one of its words."""
+    words, out = [w.lower() for w in licenses._WORD.findall(text or "")], set()
+    joined = f" {' '.join(words)} "
+    for name, notice in licenses.NOTICES.items():
+        own = licenses.words_of(notice)
+        bound = 1.0 if len(own) < licenses.SHORT else least
+        have, want = Counter(words), Counter(own)
+        if sum(min(have[w], n) for w, n in want.items()) < bound * len(own):
+            continue
+        named = licenses.NAMES.get(name)
+        if named and name != "CC-BY" and f" {' '.join(licenses.words_of(named))} " not in joined:
+            continue
+        if any(w in want and subsequence(words[i : i + 2 * len(own)], own) >= bound * len(own) for i, w in enumerate(words)):
+            out.add(name)
+    return out
+
+
+def test_query_against_brute_force(spark):
+    from logloom.llm.queries import op3_license_scan
+
+    rows = spark.read.parquet("/root/testdata/sf0.001/documents.parquet").collect()
+    got = {r.doc_id: r for r in op3_license_scan(spark, "/root/testdata/sf0.001").collect()}
+    want = {r.doc_id: plain_scan(r.text) for r in rows}
+    assert len(got) == len(rows) and any(want.values())
+    for d, names in want.items():
+        assert set(filter(None, got[d].licenses.split(","))) <= names and bool(got[d].n_found) == bool(names)
+
+
+def test_whole_texts_and_look_alikes():
+    scan = licenses.Scanner(licenses.NOTICES, 0.8)
+    for name in ("MIT-text", "BSD-2-Clause-text", "BSD-3-Clause-text", "ISC-text", "zlib", "Apache-header"):
+        found = scan(f"before\n{licenses.NOTICES[name]}\nafter it")
+        assert [(f["license"], f["coverage"]) for f in found] == [(name, 1.0)]
+    for text in ("Released under the Apache License", "Licensed under the BSD License", "under CC BY", "GNU Public License"):
+        assert scan(text) == []
+    assert [f["license"] for f in scan("This work is licensed under the GNU Lesser General Public License, version 2")] == ["LGPL"]
+
+
+def test_of_two_finds_on_one_span_the_smaller_name_stays():
+    found = licenses.Scanner({"b": "one two three", "a": "one two three"}, 0.8)("say one two three now")
+    assert [f["license"] for f in found] == ["a"]
+
+
 @pytest.mark.parametrize(
     "text, names",
     [
