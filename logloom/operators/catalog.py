@@ -58,21 +58,22 @@ def ancestors(types: DataFrame, levels: int = 20) -> DataFrame:
 
     The first type of a class name (by type_id) counts. One recursive query; steps are as many as the deepest chain.
     """
-    spark = types.sparkSession
     one = types.groupBy("class_fqn").agg(F.min_by("superclass_fqn", "type_id").alias("superclass_fqn"))
-    one.createOrReplaceTempView("logloom_types")
-    return spark.sql(f"""
-        WITH RECURSIVE up(class_fqn, ancestor, depth, seen) AS (
-          SELECT class_fqn, class_fqn, 0, array(class_fqn) FROM logloom_types
+    return types.sparkSession.sql(
+        f"""
+        WITH RECURSIVE up(class_fqn, ancestor, depth, seen) MAX RECURSION LEVEL {levels + 2} AS (
+          SELECT class_fqn, class_fqn, 0, array(class_fqn) FROM {{one}}
           UNION ALL
           SELECT u.class_fqn, t.superclass_fqn, u.depth + 1, concat(u.seen, array(t.superclass_fqn))
-          FROM up u JOIN logloom_types t ON t.class_fqn = u.ancestor
+          FROM up u JOIN {{one}} t ON t.class_fqn = u.ancestor
           WHERE t.superclass_fqn IS NOT NULL AND u.depth < {levels} AND NOT array_contains(u.seen, t.superclass_fqn))
-        SELECT class_fqn, ancestor, depth FROM up""")
+        SELECT class_fqn, ancestor, depth FROM up LIMIT ALL""",
+        one=one,
+    )
 
 
-def implementors(types: DataFrame, rounds: int = 20) -> DataFrame:
-    """(interface, class_fqn): classes that implement an interface, directly or through superclasses and other interfaces."""
+def implementors(types: DataFrame, rounds: int = 100) -> DataFrame:
+    """(interface, class_fqn): classes that implement an interface, directly or through superclasses and other interfaces; an error if chains are longer than ``rounds``."""
     up = types.select("class_fqn", F.explode(F.array_compact(F.concat(F.coalesce("interfaces", F.array().cast("array<string>")), F.array("superclass_fqn")))).alias("above")).distinct()
     reach = up
     for _ in range(rounds):
@@ -80,6 +81,8 @@ def implementors(types: DataFrame, rounds: int = 20) -> DataFrame:
         if not more.limit(1).count():
             break
         reach = reach.union(more)
+    else:
+        raise RuntimeError(f"the closure did not settle in {rounds} rounds")
     kinds = types.groupBy("class_fqn").agg(F.min_by("kind", "type_id").alias("kind"))
     above = kinds.where("kind = 'interface'").select(F.col("class_fqn").alias("above"))
     return reach.join(above, "above").join(kinds.where("kind <> 'interface'").select("class_fqn"), "class_fqn").select(F.col("above").alias("interface"), "class_fqn")

@@ -2,8 +2,10 @@
 
 from __future__ import annotations
 
+import math
 import random
 from dataclasses import asdict, replace
+from decimal import Decimal
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
@@ -64,6 +66,14 @@ def per_level(rows: DataFrame) -> DataFrame:
     return out.withColumn("precision", _ratio(F.col("at1"), F.col("evaluable"))).drop("place")
 
 
+def per_status(rows: DataFrame) -> DataFrame:
+    """(status, events, at1, at3, acc_at1, acc_at3) over evaluable events: always matched, ambiguous and unmatched."""
+    fixed = rows.sparkSession.createDataFrame([("matched",), ("ambiguous",), ("unmatched",)], "status string")
+    n = rows.where("evaluable").groupBy(F.col("match.status").alias("status")).agg(F.count("*").alias("events"), F.count_if("at1").alias("at1"), F.count_if("at3").alias("at3"))
+    out = fixed.join(n, "status", "left").select("status", *[F.coalesce(c, F.lit(0)).cast("long").alias(c) for c in ("events", "at1", "at3")])
+    return out.select("*", *[_ratio(F.col(c), F.col("events")).alias(f"acc_{c}") for c in ("at1", "at3")])
+
+
 def breakdown(rows: DataFrame, dimensions: list[str]) -> DataFrame:
     """(dimension, value, events, evaluable, at1, statements, hit): all dimensions in one pass; nulls are ``unknown``."""
     pairs = F.array(*[F.struct(F.lit(d).alias("dimension"), F.coalesce(F.col(d).cast("string"), F.lit("unknown")).alias("value")) for d in dimensions])
@@ -155,17 +165,60 @@ def write_report(rows: DataFrame, path: str) -> None:
 
 # ---- other weights over the same features
 
-RANGES = {"regex_full": (0.2, 0.7), "regex_prefix": (0.0, 0.5), "specificity_max": (0.0, 0.4), "specificity_k": (5.0, 40.0), "logger_exact": (0.0, 0.4), "logger_hierarchy": (0.0, 0.4), "logger_abbrev_multi": (0.0, 0.4), "logger_conflict": (-0.5, 0.0), "level_equal": (0.0, 0.3), "level_dynamic": (0.0, 0.3), "level_conflict": (-0.5, 0.0), "throwable_consistent": (0.0, 0.2), "throwable_inconsistent": (-0.3, 0.0), "min_score": (0.1, 0.6), "ambiguity_margin": (0.0, 0.2), "ambiguous_penalty": (0.3, 1.0), "high": (0.6, 0.95), "medium": (0.3, 0.8)}
+#: Fixed values, by parameter: least, most, unit of the grid, and step of a move.
+SPACE = {
+    "regex_full": (0.30, 0.60, 0.01, 0.05),
+    "regex_prefix": (0.05, 0.35, 0.01, 0.05),
+    "specificity_max": (0.00, 0.30, 0.01, 0.05),
+    "specificity_k": (5, 40, 1, 5),
+    "logger_exact": (0.05, 0.35, 0.01, 0.05),
+    "logger_hierarchy": (0.05, 0.30, 0.01, 0.05),
+    "logger_abbrev_multi": (0.02, 0.25, 0.01, 0.05),
+    "logger_conflict": (-0.50, 0.00, 0.01, 0.05),
+    "level_equal": (0.00, 0.25, 0.01, 0.05),
+    "level_dynamic": (0.00, 0.10, 0.005, 0.02),
+    "level_conflict": (-0.50, 0.00, 0.01, 0.05),
+    "throwable_consistent": (0.00, 0.15, 0.005, 0.025),
+    "throwable_inconsistent": (-0.15, 0.00, 0.005, 0.025),
+    "min_score": (0.15, 0.55, 0.01, 0.05),
+    "ambiguity_margin": (0.00, 0.15, 0.005, 0.025),
+    "ambiguous_penalty": (0.40, 0.90, 0.01, 0.05),
+    "high": (0.60, 0.90, 0.01, 0.05),
+    "medium": (0.35, 0.70, 0.01, 0.05),
+}
+LEVEL_GAP = 0.05
+
+
+def on_grid(value: float, unit: float) -> float:
+    """The nearest multiple of ``unit``, halves upwards, without binary noise."""
+    return float(math.floor(value / unit + 0.5) * Decimal(str(unit)))
 
 
 def repaired(c: Config) -> Config:
-    return replace(c, regex_prefix=min(c.regex_prefix, c.regex_full), medium=min(c.medium, round(c.high - 0.05, 6)))
+    """Every parameter in its range and on its grid; the prefix weighs no more than the full match, and medium stays below high by LEVEL_GAP."""
+    told = {k: on_grid(min(high, max(low, getattr(c, k))), unit) for k, (low, high, unit, _) in SPACE.items()}
+    told["regex_prefix"] = min(told["regex_prefix"], told["regex_full"])
+    if told["medium"] > told["high"] - LEVEL_GAP:
+        low, _, unit, _ = SPACE["medium"]
+        told["medium"] = on_grid(max(low, told["high"] - LEVEL_GAP), unit)
+    return replace(c, **told)
+
+
+def random_config(rng: random.Random, base: Config) -> Config:
+    return repaired(replace(base, **{k: low + rng.randrange(round((high - low) / unit) + 1) * unit for k, (low, high, unit, _) in SPACE.items()}))
 
 
 def distance(a: Config, b: Config) -> float:
-    """Sum over parameters of the difference in parts of the range."""
+    """The mean over parameters of the difference in parts of the range."""
     x, y = asdict(a), asdict(b)
-    return sum(abs(x[k] - y[k]) / (high - low) for k, (low, high) in RANGES.items())
+    return sum(abs(x[k] - y[k]) / (high - low) for k, (low, high, _, _) in SPACE.items()) / len(SPACE)
+
+
+def for_tuning(dataset: str) -> str:
+    """The dataset's id; test datasets must not be tuned on and are refused."""
+    if dataset.lower().startswith("test-"):
+        raise ValueError(f"{dataset} is a test dataset")
+    return dataset
 
 
 def score_trials(features: DataFrame, keys: DataFrame, truth: DataFrame, trials: list[Config]) -> list[dict]:
@@ -187,25 +240,36 @@ def score_trials(features: DataFrame, keys: DataFrame, truth: DataFrame, trials:
 
 
 def tune(features: DataFrame, keys: DataFrame, truth: DataFrame, trials: int = 200, seed: int = 1, floor: float = 0.95) -> tuple[Config, list[tuple[Config, dict]]]:
-    """The best configuration found, and all that were tried: the base, random ones in one job, then moves along one parameter at a time.
+    """The best configuration found, and all that were tried: the base, random ones in one job, then moves along one parameter at a time by its step and by half of it, as long as they help; all moves from one place are one job.
 
-    Better: the precision of high confidence is ``floor`` or more, then more right, then nearer to the base, then more right ones of high confidence.
+    Better: the precision of high confidence is ``floor`` or more (below that, higher), then more right, then nearer to the base, then more right ones of high confidence.
     """
     rng, base = random.Random(seed), Config()
-    first = [base, *[repaired(replace(base, **{k: round(rng.uniform(*r), 2) for k, r in RANGES.items()})) for _ in range((trials - 1) // 2)]]
+    first = [base]
+    for _ in range((trials - 1) // 2):
+        c = random_config(rng, base)
+        if c not in first:
+            first.append(c)
     tried = list(zip(first, score_trials(features, keys, truth, first), strict=True))
-    order = lambda x: (x[1]["high"] == 0 or x[1]["high_correct"] >= floor * x[1]["high"], x[1]["at1"], -distance(x[0], base), x[1]["high_correct"])
+
+    def order(x) -> tuple:
+        precision = x[1]["high_correct"] / x[1]["high"] if x[1]["high"] else -1.0
+        good = precision >= floor
+        return good, 0.0 if good else precision, x[1]["at1"], -distance(x[0], base), x[1]["high_correct"]
+
     for factor in (1.0, 0.5):
-        best = max(tried, key=order)[0]
-        moves = []
-        for k, (low, high) in RANGES.items():
-            for sign in (-1, 1):
-                value = min(high, max(low, round(getattr(best, k) + sign * factor * (high - low) / 10, 4)))
-                c = repaired(replace(best, **{k: value}))
-                if c not in [t for t, _ in tried] and c not in moves and len(tried) + len(moves) < trials:
-                    moves.append(c)
-        if moves:
-            tried += zip(moves, score_trials(features, keys, truth, moves), strict=True)
+        while True:
+            best = max(tried, key=order)
+            moves = []
+            for k, (_, _, _, step) in SPACE.items():
+                for sign in (-1, 1):
+                    c = repaired(replace(best[0], **{k: getattr(best[0], k) + sign * factor * step}))
+                    if c not in [t for t, _ in tried] and c not in moves and len(tried) + len(moves) < trials:
+                        moves.append(c)
+            if moves:
+                tried += zip(moves, score_trials(features, keys, truth, moves), strict=True)
+            if not moves or max(tried, key=order) is best:
+                break
     return max(tried, key=order)[0], tried
 
 

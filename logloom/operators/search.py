@@ -12,43 +12,102 @@ from pyspark.sql import functions as F
 from ..functions.text import tokens
 
 IN = {"service": "service", "level": "level", "status": "match.status", "confidence": "match.confidence_level"}
-EQUAL = {"dataset": "dataset_id", "trace": "trace_id", "statement": "match.statement_id"}
+EQUAL = {"dataset": "dataset_id", "trace": "trace_id", "statement": "match.statement_id", "log": "log_id"}
 ORDER = ("ts", "sequence", "log_id")
 
 
-def _starting(prefix: str):
-    return lambda t: t.startswith(prefix)
+#: A word of a message or query: letters, digits and underscores; between letters or digits also the marks that Unicode's word rules keep inside.
+TERM = r"[\p{L}\p{M}\p{N}_]+(?:(?:(?<=\p{L})[.:'’·](?=\p{L})|(?<=\p{N})[.,;'](?=\p{N}))[\p{L}\p{M}\p{N}_]+)*"
+_TOKEN = re.compile(r'''\s+|(?P<op>[+|()])|-(?P<no>)|"(?P<phrase>(?:[^"\\]|\\.)*)"(?:~\d+)?|(?P<word>(?:[^\s+|()"\\]|\\.)+)|.''', re.S)
+
+
+def terms_of(column: Column) -> Column:
+    """Words of a text, lower-cased, in order."""
+    return F.regexp_extract_all(F.lower(F.coalesce(column, F.lit(""))), F.lit(TERM), F.lit(0))
+
+
+def parse_query(q: str):
+    """The tree of a query: ("term" | "prefix" | "phrase", text), ("fuzzy", text, edits), ("not", x), ("and" | "or", x, y), ("all",) or None for nothing.
+
+    Terms beside each other are alternatives; ``+`` between two means both, ``|`` either; operators bind from left to right and
+    parentheses group; ``-`` before a term or group negates it; ``"..."`` is a phrase, ``word*`` a prefix, ``word~1`` allows edits; a
+    backslash takes a character as it is. An open parenthesis or quote without its end is ignored.
+    """
+    tokens = [m for m in _TOKEN.finditer(q) if not m[0].isspace()]
+    closing, open_ = {}, []
+    for i, m in enumerate(tokens):
+        if m["op"] == "(":
+            open_.append(i)
+        elif m["op"] == ")" and open_:
+            closing[open_.pop()] = i
+
+    def plain(text: str) -> str:
+        return re.sub(r"\\(.)", r"\1", text)
+
+    def leaf(m):
+        if m["phrase"] is not None:
+            return ("phrase", plain(m["phrase"])) if re.search(r"\w", m["phrase"]) else None
+        word = m["word"]
+        if not re.search(r"\w", word):
+            return ("all",) if word == "*" else None
+        fuzzy = re.fullmatch(r"(.*[^\\])~(\d*)", word)
+        if fuzzy:
+            return ("fuzzy", plain(fuzzy[1]), min(2, int(fuzzy[2] or 2)))
+        return ("prefix", plain(word[:-1])) if word.endswith("*") and not word.endswith("\\*") else ("term", plain(word))
+
+    def tree(first: int, last: int):
+        top, op, negated, i = None, None, False, first
+        while i < last:
+            m, branch = tokens[i], None
+            i += 1
+            if m["op"] in ("+", "|"):
+                op = op or ("and" if m["op"] == "+" else "or") if top is not None else None
+                continue
+            if m["no"] is not None:
+                negated = not negated
+                continue
+            if m["op"] == "(" and i - 1 in closing:
+                branch = tree(i, closing[i - 1])
+                i = closing[i - 1] + 1
+            elif m["phrase"] is not None or m["word"] is not None:
+                branch = leaf(m)
+            else:
+                continue
+            if branch is not None:
+                branch = ("not", branch) if negated else branch
+                top = branch if top is None else (op or "or", top, branch)
+                op = None
+            negated = False
+        return top
+
+    return tree(0, len(tokens))
 
 
 def text_query(q: str, column: Column) -> Column:
-    """Words (any of them), ``a | b``, ``+word``, ``-word``, ``"a phrase"`` and ``prefix*`` over the column's tokens."""
-    have = F.transform(F.split(F.lower(column), r"[^\p{L}\p{N}]+"), lambda t: t)
-    must, any_, no = [], [], []
-    for sign, phrase, word in re.findall(r'([+-]?)(?:"([^"]*)"|([^\s|]+))', q):
-        if phrase:
-            words = [w for w in re.split(r"[\W_]+", phrase.lower()) if w]
-            hit = F.concat(F.lit(" "), F.array_join(have, " "), F.lit(" ")).contains(f" {' '.join(words)} ")
-        else:
-            body = "".join(c for c in word.lower() if c.isalnum())
-            if not body:
-                continue
-            hit = F.exists(have, _starting(body)) if word.endswith("*") else F.array_contains(have, body)
-        (must if sign == "+" else no if sign == "-" else any_).append(hit)
-    out = F.lit(True)
-    for hit in must:
-        out = out & hit
-    for hit in no:
-        out = out & ~hit
-    if any_ and not must:
-        either = any_[0]
-        for hit in any_[1:]:
-            either = either | hit
-        out = out & either
-    return out
+    """Whether the words of ``column`` meet a query (see parse_query). A term that holds several words is met by any of them; a query without terms is met by nothing."""
+    have = terms_of(column)
+    spaced = lambda words: F.concat(F.lit(" "), F.array_join(words, " "), F.lit(" "))
+
+    def met(x) -> Column:
+        if x[0] == "all":
+            return F.lit(True)
+        if x[0] == "not":
+            return ~met(x[1])
+        if x[0] in ("and", "or"):
+            return met(x[1]) & met(x[2]) if x[0] == "and" else met(x[1]) | met(x[2])
+        if x[0] == "prefix":
+            return F.exists(have, lambda t: t.startswith(x[1].lower()))
+        if x[0] == "fuzzy":
+            return F.exists(have, lambda t: F.levenshtein(t, F.lit(x[1].lower()), x[2]) >= 0)
+        wanted = terms_of(F.lit(x[1]))
+        return spaced(have).contains(spaced(wanted)) if x[0] == "phrase" else F.arrays_overlap(have, wanted)
+
+    parsed = parse_query(q)
+    return met(parsed) if parsed is not None else F.lit(False)
 
 
 def search(logs: DataFrame, q: str | None = None, since=None, until=None, has_exception: bool | None = None, **wanted) -> DataFrame:
-    """Logs for which all hold; without conditions all logs. service, level, status, confidence take lists; dataset, trace, statement a value."""
+    """Logs for which all hold; without conditions all logs. service, level, status, confidence take lists; dataset, trace, statement, log a value. has_exception asks for the exception's class."""
     out = logs
     for name, value in wanted.items():
         if value is None:
@@ -64,8 +123,8 @@ def search(logs: DataFrame, q: str | None = None, since=None, until=None, has_ex
     if until is not None:
         out = out.where(F.col("ts") <= F.lit(until).cast("timestamp"))
     if has_exception is not None:
-        out = out.where(F.col("exception").isNotNull() if has_exception else F.col("exception").isNull())
-    return out.where(text_query(q, F.col("message"))) if q else out
+        out = out.where(F.col("exception.class").isNotNull() if has_exception else F.col("exception.class").isNull())
+    return out.where(text_query(q, F.col("message"))) if q and q.strip() else out
 
 
 def page(logs: DataFrame, size: int = 100, order: str = "desc", cursor: str | None = None) -> DataFrame:
@@ -89,12 +148,19 @@ def page(logs: DataFrame, size: int = 100, order: str = "desc", cursor: str | No
     return logs.orderBy(*by).limit(size)
 
 
+def page_end(found: DataFrame, shown: DataFrame, order: str = "desc") -> DataFrame:
+    """One row (total, cursor): how many logs ``found`` holds, and the cursor after the last log of the page ``shown`` (null for an empty page)."""
+    place = F.struct(F.col("ts").isNotNull() if order == "desc" else F.col("ts").isNull(), *ORDER)
+    last = shown.agg((F.min_by if order == "desc" else F.max_by)(F.to_json(F.array(*[F.col(c).cast("string") for c in ORDER])), place).alias("k"))
+    return found.agg(F.count("*").alias("total")).join(last.select(F.base64(F.col("k").cast("binary")).alias("cursor")))
+
+
 def encode_cursor(values: list) -> str:
     return base64.urlsafe_b64encode(json.dumps([None if v is None else str(v) for v in values]).encode()).decode()
 
 
 def decode_cursor(cursor: str) -> list:
-    values = json.loads(base64.urlsafe_b64decode(cursor))
+    values = json.loads(base64.b64decode(cursor.replace("-", "+").replace("_", "/")))
     if not isinstance(values, list) or len(values) != len(ORDER):
         raise ValueError("not a cursor")
     return values
@@ -151,7 +217,7 @@ def context(logs: DataFrame, anchors: DataFrame, catalog: DataFrame, sources: Da
 
 def statistics(logs: DataFrame) -> DataFrame:
     """(dimension, value, n): the total, and counts by status, confidence, service and level, with exceptions and traces: one pass by grouping sets."""
-    rows = logs.select("match.status", F.col("match.confidence_level").alias("confidence"), "service", "level", F.col("exception").isNotNull().alias("e"), F.col("trace_id").isNotNull().alias("t"))
+    rows = logs.select("match.status", F.col("match.confidence_level").alias("confidence"), "service", "level", F.col("exception.class").isNotNull().alias("e"), F.col("trace_id").isNotNull().alias("t"))
     sets = rows.groupingSets([[], [F.col("status")], [F.col("confidence")], [F.col("service")], [F.col("level")]], F.col("status"), F.col("confidence"), F.col("service"), F.col("level"))
     g = sets.agg(F.grouping_id().alias("g"), F.count("*").alias("n"), F.count_if("e").alias("e"), F.count_if("t").alias("t"))
     name = F.when(F.col("g") == 15, "total").when(F.col("g") == 7, "status").when(F.col("g") == 11, "confidence").when(F.col("g") == 13, "service").otherwise("level")

@@ -41,8 +41,10 @@ ORACLE_SQL = {
       CASE WHEN (CASE WHEN status = 'ambiguous' THEN sc * 0.6 ELSE sc END) >= 0.75 THEN 'high' WHEN (CASE WHEN status = 'ambiguous' THEN sc * 0.6 ELSE sc END) >= 0.5 THEN 'medium' ELSE 'low' END AS confidence_level,
       regexp_extract(message, CASE WHEN f THEN full_ ELSE replace(full_, '$', '') END, 1) AS args, cast(c AS int) AS candidates, class_fqn AS logger FROM d""",
     "log_statistics": f"""{_L} SELECT 'total' AS dimension, NULL AS value, count(*) AS n FROM l UNION ALL SELECT 'status', status, count(*) FROM l GROUP BY 2 UNION ALL SELECT 'confidence', confidence, count(*) FROM l GROUP BY 2
-      UNION ALL SELECT 'service', service, count(*) FROM l GROUP BY 2 UNION ALL SELECT 'level', level, count(*) FROM l GROUP BY 2 UNION ALL SELECT 'with_exception', NULL, 0 UNION ALL SELECT 'with_trace', NULL, count(*) FROM l""",
-    "ingest_report": f"{_L} SELECT service, status, count(*) AS events, count(DISTINCT thread) AS threads, count(*) FILTER (confidence = 'high') AS high FROM l GROUP BY 1, 2",
+      UNION ALL SELECT 'service', service, count(*) FROM l GROUP BY 2 UNION ALL SELECT 'level', level, count(*) FROM l GROUP BY 2 UNION ALL SELECT 'with_exception', NULL, count(*) FILTER (service = 'error' AND event_id % 9 > 0) FROM l UNION ALL SELECT 'with_trace', NULL, count(*) FROM l""",
+    "ingest_report": f"""{_L}, n AS (SELECT 'total' AS dimension, NULL AS value, count(*) AS n FROM l UNION ALL SELECT 'status', status, count(*) FROM l GROUP BY 2 UNION ALL SELECT 'confidence', confidence, count(*) FROM l WHERE confidence IS NOT NULL GROUP BY 2 UNION ALL SELECT 'service', service, count(*) FROM l GROUP BY 2
+        UNION ALL SELECT 'level', level, count(*) FROM l GROUP BY 2 UNION ALL SELECT 'with_exception', NULL, count(*) FROM l WHERE service = 'error' UNION ALL SELECT 'with_trace', NULL, count(*) FROM l UNION ALL SELECT 'events_per_second', NULL, count(*) / 2.0 FROM l)
+      SELECT dimension, value, cast(n AS double) AS n FROM n""",
     "log_page": f"{_L} SELECT event_id, log_id, sequence, level FROM l WHERE service IN ('error', 'signup') AND ts >= TIMESTAMP '2024-01-02' AND contains(lower(message), 'failed') AND NOT contains(lower(message), 'created') ORDER BY ts DESC, sequence DESC, log_id DESC LIMIT 50 OFFSET 50",
     "log_adjacent": f"{_L} SELECT log_id, lag(log_id) OVER w AS previous_id, lead(log_id) OVER w AS next_id FROM l WINDOW w AS (PARTITION BY dataset_id, source_file ORDER BY sequence)",
     "log_neighbours": f"{_L}, n AS (SELECT *, row_number() OVER (PARTITION BY service, thread ORDER BY {_orders()}) AS r FROM l) SELECT a.log_id AS anchor_id, cast(b.r - a.r AS int) AS \"offset\", b.log_id FROM n a JOIN n b ON a.service = b.service AND a.thread = b.thread AND b.r BETWEEN a.r - 2 AND a.r + 2 AND a.r <> b.r",

@@ -2,19 +2,21 @@
 
 from __future__ import annotations
 
+import re
+
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from ..functions import text
-from ..operators import assemble, catalog, evaluate, labels, match, search
+from ..operators import assemble, catalog, evaluate, labels, match, meta, search
 from ..sources.formats import json_lines, logback, spring_boot
 from .derive import LOGS, STATEMENTS
 
 
 def _sql(spark: SparkSession, sf_dir: str, query: str, *tables: str) -> DataFrame:
     for t in tables:
-        spark.read.parquet(f"{sf_dir}/{t}.parquet").createOrReplaceTempView(t)
-    return spark.sql(query)
+        query = re.sub(rf"\b(FROM|JOIN) {t}\b", rf"\1 {{{t}}}", query)
+    return spark.sql(query, **{t: spark.read.parquet(f"{sf_dir}/{t}.parquet") for t in tables})
 
 
 def _logs(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -23,7 +25,7 @@ def _logs(spark: SparkSession, sf_dir: str) -> DataFrame:
     place = text.log_id(F.col("dataset_id"), F.col("source_file"), F.col("sequence") + 1)
     shown = F.when(F.col("status") != "unmatched", F.col("predicted"))
     candidates = F.transform(F.array(F.col("predicted"), F.concat(F.lit("s"), ((F.substring("predicted", 2, 9).cast("long") + 1) % 7).cast("string"))), lambda s, i: F.struct(s.alias("statement_id"), (F.lit(0.9) - i * 0.2).alias("score")))
-    return rows.select(place.alias("log_id"), "*", F.lit(None).cast("struct<class:string>").alias("exception"), F.struct("status", shown.alias("statement_id"), F.col("confidence").alias("confidence_level"), candidates.alias("candidates")).alias("match"), F.struct((F.col("event_id") % 5 > 0).alias("reliable")).alias("ground_truth"), (F.col("sequence") + 1).cast("int").alias("line_number"))
+    return rows.select(place.alias("log_id"), "*", F.when(F.col("service") == "error", F.struct(F.when(F.col("event_id") % 9 > 0, F.lit("java.io.IOException")).alias("class"))).alias("exception"), F.struct("status", shown.alias("statement_id"), F.col("confidence").alias("confidence_level"), candidates.alias("candidates")).alias("match"), F.struct((F.col("event_id") % 5 > 0).alias("reliable")).alias("ground_truth"), (F.col("sequence") + 1).cast("int").alias("line_number"))
 
 
 def _lines(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -75,12 +77,11 @@ def log_statistics(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def ingest_report(spark: SparkSession, sf_dir: str) -> DataFrame:
-    logs = _logs(spark, sf_dir)
-    return logs.groupBy("service", "match.status").agg(F.count("*").alias("events"), F.count_distinct("thread").alias("threads"), F.count_if(F.col("match.confidence_level") == "high").alias("high"))
+    return meta.ingest_report(_logs(spark, sf_dir), 2000)
 
 
 def log_page(spark: SparkSession, sf_dir: str) -> DataFrame:
-    found = search.search(_logs(spark, sf_dir), q="failed -created", service=["error", "signup"], since="2024-01-02 00:00:00")
+    found = search.search(_logs(spark, sf_dir), q="failed + -created", service=["error", "signup"], since="2024-01-02 00:00:00")
     first = search.page(found, 50, "desc").select("ts", "sequence", "log_id")
     last = first.orderBy("ts", "sequence", "log_id").limit(1).collect()
     cursor = search.encode_cursor([last[0].ts, last[0].sequence, last[0].log_id]) if last else None
@@ -240,13 +241,13 @@ def interface_implementors(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def dependency_rollup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Parts as statements of their brands, the larger ones supported."""
     p = spark.read.parquet(f"{sf_dir}/part.parquet")
-    return p.rollup("p_brand").agg(F.count("*").alias("statements"), F.count_if(F.col("p_size") > 25).alias("supported"), F.grouping("p_brand").cast("int").alias("total")).select(F.coalesce("p_brand", F.lit("TOTAL")).alias("artifact"), "statements", "supported", "total")
+    return meta.dependency_report(p.select(F.col("p_brand").alias("artifact"), (F.col("p_size") > 25).alias("supported")))
 
 
 def datasets(spark: SparkSession, sf_dir: str) -> DataFrame:
-    logs = _logs(spark, sf_dir)
-    return logs.groupBy("dataset_id", "service").agg(F.count("*").alias("logs"), F.min("ts").cast("string").alias("first"), F.max("line_number").alias("lines"))
+    return meta.dataset_services(_logs(spark, sf_dir))
 
 
 def eval_score(spark: SparkSession, sf_dir: str) -> DataFrame:
