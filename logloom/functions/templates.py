@@ -1,51 +1,39 @@
-"""Message templates: literals and holes. Parsed once for each catalogued statement, then columns."""
+"""Message templates: literals and holes. Columns only, so a catalog of any size is prepared by the same plan."""
 
 from __future__ import annotations
 
-import re
-
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
-SCHEMA = "template string, regex_full string, regex_prefix string, literal_length int, holes int, literals string"
-_PART = re.compile(r"\\([{\\])|(\{\})|(.)", re.S)
+#: Stand for an escaped backslash and an escaped brace while a template is cut at its holes.
+_BACKSLASH, _BRACE = "\ue000", "\ue001"
 
 
-def parse(text: str) -> list[str | None]:
-    """Literals (strings) and holes (None), neighbours merged, outer white space of outer literals dropped."""
-    parts: list[str | None] = []
-    for escaped, hole, other in _PART.findall(text):
-        if hole:
-            if not parts or parts[-1] is not None:
-                parts.append(None)
-        elif parts and parts[-1] is not None:
-            parts[-1] += escaped or other
-        else:
-            parts.append(escaped or other)
-    if parts and parts[0] is not None:
-        parts[0] = parts[0].lstrip()
-    if parts and parts[-1] is not None:
-        parts[-1] = parts[-1].rstrip()
-    return [p for p in parts if p != ""]
+def _each(parts: Column, f) -> Column:
+    return F.transform(parts, f)
 
 
-def quoted(literal: str) -> str:
-    return "\\Q" + literal.replace("\\E", "\\E\\\\E\\Q") + "\\E"
+def literals_of(text: Column) -> Column:
+    """The literals around a template's holes, one more than it has holes: neighbouring holes are one, the outer white space of outer literals is dropped, and a literal may be empty."""
+    held = F.replace(F.replace(text, F.lit("\\\\"), F.lit(_BACKSLASH)), F.lit("\\{"), F.lit(_BRACE))
+    parts = _each(F.split(held, r"(?:\{\})+", -1), lambda p: F.replace(F.replace(p, F.lit(_BACKSLASH), F.lit("\\")), F.lit(_BRACE), F.lit("{")))
+    return F.transform(parts, lambda p, i: F.when(i == F.size(parts) - 1, F.regexp_replace(F.when(i == 0, F.regexp_replace(p, r"(?U)^\s+", "")).otherwise(p), r"(?U)\s+\z", "")).when(i == 0, F.regexp_replace(p, r"(?U)^\s+", "")).otherwise(p))
 
 
-def features(text: str | None) -> dict | None:
-    if text is None:
-        return None
-    parts = parse(text)
-    body = "".join("(.*?)" if p is None else quoted(p) for p in parts)
-    literals = [p for p in parts if p is not None]
-    shown = "".join("{}" if p is None else p.replace("\\", "\\\\").replace("{", "\\{") for p in parts)
-    return {"template": shown, "regex_full": f"(?s)^{body}\\z", "regex_prefix": f"(?s)^{body}", "literal_length": sum(not c.isspace() for p in literals for c in p), "holes": sum(p is None for p in parts), "literals": "\n".join(literals)}
+def quoted(literal: Column) -> Column:
+    return F.when(literal == "", literal).otherwise(F.concat(F.lit("\\Q"), F.replace(literal, F.lit("\\E"), F.lit("\\E\\\\E\\Q")), F.lit("\\E")))
 
 
 def template_features(text: Column) -> Column:
-    """For tables of statements, which are small; events never pass through it."""
-    return F.udf(features, SCHEMA)(text)
+    """(template, regex_full, regex_prefix, literal_length, holes, literals) of a template; null for null."""
+    def of(parts: Column) -> Column:
+        body = F.concat(F.lit("(?s)^"), F.array_join(_each(parts, quoted), "(.*?)"))
+        shown = F.array_join(_each(parts, lambda p: F.replace(F.replace(p, F.lit("\\"), F.lit("\\\\")), F.lit("{"), F.lit("\\{"))), "{}")
+        size = F.aggregate(parts, F.lit(0), lambda n, p: n + F.length(F.regexp_replace(p, r"(?U)\s", "")))
+        return F.struct(shown.alias("template"), F.concat(body, F.lit("\\z")).alias("regex_full"), body.alias("regex_prefix"), size.alias("literal_length"), (F.size(parts) - 1).alias("holes"), F.array_join(F.filter(parts, lambda p: p != ""), "\n").alias("literals"))
+
+    # through an array of one, so that the parts are made once
+    return F.when(text.isNotNull(), F.get(F.transform(F.array(literals_of(text)), of), 0))
 
 
 def arguments(message: Column, regex: Column, holes: Column) -> Column:

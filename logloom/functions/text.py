@@ -38,7 +38,7 @@ def tokens(text: Column) -> Column:
 
 
 def strip_ansi(text: Column) -> Column:
-    return F.regexp_replace(text, "\u001b\\[[0-9;?]*[ -/]*[A-Za-z]", "")
+    return F.when(text.contains("\u001b"), F.regexp_replace(text, "\u001b\\[[0-9;?]*[ -/]*[A-Za-z]", "")).otherwise(text)
 
 
 def blank_to_null(text: Column) -> Column:

@@ -42,15 +42,22 @@ def logger_names(catalog: DataFrame, types: DataFrame, modules: DataFrame) -> Da
     """(service, name): every name that a logger of the service can have."""
     own = applicable(catalog, modules).join(catalog.select("statement_id", "logger_name"), "statement_id").select("service", F.col("logger_name").alias("name"))
     t = applicable_types(types, modules)
-    return own.union(t.select("service", "class_fqn")).union(t.select("service", "class_binary")).where("name is not null").distinct()
+    return own.union(t.select("service", F.explode(F.array_distinct(F.array_compact(F.array("class_fqn", "class_binary")))))).where("name is not null").distinct()
+
+
+def token_weights(catalog: DataFrame, usable: DataFrame) -> DataFrame:
+    """(service, token, df, idf): idf is ln(statements of the service / statements with the token). Counted before anything is joined."""
+    rows = usable.join(catalog.select("statement_id", "constant_tokens"), "statement_id")
+    # one pass: the empty token stands for the statement itself
+    every = rows.select("service", F.explode(F.concat(F.array(F.lit("")), "constant_tokens")).alias("token")).groupBy("service", "token").agg(F.count("*").alias("df"))
+    n = every.where("token = ''").select("service", F.col("df").alias("n"))
+    return every.where("token <> ''").join(n, "service").select("service", "token", "df", F.log(F.col("n") / F.col("df")).alias("idf"))
 
 
 def postings(catalog: DataFrame, usable: DataFrame) -> DataFrame:
-    """(service, token, statement_id, idf): idf is ln(statements of the service / statements with the token)."""
-    n = usable.groupBy("service").agg(F.count("*").alias("n"))
+    """(service, token, statement_id, idf): the tokens of every statement with their weights."""
     rows = usable.join(catalog.select("statement_id", F.explode("constant_tokens").alias("token")), "statement_id")
-    df = rows.groupBy("service", "token").agg(F.count("*").alias("df"))
-    return rows.join(df, ["service", "token"]).join(n, "service").select("service", "token", "statement_id", F.log(F.col("n") / F.col("df")).alias("idf"))
+    return rows.join(token_weights(catalog, usable).drop("df"), ["service", "token"]).select("service", "token", "statement_id", "idf")
 
 
 def ancestors(types: DataFrame, levels: int = 20) -> DataFrame:
@@ -73,16 +80,18 @@ def ancestors(types: DataFrame, levels: int = 20) -> DataFrame:
 
 
 def implementors(types: DataFrame, rounds: int = 100) -> DataFrame:
-    """(interface, class_fqn): classes that implement an interface, directly or through superclasses and other interfaces; an error if chains are longer than ``rounds``."""
+    """(interface, class_fqn): classes that implement an interface, directly or through superclasses and other interfaces; the job fails if chains are longer than ``rounds``. A cycle is walked once."""
     up = types.select("class_fqn", F.explode(F.array_compact(F.concat(F.coalesce("interfaces", F.array().cast("array<string>")), F.array("superclass_fqn")))).alias("above")).distinct()
-    reach = up
-    for _ in range(rounds):
-        more = reach.join(up.select(F.col("class_fqn").alias("above"), F.col("above").alias("higher")), "above").select("class_fqn", F.col("higher").alias("above")).join(reach, ["class_fqn", "above"], "left_anti").distinct()
-        if not more.limit(1).count():
-            break
-        reach = reach.union(more)
-    else:
-        raise RuntimeError(f"the closure did not settle in {rounds} rounds")
+    reach = types.sparkSession.sql(
+        f"""
+        WITH RECURSIVE reach(class_fqn, above, depth, seen) MAX RECURSION LEVEL {rounds + 2} AS (
+          SELECT class_fqn, above, 1, array(class_fqn, above) FROM {{up}}
+          UNION ALL
+          SELECT r.class_fqn, u.above, r.depth + 1, concat(r.seen, array(u.above)) FROM reach r JOIN {{up}} u ON u.class_fqn = r.above
+          WHERE r.depth <= {rounds} AND NOT array_contains(r.seen, u.above))
+        SELECT DISTINCT class_fqn, CASE WHEN depth > {rounds} THEN raise_error('chains of interfaces are longer than {rounds}') ELSE above END AS above FROM reach LIMIT ALL""",
+        up=up,
+    )
     kinds = types.groupBy("class_fqn").agg(F.min_by("kind", "type_id").alias("kind"))
     above = kinds.where("kind = 'interface'").select(F.col("class_fqn").alias("above"))
     return reach.join(above, "above").join(kinds.where("kind <> 'interface'").select("class_fqn"), "class_fqn").select(F.col("above").alias("interface"), "class_fqn")
@@ -91,7 +100,7 @@ def implementors(types: DataFrame, rounds: int = 100) -> DataFrame:
 def reverse_edges(edges: DataFrame) -> DataFrame:
     """(method_id, called_by, caller_count) from call edges (caller_id, target_id, line); callers sorted."""
     called = edges.where("target_id is not null").select("caller_id", "target_id", "line").distinct()
-    return called.groupBy(F.col("target_id").alias("method_id")).agg(F.array_sort(F.collect_list(F.struct(F.col("caller_id").alias("method_id"), "line"))).alias("called_by"), F.count("*").alias("caller_count"))
+    return called.groupBy(F.col("target_id").alias("method_id")).agg(F.sort_array(F.collect_list(F.struct(F.col("caller_id").alias("method_id"), "line"))).alias("called_by"), F.count("*").alias("caller_count"))
 
 
 def unique_implementor_edges(edges: DataFrame, classes: DataFrame) -> DataFrame:

@@ -22,4 +22,4 @@ def resolve_frames(events: DataFrame, known: DataFrame) -> DataFrame:
     """(log_id, frames): the frames of every event with an exception, in order, each with in_project, code_unit and file_id."""
     rows = events.where("exception is not null").select("log_id", "service", F.posexplode("exception.frames").alias("place", "f"))
     joined = rows.join(known, (rows["service"] == known["service"]) & (F.col("f.class") == known["class"]), "left").select("log_id", "place", F.struct(F.col("f.class").alias("class"), F.col("f.method").alias("method"), F.col("f.file").alias("file"), F.col("f.line").alias("line"), F.coalesce("in_project", F.lit(False)).alias("in_project"), "code_unit", "file_id").alias("f"))
-    return joined.groupBy("log_id").agg(F.transform(F.array_sort(F.collect_list(F.struct("place", "f"))), lambda x: x.f).alias("frames"))
+    return joined.groupBy("log_id").agg(F.transform(F.sort_array(F.collect_list(F.struct("place", "f"))), lambda x: x.f).alias("frames"))

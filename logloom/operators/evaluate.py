@@ -23,7 +23,7 @@ def truths(logs: DataFrame, statements: DataFrame, labels: DataFrame) -> DataFra
     place = logs.where("ground_truth.reliable").select("log_id", "service", F.col("ground_truth.class").alias("c"), F.col("ground_truth.line").alias("l"))
     named = place.select("log_id", "service", F.explode(F.array_distinct(F.array("c", F.replace(F.col("c"), F.lit("$"), F.lit("."))))).alias("class_fqn"), "l")
     lines = statements.select("service", "class_fqn", "statement_id", "line", F.coalesce("end_line", "line").alias("end_line"))
-    hits = named.join(lines, ["service", "class_fqn"]).where("l between line and end_line").groupBy("log_id").agg(F.array_sort(F.collect_set("statement_id")).alias("found"))
+    hits = named.join(lines, ["service", "class_fqn"]).where("l between line and end_line").groupBy("log_id").agg(F.sort_array(F.collect_set("statement_id")).alias("found"))
     rows = logs.select("log_id", F.col("match.statement_id").alias("now"), F.coalesce("ground_truth.reliable", F.lit(False)).alias("reliable"))
     rows = rows.join(labels.select("log_id", "verdict", "correct_statement_id", "predicted_statement_id"), "log_id", "left").join(hits, "log_id", "left")
     told = F.when(F.col("verdict") == "correct", F.coalesce("predicted_statement_id", "now")).when(F.col("verdict") == "incorrect", F.col("correct_statement_id"))

@@ -210,8 +210,8 @@ def context(logs: DataFrame, anchors: DataFrame, catalog: DataFrame, sources: Da
     one = one.withColumn("statement_id", F.col("match.statement_id")).join(said, "statement_id", "left")
     one = one.join(sources.select("file_id", "content"), "file_id", "left").withColumn("snippet", snippet(F.col("content"), F.col("at"), radius)).drop("content")
     one = one.join(called_by.select("method_id", F.slice("called_by", 1, 10).alias("callers"), "caller_count"), "method_id", "left")
-    near = neighbours(logs, anchors, "service", 10, 10).groupBy("anchor_id").agg(F.array_sort(F.collect_list(F.struct("offset", "log_id"))).alias("neighbours"))
-    same = trace(logs, anchors, 50).groupBy("anchor_id").agg(F.array_sort(F.collect_list(F.struct("place", "log_id"))).alias("trace"))
+    near = neighbours(logs, anchors, "service", 10, 10).groupBy("anchor_id").agg(F.sort_array(F.collect_list(F.struct("offset", "log_id"))).alias("neighbours"))
+    same = trace(logs, anchors, 50).groupBy("anchor_id").agg(F.sort_array(F.collect_list(F.struct("place", "log_id"))).alias("trace"))
     return one.join(near.withColumnRenamed("anchor_id", "log_id"), "log_id", "left").join(same.withColumnRenamed("anchor_id", "log_id"), "log_id", "left")
 
 

@@ -56,7 +56,7 @@ def folded_frames(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The lines of an order as frames: returned ones are the project's."""
     o = _sql(spark, sf_dir, "SELECT l_orderkey, l_linenumber, l_partkey, l_suppkey, l_returnflag FROM lineitem", "lineitem")
     frame = F.struct((F.col("l_returnflag") == "R").alias("in_project"), F.lit("C").alias("class"), F.lit("m").alias("method"), F.lit("C.java").alias("file"), F.col("l_linenumber").alias("line"))
-    one = o.groupBy("l_orderkey").agg(F.transform(F.array_sort(F.collect_list(F.struct("l_linenumber", "l_partkey", "l_suppkey", frame.alias("f")))), lambda x: x.f).alias("frames"))
+    one = o.groupBy("l_orderkey").agg(F.transform(F.sort_array(F.collect_list(F.struct("l_linenumber", "l_partkey", "l_suppkey", frame.alias("f")))), lambda x: x.f).alias("frames"))
     items = F.transform(views.folded(F.col("frames")), lambda x: F.concat(x.kind, F.lit(":"), x.start.cast("string"), F.lit("-"), x["end"].cast("string")))
     return one.select("l_orderkey", F.array_join(items, " ").alias("items"), views.frame_text(F.col("frames")[0]).alias("first"))
 
@@ -212,7 +212,7 @@ def resolved_frames(spark: SparkSession, sf_dir: str) -> DataFrame:
     modules = spark.sql("SELECT 'm' AS module, 'svc' AS service, array('g:a:1') AS selected_dependencies")
     sources = spark.sql("SELECT * FROM VALUES ('f0'), ('f1') t(file_id)")
     q = "SELECT cast(l_orderkey AS string) AS log_id, l_linenumber, l_partkey, l_suppkey, concat('C', cast(l_partkey % 5 AS string), CASE WHEN l_partkey % 5 = 1 AND l_suppkey % 2 = 0 THEN '$' ELSE '' END) AS class FROM lineitem"
-    rows = _sql(spark, sf_dir, q, "lineitem").groupBy("log_id").agg(F.array_sort(F.collect_list(F.struct("l_linenumber", "l_partkey", "l_suppkey", "class"))).alias("x"))
+    rows = _sql(spark, sf_dir, q, "lineitem").groupBy("log_id").agg(F.sort_array(F.collect_list(F.struct("l_linenumber", "l_partkey", "l_suppkey", "class"))).alias("x"))
     frame = lambda x: F.struct(x["class"].alias("class"), F.lit("m").alias("method"), F.lit("F").alias("file"), x.l_linenumber.alias("line"))
     events = rows.select("log_id", F.lit("svc").alias("service"), F.struct(F.transform("x", frame).alias("frames")).alias("exception"))
     found = enrich.resolve_frames(events, enrich.frame_types(types, modules, sources))
@@ -244,7 +244,7 @@ def match_branches(spark: SparkSession, sf_dir: str) -> DataFrame:
     own = s.select(F.col("class_fqn").alias("type_id"), "code_unit", "module", "class_fqn", F.col("class_fqn").alias("class_binary"), F.lit(None).cast("string").alias("superclass_fqn"))
     child = spark.sql("SELECT 'child' AS type_id, 'com.shop.Child' AS class_fqn, 'com.shop.Child' AS class_binary, 'com.shop.Base' AS superclass_fqn").select("type_id", unit.alias("code_unit"), F.lit("m").alias("module"), "class_fqn", "class_binary", "superclass_fqn")
     events = _sql(spark, sf_dir, BRANCH_EVENTS, "events").withColumn("service", F.lit("svc"))
-    m = match.match(events, s, modules, own.union(child))
+    m = match.match(events, s, modules, own.union(child), cached=[])
     parts = F.transform(views.breakdown_rows(F.map_filter("match.score_breakdown", lambda k, v: k != "specificity")), lambda x: F.concat(x.key, F.format_string(" %.2f", x.points)))
     shown = F.transform("match.candidates", lambda c: F.concat(c.statement_id, F.format_string(" %.6f", c.score)))
     return m.select("event_id", "match.status", "match.statement_id", F.round("match.confidence", 6).alias("confidence"), "match.confidence_level", F.array_join("match.args", "|").alias("args"), F.array_join(shown, "|").alias("candidates"), F.array_join(parts, "|").alias("parts"), "match.class_fqn", "match.template", "logger")

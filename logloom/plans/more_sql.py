@@ -63,4 +63,19 @@ ORACLE_SQL = {
       SELECT *, false AS via_interface FROM e UNION ALL SELECT caller_id, only_, method, line, true FROM e JOIN o ON target_class = n_name""",
     "resolved_frames": """WITH f AS (SELECT cast(l_orderkey AS varchar) AS log_id, l_linenumber, l_partkey, l_suppkey, l_partkey % 5 AS c, concat('C', cast(l_partkey % 5 AS varchar), CASE WHEN l_partkey % 5 = 1 AND l_suppkey % 2 = 0 THEN '$' ELSE '' END) AS class FROM lineitem)
       SELECT log_id, string_agg(concat(class, CASE c WHEN 0 THEN '/true/p:1/f0' WHEN 1 THEN '/false/g:a:1/f1' WHEN 2 THEN '/false/g:a:1/-' ELSE '/false/-/-' END), ' ' ORDER BY l_linenumber, l_partkey, l_suppkey, class) AS frames FROM f GROUP BY 1""",
+    # by the rules of scoring: full match 0.45, prefix 0.2, 0.2 * L / (L + 15) for L letters of literals, logger 0.2, 0.15, 0.12 or -0.25, level 0.1, 0.03 or -0.3, exception 0.05 or -0.05
+    "match_branches": """WITH v(k, status, statement_id, confidence, confidence_level, args, candidates, parts, class_fqn, template, logger) AS (VALUES
+        (0, 'matched', 'b-direct', 0.45 + 0.2 * 9 / 24 + 0.35, 'high', '1', 'b-direct 0.875000', 'regex_full 0.45|logger_exact 0.20|level_equal 0.10|throwable_consistent 0.05', 'com.shop.A', 'Alpha {} done', 'com.shop.A'),
+        (1, 'matched', 'b-parent', 0.45 + 0.2 * 8 / 23 + 0.3, 'high', '2', 'b-parent 0.819565', 'regex_full 0.45|logger_hierarchy 0.15|level_equal 0.10|throwable_consistent 0.05', 'com.shop.Base', 'Base says {}', 'com.shop.Child'),
+        (2, 'matched', 'b-multi1', 0.77, 'high', '3', 'b-multi1 0.770000|b-multi2 0.600000', 'regex_full 0.45|logger_abbrev_multi 0.12|level_equal 0.10|throwable_consistent 0.05', 'com.shop.x.M', 'Multi {}', NULL),
+        (3, 'matched', 'b-token', 0.6 + 0.2 * 20 / 35, 'medium', '4', 'b-token 0.714286', 'regex_full 0.45|level_equal 0.10|throwable_consistent 0.05', 'com.shop.T', 'Unusual zebra {} crossing', NULL),
+        (4, 'matched', 'b-direct', 0.475, 'low', '5', 'b-direct 0.475000', 'regex_full 0.45|logger_exact 0.20|level_conflict -0.30|throwable_consistent 0.05', 'com.shop.A', 'Alpha {} done', 'com.shop.A'),
+        (5, 'matched', 'b-direct', 0.625, 'medium', '6', 'b-direct 0.625000', 'regex_prefix 0.20|logger_exact 0.20|level_equal 0.10|throwable_consistent 0.05', 'com.shop.A', 'Alpha {} done', 'com.shop.A'),
+        (6, 'matched', 'b-direct', 0.775, 'high', '7', 'b-direct 0.775000', 'regex_full 0.45|logger_exact 0.20|level_equal 0.10|throwable_inconsistent -0.05', 'com.shop.A', 'Alpha {} done', 'com.shop.A'),
+        (7, 'matched', 'b-any', 0.35, 'low', 'whatever 8', 'b-any 0.350000', 'logger_exact 0.20|level_equal 0.10|throwable_consistent 0.05', 'com.shop.D', '{}', 'com.shop.D'),
+        (8, 'matched', 'b-token', 0.35 + 0.2 * 20 / 35, 'low', '9', 'b-token 0.464286', 'regex_full 0.45|logger_conflict -0.25|level_equal 0.10|throwable_consistent 0.05', 'com.shop.T', 'Unusual zebra {} crossing', 'com.shop.A'),
+        (9, 'ambiguous', 'b-multi1', 0.35 * 0.6, 'low', '10', 'b-multi1 0.350000|b-multi2 0.330000', 'regex_full 0.45|logger_exact 0.20|level_conflict -0.30|throwable_inconsistent -0.05', 'com.shop.x.M', 'Multi {}', 'com.shop.x.M'),
+        (10, 'matched', 'b-token', 0.6 + 0.2 * 20 / 35, 'medium', '11', 'b-token 0.714286', 'regex_full 0.45|level_equal 0.10|throwable_consistent 0.05', 'com.shop.T', 'Unusual zebra {} crossing', NULL),
+        (11, 'unmatched', NULL, NULL, NULL, '', 'b-any 0.000000', '', NULL, NULL, 'com.shop.D'))
+      SELECT event_id, status, statement_id, round(cast(confidence AS double), 6) AS confidence, confidence_level, args, candidates, parts, class_fqn, template, logger FROM events JOIN v ON event_id % 12 = k""",
 }

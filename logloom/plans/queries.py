@@ -68,7 +68,7 @@ def match_logs(spark: SparkSession, sf_dir: str) -> DataFrame:
     s, modules, types = _catalog(spark)
     short = F.create_map(*[F.lit(x) for x in ("click", "c.s.w.ClickController", "view", "c.s.w.PageController", "purchase", "c.s.o.OrderService", "error", "c.s.w.ErrorAdvice", "signup", "c.s.a.AccountService")])
     logs = _sql(spark, sf_dir, LOGS, "events").select("event_id", "service", short[F.col("service")].alias("logger_raw"), "level", "message", F.lit(False).alias("has_exception"))
-    m = match.match(logs, s, modules, types)
+    m = match.match(logs, s, modules, types, cached=[])
     return m.select("event_id", "match.status", "match.statement_id", F.round("match.confidence", 6).alias("confidence"), "match.confidence_level", F.array_join("match.args", "|").alias("args"), F.size("match.candidates").alias("candidates"), "logger")
 
 
@@ -122,8 +122,7 @@ def token_sets(spark: SparkSession, sf_dir: str) -> DataFrame:
 def token_idf(spark: SparkSession, sf_dir: str) -> DataFrame:
     """IDF of tokens by source, each document standing for a statement."""
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet").select(F.col("doc_id").cast("string").alias("statement_id"), F.col("source").alias("service"), text.tokens(F.col("text")).alias("constant_tokens"))
-    p = catalog.postings(docs.select("statement_id", "constant_tokens"), docs.select("service", "statement_id"))
-    return p.groupBy("service", "token").agg(F.count("*").alias("df"), F.round(F.first("idf"), 9).alias("idf"))
+    return catalog.token_weights(docs.select("statement_id", "constant_tokens"), docs.select("service", "statement_id")).withColumn("idf", F.round("idf", 9))
 
 
 def stable_ids(spark: SparkSession, sf_dir: str) -> DataFrame:

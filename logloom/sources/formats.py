@@ -22,11 +22,26 @@ def _header(ok: Column, **fields: Column) -> Column:
     return F.when(ok, F.struct(*[fields.get(f, F.lit(None).cast("timestamp" if f == "instant" else "string")).alias(f) for f in FIELDS]))
 
 
-def spring_boot(line: Column) -> Column:
+#: Stands between the groups of a line that was taken apart; a line that holds it is no header.
+_CUT = "\u0001\u0002"
+
+
+def _taken_apart(line: Column, regex: str, groups: int, header: Callable[[list[Column]], Column]) -> Column:
+    """``header`` of the groups of an anchored expression, null where it does not match: the expression runs once over a line, and the groups are cut from what it leaves."""
     plain = strip_ansi(line)
-    g = [F.regexp_extract(plain, SPRING_BOOT, i) for i in range(9)]
-    instant = F.try_to_timestamp(g[1], F.lit("yyyy-MM-dd'T'HH:mm:ss.SSSXXX"))
-    return _header(plain.rlike(SPRING_BOOT) & instant.isNotNull(), timestamp_raw=g[1], instant=instant, level=normal_level(g[2]), pid=g[3], app_name=blank_to_null(g[4]), thread=F.trim(g[5]), correlation_raw=F.nullif(g[6], F.lit("")), logger_raw=F.trim(g[7]), message=g[8])
+    parts = F.split(F.regexp_replace(plain, regex, _CUT.join(f"${i + 1}" for i in range(groups))), _CUT, groups)
+    found = F.when(~plain.contains(_CUT), parts)
+    return F.get(F.transform(F.array(found), lambda p: F.when(F.size(p) == groups, header([F.get(p, i) for i in range(groups)]))), 0)
+
+
+def spring_boot(line: Column) -> Column:
+    def header(g: list[Column]) -> Column:
+        instant = F.try_to_timestamp(g[0], F.lit("yyyy-MM-dd'T'HH:mm:ss.SSSXXX"))
+        return _header(instant.isNotNull(), timestamp_raw=g[0], instant=instant, level=normal_level(g[1]), pid=g[2], app_name=blank_to_null(g[3]), thread=F.trim(g[4]), correlation_raw=F.nullif(g[5], F.lit("")), logger_raw=F.trim(g[6]), message=g[7])
+
+    # a header has these characters at fixed places: most other lines are told apart without the expression
+    likely = (F.substring(strip_ansi(line), 5, 1) == "-") & (F.substring(strip_ansi(line), 11, 1) == "T")
+    return F.when(likely, _taken_apart(line, SPRING_BOOT, 8, header))
 
 
 # ---- Logback patterns: compiled once on the driver to one regular expression
@@ -116,17 +131,16 @@ def logback(pattern: str, zone: str = "UTC") -> Parser:
     regex, groups, date = compile_logback(pattern)
     zoned = any(c in re.sub(r"'[^']*'", "", date) for c in "XZz")
 
-    def parse(line: Column) -> Column:
-        plain = strip_ansi(line)
-        raw = {f: F.regexp_extract(plain, regex, i) for i, f in reversed(list(enumerate(groups, 1)))}
+    def header(g: list[Column]) -> Column:
+        raw = {f: x for f, x in reversed(list(zip(groups, g, strict=True)))}
         instant = F.try_to_timestamp(raw["date"], F.lit(date))
         if not zoned:
             instant = F.to_utc_timestamp(instant, zone)
         told = {"timestamp_raw": raw["date"], "instant": instant, "message": raw["message"], "level": normal_level(raw.get("level", F.lit(None).cast("string")))}
         told |= {k: F.trim(raw[f]) for k, f in (("thread", "thread"), ("logger_raw", "logger"), ("pid", "pid")) if f in raw}
-        return _header(plain.rlike(regex) & instant.isNotNull(), **told)
+        return _header(instant.isNotNull(), **told)
 
-    return parse
+    return lambda line: _taken_apart(line, regex, len(groups), header)
 
 
 def json_lines(fields: dict[str, str]) -> Parser:

@@ -5,8 +5,7 @@ from pathlib import Path
 import pytest
 
 import __spark_entry__
-from logloom.plans.oracle import ORACLE_SQL
-from logloom.plans.queries import QUERIES
+from __spark_entry__ import ORACLE_SQL, QUERIES
 
 ROOT = Path(__file__).resolve().parent.parent
 SF = "/root/testdata/sf0.001"

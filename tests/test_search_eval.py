@@ -1,7 +1,7 @@
 from pyspark.sql import functions as F
 
 from logloom.operators import catalog, evaluate, labels, search
-from logloom.plans.queries import QUERIES, _logs
+from logloom.plans.queries import _judged, _logs
 
 SF = "/root/testdata/sf0.001"
 
@@ -18,9 +18,43 @@ def test_pages_cover_all_logs_once(spark):
 
 
 def test_text_query(spark):
-    d = spark.createDataFrame([("Saving owner 42",), ("owner saved",), ("nothing",)], "message string")
-    hit = lambda q: [r.message for r in d.where(search.text_query(q, F.col("message"))).collect()]
-    assert hit("saving saved") == ["Saving owner 42", "owner saved"] and hit("+owner -42") == ["owner saved"] and hit('"owner 42"') == ["Saving owner 42"] and hit("sav*") == ["Saving owner 42", "owner saved"]
+    d = spark.createDataFrame([("Saving owner 42",), ("owner saved",), ("nothing of order-42",), ("user_id is 7",), ("net.harbour.Crane failed",), ("alpha beta",), ("alpha",)], "message string")
+    every = [r.message for r in d.collect()]
+
+    def hit(q):
+        return [every.index(r.message) for r in d.where(search.text_query(q, F.col("message"))).collect()]
+
+    assert hit("saving saved") == [0, 1] and hit("sav*") == [0, 1] and hit('"owner 42"') == [0] and hit("+owner + -42") == [1]
+    assert hit("order-42") == [0, 2] and hit("user_id") == [3] and hit("user") == [] and hit("net.harbour.crane") == [4] and hit("harbour") == []
+    assert hit("alpha +beta") == [5] and hit("alpha beta") == [5, 6] and hit("alpha | owner + 42") == [0] and hit("alpha | (owner + 42)") == [0, 5, 6]
+    assert hit("failed -alpha") == [0, 1, 2, 3, 4] and hit("-(alpha | owner)") == [2, 3, 4] and hit("svd~1") == [] and hit("savet~1") == [1]
+    assert hit("*") == list(range(7)) and hit("+ | -") == [] and hit('"owner') == [0, 1] and hit("(owner") == [0, 1] and hit(r"\+owner") == [0, 1]
+
+
+def test_exceptions_are_those_with_a_class(spark):
+    logs = spark.createDataFrame([("a", ("X",)), ("b", (None,)), ("c", None)], "log_id string, exception struct<class:string>")
+    found = lambda x: sorted(r.log_id for r in search.search(logs, has_exception=x).collect())
+    assert found(True) == ["a"] and found(False) == ["b", "c"]
+
+
+def test_parameter_space_and_test_sets():
+    from dataclasses import asdict, replace
+    from random import Random
+
+    import pytest
+
+    base = evaluate.Config()
+    assert evaluate.repaired(base) == base and evaluate.distance(base, base) == 0.0 and len(evaluate.SPACE) == 18
+    for seed in range(20):
+        c = evaluate.random_config(Random(seed), base)
+        for k, (low, high, unit, _) in evaluate.SPACE.items():
+            v = asdict(c)[k]
+            assert low - 1e-12 <= v <= high + 1e-12 and abs(v / unit - round(v / unit)) < 1e-6, k
+        assert c.regex_prefix <= c.regex_full and c.medium <= c.high - 0.05 + 1e-9
+    assert evaluate.repaired(replace(base, regex_full=9, regex_prefix=9, high=0.6, medium=0.7)) == replace(base, regex_full=0.6, regex_prefix=0.35, high=0.6, medium=0.55)
+    assert evaluate.for_tuning("dev-01") == "dev-01"
+    with pytest.raises(ValueError):
+        evaluate.for_tuning("Test-02")
 
 
 def test_metrics(spark):
@@ -66,7 +100,60 @@ def test_ancestors_stop_at_cycles(spark):
     assert {(r.class_fqn, r.ancestor, r.depth) for r in catalog.ancestors(t).collect()} == {("a", "a", 0), ("a", "b", 1), ("b", "b", 0), ("b", "a", 1), ("c", "c", 0)}
 
 
-def test_queries_have_oracles():
-    from logloom.plans.oracle import ORACLE_SQL
+def test_closures_that_do_not_settle_are_errors(spark):
+    import pytest
+
+    chain = spark.createDataFrame([(f"c{i}", f"c{i}", [f"c{i + 1}"], None, "class" if i == 0 else "interface") for i in range(9)], "class_fqn string, type_id string, interfaces array<string>, superclass_fqn string, kind string")
+    assert {r.interface for r in catalog.implementors(chain).collect()} == {f"c{i}" for i in range(1, 9)}
+    with pytest.raises(Exception, match="longer than 2"):
+        catalog.implementors(chain, rounds=2).collect()
+
+
+def test_tables_on_disk(spark, tmp_path):
+    from logloom.sources import store
+
+    path = f"file://{tmp_path}/logs"
+    schema = "log_id string, n int, dataset_id string"
+    rows = lambda *r: spark.createDataFrame(list(r), schema)
+    read = lambda: sorted(tuple(r) for r in spark.read.parquet(path).select("log_id", "n", "dataset_id").collect())
+    store.create(spark, path, schema, "dataset_id")
+    store.replace(rows(("a", 1, "x"), ("b", 1, "x"), ("c", 1, "y")), path)
+    store.upsert(rows(("b", 2, "x"), ("d", 2, "x")), path, "log_id")
+    assert read() == [("a", 1, "x"), ("b", 2, "x"), ("c", 1, "y"), ("d", 2, "x")]
+    store.replace(rows(("e", 3, "x")), path)
+    assert read() == [("c", 1, "y"), ("e", 3, "x")]
+    assert store.exists(spark.read.parquet(path), "log_id", "e") and not store.exists(spark.read.parquet(path), "log_id", "a")
+    store.export_json(rows(("a", None, "x")), f"file://{tmp_path}/j")
+    assert [r.value for r in spark.read.text(f"file://{tmp_path}/j").collect()] == ['{"log_id":"a","dataset_id":"x"}']
+
+
+def test_one_code_version(spark):
+    import pytest
+
+    from logloom.operators import meta
+
+    logs = spark.createDataFrame([("a", ("p", "1")), ("b", ("p", "1")), ("b", ("p", "2")), ("c", None)], "dataset_id string, code struct<name:string,version:string>")
+    assert meta.one_code_version(logs, "a") == ("p", "1")
+    for d in "bcd":
+        with pytest.raises(ValueError):
+            meta.one_code_version(logs, d)
+
+
+def test_context_of_a_log(spark):
+    logs = _logs(spark, SF)
+    anchor = logs.where("event_id = 5").select("log_id")
+    said = spark.sql("SELECT concat('s', cast(id AS string)) AS statement_id, 'f' AS file_id, 2 AS line, 'm' AS method_id, 't' AS template FROM range(0, 7)")
+    files = spark.createDataFrame([("f", "a\nb\nc\nd")], "file_id string, content string")
+    called = spark.createDataFrame([("m", [("x", 1)], 1)], "method_id string, called_by array<struct<method_id:string,line:int>>, caller_count int")
+    r = search.context(logs, anchor, said, files, called, 1).first()
+    assert len(r.neighbours) >= 10 and 1 <= len(r.trace) <= 50 and (r.snippet is None or r.snippet == "a\nb\nc")
+
 
-    assert set(QUERIES) == set(ORACLE_SQL)
+def test_seeded_queues_and_samples(spark):
+    logs = _logs(spark, SF)
+    told = spark.createDataFrame([], "log_id string, dataset_id string, verdict string, labeled_at int")
+    one, again, other = ([r.log_id for r in labels.review_queue(logs, told, 20, s).collect()] for s in (1, 1, 2))
+    assert one == again != other and len(set(one)) == 20
+    kinds = evaluate.error_kinds(_judged(spark, SF))
+    some = [r.n for r in evaluate.error_sample(kinds, 5, 3).collect()]
+    assert len(some) == 5 and some == sorted(some, reverse=True)

@@ -18,13 +18,43 @@ def test_levels(spark):
     assert [r.t for r in got] == ["WARN", "DEBUG", "UNKNOWN", "UNKNOWN"]
 
 
+def plain_parts(text):
+    """Literals and holes (None) of a template, character by character."""
+    parts, i = [], 0
+    while i < len(text):
+        if text[i] == "\\" and text[i + 1 : i + 2] in ("{", "\\"):
+            piece, i = text[i + 1], i + 2
+        elif text[i : i + 2] == "{}":
+            piece, i = None, i + 2
+        else:
+            piece, i = text[i], i + 1
+        if piece is None:
+            parts += [None] if not parts or parts[-1] is not None else []
+        elif parts and parts[-1] is not None:
+            parts[-1] += piece
+        else:
+            parts.append(piece)
+    if parts and parts[0] is not None:
+        parts[0] = parts[0].lstrip()
+    if parts and parts[-1] is not None:
+        parts[-1] = parts[-1].rstrip()
+    return [p for p in parts if p != ""]
+
+
 def test_templates(spark):
-    assert templates.parse(r"map=\{} size={}{} ") == ["map={} size=", None]
-    f = templates.features("Value={} end")
-    assert f["literal_length"] == 9 and f["holes"] == 1
-    rows = [("Value=42 end", f["regex_full"]), ("Value=42 end extra", f["regex_full"]), ("Value=42 end extra", f["regex_prefix"]), ("Value=42 end\n", f["regex_full"])]
-    d = spark.createDataFrame(rows, "m string, r string")
-    got = d.select(F.rlike("m", F.col("r")).alias("ok"), templates.arguments(F.col("m"), F.col("r"), F.lit(1)).alias("a")).collect()
+    texts = ["Value={} end", r"map=\{} size={}{} ", "", "  ", "{}", " {} ", "{} {}", r"\\{} x", r"a\\\{b {}", "a\nb {} c\t", "x \\E {} y"]
+    rows = spark.createDataFrame([(t,) for t in texts], "t string").select("t", templates.template_features(F.col("t")).alias("f")).collect()
+    for t, f in rows:
+        parts = plain_parts(t)
+        literals = [p for p in parts if p is not None]
+        assert (f.holes, f.literal_length, f.literals) == (len(parts) - len(literals), sum(not c.isspace() for p in literals for c in p), "\n".join(literals)), t
+        assert f.template == "".join("{}" if p is None else p.replace("\\", "\\\\").replace("{", "\\{") for p in parts)
+        sample = "".join("7" if p is None else p for p in parts)
+        d = spark.createDataFrame([(sample, f.regex_full, f.regex_prefix)], "m string, a string, b string")
+        assert d.select(F.rlike("m", F.col("a")), F.rlike("m", F.col("b"))).first()[:] == (True, True)
+    f = rows[0].f
+    checks = [("Value=42 end", f.regex_full), ("Value=42 end extra", f.regex_full), ("Value=42 end extra", f.regex_prefix), ("Value=42 end\n", f.regex_full)]
+    got = spark.createDataFrame(checks, "m string, r string").select(F.rlike("m", F.col("r")).alias("ok"), templates.arguments(F.col("m"), F.col("r"), F.lit(1)).alias("a")).collect()
     assert [r.ok for r in got] == [True, False, True, False] and got[2].a == ["42"]
 
 
