@@ -149,14 +149,14 @@ def search(table: DataFrame, k: int = 20, every: int = 20, share: float = 0.985,
         at, room = at + int(pieces[i]) - 1, room - c if pieces[i] == 1 else 0
     lookup = lambda values: F.array(*map(F.lit, values.tolist()))[F.col("list")]
     place = (lookup(first) + F.pmod(F.xxhash64("vec_id"), lookup(pieces))).cast("int")
-    codes = indexed.withColumn("block", place).groupBy("block").agg(F.array_sort(F.collect_list(F.struct("list", "vec_id", "code"))).alias("r"))
+    codes = indexed.withColumn("block", place).groupBy("block").agg(F.sort_array(F.collect_list(F.struct("list", "vec_id", "code"))).alias("r"))
     codes = codes.select("block", F.col("r.vec_id").alias("ids"), F.col("r.list").alias("lists"), F.col("r.code").alias("codes"))
 
     # queries with neighbours beside them, in blocks
     asked = rows.where(F.col("vec_id") % every == 0).mapInArrow(_packed(shared, d, kind), "query_id long, list int, q binary")
     many = max(1, block // 32)
     per = lookup(np.maximum(1, -(-np.add.reduceat(sizes, np.arange(0, len(sizes), 8)).repeat(8)[: len(sizes)] // (every * many))))
-    asked = asked.withColumn("part", F.pmod(F.xxhash64("query_id"), per)).groupBy(F.floor(F.col("list") / 8).alias("g"), "part").agg(F.array_sort(F.collect_list(F.struct("query_id", "q"))).alias("r"))
+    asked = asked.withColumn("part", F.pmod(F.xxhash64("query_id"), per)).groupBy(F.floor(F.col("list") / 8).alias("g"), "part").agg(F.sort_array(F.collect_list(F.struct("query_id", "q"))).alias("r"))
 
     def meet(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         index = shared.value
