@@ -29,7 +29,7 @@ def upsert(rows: DataFrame, path: str, key: str, partition: str = "dataset_id")
     spark = rows.sparkSession
     new = rows.dropDuplicates([key])
     staged = f"{path.rstrip('/')}-staged-{uuid.uuid4().hex}"
-    old = spark.read.parquet(path)
+    old = spark.read.schema(rows.schema).parquet(path)  # an empty partitioned table has no file that tells its schema
     touched = old.join(new.select(partition).distinct(), partition, "left_semi")
     touched.join(new.select(key), key, "left_anti").unionByName(new).write.partitionBy(partition).parquet(staged)
     replace(spark.read.schema(old.schema).parquet(staged), path, partition)

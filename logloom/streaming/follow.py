@@ -1,19 +1,22 @@
-"""Following log files as they grow: a streaming source of new lines, and stateful assembly with an idle timeout."""
+"""Following log files as they grow: a streaming source of new lines, stateful assembly with an idle timeout, and the loop into a table."""
 
 from __future__ import annotations
 
 import glob
 import json
 import os
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.datasource import DataSource, SimpleDataSourceStreamReader
+from pyspark.sql.streaming import StreamingQuery
 from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 
+from ..operators.assemble import assemble
 from ..sources.formats import Parser
+from ..sources.store import upsert
 
 LINES = "source_file string, epoch int, line_no long, text string"
 
@@ -119,3 +122,25 @@ def assemble_stream(lines: DataFrame, parser: Parser, idle: str = "5 seconds") -
 def to_lines(events: DataFrame, dataset_id: str) -> DataFrame:
     """Lines of complete events again, for operators.assemble within a micro-batch (foreachBatch)."""
     return events.select(F.lit(dataset_id).alias("dataset_id"), "source_file", F.posexplode("lines").alias("i", "text"), "line_number").select("dataset_id", "source_file", (F.col("line_number") + F.col("i")).cast("int").alias("line_no"), "text")
+
+
+def follow(lines: DataFrame, parser: Parser, dataset_id: str, link: Callable[[DataFrame], DataFrame], table: str, checkpoint: str, idle: str = "5 seconds", every: str = "2 seconds") -> StreamingQuery:
+    """The whole loop: lines to events, events through ``link`` (matching, frames) into ``table``, by log_id.
+
+    A batch that is repeated after a failure writes the same ids again, in place of the first ones. Offsets and open
+    events are in the checkpoint: after a stop, events that are still open stay there and are given out when the query
+    starts again and their next header or the timeout comes; nothing is flushed on the way down.
+    """
+
+    def write(batch: DataFrame, _: int) -> None:
+        if batch.isEmpty():
+            return
+        batch.persist()
+        try:
+            events = assemble(to_lines(batch, dataset_id), parser).drop("sequence")
+            numbered = batch.select("source_file", F.col("line_number").cast("int").alias("line_number"), "sequence")
+            upsert(link(events.join(numbered, ["source_file", "line_number"])), table, "log_id")
+        finally:
+            batch.unpersist()
+
+    return assemble_stream(lines, parser, idle).writeStream.foreachBatch(write).option("checkpointLocation", checkpoint).trigger(processingTime=every).start()

@@ -33,3 +33,26 @@ def test_stream_assembles_and_flushes(spark, tmp_path):
         assert rows == [(0, 1, 2), (1, 3, 1)]
     finally:
         q.stop()
+
+
+def test_follow_into_a_table(spark, tmp_path):
+    from logloom.operators.assemble import assemble
+    from logloom.sources import store
+    from logloom.streaming.follow import follow, to_lines
+
+    f, table = tmp_path / "b.log", f"file://{tmp_path}/logs"
+    f.write_text(HEAD.format(0, 0) + "\n  more\n" + HEAD.format(1, 1) + "\n")
+    one = spark.createDataFrame([("b.log", 1, [HEAD.format(0, 0)])], "source_file string, line_number int, lines array<string>")
+    schema = assemble(to_lines(one, "d"), spring_boot).schema
+    store.create(spark, table, schema, "dataset_id")
+    read = lambda: sorted((r.sequence, r.line_number, r.line_count, r.message) for r in spark.read.schema(schema).parquet(table).collect())
+    link = lambda events: events.select(*schema.names)
+    q = follow(tail(spark, str(f)), spring_boot, "d", link, table, f"file://{tmp_path}/c", "2 seconds", "1 second")
+    try:
+        end = time.time() + 120
+        while time.time() < end and len(read()) < 2 and q.exception() is None:
+            time.sleep(1)
+        assert q.exception() is None, str(q.exception())[-3000:]
+        assert read() == [(0, 1, 2, "m0\n  more"), (1, 3, 1, "m1")]
+    finally:
+        q.stop()
