@@ -86,7 +86,9 @@ class TextEncoder:
         self.tokenizer = Tokenizer.from_file(path)
         self.added = [t.content for t in self.tokenizer.get_added_tokens_decoder().values()]  # matched in texts before any cut
         self.spaces = [c for c in map(chr, range(0x3001)) if c.isspace() and c not in " \n"]
-        self.tokenize, self.letters = self.tokenizer.model.tokenize, _byte_letters()
+        self.words = Tokenizer.from_file(path)  # for pre-tokens, which the memos hold: its own cache of words would only cost time
+        self.words.model._resize_cache(0)
+        self.tokenize, self.letters = self.words.model.tokenize, _byte_letters()
         self.known, self.parts = Memo(self.piece, limit), Memo(self.part, limit // 4)
 
     def whole(self, text: str) -> np.ndarray:
