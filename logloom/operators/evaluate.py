@@ -163,6 +163,29 @@ def write_report(rows: DataFrame, path: str) -> None:
     csv_ready(rows).write.csv(path, header=True, escape='"', emptyValue="")
 
 
+def config_text(config: Config, comment: str = "") -> str:
+    """Weights as YAML, a line each, below the comment's lines."""
+    head = [f"# {line}".rstrip() for line in comment.splitlines()]
+    return "\n".join([*head, *(f"{k}: {v}" for k, v in asdict(config).items())]) + "\n"
+
+
+def config_of(text: str) -> Config:
+    """What ``config_text`` wrote; weights that are not named keep their defaults, an unknown name is an error."""
+    defaults = asdict(Config())
+    pairs = [line.split(":", 1) for line in text.splitlines() if line.strip() and not line.startswith("#")]
+    told = {k.strip(): v.strip() for k, v in pairs}
+    if unknown := set(told) - set(defaults):
+        raise ValueError(f"unknown weights: {', '.join(sorted(unknown))}")
+    return replace(Config(), **{k: type(defaults[k])(float(v)) for k, v in told.items()})
+
+
+def trial_rows(spark, tried: list[tuple[Config, dict]]) -> DataFrame:
+    """(trial, n_at1, n_high, n_high_correct, distance, and the weights) of what ``tune`` tried, in its order, for ``write_report``."""
+    names = list(asdict(Config()))
+    rows = [(i, t["at1"], t["high"], t["high_correct"], float(distance(c, tried[0][0])), *map(float, asdict(c).values())) for i, (c, t) in enumerate(tried)]
+    return spark.createDataFrame(rows, "trial int, n_at1 long, n_high long, n_high_correct long, distance double, " + ", ".join(f"{k} double" for k in names))
+
+
 # ---- other weights over the same features
 
 #: Fixed values, by parameter: least, most, unit of the grid, and step of a move.

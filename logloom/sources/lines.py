@@ -23,6 +23,18 @@ def read_lines(spark: SparkSession, paths: list[str] | str, dataset_id: str, roo
     return rows.select(F.lit(dataset_id).alias("dataset_id"), named.alias("source_file"), (F.col("i") + 1).alias("line_no"), "text")
 
 
+def dataset_path(spark: SparkSession, dataset: str, base: str = "datasets") -> str:
+    """The folder of a dataset: ``dataset`` itself if it is a folder, else the one of that name in ``base``, on any file system of Spark's; an error if neither is there."""
+    if not dataset.strip():
+        raise ValueError("a dataset's id or folder is needed")
+    for path in (dataset, f"{base}/{dataset}"):
+        where = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+        files = where.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
+        if files.exists(where) and files.getFileStatus(where).isDirectory():
+            return path
+    raise FileNotFoundError(f"no dataset {dataset}, neither as a folder nor in {base}")
+
+
 def manifest(spark: SparkSession, text: str) -> DataFrame:
     """(path, service, module, dataset_id, log_format, oracle, code) of a manifest in JSON (YAML, where a parser is installed); an unknown key is an error."""
     try:
