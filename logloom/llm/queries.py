@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import ann, chat, embedding_dedup, licenses, lm, mixing, pieces, quality, simhash, token_files
+from . import ann, audit, chat, embedding_dedup, fim, licenses, lm, mixing, pieces, quality, simhash, substrings, token_files
 from .common import is_fold, materialise, shared_folder
 
 #: Paths of vocabularies are parameters of the operators; these are the queries' choices.
@@ -70,4 +70,20 @@ def op10_chat_format(spark: SparkSession, sf_dir: str) -> DataFrame:
     return chat.read_back(materialise(chat.format_chats(rows.unionByName(more), BPE), "chats")).drop("n_ids", "n_loss_ids")
 
 
-QUERIES = {f.__name__: f for f in (op1_simhash_near_dedup, op2_token_files, op3_license_scan, op4_quality_classifier, op5_embedding_near_dedup, op6_lm_scores, op7_sentencepiece, op8_nearest_neighbours, op9_source_mix, op10_chat_format)}
+def op11_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    out = substrings.remove_repeats(_table(spark, sf_dir, "documents"), width=20)
+    return out.select("doc_id", "n_words", "n_removed", F.sha2("kept", 256).alias("kept_sha256"))
+
+
+def op12_fill_in_middle(spark: SparkSession, sf_dir: str) -> DataFrame:
+    out = fim.fill_in_middle(_table(spark, sf_dir, "documents"), seed=1)
+    again = fim.restored(F.col("form"), F.col("output"))
+    return out.select("doc_id", "n", "form", "prefix_chars", "middle_chars", F.sha2("output", 256).alias("output_sha256"), F.sha2(again, 256).alias("restored_sha256"))
+
+
+def op13_filter_audit(spark: SparkSession, sf_dir: str) -> DataFrame:
+    masks = audit.document_masks(_table(spark, sf_dir, "documents"), _table(spark, sf_dir, "labels"))
+    return audit.audit(masks, "ABCDE", {"good": "good_lost", "toxic": "toxic_lost"})
+
+
+QUERIES = {f.__name__: f for f in (op1_simhash_near_dedup, op2_token_files, op3_license_scan, op4_quality_classifier, op5_embedding_near_dedup, op6_lm_scores, op7_sentencepiece, op8_nearest_neighbours, op9_source_mix, op10_chat_format, op11_substring_dedup, op12_fill_in_middle, op13_filter_audit)}
