@@ -14,7 +14,7 @@ FRAME = r"^\s*at\s+(?:[\w.]+/)?([\w.$]+)\(([^)]*)\)(?:\s+~?\[[^\]]*\])?\s*$"
 MORE = r"^\s*\.\.\.\s+\d+\s+(?:more|common frames omitted)\s*$"
 CAUSE = r"^Caused by:\s?(.*)$"
 MARKER = r"(?s)^@@L2C\[([^|\]]*)\|([^|\]]*)\|([^|\]]*)\]@@ (.*)$"
-CORRELATION = r"^([0-9a-f]{32})-([0-9a-f]{16})$"
+CORRELATION = r"^([0-9a-fA-F]{32})-([0-9a-fA-F]{16})$"
 
 #: Lines of a file that are numbered together.
 CHUNK = 1 << 16

@@ -9,6 +9,7 @@ from pyspark.sql import Column
 from pyspark.sql import functions as F
 
 from ..functions.text import blank_to_null, normal_level, strip_ansi
+from .dates import DatePattern, iso_instant
 
 FIELDS = ("timestamp_raw", "instant", "level", "pid", "app_name", "thread", "correlation_raw", "logger_raw", "message", "stack_trace", "trace_id", "span_id")
 
@@ -47,100 +48,99 @@ def spring_boot(line: Column) -> Column:
 # ---- Logback patterns: compiled once on the driver to one regular expression
 
 #: Conversion words by field, and the expressions of their values.
-WORDS = {"d": "date", "date": "date", "p": "level", "le": "level", "level": "level", "t": "thread", "thread": "thread", "c": "logger", "lo": "logger", "logger": "logger", "C": "class", "class": "class", "M": "method", "method": "method", "L": "line", "line": "line", "m": "message", "msg": "message", "message": "message", "X": "mdc", "mdc": "mdc", "n": "newline"}
+WORDS = {"d": "date", "date": "date", "p": "level", "le": "level", "level": "level", "t": "thread", "thread": "thread", "c": "logger", "lo": "logger", "logger": "logger", "C": "class", "class": "class", "M": "method", "method": "method", "L": "line", "line": "line", "m": "message", "msg": "message", "message": "message", "pid": "pid", "X": "mdc", "n": "newline"}
 VALUES = {"level": "[A-Za-z]+", "thread": ".+?", "logger": ".+?", "class": ".+?", "method": ".+?", "line": r"\d+", "pid": r"\d+", "mdc": r"\S*", "message": ".*"}
-_DATE = {"y": r"\d", "M": r"\d", "d": r"\d", "H": r"\d", "m": r"\d", "s": r"\d", "S": r"\d"}
-_TOKEN = re.compile(r"%(?P<min>-?\d+)?(?:\.(?P<max>-?\d+))?(?P<word>[A-Za-z]+|%)(?:\{(?P<option>[^}]*)\})?|\$\{(?P<property>[^}]*)\}|(?P<text>[^%$]+|.)", re.S)
-
-
-def date_regex(pattern: str) -> str:
-    out = []
-    for m in re.finditer(r"'([^']*)'|(([A-Za-z])\3*)|(.)", pattern, re.S):
-        quoted, run, other = m[1], m[2], m[4]
-        if quoted is not None:
-            out.append(re.escape(quoted or "'"))
-        elif run:
-            letter = run[0]
-            if letter in _DATE:
-                out.append(rf"\d{{{len(run)}}}" if len(run) > 1 else r"\d{1,2}")
-            elif letter == "X":
-                out.append(r"(?:Z|[+-]\d{2}(?::?\d{2})?)")
-            elif letter == "Z":
-                out.append(r"[+-]\d{4}")
-            elif letter == "z":
-                out.append(r"[A-Za-z/_]+")
-            elif letter == "a":
-                out.append("[AaPp][Mm]")
-            elif letter == "E":
-                out.append(r"\p{L}+\.?")
-            else:
-                raise ValueError(f"no such letter in a date pattern: {letter}")
-        elif other:
-            out.append(re.escape(other))
-    return "".join(out)
-
-
-def _unwrapped(pattern: str) -> str:
-    """Without %clr(...){...} and other colour words around their contents."""
-    while m := re.search(r"%(?:clr|highlight|black|red|green|yellow|blue|magenta|cyan|white|gray|bold\w*)\(((?:[^()\\]|\\.)*)\)(?:\{[^}]*\})?", pattern):
-        pattern = pattern[: m.start()] + m[1] + pattern[m.end() :]
-    return pattern
-
-
-def compile_logback(pattern: str) -> tuple[str, list[str], str]:
-    """(regular expression, field of each group, date pattern). Unknown words, and patterns without date or message, are errors."""
-    out, groups, date = [], [], None
-    for m in _TOKEN.finditer(_unwrapped(pattern)):
-        if m["text"] is not None:
-            out.append(re.escape(m["text"]))
-            continue
-        if m["property"] is not None:
-            if not m["property"].startswith("PID"):
-                raise ValueError(f"no such property: {m['property']}")
-            field, value = "pid", VALUES["pid"]
-        elif m["word"] == "%":
+DEFAULT_DATE = "yyyy-MM-dd HH:mm:ss,SSS"
+
+#: The longest word that the letters start with is meant; what follows it is text.
+_WORD = "|".join(sorted(WORDS, key=len, reverse=True))
+_CONVERSION = re.compile(rf"%-?(?P<min>\d+)?(?:\.(?P<max>\d+))?(?P<word>{_WORD})(?:\{{(?P<option>(?:'[^']*'|[^}}'])*)\}})?")
+_WRAPPED = re.compile(r"%-?\d*(?:\.\d+)?(?:clr|highlight|black|red|green|yellow|blue|magenta|cyan|white|gray|bold\w*)\(")
+
+
+def _tokens(pattern: str) -> list[re.Match | str]:
+    """Conversions, PID properties (as the string %pid) and characters, without the colour words around their contents."""
+    out, at = [], 0
+    while at < len(pattern):
+        if pattern.startswith("%%", at):
             out.append("%")
-            continue
+            at += 2
+        elif pattern.startswith("${", at):
+            end = pattern.find("}", at)
+            if end < 0 or pattern[at + 2 : end].split(":")[0].upper() != "PID":
+                raise ValueError(f"no such property: {pattern[at : at + 20]}")
+            out.append(_CONVERSION.match("%pid"))
+            at = end + 1
+        elif m := _WRAPPED.match(pattern, at):
+            end, depth = m.end(), 1
+            while depth and end < len(pattern):
+                depth += {"(": 1, ")": -1}.get(pattern[end], 0)
+                end += 1
+            if depth:
+                raise ValueError(f"a parenthesis is not closed: {pattern[at:]}")
+            out += _tokens(pattern[m.end() : end - 1])
+            colour = re.compile(r"\{[^}]*\}").match(pattern, end)
+            at = colour.end() if colour else end
+        elif pattern[at] == "%":
+            m = _CONVERSION.match(pattern, at)
+            if m is None or pattern.startswith("{", m.end()):
+                raise ValueError(f"no such conversion word: {pattern[at : at + 12]}")
+            out.append(m)
+            at = m.end()
         else:
-            field = WORDS.get(m["word"])
-            if field is None:
-                raise ValueError(f"no such conversion word: {m['word']}")
+            out.append(pattern[at])
+            at += 1
+    return out
+
+
+class LogbackPattern:
+    """``regex`` with groups; ``places``: field, first of its groups, and whether its width is fixed (then padding is trimmed).
+
+    Unknown words, properties other than PID, an MDC word without a key, and patterns without date or message are errors.
+    """
+
+    def __init__(self, pattern: str):
+        out, self.places, self.groups, self.date = [], [], 0, None
+        for t in _tokens(pattern):
+            if isinstance(t, str):
+                out.append(re.escape(t))
+                continue
+            field = WORDS[t["word"]]
             if field == "newline":
                 continue
-            if field == "mdc" and not m["option"]:
+            if field == "mdc" and t["option"] is None:
                 raise ValueError("%X needs a key")
+            low, high = (int(t[k]) if t[k] else 0 for k in ("min", "max"))
+            fixed, inner = low > 0 and low == high, 0
             if field == "date":
-                date = {None: "yyyy-MM-dd HH:mm:ss,SSS", "": "yyyy-MM-dd HH:mm:ss,SSS", "ISO8601": "yyyy-MM-dd HH:mm:ss,SSS"}.get(m["option"], m["option"]).strip('"')
-                value = date_regex(date)
+                self.date = DatePattern(DEFAULT_DATE if t["option"] is None else t["option"])
+                value, inner = self.date.regex, len(self.date.fields)
             else:
-                value = VALUES[field]
-        low, high = (abs(int(m[k])) if m[k] else None for k in ("min", "max"))
-        if low is not None and low == high:
-            out.append(f"(.{{{low}}})")
-        elif low is not None:
-            out.append(rf"\s*({value})\s*")
-        else:
-            out.append(f"({value})")
-        groups.append(field)
-    if date is None or "message" not in groups:
-        raise ValueError("a pattern needs a date and a message")
-    return "^" + "".join(out) + "$", groups, date
+                value = f".{{{low}}}" if fixed else VALUES[field]
+            pad = r"\s*" if low and not fixed and field != "date" else ""
+            out.append(f"{pad}({value}){pad}")
+            self.places.append((field, self.groups, fixed))
+            self.groups += 1 + inner
+        if self.date is None or "message" not in [p[0] for p in self.places]:
+            raise ValueError("a pattern needs a date and a message")
+        self.regex = "^" + "".join(out) + "$"
 
 
 def logback(pattern: str, zone: str = "UTC") -> Parser:
-    regex, groups, date = compile_logback(pattern)
-    zoned = any(c in re.sub(r"'[^']*'", "", date) for c in "XZz")
+    """Header lines of a Logback pattern; times without a zone of their own are in ``zone``. Of a repeated field the last one counts."""
+    compiled = LogbackPattern(pattern)
 
     def header(g: list[Column]) -> Column:
-        raw = {f: x for f, x in reversed(list(zip(groups, g, strict=True)))}
-        instant = F.try_to_timestamp(raw["date"], F.lit(date))
-        if not zoned:
-            instant = F.to_utc_timestamp(instant, zone)
+        raw, dates = {}, None
+        for field, at, fixed in compiled.places:
+            raw[field] = F.trim(g[at]) if fixed else g[at]
+            dates = g[at + 1 : at + 1 + len(compiled.date.fields)] if field == "date" else dates
+        instant = compiled.date.instant(dates, zone)
         told = {"timestamp_raw": raw["date"], "instant": instant, "message": raw["message"], "level": normal_level(raw.get("level", F.lit(None).cast("string")))}
-        told |= {k: F.trim(raw[f]) for k, f in (("thread", "thread"), ("logger_raw", "logger"), ("pid", "pid")) if f in raw}
+        told |= {k: raw[f] for k, f in (("thread", "thread"), ("logger_raw", "logger"), ("pid", "pid")) if f in raw}
         return _header(instant.isNotNull(), **told)
 
-    return lambda line: _taken_apart(line, regex, len(groups), header)
+    return lambda line: _taken_apart(line, compiled.regex, compiled.groups, header)
 
 
 def json_lines(fields: dict[str, str]) -> Parser:
@@ -157,8 +157,12 @@ def json_lines(fields: dict[str, str]) -> Parser:
         def text(name: str) -> Column:
             return F.coalesce(F.array_join(F.nullif(get(name, "array<string>"), F.array().cast("array<string>")), "\n"), F.when(get(name, "array<string>").isNull(), get(name)))
 
-        stamp = get("timestamp")
-        instant = F.coalesce(F.when(stamp.rlike(r"^\d{9,17}$"), F.timestamp_millis(stamp.try_cast("long"))), stamp.try_cast("timestamp"))
+        # a number of any size is milliseconds of the epoch, a string must be an ISO time with an offset
+        stamp, kind = get("timestamp"), F.schema_of_variant(F.try_variant_get(variant, f"$['{fields['timestamp']}']", "variant"))
+        millis = F.try_variant_get(variant, f"$['{fields['timestamp']}']", "double")
+        millis = F.coalesce(F.try_variant_get(variant, f"$['{fields['timestamp']}']", "long"), F.when(F.abs(millis) < 9.2e15, millis.cast("long")))
+        number = F.when(F.abs(millis) < 9_200_000_000_000_000, F.timestamp_millis(millis))
+        instant = F.when(kind.rlike("^(BIGINT|DECIMAL|DOUBLE|FLOAT)"), number).when(kind == "STRING", iso_instant(stamp))
         level = F.when(get("level").isNotNull(), normal_level(get("level"))).otherwise(F.lit("UNKNOWN"))
         ok = F.coalesce(F.schema_of_variant(variant).startswith("OBJECT"), F.lit(False)) & instant.isNotNull() & text("message").isNotNull()
         return _header(ok, timestamp_raw=stamp, instant=instant, level=level, thread=text("thread"), logger_raw=text("logger"), message=text("message"), stack_trace=text("stack_trace"), trace_id=text("trace_id"), span_id=text("span_id"))

@@ -2,7 +2,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from logloom.operators.assemble import assemble
-from logloom.sources.formats import compile_logback, json_lines, logback, registry, spring_boot
+from logloom.sources.formats import LogbackPattern, json_lines, logback, registry, spring_boot
 
 LOGGER = "n.h.dock.CraneControl".ljust(40)
 
@@ -26,7 +26,7 @@ def test_formats(spark):
     assert (got[0].h.message, got[0].h.level) == ("a\nb", "ERROR") and [r.h for r in got[1:]] == [None] * 3
     for bad in ("%d %nope", "%m", "%d", "%d %m %X"):
         with pytest.raises(ValueError):
-            compile_logback(bad)
+            LogbackPattern(bad)
     with pytest.raises(ValueError):
         registry({"x": {"type": "odd"}})
 
