@@ -112,8 +112,9 @@ def _platt(margin: np.ndarray, y: np.ndarray, weight: np.ndarray, rounds: int =
 def fit(docs: DataFrame, labels: DataFrame, sample: int = 3000, smoothing: float = 1.0, cost: float = 1.0) -> Model:
     """Learns from ``docs`` (doc_id, text) joined with ``labels`` (doc_id, quality 0 or 1); other labels, and null ids or labels, are left out.
 
-    Ratios are counted over all labelled rows. The hinge loss is fitted to the ids with the ``sample`` smallest
-    hashes of each class, whose n-grams are what reaches the driver, and a fifth of them is held back for the
+    Ratios are counted over all labelled rows. The hinge loss is fitted to ``sample`` rows of each class at most, whose
+    n-grams are what reaches the driver: the rows with the smallest hashes (of id and text) among the ids with the
+    ``sample`` smallest hashes, so an id with very many rows sends no more. A fifth of them is held back for the
     probabilities; there each class weighs as much as it has labelled rows, so ``sample`` does not move the scores'
     level. Without rows of both classes every score is the smoothed share of label 1. An id with both labels counts
     for both, and so does each of several rows of an id.
@@ -126,25 +127,26 @@ def fit(docs: DataFrame, labels: DataFrame, sample: int = 3000, smoothing: float
     for y, h in enumerate(cuts):
         if h is not None:
             drawn = drawn | ((F.col("y") == y) & (F.col("h") <= h))
-    rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text")).join(told.hint("shuffle_hash"), F.col("doc_id") == F.col("_d")).select("y", drawn.alias("drawn"), "text")
+    rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text")).join(told.hint("shuffle_hash"), F.col("doc_id") == F.col("_d")).select("y", F.when(drawn, F.xxhash64("_d", "text", F.lit(4))).alias("drawn"), "text")
 
     def extract(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         """The n-grams of rows drawn (block -1), then counts of n-grams in BLOCKS blocks and of rows (block BLOCKS)."""
         features, total, n = per_worker(Features), np.zeros((2, 1 << BITS), np.int32), np.zeros((2, 1), np.int32)
         for batch in slices(batches):
-            ys, xs = [], []
+            ys, xs, hs = [], [], []
             for y, chosen, text in zip(*(batch.column(c).to_pylist() for c in ("y", "drawn", "text")), strict=True):
                 x = features(text)
                 total[y, x] += 1
                 n[y] += 1
-                if chosen:
+                if chosen is not None:
                     ys.append(y)
+                    hs.append(chosen)
                     xs.append(x.tobytes())
             if xs:
-                yield pa.RecordBatch.from_arrays([pa.array(np.full(len(xs), -1, np.int32)), pa.array(ys, pa.int32()), pa.array(xs, pa.binary())], ["block", "y", "x"])
+                yield pa.RecordBatch.from_arrays([pa.array(np.full(len(xs), -1, np.int32)), pa.array(ys, pa.int32()), pa.array(hs, pa.int64()), pa.array(xs, pa.binary())], ["block", "y", "h", "x"])
         for y in np.flatnonzero(n).tolist():
             cut = [c.tobytes() for c in (*np.array_split(total[y], BLOCKS), n[y])]
-            yield pa.RecordBatch.from_arrays([pa.array(np.arange(BLOCKS + 1, dtype=np.int32)), pa.array(np.full(BLOCKS + 1, y, np.int32)), pa.array(cut, pa.binary())], ["block", "y", "x"])
+            yield pa.RecordBatch.from_arrays([pa.array(np.arange(BLOCKS + 1, dtype=np.int32)), pa.array(np.full(BLOCKS + 1, y, np.int32)), pa.nulls(BLOCKS + 1, pa.int64()), pa.array(cut, pa.binary())], ["block", "y", "h", "x"])
 
     def summed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         sums: dict[tuple[int, int], np.ndarray] = {}
@@ -154,7 +156,7 @@ def fit(docs: DataFrame, labels: DataFrame, sample: int = 3000, smoothing: float
         for (block, y), x in sums.items():
             yield pa.RecordBatch.from_arrays([pa.array([block], pa.int32()), pa.array([y], pa.int32()), pa.array([x.tobytes()], pa.binary())], ["block", "y", "x"])
 
-    seen = materialise(rows.mapInArrow(extract, "block int, y int, x binary"), "features")
+    seen = materialise(rows.mapInArrow(extract, "block int, y int, h long, x binary"), "features")
     counted = seen.where("block >= 0").repartition(BLOCKS, "block", "y").mapInArrow(summed, "block int, y int, x binary")
     total, n = np.zeros((2, BLOCKS, (1 << BITS) // BLOCKS)), [0, 0]
     for r in counted.collect():  # 2 * (BLOCKS + 1) rows, whatever the input
@@ -171,7 +173,7 @@ def fit(docs: DataFrame, labels: DataFrame, sample: int = 3000, smoothing: float
     scale = np.log((p / (n1 + 2 * smoothing)) / (q / (n0 + 2 * smoothing)))
     scale[(p == smoothing) & (q == smoothing)] = 0
 
-    chosen = seen.where("block < 0").select("y", "x").collect()  # 2 * sample ids
+    chosen = [r for y in (0, 1) for r in seen.where((F.col("block") < 0) & (F.col("y") == y)).orderBy("h", "x").limit(sample).select("y", "x").collect()]
     drawn_ = sorted(((r.y, np.frombuffer(r.x, np.int32)) for r in chosen), key=lambda r: (r[0], r[1].tobytes()))
     order = np.random.default_rng(4).permutation(len(drawn_))
     y = np.array([2 * drawn_[i][0] - 1 for i in order])

@@ -70,6 +70,66 @@ def test_scores_do_not_move_with_the_sample(spark):
     assert abs(logit[0].mean() - logit[1].mean()) < 0.6  # uncorrected shares of the sample: ln 6
 
 
+def test_an_id_of_very_many_rows_sends_no_more_than_the_sample(spark, monkeypatch):
+    seen = []
+    real = quality.dual_descent
+    monkeypatch.setattr(quality, "dual_descent", lambda xs, *rest: (seen.append(len(xs)), real(xs, *rest))[1])
+    docs = spark.range(4000).select(F.lit(7).alias("doc_id"), F.concat(F.lit("some words "), F.col("id").cast("string")).alias("text")).union(spark.createDataFrame([(8, "other words")], "doc_id int, text string"))
+    quality.fit(docs, spark.createDataFrame([(7, 1), (8, 0)], "doc_id long, quality int"), sample=10)
+    assert seen and max(seen) <= 20
+
+
+def test_scores_against_plain_loops_of_the_whole_model(spark):
+    """Counts, ratios, hinge loss and probabilities by loops over all labelled rows, without blocks, samples or arrays."""
+    import math
+    import random
+
+    rng = random.Random(2)
+    docs = [(i, " ".join(rng.choice(["good", "fine", "Text,", "prose"] if i % 2 else ["BUY", "now!!", "text", "$$$"]) + rng.choice(["", "", "x"]) for _ in range(rng.randrange(3, 30)))) for i in range(60)]
+    told = [(i, i % 2) for i in range(40)]
+    model = quality.fit(spark.createDataFrame(docs, "doc_id long, text string"), spark.createDataFrame(told, "doc_id long, quality int"))
+    features, rows = quality.Features(), []
+    for d, y in told:
+        rows.append((y, features(docs[d][1])))
+    n = [sum(y == k for y, _ in rows) for k in (0, 1)]
+    count = [Counter(f for y, x in rows if y == k for f in x.tolist()) for k in (0, 1)]
+    ratio = {f: math.log((count[1][f] + 1) / (n[1] + 2) / ((count[0][f] + 1) / (n[0] + 2))) for f in count[0] | count[1]}
+    rows.sort(key=lambda r: (r[0], r[1].tobytes()))
+    order = np.random.default_rng(4).permutation(len(rows))
+    fitted, held = [rows[i] for k, i in enumerate(order) if k % 5], [rows[i] for k, i in enumerate(order) if k % 5 == 0]
+    share = {y: sum(r[0] == y for r in fitted) / len(fitted) for y in (0, 1)}
+    w, bias, alpha = Counter(), 0.0, [0.0] * len(fitted)
+    for _ in range(300):
+        for i, (y, x) in enumerate(fitted):
+            v = {f: ratio[f] / math.sqrt(len(x)) for f in x.tolist()}
+            s = 2 * y - 1
+            g = s * (sum(w[f] * a for f, a in v.items()) + bias) - 1
+            new = min(max(alpha[i] - g / (sum(a * a for a in v.values()) + 1), 0), 0.5 / share[y])
+            for f, a in v.items():
+                w[f] += (new - alpha[i]) * s * a
+            bias += (new - alpha[i]) * s
+            alpha[i] = new
+    margin = lambda x: sum(w[f] * ratio.get(f, 0) for f in x.tolist()) / math.sqrt(max(1, len(x))) + bias
+    weight = {y: n[y] / sum(r[0] == y for r in held) for y in (0, 1)}
+    up, down = sum(r[0] for r in held), sum(1 - r[0] for r in held)
+    mean, a, b = sum(weight[y] for y, _ in held) / len(held), 1.0, 0.0
+
+    def loss(a, b):
+        out = 0.0
+        for y, x in held:
+            t, p = ((up + 1) / (up + 2) if y else 1 / (down + 2)), 1 / (1 + math.exp(-a * margin(x) - b))
+            out -= weight[y] / mean * (t * math.log(p) + (1 - t) * math.log(1 - p))
+        return out
+
+    step = 1.0
+    while step > 1e-4:
+        best = min((loss(a + i * step, b + j * step), a + i * step, b + j * step) for i in (-1, 0, 1) for j in (-1, 0, 1))
+        step, a, b = (step / 2, a, b) if best[1:] == (a, b) else (step, *best[1:])
+    got = {r.doc_id: r.score for r in quality.score(spark.createDataFrame(docs, "doc_id long, text string"), model).collect()}
+    for d, t in docs:
+        assert got[d] == pytest.approx(1 / (1 + math.exp(-a * margin(features(t)) - b)), abs=0.01)
+
+
 def test_features_are_distinct_and_whole():
     f = quality.Features()
     long = "some words here " * 100_000 + "ending"
