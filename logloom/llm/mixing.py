@@ -6,9 +6,12 @@ the blocks of a source to its shards in the same way, so every shard has an inte
 quota selects every block as often as it goes and, for the rest, the blocks with the smallest seeded hashes.
 A document takes the words that it shares with selected blocks. Only Spark's own functions are used.
 
-Streams are numbered in two levels (hash buckets of a source, then offsets of the buckets), so a source that
-holds most rows is summed by many tasks. Tables of sources and shards are joined, never collected: what
-reaches the driver is three numbers.
+The length of a block goes with the source's target (a 256th of it, a power of two from 1 to 2048 words), and sources
+whose blocks are equal compete for the blocks of their common target; so a tiny source is met to the word and does not
+make the blocks of others short. Streams are numbered in two levels (hash buckets of a source, then offsets of the
+buckets), and shards get their quotas from stretches of FAN times as many, so a source that holds most rows is worked on
+by many tasks. Tables of sources and shards are joined, never collected: what reaches the driver is two numbers. Sources
+themselves, a short row each, are ranked in one task.
 """
 
 from __future__ import annotations
@@ -20,6 +23,8 @@ from .common import WORD, fresh, materialise
 
 SHARD_BLOCKS = 16
 UNIT = 1 << 20
+#: Parts into which a stretch of shards is cut at a time.
+FAN = 1024
 
 
 def sainte_lague(table: DataFrame, group: str, key: str, weight: str, seats: str) -> DataFrame:
@@ -62,6 +67,25 @@ def _key(source: Column) -> Column:
     return F.when(source.isNull(), F.lit("1")).otherwise(F.concat(F.lit("0"), source.cast("string")))
 
 
+def shard_quotas(sources: DataFrame, most_shards: int, fan: int = FAN) -> DataFrame:
+    """(skey, shard, words, quota) for ``sources`` (skey, source_size, length, seats): the seats of each source among its shards of ``length`` words.
+
+    Seats go to stretches of shards, then inside each stretch to shorter ones, at most ``fan`` at a time; a row makes
+    ``fan`` rows at most, and a window ranks as many. ``most_shards``: those of the source with the most.
+    """
+    levels = 1
+    while fan**levels < most_shards:
+        levels += 1
+    parts = sources.where("source_size > 0").select("skey", "length", F.lit(0).cast("long").alias("at"), F.col("source_size").alias("words"), "seats")
+    for level in reversed(range(levels)):
+        unit = F.col("length") * fan**level
+        inner = parts.select(F.struct("skey", "at").alias("stretch"), "length", "seats", F.col("words").alias("whole"), F.explode(F.sequence(F.lit(0).cast("long"), F.expr(f"(words - 1) div (length * {fan**level})"))).alias("k"))
+        inner = materialise(inner.withColumn("words", F.least(unit, F.col("whole") - F.col("k") * unit)), "stretches")
+        won = sainte_lague(inner, "stretch", "k", "words", "seats")
+        parts = inner.join(won, ["stretch", "k"]).select(F.col("stretch.skey").alias("skey"), "length", (F.col("stretch.at") + F.col("k") * fan**level).alias("at"), "words", F.col("seats_won").alias("seats"))
+    return parts.select("skey", F.col("at").alias("shard"), "words", F.col("seats").alias("quota"))
+
+
 def mix(docs: DataFrame, weights: tuple[float, ...] = (5, 2, 1), share: float = 1.5, most: float = 2.0, seed: int = 9) -> DataFrame:
     """(doc_id, print, skey, size, source_size, target, taken) for every row of ``docs`` (doc_id, text, source).
 
@@ -75,37 +99,36 @@ def mix(docs: DataFrame, weights: tuple[float, ...] = (5, 2, 1), share: float =
     id_, text = F.col("doc_id").cast("long"), F.col("text").cast("string")
     rows = docs.select(id_.alias("doc_id"), _key(F.col("source")).alias("skey"), F.coalesce(F.regexp_count(text, F.lit(WORD)), F.lit(0)).cast("long").alias("size"), F.xxhash64(text).alias("print"))
     rows = materialise(rows, "sizes")
-    sources = materialise(targets(rows.groupBy("skey").agg(F.sum("size").alias("source_size")), weights, share, most), "sources")
-    told = sources.agg(F.sum("source_size").alias("words"), F.sum("target").alias("wanted"), F.min(F.when(F.col("target") > 0, F.col("target"))).alias("least")).first()
+    sources = targets(rows.groupBy("skey").agg(F.sum("size").alias("source_size")), weights, share, most)
+    power = F.greatest(F.lit(0), F.least(F.lit(11), F.floor(F.log2(F.greatest(F.lit(1.0), F.col("target") / 256)))))
+    sources = materialise(sources.withColumn("block", F.pow(F.lit(2), power).cast("long")), "sources")
+    told = sources.agg(F.sum("source_size").alias("words"), F.max(F.expr(f"source_size div (block * {SHARD_BLOCKS}) + 1")).alias("shards")).first()
     total = told.words or 0
-    block = max(8, min(2048, int((told.least or 0) / 256)))
     buckets = max(16, min(1 << 16, total >> 15))
 
     # places in the streams
     order = F.xxhash64(F.lit(seed), F.coalesce("doc_id", F.lit(0)), F.col("print"))
     dealt = rows.where("size > 0").withColumn("h", order).withColumn("bucket", F.pmod(F.xxhash64(F.lit(seed + 1), "h"), F.lit(buckets)))
     sums = dealt.groupBy("skey", "bucket").agg(F.sum("size").alias("n"))
-    offsets = sums.select("skey", "bucket", (F.sum("n").over(Window.partitionBy("skey").orderBy("bucket")) - F.col("n")).alias("offset"))
+    offsets = sums.join(sources.select("skey", "block"), "skey").select("skey", "block", "bucket", (F.sum("n").over(Window.partitionBy("skey").orderBy("bucket")) - F.col("n")).alias("offset"))
     inside = F.sum("size").over(Window.partitionBy("skey", "bucket").orderBy("h", F.col("doc_id").asc_nulls_first(), "print", "size").rowsBetween(Window.unboundedPreceding, 0))
     placed = dealt.withColumn("b", inside).join(offsets, ["skey", "bucket"])
-    placed = placed.select("skey", "doc_id", "print", "size", (F.col("b") + F.col("offset") - F.col("size")).alias("a"), (F.col("b") + F.col("offset")).alias("b"))
-
-    # quotas of sources, then of shards
-    quotas = sainte_lague(sources.withColumn("_all", F.lit(0)).withColumn("_seats", F.lit(round((told.wanted or 0) / block))), "_all", "skey", "target", "_seats")
-    length = block * SHARD_BLOCKS
-    shards = sources.where("source_size > 0").join(quotas.select("skey", "seats_won"), "skey")
-    shards = shards.select("skey", "source_size", "target", "seats_won", F.explode(F.sequence(F.lit(0).cast("long"), F.expr(f"(source_size - 1) div {length}"))).alias("shard"))
-    shards = materialise(shards.withColumn("words", F.least(F.lit(length), F.col("source_size") - F.col("shard") * length)), "shards")
-    won = sainte_lague(shards, "skey", "shard", "words", "seats_won").withColumnRenamed("seats_won", "quota")
-    n = F.expr(f"(words + {block - 1}) div {block}")
-    shards = shards.join(won, ["skey", "shard"]).withColumn("n", n).withColumn("quota", F.least(F.col("quota"), F.col("n") * int(most)))
+    placed = placed.select("skey", "block", "doc_id", "print", "size", (F.col("b") + F.col("offset") - F.col("size")).alias("a"), (F.col("b") + F.col("offset")).alias("b"))
+
+    # quotas of sources whose blocks are equal, then of shards
+    common = F.round(F.sum("target").over(Window.partitionBy("block")) / F.col("block")).cast("long")
+    quotas = sainte_lague(sources.withColumn("_seats", common), "block", "skey", "target", "_seats")
+    sources = sources.join(quotas.select("skey", F.col("seats_won").alias("seats")), "skey").withColumn("length", F.col("block") * SHARD_BLOCKS)
+    shards = shard_quotas(sources, told.shards or 1).join(sources.select("skey", "block", "source_size", "target"), "skey")
+    shards = materialise(shards, "shards").withColumn("n", F.expr("(words + block - 1) div block"))
+    shards = shards.withColumn("quota", F.least(F.col("quota"), F.col("n") * int(most)))
     seeded = F.array_sort(F.transform(F.sequence(F.lit(0).cast("long"), F.col("n") - 1), lambda i: F.struct(F.xxhash64(F.lit(seed + 2), "skey", "shard", i).alias("h"), i.alias("i"))))
     shards = shards.select("skey", "shard", "source_size", "target", F.expr("quota div n").alias("every"), F.transform(F.slice(seeded, F.lit(1), (F.col("quota") % F.col("n")).cast("int")), lambda s: s.i).alias("once"))
 
     # words shared with selected blocks
-    spread = placed.withColumn("shard", F.explode(F.sequence(F.expr(f"a div {length}"), F.expr(f"(b - 1) div {length}")))).join(shards, ["skey", "shard"])
-    first, last = F.expr(f"greatest(a div {block}, shard * {SHARD_BLOCKS})"), F.expr(f"least((b - 1) div {block}, shard * {SHARD_BLOCKS} + {SHARD_BLOCKS - 1})")
-    words = F.aggregate(F.sequence(first, last), F.lit(0).cast("long"), lambda t, k: t + (F.least(F.col("b"), (k + 1) * block) - F.greatest(F.col("a"), k * block)) * (F.col("every") + F.array_contains("once", k - F.col("shard") * SHARD_BLOCKS).cast("long")))
+    spread = placed.withColumn("shard", F.explode(F.sequence(F.expr(f"a div (block * {SHARD_BLOCKS})"), F.expr(f"(b - 1) div (block * {SHARD_BLOCKS})")))).join(shards, ["skey", "shard"])
+    first, last = F.expr(f"greatest(a div block, shard * {SHARD_BLOCKS})"), F.expr(f"least((b - 1) div block, shard * {SHARD_BLOCKS} + {SHARD_BLOCKS - 1})")
+    words = F.aggregate(F.sequence(first, last), F.lit(0).cast("long"), lambda t, k: t + (F.least(F.col("b"), (k + 1) * F.col("block")) - F.greatest(F.col("a"), k * F.col("block"))) * (F.col("every") + F.array_contains("once", k - F.col("shard") * SHARD_BLOCKS).cast("long")))
     taken = spread.withColumn("t", words).groupBy("skey", "a", "doc_id", "print", "size").agg(F.max("source_size").alias("source_size"), F.max("target").alias("target"), F.sum("t").alias("taken"))
     empty = rows.where("size = 0").join(sources, "skey").withColumn("taken", F.lit(0).cast("long"))
     columns = ("doc_id", "print", "skey", "size", "source_size", "target", "taken")
