@@ -241,7 +241,7 @@ def round_trip(docs: DataFrame, model: str) -> DataFrame:
 
     A null text counts as empty; a text that itself holds U+2581 gets a space there, and is not the same. Very
     long texts are encoded whole, repeated rows are rows each, an empty table gives no rows. A column of
-    ``docs`` that has the name of one of the five is replaced by it; all others are kept.
+    ``docs`` that has the name of one of the five, in either case, is replaced by it; all others are kept.
     """
 
     def mapped(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -261,6 +261,6 @@ def round_trip(docs: DataFrame, model: str) -> DataFrame:
             yield pa.RecordBatch.from_arrays([*(batch.column(c) for c in kept), *added.values()], [*kept, *added])
 
     added = ("n_pieces", "ids_crc32", "decoded_crc32", "decoded_chars", "same")
-    kept = docs.select(*[c for c in docs.columns if c not in added])
+    kept = docs.select(*[docs[f"`{c}`"] for c in docs.columns if c.lower() not in added])
     schema = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in kept.schema) + ", n_pieces long, ids_crc32 long, decoded_crc32 long, decoded_chars long, same boolean"
     return kept.mapInArrow(mapped, schema)

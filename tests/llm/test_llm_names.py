@@ -26,6 +26,13 @@ def test_round_trip_replaces_its_own_names(spark):
     assert (r.n_pieces, r.extra, r.same) == (2, "kept", True)
 
 
+def test_round_trip_replaces_names_in_other_case(spark, tmp_path):
+    docs = spark.createDataFrame([(1, "a b", 7)], "doc_id long, text string, Same int")
+    out = pieces.round_trip(docs, PIECES)
+    out.write.parquet(f"{tmp_path}/out")
+    assert out.first().same is True and "Same" not in out.columns
+
+
 @pytest.mark.parametrize("name", sorted(ORACLE_SQL))
 def test_query_against_its_sql(spark, name):
     import duckdb
