@@ -10,6 +10,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.text import tokens
+from .ranks import ranked
 
 IN = {"service": "service", "level": "level", "status": "match.status", "confidence": "match.confidence_level"}
 EQUAL = {"dataset": "dataset_id", "trace": "trace_id", "statement": "match.statement_id", "log": "log_id"}
@@ -149,10 +150,12 @@ def page(logs: DataFrame, size: int = 100, order: str = "desc", cursor: str | No
 
 
 def page_end(found: DataFrame, shown: DataFrame, order: str = "desc") -> DataFrame:
-    """One row (total, cursor): how many logs ``found`` holds, and the cursor after the last log of the page ``shown`` (null for an empty page)."""
-    place = F.struct(F.col("ts").isNotNull() if order == "desc" else F.col("ts").isNull(), *ORDER)
-    last = shown.agg((F.min_by if order == "desc" else F.max_by)(F.to_json(F.array(*[F.col(c).cast("string") for c in ORDER])), place).alias("k"))
-    return found.agg(F.count("*").alias("total")).join(last.select(F.base64(F.col("k").cast("binary")).alias("cursor")))
+    """One row (total, cursor): how many logs ``found`` holds, and the cursor after the last log of the page ``shown`` (null for an empty page); nulls rank in each key as ``page`` has them."""
+    down = order == "desc"
+    place = F.struct(*[x for c in ORDER for x in ((F.col(c).isNotNull() if down else F.col(c).isNull()).alias(f"{c}_rank"), F.col(c))])
+    last = shown.agg((F.min_by if down else F.max_by)(F.to_json(F.array(*[F.col(c).cast("string") for c in ORDER]), {"ignoreNullFields": "false"}), place).alias("k"))
+    both = found.agg(F.count("*").alias("n")).select("n", F.lit(None).cast("string").alias("k")).union(last.select(F.lit(0).cast("long"), "k"))
+    return both.agg(F.max("n").alias("total"), F.max("k").alias("k")).select("total", F.base64(F.col("k").cast("binary")).alias("cursor"))
 
 
 def encode_cursor(values: list) -> str:
@@ -169,15 +172,29 @@ def decode_cursor(cursor: str) -> list:
 SCOPES = {"service": (["dataset_id", "source_file"], ["sequence"]), "thread": (["dataset_id", "service", "thread"], list(ORDER)), "dataset": (["dataset_id"], list(ORDER))}
 
 
+#: Most neighbours a side, and most logs of a trace.
+MOST = 500
+
+
 def neighbours(logs: DataFrame, anchors: DataFrame, scope: str = "service", before: int = 20, after: int = 20) -> DataFrame:
-    """(anchor_id, offset, log_id): for every log_id of ``anchors`` the logs before (negative offsets) and after it in its scope."""
+    """(anchor_id, offset, log_id): for every log_id of ``anchors`` the logs before (negative offsets) and after it in its scope, MOST a side at most; an unknown scope and negative numbers are errors.
+
+    Logs get places in the order of scope and time (see ranks), and an anchor asks for the places around its own: a
+    scope of any size, a whole dataset too, is sorted by many tasks.
+    """
+    if scope not in SCOPES:
+        raise ValueError(f"no such scope: {scope}")
+    if before < 0 or after < 0:
+        raise ValueError("before and after must not be negative")
+    before, after = min(before, MOST), min(after, MOST)
     by, order = SCOPES[scope]
-    rows = logs.select("log_id", *by, *[c for c in order if c not in by and c != "log_id"])
-    mine = rows.join(anchors.select("log_id"), "log_id", "left_semi").select(*by).distinct()
-    w = Window.partitionBy(*by).orderBy(*[F.col(c).asc_nulls_last() for c in order])
-    placed = rows.join(mine, by, "left_semi").withColumn("n", F.row_number().over(w)).select("log_id", *by, "n")
-    at = placed.join(anchors.select("log_id"), "log_id", "left_semi").select(F.col("log_id").alias("anchor_id"), *by, F.explode(F.sequence(F.col("n") - before, F.col("n") + after)).alias("n"), F.col("n").alias("own"))
-    return at.join(placed, [*by, "n"]).select("anchor_id", (F.col("n") - F.col("own")).cast("int").alias("offset"), "log_id").where("offset <> 0")
+    keys = [*by, *[c for c in order if c not in by], *(["log_id"] if "log_id" not in order else [])]
+    mine = logs.join(anchors.select("log_id"), "log_id", "left_semi").select(*by).distinct()
+    placed = ranked(logs.select(*keys).join(mine, by, "left_semi"), keys).select("log_id", F.struct(*by).alias("scope"), "n")
+    around = F.filter(F.sequence(F.lit(-before), F.lit(after)), lambda k: k != 0)
+    at = placed.join(anchors.select("log_id"), "log_id", "left_semi").select(F.col("log_id").alias("anchor_id"), F.col("scope").alias("own"), F.col("n").alias("own_n"), F.explode(around).alias("offset"))
+    at = at.withColumn("n", F.col("own_n") + F.col("offset"))
+    return at.join(placed, "n").where(F.col("own") == F.col("scope")).select("anchor_id", F.col("offset").cast("int").alias("offset"), "log_id")
 
 
 def adjacent(logs: DataFrame, scope: str = "service") -> DataFrame:
@@ -188,11 +205,23 @@ def adjacent(logs: DataFrame, scope: str = "service") -> DataFrame:
 
 
 def trace(logs: DataFrame, anchors: DataFrame, most: int = 200) -> DataFrame:
-    """(anchor_id, place, log_id): the logs of the anchor's trace in its dataset, by time."""
-    at = logs.join(anchors.select("log_id"), "log_id", "left_semi").where("trace_id is not null").select(F.col("log_id").alias("anchor_id"), "dataset_id", "trace_id")
-    rows = at.join(logs.select("dataset_id", "trace_id", *ORDER), ["dataset_id", "trace_id"])
-    w = Window.partitionBy("anchor_id").orderBy(*[F.col(c).asc_nulls_last() for c in ORDER])
-    return rows.withColumn("place", F.row_number().over(w)).where(F.col("place") <= most).select("anchor_id", "place", "log_id")
+    """(anchor_id, place, log_id): the first ``most`` (MOST at most) logs of the anchor's trace in its dataset, by time; a blank trace id is none (see untraced).
+
+    A trace is numbered and cut once, whatever the number of its anchors, and a trace of any length by many tasks.
+    """
+    if most <= 0:
+        raise ValueError("most must be positive")
+    key = ["dataset_id", "trace_id"]
+    at = logs.join(anchors.select("log_id"), "log_id", "left_semi").where("trim(trace_id) <> ''").select(F.col("log_id").alias("anchor_id"), *key)
+    placed = ranked(logs.select(*key, *ORDER).join(at.select(*key).distinct(), key, "left_semi"), [*key, *ORDER])
+    first = placed.groupBy(*key).agg(F.min("n").alias("first"))
+    cut = placed.join(first, key).withColumn("place", (F.col("n") - F.col("first") + 1).cast("int")).where(F.col("place") <= min(most, MOST))
+    return at.join(cut.select(*key, "place", "log_id"), key).select("anchor_id", "place", "log_id")
+
+
+def untraced(logs: DataFrame, anchors: DataFrame) -> DataFrame:
+    """(anchor_id, reason): anchors for which ``trace`` has no logs since they carry no trace id."""
+    return logs.join(anchors.select("log_id"), "log_id", "left_semi").where("coalesce(trim(trace_id), '') = ''").select(F.col("log_id").alias("anchor_id"), F.lit("no-trace-id").alias("reason"))
 
 
 def candidate_details(logs: DataFrame, catalog: DataFrame) -> DataFrame:
