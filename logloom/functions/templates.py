@@ -20,6 +20,32 @@ def literals_of(text: Column) -> Column:
     return F.transform(parts, lambda p, i: F.when(i == F.size(parts) - 1, F.regexp_replace(F.when(i == 0, F.regexp_replace(p, r"(?U)^\s+", "")).otherwise(p), r"(?U)\s+\z", "")).when(i == 0, F.regexp_replace(p, r"(?U)^\s+", "")).otherwise(p))
 
 
+#: A conversion of java.util.Formatter, a placeholder of java.text.MessageFormat; what else a template has is text.
+CONVERSION = r"%(?:\d+\$)?[-#+ 0,(]*(?:\d+)?(?:\.\d+)?(?:[tT][a-zA-Z]|[a-zA-Z])"
+PLACEHOLDER = r"\{\d+(?:,[^{}]*)?\}"
+
+
+def _normalised(text: Column, pattern: str, hole: str, told: dict[str, str]) -> Column:
+    """A template in the form with {}: the automaton's tokens in turn, holes (which ``hole`` tells) as {}, ``told`` tokens as their text, others as they are with backslash and brace escaped."""
+    def of(token: Column) -> Column:
+        plain = F.replace(F.replace(token, F.lit("\\"), F.lit("\\\\")), F.lit("{"), F.lit("\\{"))
+        for k, v in told.items():
+            plain = F.when(token == k, F.lit(v)).otherwise(plain)
+        return F.when(~token.isin(*told) & token.rlike(f"^(?:{hole})$"), "{}").otherwise(plain)
+
+    return F.array_join(F.transform(F.regexp_extract_all(text, F.lit(pattern), F.lit(0)), of), "")
+
+
+def printf_template(text: Column) -> Column:
+    """A printf template (``%s``, ``%2$-5.1f``, ``%tY``; ``%%`` and ``%n`` are text) as a template with {}."""
+    return _normalised(text, f"%%|%n|{CONVERSION}|[^%]+|%", CONVERSION, {"%%": "%", "%n": "\n"})
+
+
+def message_format_template(text: Column) -> Column:
+    """A MessageFormat template (``{0}``, ``{1,number,#.#}``; two quotes are one, a single quote is text) as a template with {}."""
+    return _normalised(text, PLACEHOLDER + r"|''|[^'{]+|['{]", PLACEHOLDER, {"''": "'"})
+
+
 def quoted(literal: Column) -> Column:
     return F.when(literal == "", literal).otherwise(F.concat(F.lit("\\Q"), F.replace(literal, F.lit("\\E"), F.lit("\\E\\\\E\\Q")), F.lit("\\E")))
 

@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from ..functions.templates import template_features
 from ..functions.text import tokens
+from ..sources.scratch import written
 
 
 def prepared(catalog: DataFrame) -> DataFrame:
@@ -80,18 +81,23 @@ def ancestors(types: DataFrame, levels: int = 20) -> DataFrame:
 
 
 def implementors(types: DataFrame, rounds: int = 100) -> DataFrame:
-    """(interface, class_fqn): classes that implement an interface, directly or through superclasses and other interfaces; the job fails if chains are longer than ``rounds``. A cycle is walked once."""
+    """(interface, class_fqn): classes that implement an interface, directly or through superclasses and other interfaces; an error if a chain is longer than ``rounds``. A cycle is walked once.
+
+    The closure is grown by doubling over distinct pairs, each with its shortest chain, so a class that reaches an
+    interface on many ways is one row, and the rounds (each a table) are as many as the logarithm of the longest chain.
+    """
     up = types.select("class_fqn", F.explode(F.array_compact(F.concat(F.coalesce("interfaces", F.array().cast("array<string>")), F.array("superclass_fqn")))).alias("above")).distinct()
-    reach = types.sparkSession.sql(
-        f"""
-        WITH RECURSIVE reach(class_fqn, above, depth, seen) MAX RECURSION LEVEL {rounds + 2} AS (
-          SELECT class_fqn, above, 1, array(class_fqn, above) FROM {{up}}
-          UNION ALL
-          SELECT r.class_fqn, u.above, r.depth + 1, concat(r.seen, array(u.above)) FROM reach r JOIN {{up}} u ON u.class_fqn = r.above
-          WHERE r.depth <= {rounds} AND NOT array_contains(r.seen, u.above))
-        SELECT DISTINCT class_fqn, CASE WHEN depth > {rounds} THEN raise_error('chains of interfaces are longer than {rounds}') ELSE above END AS above FROM reach LIMIT ALL""",
-        up=up,
-    )
+    reach, pairs = written(up.withColumn("depth", F.lit(1)), "reach"), -1
+    while True:
+        told = reach.agg(F.count("*").alias("n"), F.max("depth").alias("depth")).first()
+        if (told.depth or 0) > rounds:
+            raise ValueError(f"chains of interfaces are longer than {rounds}")
+        if told.n == pairs:
+            break
+        pairs = told.n
+        on = reach.select(F.col("class_fqn").alias("above"), F.col("above").alias("top"), F.col("depth").alias("more"))
+        longer = reach.join(on, "above").where("class_fqn <> top").select("class_fqn", F.col("top").alias("above"), (F.col("depth") + F.col("more")).alias("depth"))
+        reach = written(reach.union(longer).groupBy("class_fqn", "above").agg(F.min("depth").alias("depth")), "reach")
     kinds = types.groupBy("class_fqn").agg(F.min_by("kind", "type_id").alias("kind"))
     above = kinds.where("kind = 'interface'").select(F.col("class_fqn").alias("above"))
     return reach.join(above, "above").join(kinds.where("kind <> 'interface'").select("class_fqn"), "class_fqn").select(F.col("above").alias("interface"), "class_fqn")

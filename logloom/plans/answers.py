@@ -7,8 +7,8 @@ from functools import reduce
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ..operators import deps, evaluate, search, textindex
-from ..sources.scratch import new_folder
+from ..operators import deps, evaluate, prompt, search, textindex
+from ..sources.scratch import new_folder, written
 from .more_sql import ORACLE_SQL as _MORE
 from .oracle import _L
 from .queries import _logs, _sql
@@ -73,7 +73,32 @@ def dependency_choice_coverage(spark: SparkSession, sf_dir: str) -> DataFrame:
     return evaluate.logger_coverage(states).withColumn("percent", F.round("percent", 9))
 
 
-QUERIES = {f.__name__: f for f in (log_text_index, log_neighbour_scopes, log_traces_cut, log_pages_with_nulls, dependency_choice, dependency_choice_coverage)}
+def prompt_sections(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """What prompts of three levels hold, or why not, and how long they are, for every tenth log: documents as source files, customers as methods that call each other by orders."""
+    logs = _logs(spark, sf_dir)
+    frame = F.struct(F.lit("a.B").alias("class"), F.lit("c").alias("method"), F.lit("B.java").alias("file"), F.lit(1).alias("line"), (F.col("event_id") % 2 == 0).alias("in_project"), F.concat(F.lit("d"), (F.col("event_id") % 400).cast("string")).alias("file_id"))
+    told = F.struct(F.lit("java.io.IOException").alias("class"), F.array(frame).alias("frames"), F.array().cast("array<struct<frames:array<struct<class:string,method:string,file:string,line:int,in_project:boolean,file_id:string>>>>").alias("caused_by"))
+    logs = logs.withColumn("exception", F.when((F.col("service") == "error") & (F.col("event_id") % 9 > 0), told)).withColumn("raw", F.concat("message", F.lit("\njava.io.IOException: x\n\tat a.B.c(B.java:1)"))).withColumn("match", F.col("match").withField("confidence", F.lit(0.5)))
+    logs = logs.withColumns({"logger": F.lit(None).cast("string"), "logger_raw": F.lit("com.shop.Web"), "timestamp_raw": F.date_format("ts", "yyyy-MM-dd'T'HH:mm:ss.SSS'Z'")})
+    docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
+    sources = docs.select(F.concat(F.lit("d"), F.col("doc_id").cast("string")).alias("file_id"), F.concat(F.lit("f"), F.col("doc_id").cast("string")).alias("file_path"), F.col("text").alias("content"))
+    control = "struct(CASE WHEN id % 2 = 0 THEN array(struct('if' AS kind, 'x > 0' AS text, 2 AS line)) ELSE array() END AS conditions, cast(array() AS array<struct<text:string,line:int,exit_kind:string>>) AS early_exits, cast(array() AS array<struct<text:string,line:int>>) AS preceding, cast(array() AS array<struct<text:string,line:int>>) AS calls_before)"
+    catalog = spark.sql(f"""SELECT concat('s', cast(id AS string)) AS statement_id, struct(CASE WHEN id = 4 THEN 'dependency' ELSE 'project' END AS type, 'shop' AS name, '1' AS version) AS code_unit, 'A.java' AS file_path, 1 AS line, 'a.A' AS class_fqn, 'run()' AS method_signature, 'x' AS template,
+      concat('d', cast(id AS string)) AS file_id, CASE WHEN id <> 3 THEN concat('m', cast(id AS string)) END AS method_id, 1 AS method_start_line, 1 AS method_end_line, {control} AS control FROM range(0, 5)""")
+    calls = _sql(spark, sf_dir, "SELECT DISTINCT concat('m', cast(o_custkey % 50 AS string)) AS method_id, concat('m', cast(o_custkey AS string)) AS caller, concat('c', cast(o_custkey AS string)) AS class_fqn FROM orders", "orders")
+    calls = calls.groupBy("method_id").agg(F.collect_list(F.struct(F.col("caller").alias("method_id"), "class_fqn", F.lit("run").alias("method_name"), F.lit(1).alias("line"))).alias("called_by"))
+    methods = _sql(spark, sf_dir, "SELECT concat('m', cast(c_custkey AS string)) AS method_id, concat('c', cast(c_custkey AS string)) AS class_fqn, 'run()' AS method_signature, 'C.java' AS file_path, concat('d', cast(c_custkey AS string)) AS file_id, 1 AS start_line, 1 AS end_line, cast(NULL AS array<string>) AS annotations FROM customer UNION ALL SELECT 'm0', 'c0', 'run()', 'C.java', 'd0', 1, 1, NULL", "customer").dropDuplicates(["method_id"]).join(calls, "method_id", "left")
+    logs, catalog, methods = written(logs, "logs"), written(catalog, "catalog"), written(methods, "methods")
+    anchors, out = logs.where("event_id % 10 = 0").select("log_id"), None
+    for level in (0, 2, 4):
+        p = prompt.prompts(logs, anchors, level, catalog, sources, methods)
+        said = F.array_join(F.transform("sections", lambda s: F.concat(s.id, F.lit(":"), F.coalesce(s.reason, F.lit("+")))), " ")
+        p = p.select("log_id", F.lit(level).alias("level"), said.alias("sections"), (F.size(F.split("text", "\n### Nivo ", -1)) - 1).alias("callers"), (F.length("text") == F.col("chars")).alias("counted"))
+        out = p if out is None else out.union(p)
+    return out
+
+
+QUERIES = {f.__name__: f for f in (log_text_index, log_neighbour_scopes, log_traces_cut, log_pages_with_nulls, dependency_choice, dependency_choice_coverage, prompt_sections)}
 
 _PLACES = """SELECT '{scope}' AS scope, log_id, event_id, {key} AS k, row_number() OVER (PARTITION BY {key} ORDER BY {order}) AS n FROM l"""
 _SCOPES = " UNION ALL ".join(_PLACES.format(scope=s, key=k, order=o) for s, k, o in (("service", "source_file", "sequence"), ("thread", "concat(service, '|', thread)", "ts, sequence, log_id"), ("dataset", "dataset_id", "ts, sequence, log_id")))
@@ -93,6 +118,13 @@ ORACLE_SQL = {
     "log_pages_with_nulls": f"""{_L}, t AS (SELECT event_id, log_id, CASE WHEN event_id % 3 = 0 THEN ts END AS ts, CASE WHEN event_id % 4 = 0 THEN sequence END AS sequence FROM l WHERE event_id % 10 < 3 AND event_id < 200)
       SELECT 'asc' AS page, event_id FROM (SELECT event_id, row_number() OVER (ORDER BY ts NULLS LAST, sequence NULLS LAST, log_id) AS n FROM t) WHERE n BETWEEN 41 AND 80
       UNION ALL SELECT 'desc', event_id FROM (SELECT event_id, row_number() OVER (ORDER BY ts DESC NULLS LAST, sequence DESC NULLS LAST, log_id DESC) AS n FROM t) WHERE n BETWEEN 41 AND 80""",
+    "prompt_sections": f"""{_L}, a AS (SELECT *, CASE WHEN status = 'unmatched' THEN NULL ELSE cast(substring(predicted, 2) AS integer) END AS s, service = 'error' AND event_id % 9 > 0 AS e FROM l WHERE event_id % 10 = 0), v AS (SELECT unnest([0, 2, 4]) AS lv),
+      c AS (SELECT o_custkey % 50 AS k, least(5, count(DISTINCT o_custkey)) AS n FROM orders WHERE o_custkey >= 50 GROUP BY 1), d AS (SELECT doc_id, text <> '' AS shown FROM documents WHERE text IS NOT NULL), near AS (SELECT source_file, count(*) AS logs FROM l GROUP BY 1),
+      w AS (SELECT a.*, lv, coalesce(c.n, 0) AS n, CASE WHEN s IS NULL THEN 'unmatched' WHEN s > 4 THEN 'unavailable' END AS why, d.shown IS NOT NULL AS has_file, f.shown IS NOT NULL AS has_frame, logs FROM a CROSS JOIN v LEFT JOIN c ON c.k = s AND s < 3 LEFT JOIN d ON d.doc_id = s LEFT JOIN d f ON f.doc_id = event_id % 400 LEFT JOIN near USING (source_file))
+      SELECT log_id, cast(lv AS integer) AS level, concat_ws(' ', 'log:+', concat('exception:', CASE WHEN e THEN '+' ELSE 'noException' END), concat('statement:', CASE WHEN lv < 1 THEN 'level' ELSE coalesce(why, '+') END), concat('method:', CASE WHEN lv < 1 THEN 'level' ELSE coalesce(why, CASE WHEN has_file THEN '+' ELSE 'unavailable' END) END),
+        concat('flow:', CASE WHEN lv < 2 THEN 'level' ELSE coalesce(why, CASE WHEN s % 2 = 0 THEN '+' ELSE 'noControl' END) END), concat('stackCode:', CASE WHEN lv < 2 THEN 'level' WHEN NOT e THEN 'noException' WHEN event_id % 2 = 1 THEN 'noProjectFrames' WHEN has_frame THEN '+' ELSE 'unavailable' END),
+        concat('callers:', CASE WHEN lv < 3 THEN 'level' ELSE coalesce(why, CASE WHEN s = 4 THEN 'library' WHEN s = 3 THEN 'unavailable' WHEN n = 0 THEN 'noCallers' ELSE '+' END) END), concat('neighbors:', CASE WHEN lv < 4 THEN 'level' WHEN logs > 1 THEN '+' ELSE 'noNeighbors' END)) AS sections,
+        cast(CASE WHEN lv < 3 OR why IS NOT NULL THEN 0 ELSE n END AS integer) AS callers, true AS counted FROM w""",
     "dependency_choice": f"{_COVER} SELECT service, place, artifact, hits FROM r WHERE place > 0",
     "dependency_choice_coverage": """WITH g AS (SELECT DISTINCT o_custkey AS c FROM orders), s AS (SELECT c % 23 = 0 AND c % 17 > 0 AS excluded, c % 17 = 0 OR (c % 23 > 0 AND NOT (c % 7 = 0 AND c % 11 = 3 AND c % 13 = 5)) AS mapped FROM g),
       n AS (SELECT count(*) AS loggers, count(*) FILTER (excluded AND NOT mapped) AS excluded, count(*) FILTER (mapped) AS mapped, count(*) FILTER (NOT mapped AND NOT excluded) AS unmapped FROM s)

@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
+from ..functions.templates import message_format_template, printf_template, template_features
 from ..operators import assemble
 from ..sources.formats import json_lines, logback, spring_boot
 from .derive import LOGS
@@ -72,7 +73,24 @@ def assembly_branches(spark: SparkSession, sf_dir: str) -> DataFrame:
     return e.select("source_file", "line_number", "sequence", "service", "module", F.col("code.version").alias("version"), "app_name", "level", "trace_id", "span_id", "message", truth["class"].alias("truth_class"), truth["method"].alias("truth_method"), truth["line"].alias("truth_line"), truth["reliable"].alias("reliable"), F.col("parser_format").alias("format"))
 
 
-QUERIES = {f.__name__: f for f in (logback_patterns, json_times, assembly_branches)}
+def format_templates(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Names of parts inside printf and MessageFormat templates: their form with holes, and the size of their text."""
+    n, size = F.col("p_name"), F.col("p_size").cast("string")
+    texts = [
+        F.concat(F.lit("100%% of %s in "), n, F.lit(" at %5.2f%n")),
+        F.concat(F.lit("%d%-3s "), n, F.lit(" %"), size, F.lit("$s")),
+        F.concat(n, F.lit(" %tH:%tM %q %, 50% off")),
+        F.concat(F.lit("It''s {0,number,#.##} of "), n, F.lit(" {x} {1}")),
+        F.concat(F.lit("'{0}' {"), n, F.lit("} {2,choice,0#none|1#one}{3}")),
+        F.concat(n, F.lit(" \\ {10} {,} {1,{2}}")),
+    ]
+    k = (F.col("p_partkey") % 6).cast("int")
+    p = spark.read.parquet(f"{sf_dir}/part.parquet").select("p_partkey", k.alias("k"), F.element_at(F.array(*texts), k + 1).alias("raw"))
+    p = p.withColumn("f", template_features(F.when(F.col("k") < 3, printf_template(F.col("raw"))).otherwise(message_format_template(F.col("raw")))))
+    return p.select("p_partkey", "f.template", F.col("f.holes").cast("int").alias("holes"), F.col("f.literal_length").cast("int").alias("literal_length"))
+
+
+QUERIES = {f.__name__: f for f in (logback_patterns, json_times, assembly_branches, format_templates)}
 
 _E = f"WITH l AS ({LOGS.replace(' AS string)', ' AS varchar)')})"
 _MS, _S = "strftime({}, '%Y-%m-%d %H:%M:%S.%g')", "date_trunc('second', ts)"
@@ -81,6 +99,9 @@ ORACLE_SQL = {
     "logback_patterns": f"""{_E}, k AS (SELECT *, cast(event_id % 9 AS integer) AS k FROM l), h AS (SELECT *, CASE WHEN k = 7 THEN extract(day FROM ts) >= 10 WHEN k = 8 THEN dayofweek(ts) = 1 ELSE true END AS ok FROM k)
       SELECT event_id, k, CASE WHEN ok THEN {_MS.format(f"CASE WHEN k IN (0, 2, 5, 6) THEN ts WHEN k = 7 THEN date_trunc('minute', ts) ELSE {_S} END")} END AS ts, CASE WHEN ok THEN CASE WHEN k = 2 THEN 'UNKNOWN' ELSE level END END AS level,
         CASE WHEN k IN (0, 2, 4) THEN thread END AS thread, CASE WHEN k IN (0, 1, 2, 3, 5) THEN concat('com.shop.', service) END AS logger_raw, CASE k WHEN 2 THEN '77' WHEN 3 THEN '8' END AS pid, CASE WHEN ok THEN message END AS message FROM h""",
+    "format_templates": r"""WITH t AS (SELECT p_partkey, CASE p_partkey % 6 WHEN 0 THEN concat('100% of {} in ', p_name, ' at {}') WHEN 1 THEN concat('{} ', p_name, ' {}') WHEN 2 THEN concat(p_name, ' {}:{} {} %, 50{}ff')
+        WHEN 3 THEN concat('It''s {} of ', p_name, ' \{x} {}') WHEN 4 THEN concat(chr(39), '{}', chr(39), ' \{', p_name, '} {}') ELSE concat(p_name, ' \\ {} \{,} \{1,{}}') END AS template FROM part)
+      SELECT p_partkey, template, cast(len(string_split(template, '{}')) - 1 AS integer) AS holes, cast(length(regexp_replace(regexp_replace(replace(template, '{}', ''), '\\(.)', '\1', 'g'), '\s', '', 'g')) AS integer) AS literal_length FROM t""",
     "json_times": f"""{_E}, t AS (SELECT event_id, message, CASE event_id % 9 WHEN 0 THEN ts WHEN 1 THEN ts WHEN 2 THEN {_S} - INTERVAL 2 HOUR WHEN 6 THEN TIMESTAMP '1970-01-01 00:00:00' - to_milliseconds(event_id) WHEN 7 THEN date_trunc('minute', ts) + INTERVAL 210 MINUTE END AS ts FROM l)
       SELECT event_id, {_MS.format("ts")} AS ts, CASE WHEN ts IS NOT NULL THEN 'UNKNOWN' END AS level, CASE WHEN ts IS NOT NULL THEN message END AS message FROM t""",
     "assembly_branches": f"""{_E}, f AS (SELECT *, cast(event_id % 40 AS integer) AS f, row_number() OVER (PARTITION BY event_id % 40 ORDER BY event_id) AS n, md5(cast(event_id AS varchar)) AS d,

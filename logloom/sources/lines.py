@@ -4,23 +4,33 @@ from __future__ import annotations
 
 import json
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 LINE = "dataset_id string, source_file string, line_no int, text string"
 _MANIFEST = {"dataset_id", "description", "created_at", "oracle", "log_format", "code", "files", "notes"}
 
 
+#: Splits of files whose counts are sent to every task; with more of them lines are joined by shuffling.
+MOST_SENT = 1 << 20
+
+
 def read_lines(spark: SparkSession, paths: list[str] | str, dataset_id: str, root: str = "") -> DataFrame:
     """(dataset_id, source_file, line_no, text): UTF-8 text or gzip by suffix; line numbers from 1, CR before LF dropped.
 
-    A file is read whole by one task, as its lines need numbers; files are independent.
+    A plain file is read by many tasks, in the splits of Spark's text source, each of which starts after a line end (a gzip
+    file cannot be split). Lines are counted for each split first, and a small table of the splits, a row for each
+    ``spark.sql.files.maxPartitionBytes`` of text, gives the lines before it.
     """
-    files = spark.read.text(paths, wholetext=True).select(F.input_file_name().alias("path"), "value")
-    text = F.regexp_replace("value", r"\r?\n\z", "")
-    rows = files.where(F.length("value") > 0).select("path", F.posexplode(F.split(text, r"\r?\n", -1)).alias("i", "text"))
+    text = spark.read.option("lineSep", "\n").text(paths)
+    rows = text.select(F.col("_metadata.file_path").alias("path"), F.col("_metadata.file_block_start").alias("split"), F.regexp_replace("value", r"\r\z", "").alias("text"), F.monotonically_increasing_id().alias("id"))
+    splits = rows.groupBy("path", "split").agg(F.min("id").alias("first"), F.count("*").alias("lines"))
+    splits = splits.select("path", "split", (F.sum("lines").over(Window.partitionBy("path").orderBy("split")) - F.col("lines") - F.col("first")).alias("before"))
+    if splits.count() <= MOST_SENT:
+        splits = F.broadcast(splits)
+    rows = rows.join(splits, ["path", "split"])
     named = F.regexp_replace("path", "^.*" + root + "/", "") if root else F.regexp_replace("path", "^.*/", "")
-    return rows.select(F.lit(dataset_id).alias("dataset_id"), named.alias("source_file"), (F.col("i") + 1).alias("line_no"), "text")
+    return rows.select(F.lit(dataset_id).alias("dataset_id"), named.alias("source_file"), (F.col("id") + F.col("before") + 1).cast("int").alias("line_no"), "text")
 
 
 def dataset_path(spark: SparkSession, dataset: str, base: str = "datasets") -> str:
