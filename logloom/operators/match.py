@@ -15,6 +15,7 @@ from pyspark.sql import functions as F
 from ..functions.templates import arguments
 from ..functions.text import compatible_level, tokens
 from . import catalog as c
+from .tokentop import top_by_tokens
 
 
 @dataclass(frozen=True)
@@ -114,9 +115,8 @@ def features(keys: DataFrame, catalog: DataFrame, modules: DataFrame, types: Dat
     named = keys.join(by_logger, ["service", "logger_raw"]).select("key", "statement_id", "reason", F.lit(9 if mode == "tokens" else 0).alias("source"), F.lit(0).alias("r"))
     pool = named
     if mode != "logger":
-        words = keys.select("key", "service", F.explode(tokens(F.col("message"))).alias("token"))
-        sums = words.join(c.postings(ready, usable), ["service", "token"]).groupBy("key", "statement_id").agg(F.round(F.sum("idf"), 9).alias("idf"))
-        ranked = sums.withColumn("r", F.row_number().over(Window.partitionBy("key").orderBy(F.col("idf").desc(), "statement_id"))).where(F.col("r") <= config.top_k_tokens)
+        words = keys.select("key", "service", F.posexplode(tokens(F.col("message"))).alias("pos", "token"))
+        ranked = top_by_tokens(words, c.postings(ready, usable), config.top_k_tokens)
         pool = named.union(ranked.select("key", "statement_id", F.lit(None).cast("int").alias("reason"), F.lit(1).alias("source"), "r"))
     pool = pool.groupBy("key", "statement_id").agg(F.min("reason").alias("reason"), F.min(F.struct("source", "r")).alias("o"), F.min(F.when(F.col("source") < 9, F.struct("source", "r"))).alias("place")).where("place is not null")
     pool = pool.withColumn("n", F.row_number().over(Window.partitionBy("key").orderBy("place", "statement_id"))).where(F.col("n") <= config.max_candidates).select("key", "statement_id", "reason")

@@ -7,10 +7,11 @@ from functools import reduce
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ..operators import deps, evaluate, prompt, search, textindex
+from ..functions.text import tokens
+from ..operators import catalog, deps, evaluate, prompt, search, textindex, tokentop
 from ..sources.scratch import new_folder, written
 from .more_sql import ORACLE_SQL as _MORE
-from .oracle import _L
+from .oracle import _L, _TOKENS
 from .queries import _logs, _sql
 
 #: Queries by name: hyphens, groups, negation, prefixes and phrases.
@@ -98,7 +99,17 @@ def prompt_sections(spark: SparkSession, sf_dir: str) -> DataFrame:
     return out
 
 
-QUERIES = {f.__name__: f for f in (log_text_index, log_neighbour_scopes, log_traces_cut, log_pages_with_nulls, dependency_choice, dependency_choice_coverage, prompt_sections)}
+def document_neighbours_by_tokens(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """For every conversation's turns as messages the five documents of the corpus with the weightiest shared tokens; tokens of over 20 documents count as common."""
+    docs = spark.read.parquet(f"{sf_dir}/documents.parquet").select(F.col("doc_id").cast("string").alias("statement_id"), tokens(F.col("text")).alias("constant_tokens"))
+    usable = docs.select(F.lit("all").alias("service"), "statement_id")
+    turns = spark.read.parquet(f"{sf_dir}/conversations.parquet").where("text is not null")
+    words = turns.select(F.concat_ws("-", "conv_id", "turn").alias("key"), F.lit("all").alias("service"), F.posexplode(tokens(F.col("text"))).alias("pos", "token"))
+    found = tokentop.top_by_tokens(words, written(catalog.postings(docs, usable), "postings"), 5, 20)
+    return found.select("key", "statement_id", F.round("idf", 6).alias("idf"), "r")
+
+
+QUERIES = {f.__name__: f for f in (log_text_index, log_neighbour_scopes, log_traces_cut, log_pages_with_nulls, dependency_choice, dependency_choice_coverage, prompt_sections, document_neighbours_by_tokens)}
 
 _PLACES = """SELECT '{scope}' AS scope, log_id, event_id, {key} AS k, row_number() OVER (PARTITION BY {key} ORDER BY {order}) AS n FROM l"""
 _SCOPES = " UNION ALL ".join(_PLACES.format(scope=s, key=k, order=o) for s, k, o in (("service", "source_file", "sequence"), ("thread", "concat(service, '|', thread)", "ts, sequence, log_id"), ("dataset", "dataset_id", "ts, sequence, log_id")))
@@ -110,6 +121,9 @@ _COVER = """WITH RECURSIVE g AS (SELECT o_orderpriority AS service, concat(CASE
     UNION ALL SELECT service, list_append(done, artifact), artifact, hits, place + 1 FROM (SELECT r.service, r.done, r.place, v.artifact, cast(sum(v.n) AS bigint) AS hits, row_number() OVER (PARTITION BY r.service ORDER BY sum(v.n) DESC, v.artifact) AS p
       FROM r JOIN v ON v.service = r.service WHERE NOT list_has_any(v.owners, r.done) GROUP BY r.service, r.done, r.place, v.artifact) WHERE p = 1)"""
 
+#: Tokens in order of their first occurrence.
+_FIRST = _TOKENS.replace("list_distinct(", "(")
+
 ORACLE_SQL = {
     "log_text_index": _MORE["log_text_search"],
     "log_neighbour_scopes": f"{_L}, p AS ({_SCOPES}) SELECT a.scope, a.log_id AS anchor_id, cast(b.n - a.n AS integer) AS \"offset\", b.log_id FROM p a JOIN p b ON a.scope = b.scope AND a.k = b.k AND b.n BETWEEN a.n - 3 AND a.n + 2 AND b.n <> a.n WHERE a.event_id % 50 = 0",
@@ -125,6 +139,10 @@ ORACLE_SQL = {
         concat('flow:', CASE WHEN lv < 2 THEN 'level' ELSE coalesce(why, CASE WHEN s % 2 = 0 THEN '+' ELSE 'noControl' END) END), concat('stackCode:', CASE WHEN lv < 2 THEN 'level' WHEN NOT e THEN 'noException' WHEN event_id % 2 = 1 THEN 'noProjectFrames' WHEN has_frame THEN '+' ELSE 'unavailable' END),
         concat('callers:', CASE WHEN lv < 3 THEN 'level' ELSE coalesce(why, CASE WHEN s = 4 THEN 'library' WHEN s = 3 THEN 'unavailable' WHEN n = 0 THEN 'noCallers' ELSE '+' END) END), concat('neighbors:', CASE WHEN lv < 4 THEN 'level' WHEN logs > 1 THEN '+' ELSE 'noNeighbors' END)) AS sections,
         cast(CASE WHEN lv < 3 OR why IS NOT NULL THEN 0 ELSE n END AS integer) AS callers, true AS counted FROM w""",
+    "document_neighbours_by_tokens": f"""WITH d AS (SELECT cast(doc_id AS varchar) AS statement_id, unnest({_TOKENS}) AS token FROM documents), n AS (SELECT token, ln((SELECT count(*) FROM documents) / count(*)::double) AS idf FROM d GROUP BY 1),
+      w AS (SELECT concat_ws('-', conv_id, turn) AS key, t AS ts, unnest(t) AS token FROM (SELECT conv_id, turn, {_TOKENS} AS t FROM conversations WHERE text IS NOT NULL)),
+      p AS (SELECT key, statement_id, sum(idf) AS idf, min(list_position(o, token)) AS first FROM (SELECT w.key, w.token, x.o FROM w JOIN (SELECT concat_ws('-', conv_id, turn) AS key, {_FIRST} AS o FROM conversations WHERE text IS NOT NULL) x USING (key)) JOIN n USING (token) JOIN d USING (token) GROUP BY 1, 2),
+      r AS (SELECT *, row_number() OVER (PARTITION BY key ORDER BY round(idf, 9) DESC, first, statement_id) AS r FROM p) SELECT key, statement_id, round(idf, 6) AS idf, cast(r AS integer) AS r FROM r WHERE r <= 5""",
     "dependency_choice": f"{_COVER} SELECT service, place, artifact, hits FROM r WHERE place > 0",
     "dependency_choice_coverage": """WITH g AS (SELECT DISTINCT o_custkey AS c FROM orders), s AS (SELECT c % 23 = 0 AND c % 17 > 0 AS excluded, c % 17 = 0 OR (c % 23 > 0 AND NOT (c % 7 = 0 AND c % 11 = 3 AND c % 13 = 5)) AS mapped FROM g),
       n AS (SELECT count(*) AS loggers, count(*) FILTER (excluded AND NOT mapped) AS excluded, count(*) FILTER (mapped) AS mapped, count(*) FILTER (NOT mapped AND NOT excluded) AS unmapped FROM s)

@@ -128,3 +128,28 @@ def test_text_index_answers_as_the_scan(spark, tmp_path):
     plan = textindex.candidates(index, "order + 42")._jdf.queryExecution().executedPlan().toString()
     assert re.search(r"PartitionFilters: \[\(*bucket", plan), plan
     assert "EqualTo(token,order)" in plan or "In(token" in plan
+
+
+@pytest.mark.parametrize("common", [0, 2, 5, 1000])
+def test_top_by_tokens_is_that_of_the_full_sums(spark, common):
+    from logloom.operators.tokentop import top_by_tokens, touched
+
+    rng = random.Random(common)
+    said = {f"s{i:02d}": {f"t{min(int(rng.expovariate(0.12)), 39)}" for _ in range(6)} for i in range(60)}
+    rows = [(service, t, s, 8.0 / (1 + sum(t in x for x in said.values()))) for service in ("a", "b") for s, own in said.items() for t in own if service == "a" or s < "s30"]
+    words = [(f"k{i}", "ab"[i % 2], f"t{t}", p) for i in range(30) for p, t in enumerate(rng.sample(range(45), rng.randrange(1, 9)))]
+    w, p = spark.createDataFrame(words, "key string, service string, token string, pos int"), spark.createDataFrame(rows, "service string, token string, statement_id string, idf double")
+    want = []
+    for key in {x[0] for x in words}:
+        sums, first = {}, {}
+        for _, service, t, pos in sorted(x for x in words if x[0] == key):
+            for s, token, statement, idf in rows:
+                if (s, token) == (service, t):
+                    sums[statement] = sums.get(statement, 0) + idf
+                    first[statement] = min(first.get(statement, 99), pos)
+        best = sorted(sums, key=lambda s: (-round(sums[s], 9), first[s], s))[:4]
+        want += [(key, s, round(sums[s], 9), i + 1) for i, s in enumerate(best)]
+    got = top_by_tokens(w, p, 4, common).collect()
+    assert sorted((r.key, r.statement_id, round(r.idf, 9), r.r) for r in got) == sorted(want)
+    n = touched(w, p, 4, common).agg(F.sum("walked").alias("a"), F.sum("whole").alias("b")).first()
+    assert n.a <= n.b and (common not in (2, 5) or n.a < n.b)
