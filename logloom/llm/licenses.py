@@ -79,9 +79,15 @@ NAMES = {
     "EPL": "Eclipse Public License",
 }
 
+#: Templates that are read from a folder.
+MOST = 1000
+
+
 def read_templates(spark, folder: str) -> dict[str, str]:
-    """Whole license texts from the text files of a folder, named by the files; a few hundred files at most."""
-    rows = spark.read.text(folder, wholetext=True).select(F.regexp_extract(F.input_file_name(), r"([^/]*?)(\.txt)?$", 1).alias("name"), "value").limit(1000).collect()
+    """Whole license texts from the text files of a folder, named by the files: they are sent to every task, so more than MOST files are an error."""
+    rows = spark.read.text(folder, wholetext=True).select(F.regexp_extract(F.input_file_name(), r"([^/]*?)(\.txt)?$", 1).alias("name"), "value").limit(MOST + 1).collect()
+    if len(rows) > MOST:
+        raise ValueError(f"more than {MOST} templates in {folder}")
     return {r.name: r.value for r in rows}
 
 
