@@ -8,11 +8,11 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions.text import tokens
-from ..operators import catalog, deps, evaluate, prompt, search, textindex, tokentop
+from ..operators import catalog, deps, evaluate, links, prompt, reports, search, textindex, tokentop
 from ..sources.scratch import new_folder, written
 from .more_sql import ORACLE_SQL as _MORE
-from .oracle import _L, _TOKENS
-from .queries import _logs, _sql
+from .oracle import _J, _L, _TOKENS, ORACLE_SQL as _FIRST_SQL
+from .queries import _judged, _logs, _sql
 
 #: Queries by name: hyphens, groups, negation, prefixes and phrases.
 ASKED = {"hyphen": "x-17", "group": "(failed | clicked) + item", "negated": "failed -clicked", "prefix": "acc* + twice", "phrase": '"order 1" | "created twice"', "joined": "user_id + -user + placed"}
@@ -109,7 +109,36 @@ def document_neighbours_by_tokens(spark: SparkSession, sf_dir: str) -> DataFrame
     return found.select("key", "statement_id", F.round("idf", 6).alias("idf"), "r")
 
 
-QUERIES = {f.__name__: f for f in (log_text_index, log_neighbour_scopes, log_traces_cut, log_pages_with_nulls, dependency_choice, dependency_choice_coverage, prompt_sections, document_neighbours_by_tokens)}
+#: Two projects, one without a repository of its own, and patterns of which the first that fits counts.
+_PROJECTS = [links.Mapping("Brand#11", "https://git.example/a", "v{version}", "src/{file_path}"), links.Mapping("Brand#12", None, "main", "{file_path}"), links.Mapping("Brand#13", "https://git.example/c", None, "x")]
+_LIBRARIES = [links.Mapping("org:Brand#2*", "https://git.example/{two}", "{artifactId}-{version}", "lib/{file_path}"), links.Mapping("org:Brand#3?", "https://no", "x", "x"), links.Mapping("*#3*", " ", "x", "x"), links.Mapping("*", "https://git.example/rest", "{version}", "{artifactId}/{file_path}")]
+
+
+def _linked(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Parts as statements of their brands: project brands begin with 1, the others are dependencies."""
+    p = spark.read.parquet(f"{sf_dir}/part.parquet")
+    own = F.col("p_brand").startswith("Brand#1")
+    unit = F.struct(F.when(own, "project").otherwise("dependency").alias("type"), F.when(own, F.col("p_brand")).otherwise(F.concat(F.lit("org:"), F.col("p_brand"))).alias("name"), F.col("p_size").cast("string").alias("version"))
+    rows = p.select("p_partkey", unit.alias("code_unit"), F.concat(F.col("p_partkey").cast("string"), F.lit(".java")).alias("file_path"), F.col("p_size").alias("line"), (F.col("p_size") + F.col("p_partkey") % 2 * 4).cast("int").alias("end_line"))
+    return rows.withColumn("link", F.when(F.col("p_partkey") % 3 == 0, links.link(_PROJECTS, _LIBRARIES, "https://git.example/remote")).when(F.col("p_partkey") % 3 == 1, "old"))
+
+
+def refreshed_links(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Of the statements, a third of which have their link already, those whose link changes."""
+    rows = _linked(spark, sf_dir)
+    return links.refreshed(rows, links.link(_PROJECTS, _LIBRARIES, "https://git.example/remote")).select("p_partkey", "link")
+
+
+def eval_breakdown_places(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return reports.breakdown_places(_judged(spark, sf_dir), ["service", "level", "thread"]).select("dimension", "value", "events", "place")
+
+
+def eval_markdown(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The levels of confidence as a Markdown table."""
+    return reports.markdown_lines(evaluate.per_level(_judged(spark, sf_dir)).select("level", "events", "precision"), ["level"])
+
+
+QUERIES = {f.__name__: f for f in (log_text_index, log_neighbour_scopes, log_traces_cut, log_pages_with_nulls, dependency_choice, dependency_choice_coverage, prompt_sections, document_neighbours_by_tokens, refreshed_links, eval_breakdown_places, eval_markdown)}
 
 _PLACES = """SELECT '{scope}' AS scope, log_id, event_id, {key} AS k, row_number() OVER (PARTITION BY {key} ORDER BY {order}) AS n FROM l"""
 _SCOPES = " UNION ALL ".join(_PLACES.format(scope=s, key=k, order=o) for s, k, o in (("service", "source_file", "sequence"), ("thread", "concat(service, '|', thread)", "ts, sequence, log_id"), ("dataset", "dataset_id", "ts, sequence, log_id")))
@@ -143,6 +172,13 @@ ORACLE_SQL = {
       w AS (SELECT concat_ws('-', conv_id, turn) AS key, t AS ts, unnest(t) AS token FROM (SELECT conv_id, turn, {_TOKENS} AS t FROM conversations WHERE text IS NOT NULL)),
       p AS (SELECT key, statement_id, sum(idf) AS idf, min(list_position(o, token)) AS first FROM (SELECT w.key, w.token, x.o FROM w JOIN (SELECT concat_ws('-', conv_id, turn) AS key, {_FIRST} AS o FROM conversations WHERE text IS NOT NULL) x USING (key)) JOIN n USING (token) JOIN d USING (token) GROUP BY 1, 2),
       r AS (SELECT *, row_number() OVER (PARTITION BY key ORDER BY round(idf, 9) DESC, first, statement_id) AS r FROM p) SELECT key, statement_id, round(idf, 6) AS idf, cast(r AS integer) AS r FROM r WHERE r <= 5""",
+    "refreshed_links": """WITH p AS (SELECT p_partkey, p_brand AS b, cast(p_size AS varchar) AS v, concat(p_partkey, '.java') AS f, concat('#L', p_size, CASE WHEN p_partkey % 2 = 1 THEN concat('-L', p_size + 4) ELSE '' END) AS a FROM part),
+      l AS (SELECT p_partkey, CASE WHEN b = 'Brand#11' THEN concat('https://git.example/a/blob/v', v, '/src/', f, a) WHEN b = 'Brand#12' THEN concat('https://git.example/remote/blob/main/', f, a) WHEN b LIKE 'Brand#1%' THEN NULL WHEN b LIKE 'Brand#2%' THEN concat('https://git.example/{two}/blob/', b, '-', v, '/lib/', f, a)
+        WHEN b LIKE '%#3%' THEN NULL ELSE concat('https://git.example/rest/blob/', v, '/', b, '/', f, a) END AS link FROM p) SELECT p_partkey, link FROM l WHERE p_partkey % 3 = 1 OR (p_partkey % 3 = 2 AND link IS NOT NULL)""",
+    "eval_breakdown_places": f"""{_J}, d AS (SELECT 'service' AS dimension, service AS value FROM j UNION ALL SELECT 'level', level FROM j UNION ALL SELECT 'thread', thread FROM j), n AS (SELECT dimension, value, count(*) AS events FROM d GROUP BY 1, 2)
+      SELECT dimension, value, events, cast(row_number() OVER (PARTITION BY dimension ORDER BY events DESC, value) AS integer) AS place FROM n""",
+    "eval_markdown": f"""WITH q AS ({_FIRST_SQL["eval_per_level"]}), r AS (SELECT row_number() OVER (ORDER BY level) + 1 AS n, concat('| ', level, ' | ', events, ' | ', coalesce(printf('%.4f', precision), ''), ' |') AS line FROM q)
+      SELECT 0 AS n, '| level | events | precision |' AS line UNION ALL SELECT 1, '| --- | --- | --- |' UNION ALL SELECT cast(n AS integer), line FROM r""",
     "dependency_choice": f"{_COVER} SELECT service, place, artifact, hits FROM r WHERE place > 0",
     "dependency_choice_coverage": """WITH g AS (SELECT DISTINCT o_custkey AS c FROM orders), s AS (SELECT c % 23 = 0 AND c % 17 > 0 AS excluded, c % 17 = 0 OR (c % 23 > 0 AND NOT (c % 7 = 0 AND c % 11 = 3 AND c % 13 = 5)) AS mapped FROM g),
       n AS (SELECT count(*) AS loggers, count(*) FILTER (excluded AND NOT mapped) AS excluded, count(*) FILTER (mapped) AS mapped, count(*) FILTER (NOT mapped AND NOT excluded) AS unmapped FROM s)
