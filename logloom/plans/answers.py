@@ -135,7 +135,7 @@ def eval_breakdown_places(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def eval_markdown(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The levels of confidence as a Markdown table."""
-    return reports.markdown_lines(evaluate.per_level(_judged(spark, sf_dir)).select("level", "events", "precision"), ["level"])
+    return reports.markdown_lines(evaluate.per_level(_judged(spark, sf_dir)).select("confidence_level", "events", "precision"), ["confidence_level"])
 
 
 QUERIES = {f.__name__: f for f in (log_text_index, log_neighbour_scopes, log_traces_cut, log_pages_with_nulls, dependency_choice, dependency_choice_coverage, prompt_sections, document_neighbours_by_tokens, refreshed_links, eval_breakdown_places, eval_markdown)}
@@ -177,8 +177,8 @@ ORACLE_SQL = {
         WHEN b LIKE '%#3%' THEN NULL ELSE concat('https://git.example/rest/blob/', v, '/', b, '/', f, a) END AS link FROM p) SELECT p_partkey, link FROM l WHERE p_partkey % 3 = 1 OR (p_partkey % 3 = 2 AND link IS NOT NULL)""",
     "eval_breakdown_places": f"""{_J}, d AS (SELECT 'service' AS dimension, service AS value FROM j UNION ALL SELECT 'level', level FROM j UNION ALL SELECT 'thread', thread FROM j), n AS (SELECT dimension, value, count(*) AS events FROM d GROUP BY 1, 2)
       SELECT dimension, value, events, cast(row_number() OVER (PARTITION BY dimension ORDER BY events DESC, value) AS integer) AS place FROM n""",
-    "eval_markdown": f"""WITH q AS ({_FIRST_SQL["eval_per_level"]}), r AS (SELECT row_number() OVER (ORDER BY level) + 1 AS n, concat('| ', level, ' | ', events, ' | ', coalesce(printf('%.4f', precision), ''), ' |') AS line FROM q)
-      SELECT 0 AS n, '| level | events | precision |' AS line UNION ALL SELECT 1, '| --- | --- | --- |' UNION ALL SELECT cast(n AS integer), line FROM r""",
+    "eval_markdown": f"""WITH q AS ({_FIRST_SQL["eval_per_level"]}), r AS (SELECT row_number() OVER (ORDER BY confidence_level) + 1 AS n, concat('| ', confidence_level, ' | ', events, ' | ', coalesce(printf('%.4f', precision), ''), ' |') AS line FROM q)
+      SELECT 0 AS n, '| confidence_level | events | precision |' AS line UNION ALL SELECT 1, '| --- | --- | --- |' UNION ALL SELECT cast(n AS integer), line FROM r""",
     "dependency_choice": f"{_COVER} SELECT service, place, artifact, hits FROM r WHERE place > 0",
     "dependency_choice_coverage": """WITH g AS (SELECT DISTINCT o_custkey AS c FROM orders), s AS (SELECT c % 23 = 0 AND c % 17 > 0 AS excluded, c % 17 = 0 OR (c % 23 > 0 AND NOT (c % 7 = 0 AND c % 11 = 3 AND c % 13 = 5)) AS mapped FROM g),
       n AS (SELECT count(*) AS loggers, count(*) FILTER (excluded AND NOT mapped) AS excluded, count(*) FILTER (mapped) AS mapped, count(*) FILTER (NOT mapped AND NOT excluded) AS unmapped FROM s)
