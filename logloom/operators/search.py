@@ -84,9 +84,9 @@ def parse_query(q: str):
     return tree(0, len(tokens))
 
 
-def text_query(q: str, column: Column) -> Column:
-    """Whether the words of ``column`` meet a query (see parse_query). A term that holds several words is met by any of them; a query without terms is met by nothing."""
-    have = terms_of(column)
+def text_query(q: str, column: Column, words: Column | None = None) -> Column:
+    """Whether the words of ``column`` (``words``, where a column has them already) meet a query (see parse_query). A term that holds several words is met by any of them; a query without terms is met by nothing."""
+    have = terms_of(column) if words is None else words
     spaced = lambda words: F.concat(F.lit(" "), F.array_join(words, " "), F.lit(" "))
 
     def met(x) -> Column:

@@ -14,8 +14,8 @@ def log_text_search(spark: SparkSession, sf_dir: str) -> DataFrame:
     logs = _logs(spark, sf_dir).withColumn("message", F.concat("message", F.lit(" (no-"), F.col("event_id").cast("string"), F.lit(") user_id")))
     asked = {"hyphen": "x-17", "group": "(failed | clicked) + item", "negated": "failed -clicked", "prefix": "acc* + twice", "phrase": '"order 1" | "created twice"', "joined": "user_id + -user + placed"}
     # all queries in one pass over the words of a message
-    met = F.filter(F.array(*[F.when(search.text_query(q, F.col("message")), name) for name, q in asked.items()]), lambda x: x.isNotNull())
-    return logs.select(F.explode(met).alias("query"), "event_id")
+    met = F.filter(F.array(*[F.when(search.text_query(q, F.col("message"), F.col("words")), name) for name, q in asked.items()]), lambda x: x.isNotNull())
+    return logs.select("event_id", "message", search.terms_of(F.col("message")).alias("words")).select(F.explode(met).alias("query"), "event_id")
 
 
 def log_exceptions(spark: SparkSession, sf_dir: str) -> DataFrame:
