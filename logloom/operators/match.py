@@ -15,7 +15,7 @@ from pyspark.sql import functions as F
 from ..functions.templates import arguments
 from ..functions.text import compatible_level, tokens
 from . import catalog as c
-from .tokentop import top_by_tokens
+from .tokentop import COMMON, top_by_tokens
 
 
 @dataclass(frozen=True)
@@ -116,7 +116,8 @@ def features(keys: DataFrame, catalog: DataFrame, modules: DataFrame, types: Dat
     pool = named
     if mode != "logger":
         words = keys.select("key", "service", F.posexplode(tokens(F.col("message"))).alias("pos", "token"))
-        ranked = top_by_tokens(words, c.postings(ready, usable), config.top_k_tokens)
+        few = ready.limit(COMMON + 1).count() <= COMMON  # so small a catalog has no common tokens
+        ranked = top_by_tokens(words, c.postings(ready, usable), config.top_k_tokens, few=few)
         pool = named.union(ranked.select("key", "statement_id", F.lit(None).cast("int").alias("reason"), F.lit(1).alias("source"), "r"))
     pool = pool.groupBy("key", "statement_id").agg(F.min("reason").alias("reason"), F.min(F.struct("source", "r")).alias("o"), F.min(F.when(F.col("source") < 9, F.struct("source", "r"))).alias("place")).where("place is not null")
     pool = pool.withColumn("n", F.row_number().over(Window.partitionBy("key").orderBy("place", "statement_id"))).where(F.col("n") <= config.max_candidates).select("key", "statement_id", "reason")

@@ -33,17 +33,17 @@ def _bounds(partial: DataFrame, common: DataFrame, k: int) -> DataFrame:
     return rest.join(least, "key", "left").withColumn("closed", F.coalesce(F.col("least") - F.col("more") > 1e-9, F.lit(False)))
 
 
-def top_by_tokens(words: DataFrame, postings: DataFrame, k: int, common: int = COMMON) -> DataFrame:
+def top_by_tokens(words: DataFrame, postings: DataFrame, k: int, common: int = COMMON, few: bool = False) -> DataFrame:
     """(key, statement_id, idf, r): of every key the ``k`` statements with the highest sums of idf over shared tokens, ties in the order in which the message's tokens meet them, then by statement.
 
     ``words`` (key, service, token, pos), each token once a key; ``postings`` (service, token, statement_id, idf). Postings of
     rare tokens are walked first. Where the k-th of these sums is above all that the common tokens weigh together, only
     statements found so far can win, and those within reach are completed from their own tokens; other keys walk the
-    common tokens' postings too. The result is that of the full sums.
+    common tokens' postings too. The result is that of the full sums. ``few``: the caller knows that no token is common.
     """
-    rare, often = _split(words, postings, common)
-    if postings.groupBy("service", "token").count().where(F.col("count") > common).isEmpty():
+    if few or postings.groupBy("service", "token").count().where(F.col("count") > common).isEmpty():
         return _ranked(_sums(words, postings), k).select("key", "statement_id", "idf", "r")
+    rare, often = _split(words, postings, common)
     partial = _sums(rare, postings)
     bounds = _bounds(partial, often, k)
     open_ = often.join(bounds.where("not closed").select("key"), "key", "left_semi")
