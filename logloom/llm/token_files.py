@@ -16,6 +16,7 @@ beside ``ranks`` (rank int, id int), which has a row for each id in use, no more
 
 from __future__ import annotations
 
+import json
 import string
 import uuid
 import zlib
@@ -74,7 +75,8 @@ class TextEncoder:
     The pre-tokenizer always cuts between a non-space and a single space before a non-space, and around a
     single line feed between non-spaces; in a text where all white space is of that kind the pieces between
     these cuts are encoded once each. Any other text goes to the library whole. A piece of Latin letters, or of
-    these and marks after them, has no further cuts but that one, so its parts go to the library's model.
+    these and marks after them, has no further cuts but that one, so its parts go to the library's model. A tokenizer
+    of another kind is refused, as these cuts would not be its own.
     """
 
     def __init__(self, path: str, limit: int = 900_000):
@@ -84,6 +86,11 @@ class TextEncoder:
         from tokenizers import Tokenizer
 
         self.tokenizer = Tokenizer.from_file(path)
+        told = json.loads(self.tokenizer.to_str())
+        cuts, model = told["pre_tokenizer"] or {}, told["model"]
+        plain = not any(model.get(k) for k in ("dropout", "continuing_subword_prefix", "end_of_word_suffix", "byte_fallback"))
+        if (told["normalizer"], cuts.get("type"), cuts.get("add_prefix_space"), cuts.get("use_regex", True), model["type"], plain) != (None, "ByteLevel", False, True, "BPE", True):
+            raise ValueError(f"{path} is no plain byte-level BPE tokenizer")
         self.added = [t.content for t in self.tokenizer.get_added_tokens_decoder().values()]  # matched in texts before any cut
         self.spaces = [c for c in map(chr, range(0x3001)) if c.isspace() and c not in " \n"]
         self.tokenize, self.letters = self.tokenizer.model.tokenize, _byte_letters()

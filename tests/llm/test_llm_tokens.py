@@ -92,3 +92,13 @@ def test_suffix_array_is_sorted():
     order = pieces.suffix_array(codes, 16)
     keys = [tuple(codes[i : i + 16].tolist()) for i in order]
     assert sorted(order.tolist()) == list(range(400)) and keys == sorted(keys)
+
+
+def test_tokenizers_of_another_kind_are_refused():
+    import public_tokenizers
+    import pytest
+
+    from logloom.llm.token_files import TextEncoder
+
+    with pytest.raises(ValueError, match="byte-level"):
+        TextEncoder(public_tokenizers.path("word_bpe_49k.json"))
