@@ -10,7 +10,7 @@ from decimal import Decimal
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from .match import Config, decide, weights
+from .match import Config, decide, score, weights
 
 
 def truths(logs: DataFrame, statements: DataFrame, labels: DataFrame) -> DataFrame:
@@ -110,7 +110,7 @@ def error_kinds(rows: DataFrame) -> DataFrame:
 
 def error_sample(kinds: DataFrame, size: int, seed: int) -> DataFrame:
     """A seeded sample of kinds, most frequent first."""
-    drawn = kinds.orderBy(F.xxhash64("predicted", "truth_key", F.lit(seed)), "predicted", "truth_key").limit(size)
+    drawn = kinds.orderBy(F.md5(F.concat_ws("|", F.lit(str(seed)), "predicted", "truth_key")), "predicted", "truth_key").limit(size)
     return drawn.orderBy(F.col("n").desc(), "predicted", "truth_key")
 
 
@@ -247,18 +247,24 @@ def for_tuning(dataset: str) -> str:
 def score_trials(features: DataFrame, keys: DataFrame, truth: DataFrame, trials: list[Config]) -> list[dict]:
     """at1, high and high_correct of every configuration: all of them in one job over the same features.
 
-    ``keys`` is (key, log_id), ``truth`` (log_id, ids). The trials are a small table; each key and candidate is
-    scored once for each trial and only decisions are joined with the events.
+    ``keys`` is (key, log_id), ``truth`` (log_id, ids). The trials are a small table; a key's candidates (a
+    bounded number) are gathered once and scored in place for every trial, so trials multiply no shuffle.
     """
     spark = features.sparkSession
     kinds = ", ".join(f"{k} double" for k in asdict(Config()))
     table = spark.createDataFrame([(i, *map(float, asdict(t).values())) for i, t in enumerate(trials)], f"trial int, {kinds}")
-    each = features.withColumn("trial", F.explode(F.sequence(F.lit(0), F.lit(len(trials) - 1)))).join(F.broadcast(table), "trial")
-    out = decide(each, ["trial", "key"], {k: F.col(k) for k in asdict(Config())}).select("trial", "key", "status", "statement_id", "confidence_level")
-    found = out.join(keys, "key").join(truth, "log_id")
-    right = (F.col("status") != "unmatched") & F.array_contains("ids", F.col("statement_id"))
-    high = (F.col("status") != "unmatched") & (F.col("confidence_level") == "high")
-    got = {r.trial: r for r in found.groupBy("trial").agg(F.count_if(right).alias("at1"), F.count_if(high).alias("high"), F.count_if(high & right).alias("high_correct")).collect()}
+    weight = {k: F.col(k) for k in asdict(Config())}
+    best, second = F.get("top", F.lit(0)), F.get("top", F.lit(1))
+    each = features.groupBy("key").agg(F.collect_list(F.struct(*[c for c in features.columns if c not in ("key", "args")])).alias("candidates"))
+    # of each key and set of true ids how many events there are: decisions meet these, not the events
+    asked = keys.join(truth, "log_id").groupBy("key", "ids").agg(F.count("*").alias("n"))
+    rows = each.join(asked, "key").join(F.broadcast(table)).withColumn("top", F.array_sort(F.transform("candidates", lambda c: F.struct((-score(weight, lambda k: c[k])[0]).alias("minus"), c.statement_id.alias("statement_id")))))
+    rows = rows.where(-best.minus >= F.col("min_score"))
+    close = F.coalesce(F.round(second.minus - best.minus, 9) < F.col("ambiguity_margin"), F.lit(False))
+    confidence = F.when(close, F.round(-best.minus * F.col("ambiguous_penalty"), 9)).otherwise(-best.minus)
+    found = rows.select("trial", "n", F.array_contains("ids", best.statement_id).alias("right"), (confidence >= F.col("high")).alias("high"))
+    total = lambda c: F.sum(F.when(c, F.col("n")).otherwise(0))
+    got = {r.trial: r for r in found.groupBy("trial").agg(total(F.col("right")).alias("at1"), total(F.col("high")).alias("high"), total(F.col("high") & F.col("right")).alias("high_correct")).collect()}
     return [{"at1": got[i].at1, "high": got[i].high, "high_correct": got[i].high_correct} if i in got else {"at1": 0, "high": 0, "high_correct": 0} for i in range(len(trials))]
 
 

@@ -45,4 +45,4 @@ def to_review(logs: DataFrame, labels: DataFrame) -> DataFrame:
 
 def review_queue(logs: DataFrame, labels: DataFrame, size: int = 50, seed: int = 1) -> DataFrame:
     """``size`` (500 at most) of them in a seeded order."""
-    return to_review(logs, labels).orderBy(F.xxhash64("log_id", F.lit(seed)), "log_id").limit(min(size, 500))
+    return to_review(logs, labels).orderBy(F.md5(F.concat_ws("|", F.lit(str(seed)), "log_id")), "log_id").limit(min(size, 500))

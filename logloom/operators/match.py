@@ -7,6 +7,7 @@ reuse the same table.
 
 from __future__ import annotations
 
+from collections.abc import Callable
 from dataclasses import asdict, dataclass
 
 from pyspark.sql import Column, DataFrame, Window
@@ -135,18 +136,18 @@ def features(keys: DataFrame, catalog: DataFrame, modules: DataFrame, types: Dat
     return rows.select("key", "statement_id", "regex", F.col("literal_length").alias("length"), dynamic.alias("dynamic"), logger.alias("logger"), level.alias("level"), (F.col("has_exception") == F.col("has_throwable_arg")).alias("throwable"), args.alias("args"))
 
 
-def score(config: dict[str, Column]) -> tuple[Column, Column]:
-    """(score, breakdown) over the features; ``config`` holds a column or literal for each weight."""
+def score(config: dict[str, Column], get: Callable[[str], Column] = F.col) -> tuple[Column, Column]:
+    """(score, breakdown) over the features; ``config`` holds a column or literal for each weight, ``get`` gives a feature."""
     w = config
-    logger, level = F.col("logger"), F.col("level")
+    logger, level = get("logger"), get("level")
     parts = {
-        "regex_full": F.when(~F.col("dynamic") & (F.col("regex") == "full"), w["regex_full"]),
-        "regex_prefix": F.when(~F.col("dynamic") & (F.col("regex") == "prefix"), w["regex_prefix"]),
-        "specificity": F.when(~F.col("dynamic"), w["specificity_max"] * F.col("length") / (F.col("length") + w["specificity_k"])),
+        "regex_full": F.when(~get("dynamic") & (get("regex") == "full"), w["regex_full"]),
+        "regex_prefix": F.when(~get("dynamic") & (get("regex") == "prefix"), w["regex_prefix"]),
+        "specificity": F.when(~get("dynamic"), w["specificity_max"] * get("length") / (get("length") + w["specificity_k"])),
         **{f"logger_{k}": F.when(logger == v, w[f"logger_{k}"]) for k, v in (("exact", "exact"), ("hierarchy", "hierarchy"), ("abbrev_multi", "multi"), ("conflict", "conflict"))},
         **{f"level_{k}": F.when(level == k, w[f"level_{k}"]) for k in ("dynamic", "equal", "conflict")},
-        "throwable_consistent": F.when(F.col("throwable"), w["throwable_consistent"]),
-        "throwable_inconsistent": F.when(~F.col("throwable"), w["throwable_inconsistent"]),
+        "throwable_consistent": F.when(get("throwable"), w["throwable_consistent"]),
+        "throwable_inconsistent": F.when(~get("throwable"), w["throwable_inconsistent"]),
     }
     total = sum((F.coalesce(p, F.lit(0.0)) for p in parts.values()), F.lit(0.0))
     breakdown = F.map_filter(F.create_map(*[x for k, p in parts.items() for x in (F.lit(k), p.cast("double"))]), lambda k, v: v.isNotNull())
