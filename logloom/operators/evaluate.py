@@ -20,12 +20,15 @@ def truths(logs: DataFrame, statements: DataFrame, labels: DataFrame) -> DataFra
     names (or, without one, nothing), not_in_catalog for none. Otherwise a reliable place in the source does: statements
     of the service whose class has that name (or it with $ for .) and whose lines hold it.
     """
-    place = logs.where("ground_truth.reliable").select("log_id", "service", F.col("ground_truth.class").alias("c"), F.col("ground_truth.line").alias("l"))
-    named = place.select("log_id", "service", F.explode(F.array_distinct(F.array("c", F.replace(F.col("c"), F.lit("$"), F.lit("."))))).alias("class_fqn"), "l")
+    spot = ["service", "_class", "_line"]
+    place = [F.when(F.col("ground_truth.reliable"), F.col(f"ground_truth.{k}")).alias(f"_{k}") for k in ("class", "line")]
+    rows = logs.select("log_id", "service", *place, F.col("match.statement_id").alias("now"), F.coalesce("ground_truth.reliable", F.lit(False)).alias("reliable"))
+    # distinct places meet the statements, so that a place's logs are not sent to be grouped again
+    places = rows.where("_class is not null and _line is not null").select(*spot).distinct()
+    named = places.select(*spot, F.explode(F.array_distinct(F.array("_class", F.replace(F.col("_class"), F.lit("$"), F.lit("."))))).alias("class_fqn"))
     lines = statements.select("service", "class_fqn", "statement_id", "line", F.coalesce("end_line", "line").alias("end_line"))
-    hits = named.join(lines, ["service", "class_fqn"]).where("l between line and end_line").groupBy("log_id").agg(F.sort_array(F.collect_set("statement_id")).alias("found"))
-    rows = logs.select("log_id", F.col("match.statement_id").alias("now"), F.coalesce("ground_truth.reliable", F.lit(False)).alias("reliable"))
-    rows = rows.join(labels.select("log_id", "verdict", "correct_statement_id", "predicted_statement_id"), "log_id", "left").join(hits, "log_id", "left")
+    hits = named.join(lines, ["service", "class_fqn"]).where("_line between line and end_line").groupBy(*spot).agg(F.sort_array(F.collect_set("statement_id")).alias("found"))
+    rows = rows.join(hits, spot, "left").join(labels.select("log_id", "verdict", "correct_statement_id", "predicted_statement_id"), "log_id", "left")
     told = F.when(F.col("verdict") == "correct", F.coalesce("predicted_statement_id", "now")).when(F.col("verdict") == "incorrect", F.col("correct_statement_id"))
     ids = F.when(told.isNotNull(), F.array(told)).when(F.coalesce(F.col("verdict") == "not_in_catalog", F.lit(False)), F.array().cast("array<string>")).when(F.col("reliable"), F.coalesce("found", F.array().cast("array<string>")))
     return rows.select("log_id", ids.alias("ids")).select("log_id", F.when(F.col("ids").isNull(), "unknown").when(F.size("ids") == 0, "not_in_catalog").otherwise("known").alias("state"), F.coalesce("ids", F.array().cast("array<string>")).alias("ids"))
@@ -75,10 +78,13 @@ def per_status(rows: DataFrame) -> DataFrame:
 
 
 def breakdown(rows: DataFrame, dimensions: list[str]) -> DataFrame:
-    """(dimension, value, events, evaluable, at1, statements, hit): all dimensions in one pass; nulls are ``unknown``."""
-    pairs = F.array(*[F.struct(F.lit(d).alias("dimension"), F.coalesce(F.col(d).cast("string"), F.lit("unknown")).alias("value")) for d in dimensions])
-    each = rows.withColumn("p", F.explode(pairs))
-    return each.groupBy("p.dimension", "p.value").agg(F.count("*").alias("events"), F.count_if("evaluable").alias("evaluable"), F.count_if("at1").alias("at1"), F.count_distinct("truth_key").alias("statements"), F.count_distinct(F.when(F.col("at1"), F.col("truth_key"))).alias("hit"))
+    """(dimension, value, events, evaluable, at1, statements, hit): all dimensions in one pass; nulls are ``unknown``. Events are counted by all values and the truth before they are taken apart by dimension."""
+    values = [F.coalesce(F.col(d).cast("string"), F.lit("unknown")).alias(f"_{i}") for i, d in enumerate(dimensions)]
+    sums = {"events": F.lit(True), "evaluable": F.col("evaluable"), "at1": F.col("at1")}
+    counted = rows.groupBy(*values, "truth_key").agg(*[F.count_if(c).alias(k) for k, c in sums.items()])
+    pairs = F.array(*[F.struct(F.lit(d).alias("dimension"), F.col(f"_{i}").alias("value")) for i, d in enumerate(dimensions)])
+    each = counted.withColumn("p", F.explode(pairs)).groupBy("p.dimension", "p.value", "truth_key").agg(*[F.sum(k).alias(k) for k in sums])
+    return each.groupBy("dimension", "value").agg(*[F.sum(k).alias(k) for k in sums], F.count("truth_key").alias("statements"), F.count(F.when(F.col("at1") > 0, F.col("truth_key"))).alias("hit"))
 
 
 def top_and_others(rows: DataFrame, column: str, top: int, others: str) -> DataFrame:
