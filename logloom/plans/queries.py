@@ -4,7 +4,7 @@ from __future__ import annotations
 
 import re
 
-from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions import text
@@ -34,9 +34,9 @@ def _lines(spark: SparkSession, sf_dir: str) -> DataFrame:
     pad = lambda c, n: F.rpad(F.substring(c, 1, n), n, " ")
     head = F.concat(F.date_format("ts", "yyyy-MM-dd'T'HH:mm:ss.SSS"), F.lit("Z "), F.lpad("level", 5, " "), F.lit(" 1 --- ["), pad(F.col("thread"), 15), F.lit("] "), pad(F.concat(F.lit("com.shop."), F.col("service")), 40), F.lit(" : "), F.col("message"))
     more = [F.concat(F.lit("java.lang.IllegalStateException: user "), F.col("thread")), F.lit("\tat com.shop.web.ErrorAdvice.handle(ErrorAdvice.java:50)"), F.lit("\tat java.base/java.lang.Thread.run(Thread.java:1)"), F.lit("Caused by: java.io.IOException: closed"), F.lit("\tat com.shop.io.Pipe.read(Pipe.java:7) ~[na:na]")]
-    each = rows.select("dataset_id", "source_file", "event_id", F.posexplode(F.when(F.col("service") == "error", F.array(head, *more)).otherwise(F.array(head))).alias("k", "text"))
-    order = Window.partitionBy("source_file").orderBy("event_id", "k")
-    return each.select("dataset_id", "source_file", F.row_number().over(order).alias("line_no"), "text")
+    own = F.when(F.col("service") == "error", F.array(head, *more)).otherwise(F.array(head))
+    # all events of a file have equally many lines
+    return rows.withColumn("own", own).select("dataset_id", "source_file", "sequence", F.size("own").alias("n"), F.posexplode("own").alias("k", "text")).select("dataset_id", "source_file", (F.col("sequence") * F.col("n") + F.col("k") + 1).cast("int").alias("line_no"), "text")
 
 
 def event_assembly(spark: SparkSession, sf_dir: str) -> DataFrame:
