@@ -10,7 +10,17 @@ from ..functions.text import stable_id
 #: The parts of a score in the order in which they are shown.
 PARTS = ("regex_full", "regex_prefix", "specificity", "logger_exact", "logger_hierarchy", "logger_abbrev_multi", "logger_conflict", "level_equal", "level_dynamic", "level_conflict", "throwable_consistent", "throwable_inconsistent")
 
-DETAIL = ("log_id", "ts", "timestamp_raw", "dataset_id", "source_file", "line_number", "line_count", "sequence", "service", "module", "app_name", "pid", "thread", "level", "logger_raw", "logger", "message", "raw", "trace_id", "span_id", "exception", "code", "match", "ground_truth", "parser_format", "ingester_version", "ingested_at")
+_FRAMES = "array<struct<class:string,method:string,file:string,line:int>>"
+#: The columns of a log in the order in which they are shown, each with the type that it has where a table lacks it.
+DETAIL = {
+    "log_id": "string", "ts": "timestamp", "timestamp_raw": "string", "dataset_id": "string", "source_file": "string", "line_number": "int", "line_count": "int", "sequence": "bigint",
+    "service": "string", "module": "string", "app_name": "string", "pid": "string", "thread": "string", "level": "string", "logger_raw": "string", "logger": "string", "message": "string", "raw": "string",
+    "trace_id": "string", "span_id": "string",
+    "exception": f"struct<class:string,root_class:string,message:string,frames:{_FRAMES},caused_by:array<struct<class:string,message:string,frames:{_FRAMES}>>>",
+    "code": "struct<name:string,version:string>",
+    "match": "struct<status:string,statement_id:string,confidence:double,confidence_level:string,candidates:array<struct<statement_id:string,score:double>>,score_breakdown:map<string,double>,args:array<string>>",
+    "ground_truth": "struct<class:string,method:string,line:int,reliable:boolean>", "parser_format": "string", "ingester_version": "string", "ingested_at": "timestamp",
+}
 
 
 def log_summary(logs: DataFrame, most: int = 500) -> DataFrame:
@@ -20,8 +30,8 @@ def log_summary(logs: DataFrame, most: int = 500) -> DataFrame:
 
 
 def log_detail(logs: DataFrame) -> DataFrame:
-    """All columns of a log, nested as they are; those that the table lacks are null."""
-    return logs.select(*[F.col(c) if c in logs.columns else F.lit(None).cast("string").alias(c) for c in DETAIL])
+    """All columns of a log, nested as they are; those that the table lacks are null, of their own type."""
+    return logs.select(*[F.col(c) if c in logs.columns else F.lit(None).cast(t).alias(c) for c, t in DETAIL.items()])
 
 
 def statement_detail(catalog: DataFrame) -> DataFrame:

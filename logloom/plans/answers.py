@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions.text import tokens
-from ..operators import catalog, deps, evaluate, links, prompt, reports, search, textindex, tokentop
+from ..operators import catalog, deps, evaluate, links, prompt, reports, search, textindex, tokentop, views
 from ..sources.scratch import new_folder, written
 from .more_sql import ORACLE_SQL as _MORE
 from .oracle import _J, _L, _TOKENS, ORACLE_SQL as _FIRST_SQL
@@ -138,7 +138,14 @@ def eval_markdown(spark: SparkSession, sf_dir: str) -> DataFrame:
     return reports.markdown_lines(evaluate.per_level(_judged(spark, sf_dir)).select("confidence_level", "events", "precision"), ["confidence_level"])
 
 
-QUERIES = {f.__name__: f for f in (log_text_index, log_neighbour_scopes, log_traces_cut, log_pages_with_nulls, dependency_choice, dependency_choice_coverage, prompt_sections, document_neighbours_by_tokens, refreshed_links, eval_breakdown_places, eval_markdown)}
+def log_details(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every log with all its columns: those that these logs have, and nulls with fields for the others."""
+    d = views.log_detail(_logs(spark, sf_dir))
+    absent = [F.col(c).isNull() for c in ("module", "pid", "code.version", "line_count", "ingested_at", "raw")]
+    return d.select("log_id", "source_file", "sequence", "line_number", "thread", "level", "message", "trace_id", F.col("exception.class").alias("exception_class"), "match.status", "match.statement_id", F.col("ground_truth.reliable").alias("reliable"), F.array_join(F.transform(F.array(*absent), lambda x: x.cast("string")), " ").alias("absent"), F.lit(len(d.columns)).alias("width"))
+
+
+QUERIES = {f.__name__: f for f in (log_details, log_text_index, log_neighbour_scopes, log_traces_cut, log_pages_with_nulls, dependency_choice, dependency_choice_coverage, prompt_sections, document_neighbours_by_tokens, refreshed_links, eval_breakdown_places, eval_markdown)}
 
 _PLACES = """SELECT '{scope}' AS scope, log_id, event_id, {key} AS k, row_number() OVER (PARTITION BY {key} ORDER BY {order}) AS n FROM l"""
 _SCOPES = " UNION ALL ".join(_PLACES.format(scope=s, key=k, order=o) for s, k, o in (("service", "source_file", "sequence"), ("thread", "concat(service, '|', thread)", "ts, sequence, log_id"), ("dataset", "dataset_id", "ts, sequence, log_id")))
@@ -154,6 +161,8 @@ _COVER = """WITH RECURSIVE g AS (SELECT o_orderpriority AS service, concat(CASE
 _FIRST = _TOKENS.replace("list_distinct(", "(")
 
 ORACLE_SQL = {
+    "log_details": f"""{_L} SELECT log_id, source_file, sequence, cast(sequence + 1 AS integer) AS line_number, thread, level, message, trace_id, CASE WHEN service = 'error' AND event_id % 9 > 0 THEN 'java.io.IOException' END AS exception_class,
+      status, CASE WHEN status <> 'unmatched' THEN predicted END AS statement_id, event_id % 5 > 0 AS reliable, 'true true true true true true' AS absent, 27 AS width FROM l""",
     "log_text_index": _MORE["log_text_search"],
     "log_neighbour_scopes": f"{_L}, p AS ({_SCOPES}) SELECT a.scope, a.log_id AS anchor_id, cast(b.n - a.n AS integer) AS \"offset\", b.log_id FROM p a JOIN p b ON a.scope = b.scope AND a.k = b.k AND b.n BETWEEN a.n - 3 AND a.n + 2 AND b.n <> a.n WHERE a.event_id % 50 = 0",
     "log_traces_cut": f"""{_L}, t AS (SELECT *, CASE WHEN event_id % 60 = 0 THEN NULL WHEN event_id % 100 > 0 THEN trace_id END AS tr FROM l), p AS (SELECT *, row_number() OVER (PARTITION BY tr ORDER BY ts, sequence, log_id) AS place FROM t WHERE tr IS NOT NULL)

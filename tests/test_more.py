@@ -55,6 +55,7 @@ def test_manifests(spark):
 def test_detail_has_all_columns(spark):
     d = views.log_detail(spark.createDataFrame([("l", ("matched",))], "log_id string, match struct<status:string>"))
     assert d.columns == list(views.DETAIL) and d.first().log_id == "l" and d.first()["match"].status == "matched" and d.first().message is None
+    assert {c: t for c, t in d.dtypes if c != "match"} == {c: t for c, t in views.DETAIL.items() if c != "match"}
 
 
 def test_statements_of_chosen_dependencies_apply(spark):
