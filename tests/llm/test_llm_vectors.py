@@ -168,3 +168,23 @@ def test_search_ties_few_candidates_and_nothing(spark):
     assert [(r.query_id, r.rank, r.vec_id, r.score) for r in got] == [(0, 1, 4, 8.0), (0, 2, 9, 8.0), (0, 3, 20, 8.0), (20, 1, 0, 8.0), (20, 2, 4, 8.0), (20, 3, 9, 8.0)]
     assert ann.search(frame(spark, [])).count() == 0
     assert ann.search(frame(spark, [(0, None)])).count() == 0
+
+
+@pytest.mark.parametrize("kind", ["heavy norms", "few directions", "sparse", "near copies"])
+def test_search_of_other_rows(spark, kind):
+    """Norms with heavy tails, vectors near a plane of few directions, rectified components, and a group of near copies and copies."""
+    rng = np.random.default_rng(7)
+    n = 8000
+    x = {
+        "heavy norms": lambda: rng.standard_normal((n, 64)) * np.exp(rng.standard_normal((n, 1))),
+        "few directions": lambda: rng.standard_normal((n, 8)) @ rng.standard_normal((8, 96)) + 0.05 * rng.standard_normal((n, 96)),
+        "sparse": lambda: np.maximum(rng.standard_normal((n, 64)) - 1, 0),
+        "near copies": lambda: np.concatenate([rng.standard_normal((n // 2, 64)), rng.standard_normal((1, 64)) + 1e-3 * rng.standard_normal((n // 2 - 500, 64)), np.ones((500, 64))])[rng.permutation(n)],
+    }[kind]()
+    got = defaultdict(set)
+    rows = spark.createDataFrame([(i, v.tolist()) for i, v in enumerate(x)], "vec_id long, embedding array<double>").repartition(4)
+    for r in ann.search(rows).collect():
+        got[r.query_id].add(r.vec_id)
+    true = best(np.arange(n), x, 20, 20)
+    hit = sum(len(got[q] & {v for v, _ in f}) for q, f in true.items())
+    assert hit >= 0.95 * 20 * len(true), hit / 20 / len(true)
