@@ -64,20 +64,25 @@ def postings(catalog: DataFrame, usable: DataFrame) -> DataFrame:
 def ancestors(types: DataFrame, levels: int = 20) -> DataFrame:
     """(class_fqn, ancestor, depth): the class itself at 0 and its superclasses, ``levels`` at most; a cycle is walked once.
 
-    The first type of a class name (by type_id) counts. One recursive query; steps are as many as the deepest chain.
+    The first type of a class name (by type_id) counts. Chains grow by doubling: a class whose chain is still open takes
+    on that of its last ancestor, a join (without broadcasts) and a table each round, the logarithm of ``levels`` at most.
     """
-    one = types.groupBy("class_fqn").agg(F.min_by("superclass_fqn", "type_id").alias("superclass_fqn"))
-    return types.sparkSession.sql(
-        f"""
-        WITH RECURSIVE up(class_fqn, ancestor, depth, seen) MAX RECURSION LEVEL {levels + 2} AS (
-          SELECT class_fqn, class_fqn, 0, array(class_fqn) FROM {{one}}
-          UNION ALL
-          SELECT u.class_fqn, t.superclass_fqn, u.depth + 1, concat(u.seen, array(t.superclass_fqn))
-          FROM up u JOIN {{one}} t ON t.class_fqn = u.ancestor
-          WHERE t.superclass_fqn IS NOT NULL AND u.depth < {levels} AND NOT array_contains(u.seen, t.superclass_fqn))
-        SELECT class_fqn, ancestor, depth FROM up LIMIT ALL""",
-        one=one,
-    )
+    above = F.when(F.col("class_fqn").isNotNull() & F.col("superclass_fqn").isNotNull(), F.array("superclass_fqn")).otherwise(F.array().cast("array<string>"))
+    chains = written(types.groupBy("class_fqn").agg(F.min_by("superclass_fqn", "type_id").alias("superclass_fqn")).select("class_fqn", above.alias("chain")), "chains")
+    length = 1
+    while length < levels:
+        open_ = F.size("chain") == length
+        on = chains.where("size(chain) > 0").select(F.col("class_fqn").alias("last"), F.col("chain").alias("more"))
+        longer = chains.where(open_).withColumn("last", F.element_at("chain", -1)).join(on.hint("merge"), "last", "left")
+        longer = longer.select("class_fqn", F.concat("chain", F.coalesce("more", F.array().cast("array<string>"))).alias("chain"))
+        chains, length = written(longer.union(chains.where(~open_)), "chains"), 2 * length
+        if chains.where(F.size("chain") == length).isEmpty():
+            break
+    # up to the first class that has been met
+    first = F.array_min(F.transform("chain", lambda c, i: F.when(F.array_contains(F.concat(F.array("class_fqn"), F.slice("chain", F.lit(1), i)), c), i)))
+    whole = F.size(F.array_distinct(F.concat(F.array("class_fqn"), "chain"))) == F.size("chain") + 1
+    cut = F.slice("chain", F.lit(1), F.least(F.when(whole, F.size("chain")).otherwise(first), F.lit(levels)))
+    return chains.select("class_fqn", F.posexplode(F.concat(F.array("class_fqn"), cut)).alias("depth", "ancestor")).select("class_fqn", "ancestor", "depth")
 
 
 def implementors(types: DataFrame, rounds: int = 100) -> DataFrame:
