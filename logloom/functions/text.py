@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
@@ -86,33 +88,43 @@ def source_link(repo: Column, ref: Column, path: Column, version: Column, file_p
 CUT = ("\n… (još ", " linija)")
 
 
+def once(value: Column, f: Callable[[Column], Column]) -> Column:
+    """``f`` of a value that is computed once, however often ``f`` names it, also inside its functions of elements."""
+    return F.get(F.transform(F.array(value), f), 0)
+
+
 def text_lines(content: Column) -> Column:
     """Lines by any line end; an end after the last line starts no further one."""
-    lines = F.split(content, r"\r\n|\r|\n", -1)
-    return F.when(F.element_at(lines, -1) == "", F.slice(lines, 1, F.size(lines) - 1)).otherwise(lines)
+    return once(F.split(content, r"\r\n|\r|\n", -1), lambda lines: F.when(F.element_at(lines, -1) == "", F.slice(lines, 1, F.size(lines) - 1)).otherwise(lines))
 
 
 def focus_window(content: Column, first: Column, last: Column, focus: Column, most: int, radius: int) -> Column:
     """(first, text, cut_before, cut_after): lines first..last, or, of more than ``most``, those around ``focus``; null where the text has no such lines."""
-    lines = text_lines(content)
-    end = F.least(last, F.size(lines))
-    whole = end - first + 1 <= most
-    middle = F.greatest(first, F.least(end, focus))
-    low = F.when(whole, first).otherwise(F.greatest(first, middle - radius))
-    high = F.when(whole, end).otherwise(F.least(end, middle + radius))
-    inside = content.isNotNull() & (first >= 1) & (first <= end)
-    shown = F.array_join(F.slice(lines, F.greatest(low, F.lit(1)), F.greatest(high - low + 1, F.lit(0))), "\n")
-    return F.when(inside, F.struct(low.cast("int").alias("first"), shown.alias("text"), (low > first).alias("cut_before"), (high < end).alias("cut_after")))
+    def window(lines: Column) -> Column:
+        end = F.least(last, F.size(lines))
+        whole = end - first + 1 <= most
+        middle = F.greatest(first, F.least(end, focus))
+        low = F.when(whole, first).otherwise(F.greatest(first, middle - radius))
+        high = F.when(whole, end).otherwise(F.least(end, middle + radius))
+        inside = lines.isNotNull() & (first >= 1) & (first <= end)
+        shown = F.array_join(F.slice(lines, F.greatest(low, F.lit(1)), F.greatest(high - low + 1, F.lit(0))), "\n")
+        return F.when(inside, F.struct(low.cast("int").alias("first"), shown.alias("text"), (low > first).alias("cut_before"), (high < end).alias("cut_after")))
+
+    return once(text_lines(content), window)
 
 
 def stack_trace_text(raw: Column, class_name: Column, most: int = 60) -> Column:
     """The exception's lines: from the first line after the first that starts with its class (else the second line), without blank ones at the end, ``most`` of them; null without any."""
-    lines = text_lines(raw)
-    first = F.coalesce(F.array_min(F.transform(lines, lambda x, i: F.when((i >= 1) & x.startswith(class_name), i + 1))), F.lit(2))
-    last = F.array_max(F.transform(lines, lambda x, i: F.when(x.rlike(r"\S"), i + 1)))
-    n = last - first + 1
-    shown = F.array_join(F.slice(lines, first, F.greatest(F.least(n, F.lit(most)), F.lit(0))), "\n")
-    return F.when(n > most, F.concat(shown, F.lit(CUT[0]), (n - most).cast("string"), F.lit(CUT[1]))).when(n > 0, shown)
+    def places(p: Column) -> Column:
+        first = F.coalesce(F.array_min(F.transform(p["lines"], lambda x, i: F.when((i >= 1) & x.startswith(p["name"]), i + 1))), F.lit(2))
+        last = F.array_max(F.transform(p["lines"], lambda x, i: F.when(x.rlike(r"\S"), i + 1)))
+        return F.struct(p["lines"].alias("lines"), first.alias("first"), (last - first + 1).alias("n"))
+
+    def shown(p: Column) -> Column:
+        text = F.array_join(F.slice(p["lines"], p["first"], F.greatest(F.least(p["n"], F.lit(most)), F.lit(0))), "\n")
+        return F.when(p["n"] > most, F.concat(text, F.lit(CUT[0]), (p["n"] - most).cast("string"), F.lit(CUT[1]))).when(p["n"] > 0, text)
+
+    return once(once(F.struct(text_lines(raw).alias("lines"), class_name.alias("name")), places), shown)
 
 
 def clock_offset(raw: Column, instant: Column) -> Column:

@@ -153,3 +153,32 @@ def test_top_by_tokens_is_that_of_the_full_sums(spark, common):
     assert sorted((r.key, r.statement_id, round(r.idf, 9), r.r) for r in got) == sorted(want)
     n = touched(w, p, 4, common).agg(F.sum("walked").alias("a"), F.sum("whole").alias("b")).first()
     assert n.a <= n.b and (common not in (2, 5) or n.a < n.b)
+
+
+def test_ancestors_grow_by_joins_without_broadcasts(spark):
+    """Chains of 3 to 30 classes, two cycles and a missing superclass; the levels are no recursion that the driver collects and broadcasts."""
+    up = {f"a{i}": f"a{i + 1}" for i in range(30)} | {"c": "c", "x": "y", "y": "z", "z": "y", "m": "gone", "n": None}
+    types = spark.createDataFrame([(c, c, u) for c, u in up.items()] + [("n", "o", "x")], "class_fqn string, type_id string, superclass_fqn string")
+    for levels in (1, 5, 20):
+        want = set()
+        for c in up:
+            at, seen = c, [c]
+            want.add((c, c, 0))
+            while up.get(at) and up[at] not in seen and len(seen) <= levels:
+                at = up[at]
+                want.add((c, at, len(seen)))
+                seen.append(at)
+        got = catalog.ancestors(types, levels)
+        assert "UnionLoop" not in got._jdf.queryExecution().optimizedPlan().toString()
+        assert sorted(map(tuple, got.collect())) == sorted(want)
+
+
+def test_lines_of_a_text_are_cut_once(spark):
+    """Not once for each line: the class's name and the lines are computed before they are compared."""
+    from logloom.functions import text
+
+    name = F.substring(F.get(F.split("t", r"\r\n|\r|\n", -1), F.lit(2)), 1, 5)
+    rows = spark.createDataFrame([("a\nb\nxc\nxc 1\n2\n \n",), (None,), ("",)], "t string")
+    for made in (text.stack_trace_text(F.col("t"), name, 4), text.focus_window(F.col("t"), F.lit(1), F.lit(2), F.lit(1), 6, 2)):
+        assert rows.select(made.alias("x"))._jdf.queryExecution().optimizedPlan().toString().count("split(") <= 2
+    assert [r[0] for r in rows.select(text.stack_trace_text(F.col("t"), name, 4)).collect()] == ["xc\nxc 1\n2", None, None]
