@@ -13,6 +13,8 @@ import re
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
+from ..functions.text import once
+
 #: Names in the neutral locale; the short ones are their first three letters.
 MONTHS = ("January", "February", "March", "April", "May", "June", "July", "August", "September", "October", "November", "December")
 DAYS = ("Sunday", "Monday", "Tuesday", "Wednesday", "Thursday", "Friday", "Saturday")
@@ -123,7 +125,12 @@ ISO = r"^(\d{4})-(\d{2})-(\d{2})[Tt](\d{2}):(\d{2})(?::(\d{2})(?:\.(\d{0,9}))?)?
 
 def iso_instant(text: Column) -> Column:
     """The instant of an ISO date and time with offset, null for anything else."""
-    g = [F.regexp_extract(text, ISO, i) for i in range(1, 9)]
+    # the expression runs once, and its groups are cut from what it leaves
+    parts = F.split(F.regexp_replace(text, ISO, "\u0001".join(f"${i}" for i in range(1, 9))), "\u0001", -1)
+    return once(F.when(~text.contains("\u0001"), parts), lambda g: F.when(F.size(g) == 8, _iso([F.get(g, i) for i in range(8)])))
+
+
+def _iso(g: list[Column]) -> Column:
     n = [x.try_cast("int") for x in g[:6]]
     seconds = F.concat_ws(".", F.coalesce(n[5], F.lit(0)).cast("string"), F.coalesce(F.nullif(F.substring(g[6], 1, 6), F.lit("")), F.lit("0"))).try_cast("decimal(16,6)")
-    return F.when(text.rlike(ISO) & (n[3] < 24) & (F.coalesce(n[5], F.lit(0)) < 60), F.try_make_timestamp(n[0], n[1], n[2], n[3], n[4], seconds, zone_of(g[7])))
+    return F.when((n[3] < 24) & (F.coalesce(n[5], F.lit(0)) < 60), F.try_make_timestamp(n[0], n[1], n[2], n[3], n[4], seconds, zone_of(g[7])))

@@ -8,7 +8,7 @@ from collections.abc import Callable
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
-from ..functions.text import blank_to_null, normal_level, strip_ansi
+from ..functions.text import blank_to_null, normal_level, once, strip_ansi
 from .dates import DatePattern, iso_instant
 
 FIELDS = ("timestamp_raw", "instant", "level", "pid", "app_name", "thread", "correlation_raw", "logger_raw", "message", "stack_trace", "trace_id", "span_id")
@@ -16,6 +16,9 @@ FIELDS = ("timestamp_raw", "instant", "level", "pid", "app_name", "thread", "cor
 #: Fixed value: the default console layout of Spring Boot.
 SPRING_BOOT = r"^(\d{4}-\d{2}-\d{2}T\d{2}:\d{2}:\d{2}\.\d{3}(?:Z|[+-]\d{2}:\d{2})) +([A-Z]+) (\d+) --- (?:\[([^\]]*)\] )?\[(.{15})\] (?:\[(.{49})\] )?(.{40}) : (.*)$"
 
+#: Fields of a header that JSON configurations name otherwise.
+FIELD_OF = {"logger": "logger_raw"}
+
 Parser = Callable[[Column], Column]
 
 
@@ -148,24 +151,37 @@ def json_lines(fields: dict[str, str]) -> Parser:
     if not {"timestamp", "message"} <= fields.keys():
         raise ValueError("timestamp and message are needed")
 
+    texts = [f for f in ("thread", "logger", "message", "stack_trace", "trace_id", "span_id") if f in fields]
+
     def parse(line: Column) -> Column:
-        variant = F.try_parse_json(line)
-
-        def get(name: str, kind: str = "string") -> Column:
-            return F.try_variant_get(variant, f"$['{fields[name]}']", kind) if name in fields else F.lit(None).cast(kind)
-
-        def text(name: str) -> Column:
-            return F.coalesce(F.array_join(F.nullif(get(name, "array<string>"), F.array().cast("array<string>")), "\n"), F.when(get(name, "array<string>").isNull(), get(name)))
-
-        # a number of any size is milliseconds of the epoch, a string must be an ISO time with an offset
-        stamp, kind = get("timestamp"), F.schema_of_variant(F.try_variant_get(variant, f"$['{fields['timestamp']}']", "variant"))
-        millis = F.try_variant_get(variant, f"$['{fields['timestamp']}']", "double")
-        millis = F.coalesce(F.try_variant_get(variant, f"$['{fields['timestamp']}']", "long"), F.when(F.abs(millis) < 9.2e15, millis.cast("long")))
-        number = F.when(F.abs(millis) < 9_200_000_000_000_000, F.timestamp_millis(millis))
-        instant = F.when(kind.rlike("^(BIGINT|DECIMAL|DOUBLE|FLOAT)"), number).when(kind == "STRING", iso_instant(stamp))
-        level = F.when(get("level").isNotNull(), normal_level(get("level"))).otherwise(F.lit("UNKNOWN"))
-        ok = F.coalesce(F.schema_of_variant(variant).startswith("OBJECT"), F.lit(False)) & instant.isNotNull() & text("message").isNotNull()
-        return _header(ok, timestamp_raw=stamp, instant=instant, level=level, thread=text("thread"), logger_raw=text("logger"), message=text("message"), stack_trace=text("stack_trace"), trace_id=text("trace_id"), span_id=text("span_id"))
+        # each step is a struct that is made once a line: the JSON is parsed once, and each field is taken once
+        def taken(variant: Column) -> Column:
+            def get(name: str, kind: str = "string") -> Column:
+                return F.try_variant_get(variant, f"$['{fields[name]}']", kind) if name in fields else F.lit(None).cast(kind)
+
+            stamp = get("timestamp", "variant")
+            own = [F.schema_of_variant(variant).startswith("OBJECT").alias("object"), get("timestamp").alias("stamp"), F.schema_of_variant(stamp).alias("kind"), get("level").alias("level")]
+            own.append(stamp.alias("value"))
+            return F.struct(*own, *[x for f in texts for x in (get(f, "array<string>").alias(f"{f}_list"), get(f).alias(f))])
+
+        def read(p: Column) -> Column:
+            def text(name: str) -> Column:
+                many = p[f"{name}_list"]
+                return F.when(many.isNull(), p[name]).when(F.size(many) > 0, F.array_join(many, "\n"))
+
+            # a number of any size is milliseconds of the epoch, a string must be an ISO time with an offset
+            double = F.try_variant_get(p["value"], "$", "double")
+            millis = F.coalesce(F.try_variant_get(p["value"], "$", "long"), F.when(F.abs(double) < 9.2e15, double.cast("long")))
+            number = F.when(F.abs(millis) < 9_200_000_000_000_000, F.timestamp_millis(millis))
+            instant = F.when(p["kind"].rlike("^(BIGINT|DECIMAL|DOUBLE|FLOAT)"), number).when(p["kind"] == "STRING", iso_instant(p["stamp"]))
+            level = F.when(p["level"].isNotNull(), normal_level(p["level"])).otherwise(F.lit("UNKNOWN"))
+            return F.struct(F.coalesce(p["object"], F.lit(False)).alias("object"), p["stamp"].alias("timestamp_raw"), instant.alias("instant"), level.alias("level"), *[text(f).alias(FIELD_OF.get(f, f)) for f in texts])
+
+        def header(h: Column) -> Column:
+            names = ["timestamp_raw", "instant", "level", *[FIELD_OF.get(f, f) for f in texts]]
+            return _header(h["object"] & h["instant"].isNotNull() & h["message"].isNotNull(), **{f: h[f] for f in names})
+
+        return once(once(once(F.try_parse_json(line), taken), read), header)
 
     return parse
 

@@ -88,3 +88,12 @@ def test_instants_do_not_depend_on_the_session(spark):
         assert seen[0] == seen[1]
     finally:
         spark.conf.set("spark.sql.session.timeZone", before)
+
+
+def test_json_of_a_line_is_parsed_once(spark):
+    from logloom.sources.formats import json_lines
+
+    h = json_lines({"timestamp": "t", "message": "m", "level": "l"})(F.col("line"))
+    rows = spark.createDataFrame([('{"t": "2024-01-02T03:04:05Z", "m": ["a", "b"], "l": "warn"}',), ('{"t": 1.5, "m": "x"}',), ('{"t": "1", "m": "x"}',)], "line string").select(h.alias("h"))
+    assert rows._jdf.queryExecution().optimizedPlan().toString().lower().count("parsejson") + rows._jdf.queryExecution().optimizedPlan().toString().lower().count("parse_json") <= 2
+    assert [r.h and (r.h.message, r.h.level) for r in rows.collect()] == [("a\nb", "WARN"), ("x", "UNKNOWN"), None]
