@@ -21,6 +21,7 @@ ASKED = {"hyphen": "x-17", "group": "(failed | clicked) + item", "negated": "fai
 def log_text_index(spark: SparkSession, sf_dir: str) -> DataFrame:
     """All messages with the event's number after a hyphen, indexed in two batches and asked by way of the index."""
     logs = _logs(spark, sf_dir).withColumn("message", F.concat("message", F.lit(" (no-"), F.col("event_id").cast("string"), F.lit(") user_id")))
+    logs = written(logs.select("log_id", "event_id", "message"), "messages")  # read by both batches and every query
     path = new_folder(spark, "index")
     for batch in (0, 1):
         textindex.add(logs.where(F.col("event_id") % 2 == batch), path, batch)
@@ -30,7 +31,8 @@ def log_text_index(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def log_neighbour_scopes(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Three neighbours a side of every 50th log, in all scopes."""
-    logs = _logs(spark, sf_dir)
+    needed = {"log_id", "event_id", *search.ORDER, *(c for by, _ in search.SCOPES.values() for c in by)}
+    logs = written(_logs(spark, sf_dir).select(*sorted(needed)), "places")  # read by every scope, thrice each
     anchors = logs.where("event_id % 50 = 0").select("log_id")
     return reduce(DataFrame.union, [search.neighbours(logs, anchors, s, 3, 2).select(F.lit(s).alias("scope"), "anchor_id", "offset", "log_id") for s in search.SCOPES])
 
