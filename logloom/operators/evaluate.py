@@ -10,6 +10,8 @@ from decimal import Decimal
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from ..sources.scratch import written
+from ..sources.scratch import written
 from .match import Config, decide, score, weights
 
 
@@ -318,9 +320,12 @@ def verdict(baseline: dict, proposed: dict, floor: float = 0.95) -> str:
 def ablate(per_variant: dict[str, DataFrame], keys: DataFrame, truth: DataFrame, configs: dict[str, Config]) -> DataFrame:
     """(variant, events, at1): ``per_variant`` holds the features under each variant's candidates."""
     parts = []
+    # of each key and set of true ids how many events there are, once for all variants
+    asked = written(keys.join(truth, "log_id").groupBy("key", "ids").agg(F.count("*").alias("n")), "asked")
     for name, rows in per_variant.items():
-        d = decide(rows, ["key"], weights(configs[name])).select("key", "status", "statement_id")
-        hits = keys.join(truth, "log_id").join(d, "key", "left").agg(F.count("*").alias("events"), F.count_if((F.col("status") != "unmatched") & F.array_contains("ids", F.col("statement_id"))).alias("at1"))
+        d = decide(rows, ["key"], weights(configs[name]), lean=True).select("key", "status", "statement_id")
+        right = (F.col("status") != "unmatched") & F.array_contains("ids", F.col("statement_id"))
+        hits = asked.join(d, "key", "left").agg(F.coalesce(F.sum("n"), F.lit(0)).alias("events"), F.coalesce(F.sum(F.when(right, F.col("n"))), F.lit(0)).alias("at1"))
         parts.append(hits.select(F.lit(name).alias("variant"), "events", "at1"))
     out = parts[0]
     for p in parts[1:]:

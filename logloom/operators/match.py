@@ -158,9 +158,11 @@ def weights(config: Config) -> dict[str, Column]:
     return {k: F.lit(float(v)) for k, v in asdict(config).items()}
 
 
-def decide(rows: DataFrame, by: list[str], config: dict[str, Column]) -> DataFrame:
-    """One row for each value of ``by``: status, statement_id, confidence, confidence_level, candidates (five at most), score_breakdown, args."""
+def decide(rows: DataFrame, by: list[str], config: dict[str, Column], lean: bool = False) -> DataFrame:
+    """One row for each value of ``by``: status, statement_id, confidence, confidence_level, candidates (five at most), score_breakdown, args; ``lean``: breakdown and args are left empty, and neither is shuffled."""
     total, breakdown = score(config)
+    if lean:
+        rows, breakdown = rows.withColumn("args", F.array().cast("array<string>")), F.create_map().cast("map<string,double>")
     scored = rows.withColumn("score", total).withColumn("breakdown", breakdown)
     w = Window.partitionBy(*by).orderBy(F.col("score").desc(), "statement_id")
     top = scored.withColumn("n", F.row_number().over(w)).withColumn("second", F.lead("score").over(w)).where("n <= 5")
