@@ -20,4 +20,4 @@ def ranked(rows: DataFrame, by: list[str], name: str = "n", parts: int | None =
     range_ = F.shiftright("_m", 33)
     before = dealt.groupBy(range_.alias("_p")).agg(F.count("*").alias("c"))
     before = before.select("_p", (F.sum("c").over(Window.orderBy("_p")) - F.col("c")).alias("_before"))
-    return dealt.join(before, range_ == F.col("_p")).withColumn(name, F.col("_before") + F.col("_m") - F.shiftleft(range_, 33) + 1).drop("_m", "_p", "_before")
+    return dealt.join(F.broadcast(before), range_ == F.col("_p")).withColumn(name, F.col("_before") + F.col("_m") - F.shiftleft(range_, 33) + 1).drop("_m", "_p", "_before")

@@ -88,17 +88,14 @@ def prompt_sections(spark: SparkSession, sf_dir: str) -> DataFrame:
     control = "struct(CASE WHEN id % 2 = 0 THEN array(struct('if' AS kind, 'x > 0' AS text, 2 AS line)) ELSE array() END AS conditions, cast(array() AS array<struct<text:string,line:int,exit_kind:string>>) AS early_exits, cast(array() AS array<struct<text:string,line:int>>) AS preceding, cast(array() AS array<struct<text:string,line:int>>) AS calls_before)"
     catalog = spark.sql(f"""SELECT concat('s', cast(id AS string)) AS statement_id, struct(CASE WHEN id = 4 THEN 'dependency' ELSE 'project' END AS type, 'shop' AS name, '1' AS version) AS code_unit, 'A.java' AS file_path, 1 AS line, 'a.A' AS class_fqn, 'run()' AS method_signature, 'x' AS template,
       concat('d', cast(id AS string)) AS file_id, CASE WHEN id <> 3 THEN concat('m', cast(id AS string)) END AS method_id, 1 AS method_start_line, 1 AS method_end_line, {control} AS control FROM range(0, 5)""")
-    calls = _sql(spark, sf_dir, "SELECT DISTINCT concat('m', cast(o_custkey % 50 AS string)) AS method_id, concat('m', cast(o_custkey AS string)) AS caller, concat('c', cast(o_custkey AS string)) AS class_fqn FROM orders", "orders")
+    calls = _sql(spark, sf_dir, "SELECT concat('m', cast(o_custkey % 50 AS string)) AS method_id, concat('m', cast(o_custkey AS string)) AS caller, concat('c', cast(o_custkey AS string)) AS class_fqn FROM (SELECT DISTINCT o_custkey FROM orders)", "orders")
     calls = calls.groupBy("method_id").agg(F.collect_list(F.struct(F.col("caller").alias("method_id"), "class_fqn", F.lit("run").alias("method_name"), F.lit(1).alias("line"))).alias("called_by"))
     methods = _sql(spark, sf_dir, "SELECT concat('m', cast(c_custkey AS string)) AS method_id, concat('c', cast(c_custkey AS string)) AS class_fqn, 'run()' AS method_signature, 'C.java' AS file_path, concat('d', cast(c_custkey AS string)) AS file_id, 1 AS start_line, 1 AS end_line, cast(NULL AS array<string>) AS annotations FROM customer UNION ALL SELECT 'm0', 'c0', 'run()', 'C.java', 'd0', 1, 1, NULL", "customer").dropDuplicates(["method_id"]).join(calls, "method_id", "left")
-    logs, catalog, methods = written(logs, "logs"), written(catalog, "catalog"), written(methods, "methods")
-    anchors, out = logs.where("event_id % 10 = 0").select("log_id"), None
-    for level in (0, 2, 4):
-        p = prompt.prompts(logs, anchors, level, catalog, sources, methods)
-        said = F.array_join(F.transform("sections", lambda s: F.concat(s.id, F.lit(":"), F.coalesce(s.reason, F.lit("+")))), " ")
-        p = p.select("log_id", F.lit(level).alias("level"), said.alias("sections"), (F.size(F.split("text", "\n### Nivo ", -1)) - 1).alias("callers"), (F.length("text") == F.col("chars")).alias("counted"))
-        out = p if out is None else out.union(p)
-    return out
+    p = prompt.prompts_by_level(logs, logs.where("event_id % 10 = 0").select("log_id"), [0, 2, 4], written(catalog, "catalog"), sources, written(methods, "methods"))
+    said = F.array_join(F.transform("sections", lambda s: F.concat(s.id, F.lit(":"), F.coalesce(s.reason, F.lit("+")))), " ")
+    mark = "\n### Nivo "
+    callers = ((F.length("text") - F.length(F.replace("text", F.lit(mark), F.lit("")))) / len(mark)).cast("int")
+    return p.select("log_id", "level", said.alias("sections"), callers.alias("callers"), (F.length("text") == F.col("chars")).alias("counted"))
 
 
 def document_neighbours_by_tokens(spark: SparkSession, sf_dir: str) -> DataFrame:

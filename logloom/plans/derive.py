@@ -26,3 +26,7 @@ SELECT * FROM (VALUES
   ('s-any', 'error', 'com.shop.web.ErrorAdvice', 'ERROR', '{}', 'dynamic', 60),
   ('s-account', 'signup', 'com.shop.account.AccountService', 'WARN', 'Account {} created', 'placeholders', 70)
 ) AS t(statement_id, service, class_fqn, level, template, template_kind, line)"""
+
+#: The place of an event among its type's, as LOGS counts it, and LOGS over events that have it as ``place`` already.
+PLACE = "row_number() OVER (PARTITION BY event_type ORDER BY event_id) - 1"
+PLACED_LOGS = LOGS.replace(PLACE, "place").replace("FROM events", "FROM {events}")

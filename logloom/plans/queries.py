@@ -4,13 +4,13 @@ from __future__ import annotations
 
 import re
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from ..functions import text
 from ..operators import assemble, catalog, evaluate, labels, match, meta, search
 from ..sources.formats import json_lines, logback, spring_boot
-from .derive import LOGS, STATEMENTS
+from .derive import LOGS, PLACED_LOGS, STATEMENTS
 
 
 def _sql(spark: SparkSession, sf_dir: str, query: str, *tables: str) -> DataFrame:
@@ -19,9 +19,23 @@ def _sql(spark: SparkSession, sf_dir: str, query: str, *tables: str) -> DataFram
     return spark.sql(query, **{t: spark.read.parquet(f"{sf_dir}/{t}.parquet") for t in tables})
 
 
+#: Fixed value: a stretch of event ids, numbered by one task.
+STRETCH = 1 << 16
+
+
+def _placed_events(events: DataFrame) -> DataFrame:
+    """``events`` with ``place``, from 0, in their type by event_id: the places in a stretch of ids, after the counts of the stretches before it, so that a type is numbered by many tasks."""
+    events = events.withColumn("stretch", F.floor(F.col("event_id") / STRETCH))
+    counts = events.groupBy("event_type", "stretch").agg(F.count("*").alias("c"))
+    before = counts.select(F.col("event_type").alias("t"), F.col("stretch").alias("s"), (F.sum("c").over(Window.partitionBy("event_type").orderBy("stretch")) - F.col("c")).alias("before"))
+    own = F.row_number().over(Window.partitionBy("event_type", "stretch").orderBy("event_id"))
+    rows = events.withColumn("own", own).join(F.broadcast(before), F.col("event_type").eqNullSafe(F.col("t")) & F.col("stretch").eqNullSafe(F.col("s")))
+    return rows.withColumn("place", F.col("before") + F.col("own") - 1).drop("stretch", "t", "s", "before", "own")
+
+
 def _logs(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The derived logs as enriched logs."""
-    rows = _sql(spark, sf_dir, LOGS, "events")
+    rows = spark.sql(PLACED_LOGS, events=_placed_events(spark.read.parquet(f"{sf_dir}/events.parquet")))
     place = text.log_id(F.col("dataset_id"), F.col("source_file"), F.col("sequence") + 1)
     shown = F.when(F.col("status") != "unmatched", F.col("predicted"))
     candidates = F.transform(F.array(F.col("predicted"), F.concat(F.lit("s"), ((F.substring("predicted", 2, 9).cast("long") + 1) % 7).cast("string"))), lambda s, i: F.struct(s.alias("statement_id"), (F.lit(0.9) - i * 0.2).alias("score")))
@@ -30,7 +44,7 @@ def _logs(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def _lines(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Raw lines: a header for each event, and a class line, two frames, a cause and its frame for errors."""
-    rows = _sql(spark, sf_dir, LOGS, "events")
+    rows = spark.sql(PLACED_LOGS, events=_placed_events(spark.read.parquet(f"{sf_dir}/events.parquet")))
     pad = lambda c, n: F.rpad(F.substring(c, 1, n), n, " ")
     head = F.concat(F.date_format("ts", "yyyy-MM-dd'T'HH:mm:ss.SSS"), F.lit("Z "), F.lpad("level", 5, " "), F.lit(" 1 --- ["), pad(F.col("thread"), 15), F.lit("] "), pad(F.concat(F.lit("com.shop."), F.col("service")), 40), F.lit(" : "), F.col("message"))
     more = [F.concat(F.lit("java.lang.IllegalStateException: user "), F.col("thread")), F.lit("\tat com.shop.web.ErrorAdvice.handle(ErrorAdvice.java:50)"), F.lit("\tat java.base/java.lang.Thread.run(Thread.java:1)"), F.lit("Caused by: java.io.IOException: closed"), F.lit("\tat com.shop.io.Pipe.read(Pipe.java:7) ~[na:na]")]

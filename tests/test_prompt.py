@@ -5,7 +5,9 @@ import random
 import pytest
 from pyspark.sql import functions as F
 
+from logloom.operators import prompt
 from logloom.operators.prompt import CLOSING, callers_of, prompts, rendered
+from logloom.plans import answers, queries
 
 
 def test_callers_level_by_level(spark):
@@ -86,3 +88,40 @@ def test_a_whole_prompt(spark):
     assert {s.reason for r in low for s in r.sections} == {None, "level", "noException"}
     with pytest.raises(ValueError):
         prompts(logs, anchor, 5, catalog, sources, methods)
+
+
+def test_levels_are_gathered_once(spark, monkeypatch):
+    """The query's three levels read logs and files once, whatever the number of levels, and look neighbours up without a join of logs."""
+    kept, made = prompt.written, []
+    monkeypatch.setattr(prompt, "written", lambda rows, name="stage": made.append((name, rows.columns)) or kept(rows, name))
+    rows = answers.prompt_sections(spark, "/root/testdata/sf0.001")
+    assert [n for n, columns in made if "content" in columns or "near" in columns] == ["asked", "sources"]
+    assert rows.count() == 300
+
+
+@pytest.mark.parametrize("block", [10, 16, 4096])
+def test_lines_around_a_log_across_blocks(spark, monkeypatch, block):
+    monkeypatch.setattr(prompt, "BLOCK", block)
+    rows = [("d", None if i % 17 == 0 else f"f{i % 3}", None if i % 13 == 0 else i // 2, f"l{i:03d}", None if i % 7 == 0 else f"m {i}", i % 5 == 0) for i in range(150)]
+    logs = spark.createDataFrame(rows, "dataset_id string, source_file string, sequence int, log_id string, message string, wanted boolean").withColumns({"ts": F.timestamp_seconds(F.lit(0)), "level": F.lit("INFO"), "logger_raw": F.lit("a.B"), "timestamp_raw": F.lit("1970-01-01T02:00:00+02:00")})
+    got = {r.log_id: r.near for r in prompt._with_near(logs, logs.where("wanted").select("log_id"), ["log_id", "timestamp_raw"]).collect()}
+    want = {}
+    for _, file, _, log_id, _, wanted in rows:
+        if wanted:
+            scope = sorted((r for r in rows if r[1] == file), key=lambda r: (r[2] is None, r[2] or 0, r[3]))
+            at = next(i for i, r in enumerate(scope) if r[3] == log_id)
+            lines = "\n".join(f"{'▶ ' if r[3] == log_id else ''}02:00:00.000 INFO a.B — {r[4] or ''}" for r in scope[max(0, at - 5) : at + 6])
+            want[log_id] = None if file is None else f"# Susedni logovi istog servisa\n```text\n{lines}\n```"
+    assert got == want
+
+
+def test_places_of_events_by_stretches(spark, monkeypatch):
+    """Places are those of one window over a type, and no task has a whole type."""
+    monkeypatch.setattr(queries, "STRETCH", 8)
+    events = spark.createDataFrame([(i * i % 97 + 100 * i, "ab"[i % 2] if i % 5 else None) for i in range(90)], "event_id long, event_type string")
+    got = queries._placed_events(events)
+    want = events.selectExpr("event_id", "event_type", "cast(row_number() OVER (PARTITION BY event_type ORDER BY event_id) - 1 AS bigint) AS place")
+    assert sorted(map(str, got.select(*want.columns).collect())) == sorted(map(str, want.collect()))
+    plan = queries._logs(spark, "/root/testdata/sf0.001").select("sequence")._jdf.queryExecution().optimizedPlan().toString()
+    numbered = [line for line in plan.splitlines() if "row_number" in line]
+    assert numbered and all("stretch" in line for line in numbered)
