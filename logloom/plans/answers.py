@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions.text import tokens
-from ..operators import catalog, deps, evaluate, links, prompt, reports, search, textindex, tokentop, views
+from ..operators import deps, evaluate, links, prompt, reports, search, textindex, tokentop, views
 from ..sources.scratch import new_folder, written
 from .more_sql import ORACLE_SQL as _MORE
 from .oracle import _J, _L, _TOKENS, ORACLE_SQL as _FIRST_SQL
@@ -99,12 +99,11 @@ def prompt_sections(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def document_neighbours_by_tokens(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """For every conversation's turns as messages the five documents of the corpus with the weightiest shared tokens; tokens of over 20 documents count as common."""
-    docs = spark.read.parquet(f"{sf_dir}/documents.parquet").select(F.col("doc_id").cast("string").alias("statement_id"), tokens(F.col("text")).alias("constant_tokens"))
-    usable = docs.select(F.lit("all").alias("service"), "statement_id")
+    """For every conversation's turns as messages the five documents of the corpus with the weightiest shared tokens."""
+    docs = spark.read.parquet(f"{sf_dir}/documents.parquet").select(F.lit("all").alias("service"), F.col("doc_id").cast("string").alias("statement_id"), tokens(F.col("text")).alias("constant_tokens"))
     turns = spark.read.parquet(f"{sf_dir}/conversations.parquet").where("text is not null")
-    words = turns.select(F.concat_ws("-", "conv_id", "turn").alias("key"), F.lit("all").alias("service"), F.posexplode(tokens(F.col("text"))).alias("pos", "token"))
-    found = tokentop.top_by_tokens(words, written(catalog.postings(docs, usable), "postings"), 5, 20)
+    said = turns.select(F.concat_ws("-", "conv_id", "turn").alias("key"), F.lit("all").alias("service"), tokens(F.col("text")).alias("tokens"))
+    found = tokentop.top_by_statements(written(said, "turns"), docs.where("statement_id is not null"), 5)
     return found.select("key", "statement_id", F.round("idf", 6).alias("idf"), "r")
 
 

@@ -216,3 +216,69 @@ def test_common_tokens_are_added_up_in_blocks(spark):
     finally:
         tokentop._sums = plain
     assert got == want and all(x.count() == 0 for x in seen)
+
+
+def test_light_tokens_are_not_walked():
+    """A key's heavy tokens settle which statements can be among its best: of the light ones' postings, most of all, hardly any are walked."""
+    import numpy as np
+    import pyarrow as pa
+
+    from logloom.operators import tokentop
+
+    rng = np.random.default_rng(7)
+    share = 0.5 / (1 + np.arange(300) / 4)
+    has = rng.random((4000, 300)) < share
+    has[:60] |= rng.random((60, 300)) < 0.6
+    names, tokens = [f"s{i:04d}" for i in range(4000)], [f"t{i}" for i in range(300)]
+    idf = np.log(4000 / has.sum(0))
+    table = pa.table({"service": ["a"] * 4000, "statement_id": names, "constant_tokens": [[tokens[t] for t in np.flatnonzero(x)] for x in has]})
+    every = np.ones(tokentop.ASKED, np.uint8)
+    asked = pa.table({"service": ["a"], "unit": [0], "tokens": [tokens], "idf": [idf.tolist()]})
+    rows = lambda *units: pa.concat_tables([*map(lambda x: pa.Table.from_batches([x]), units), asked], promote_options="default")
+    said = [rng.choice(300, 40, replace=False, p=share / share.sum()) for _ in range(60)]
+    keys = pa.table({"key": [f"k{i}" for i in range(60)], "service": ["a"] * 60, "tokens": [[tokens[t] for t in x] for x in said]})
+    keys = tokentop._least(keys, rows(tokentop._unit(table.slice(0, 60), 0, True, every)), 4)
+    assert keys["least"].null_count == 0
+    walked, plain = [], tokentop._Index.lists
+    try:
+        tokentop._Index.lists = lambda self, t: walked.append(self.df[t].sum()) or plain(self, t)
+        got = tokentop._best(keys, rows(tokentop._unit(table.slice(0, 1500), 1, False, every), tokentop._unit(table.slice(1500), 2, False, every)), 4).to_pylist()
+    finally:
+        tokentop._Index.lists = plain
+    for i, x in enumerate(said):
+        sums = (has[:, x] * idf[x]).sum(1)
+        first = np.where(has[:, x].any(1), has[:, x].argmax(1), 99)
+        best = np.lexsort((np.arange(4000), first, -np.round(sums, 9)))[:4]
+        mine = sorted((r for r in got if r["key"] == f"k{i}"), key=lambda r: (-round(r["idf"], 9), r["first"], r["statement_id"]))[:4]
+        assert [r["statement_id"] for r in mine] == [names[b] for b in best] and np.allclose([r["idf"] for r in mine], sums[best])
+        assert [r["first"] for r in mine] == first[best].tolist()
+    assert sum(walked) * 4 < sum(has[:, x].sum() for x in said)
+
+
+def test_top_by_statements_is_that_of_the_full_sums(spark):
+    """Two services, several blocks, a token of every statement (weight 0), copies, statements and messages without tokens, and fewer statements than asked for."""
+    import math
+
+    from logloom.operators import tokentop
+
+    rng = random.Random(8)
+    own = {("ab"[i % 2], f"s{i:03d}"): ["all", *sorted({f"t{min(int(rng.expovariate(0.1)), 60)}é" for _ in range(rng.choice((2, 6, 25)))})] for i in range(160)}
+    own |= {("a", f"u{i}"): own["a", "s004"] for i in range(30)} | {("c", "s1"): ["all", "x"], ("c", "s2"): ["all"], ("d", "none"): []}
+    said = {f"k{i}": (rng.choice("aabbce"), rng.sample([f"t{j}é" for j in range(63)], rng.randrange(0, 20)) + ["all"] * (i % 3 > 0)) for i in range(60)}
+    df, n, want = {}, {}, set()
+    for (service, _), tokens in own.items():
+        n[service] = n.get(service, 0) + 1
+        for t in tokens:
+            df[service, t] = df.get((service, t), 0) + 1
+    for key, (service, tokens) in said.items():
+        sums = {}
+        for (other, s), has in own.items():
+            if service == other and set(has) & set(tokens):
+                sums[s] = sum(math.log(n[service] / df[service, t]) for t in tokens if t in has), min(tokens.index(t) for t in has if t in tokens)
+        best = sorted(sums, key=lambda s: (-round(sums[s][0], 9), sums[s][1], s))[:5]
+        want |= {(key, s, round(sums[s][0], 6) + 0.0, r) for r, s in enumerate(best, 1)}
+    keys = spark.createDataFrame([(k, *x) for k, x in said.items()], "key string, service string, tokens array<string>")
+    statements = spark.createDataFrame([(*k, x) for k, x in own.items()], "service string, statement_id string, constant_tokens array<string>")
+    for block in (40, tokentop.BLOCK):
+        assert {(r.key, r.statement_id, round(r.idf, 6), r.r) for r in tokentop.top_by_statements(keys, statements, 5, block).collect()} == want
+    assert tokentop.top_by_statements(keys.where("false"), statements, 5).isEmpty() and tokentop.top_by_statements(keys, statements.where("false"), 5).isEmpty()
